@@ -60,7 +60,7 @@ def expand_ranges(ranges: DataFrame, keys: Sequence[str] = KEYS, chunk: int = C.
     big = ranges.where(F.col("n") > chunk)
     pieces = big.select(
         *keys, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk).cast("bigint"))).alias("_k")
-    ).repartition()
+    ).repartition(*keys, "lo", "_k")
     start = F.col("lo") + F.col("_k") * chunk
     wide = pieces.select(*keys, F.explode(F.sequence(start, F.least(F.col("hi"), start + (chunk - 1)))).alias("seq"))
     return small.unionByName(wide)

@@ -17,6 +17,7 @@ from feedspark.operators import loss as L
 from feedspark.operators import packets as P
 from feedspark.operators import recovery as R
 from feedspark.sources import writer as W
+from feedspark.session import materialize
 from feedspark.sources.tables import events_as_feed, read_table
 
 # ---- fixed values of the test fixture ----------------------------------------
@@ -29,11 +30,16 @@ FAILED_BATCH_RESIDUE = 6
 class FeedPlan:
     """All intermediate tables of the feed for one test directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, channel: str = "all", key_unit: str = "HOUR"):
+    def __init__(self, spark: SparkSession, sf_dir: str, channel: str = "all", key_unit: str = "HOUR",
+                 cut_lineage: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self.channel = channel
         self.key_unit = key_unit
+        self.cut_lineage = cut_lineage
+
+    def _cut(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.spark) if self.cut_lineage else df
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
@@ -79,7 +85,7 @@ class FeedPlan:
 
     @cached_property
     def packets(self) -> DataFrame:
-        return P.complete_packets(self.parsed)
+        return self._cut(P.complete_packets(self.parsed), "packets")
 
     @cached_property
     def gap_ranges(self) -> DataFrame:
@@ -87,11 +93,11 @@ class FeedPlan:
 
     @cached_property
     def missing(self) -> DataFrame:
-        return L.expand_ranges(self.gap_ranges)
+        return self._cut(L.expand_ranges(self.gap_ranges), "missing")
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return R.assign_batches(self.missing)
+        return self._cut(R.assign_batches(self.missing), "assigned")
 
     @cached_property
     def requests(self) -> DataFrame:
@@ -100,7 +106,7 @@ class FeedPlan:
     @cached_property
     def recovery_replies(self) -> DataFrame:
         fail = F.col("batch_no") % FAILED_BATCH_EVERY == FAILED_BATCH_RESIDUE
-        return R.answer_requests(self.assigned, self.archive, fail_when=fail)
+        return self._cut(R.answer_requests(self.assigned, self.archive, fail_when=fail), "recovery_replies")
 
     @cached_property
     def backfilled(self) -> DataFrame:

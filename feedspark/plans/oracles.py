@@ -190,11 +190,11 @@ UNION ALL SELECT channel, feed_date, seq, message, 'recovered' AS source FROM re
 SELECT channel, feed_date, seq, upper(message) AS message FROM pr
 UNION ALL SELECT channel, feed_date, seq, upper(message) AS message FROM rec""",
     "frame_split": """
-WITH d AS (SELECT doc_id, lang, encode(text) AS b, octet_length(encode(text)) AS nb FROM documents),
+WITH d AS (SELECT doc_id, lang, hex(encode(text)) AS b, octet_length(encode(text)) AS nb FROM documents),
 f AS (SELECT doc_id, lang, b, greatest(CAST(ceil(nb / 1024.0) AS BIGINT), 1) AS nf FROM d),
 o AS (SELECT *, coalesce(sum(nf) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_pos FROM f)
 SELECT lang AS channel, CAST(first_pos + i AS BIGINT) AS pos,
-       hex(substring(b, CAST(i * 1024 + 1 AS BIGINT), 1024)) AS mtext_hex,
+       substr(b, CAST(i * 2048 + 1 AS BIGINT), 2048) AS mtext_hex,
        CASE WHEN i = nf - 1 THEN 1 ELSE 0 END AS full_msg
 FROM o, range(0, nf) t(i)""",
     "frame_join": """
@@ -222,3 +222,8 @@ FROM h""",
 ORACLES["feed_ordered"] = ORACLES["feed_union"]
 ORACLES["loss_gaps_stream"] = ORACLES["loss_gaps"]
 ORACLES["stream_gate"] = ORACLES["parse_fields"]
+
+ORACLES["load_shed"] = _with(_EV) + """
+SELECT 'all' AS channel, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS interval_start, count(*) AS received,
+       least(count(*), 50000) AS kept, greatest(count(*) - 50000, 0) AS shed
+FROM ev WHERE damage IS DISTINCT FROM 'dropped' GROUP BY 2"""

@@ -20,6 +20,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -55,3 +56,17 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the scratch root (never reused between runs)."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str, spark: SparkSession | None = None):
+    """Cut lineage: write ``df`` as a parquet table in the shared scratch folder and read it back.
+
+    Stage outputs that several later steps read (packets, missing numbers,
+    batch assignments) are written once instead of being recomputed by every
+    branch; the read-back table has real statistics for AQE and survives the
+    loss of executors.
+    """
+    spark = spark or df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
