@@ -25,22 +25,27 @@ def positions(
     bucket_width: int = C.SEQ_BUCKET,
     weight_col: str | None = None,
     bucket_col: str | None = None,
+    bucket_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: 0-based position of each row within ``group_cols`` ordered by ``order_col``.
 
     With ``weight_col`` every row occupies that many positions (the column then
     holds the first one), e.g. messages that become several frames.
-    ``bucket_col`` overrides the bucket (must be monotone in the order).
+    ``bucket_col`` overrides the bucket (must be monotone in the order);
+    ``bucket_cols`` adds leading order columns, so the order is
+    (*bucket_cols, order_col) -- e.g. a global id over (feed_date, seq).
     Ties in ``order_col`` get distinct, arbitrary positions.
     """
     group_cols = list(group_cols)
+    lead_cols = list(bucket_cols or [])
     bkt = F.col(bucket_col) if bucket_col else F.floor(F.col(order_col) / F.lit(bucket_width))
     x = df.withColumn("_nb", bkt)
     wt = F.col(weight_col) if weight_col else F.lit(1)
-    keys = group_cols + ["_nb"]
+    keys = group_cols + lead_cols + ["_nb"]
     counts = x.groupBy(*keys).agg(F.sum(wt).cast("bigint").alias("_nw"))
+    # The running total runs over one row per bucket (rows / bucket_width).
     wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    wg = wg.orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
+    wg = wg.orderBy(*lead_cols, "_nb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wg), F.lit(0)).cast("bigint").alias("_noff"))
     j = x.join(offsets, keys, "inner")
     wb = Window.partitionBy(*keys).orderBy(order_col)

@@ -1 +1,74 @@
-"""Registered queries that write: sinks, quarantine, audit, streams."""
+"""Registered queries that write: table sinks, preflight, audit, and the streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from feedspark import schemas
+from feedspark.operators import loss as L
+from feedspark.plans.catalog import _plan, query
+from feedspark.session import scratch_path
+from feedspark.sinks import audit as A
+from feedspark.sinks import tables as S
+from feedspark.streaming import gate as G
+from feedspark.streaming.gaps import missing_from_events
+
+
+@query("sink_rows")
+def q_sink_rows(spark, sf_dir):
+    """S3+S5+S11: the merged feed with serial ids, appended to a path table and read back."""
+    feed = _plan(spark, sf_dir).feed
+    path = scratch_path(spark, "feed_table")
+    S.append_path(S.with_ids(feed), path)
+    return spark.read.parquet(path).select("id", "channel", "feed_date", "seq", "message", "source")
+
+
+@query("sink_preflight")
+def q_sink_preflight(spark, sf_dir):
+    """Create the catalog table, then add a column it lacks, then append the feed and read it back."""
+    name = f"feed_sink_{uuid.uuid4().hex[:10]}"
+    loc = scratch_path(spark, name)
+    ok1 = S.preflight(spark, name, "message", location=loc)
+    ok2 = S.preflight(spark, name, "message", extra_columns={"feed_date": "STRING", "seq": "BIGINT", "source": "STRING"})
+    if not (ok1 and ok2):
+        raise RuntimeError("sink preflight failed")
+    S.append_table(S.with_ids(_plan(spark, sf_dir).feed), name)
+    return spark.table(name).select("id", "feed_date", "seq", "message", "source")
+
+
+@query("audit_lines")
+def q_audit_lines(spark, sf_dir):
+    """Audit rows for gate failures and per-date loss, in the log line format."""
+    p = _plan(spark, sf_dir)
+    return A.audit_rows(p.parsed, L.loss_summary(p.packets), p.packets).select("ts", "level", "text", "line")
+
+
+def _stream_packets(spark, sf_dir):
+    p = _plan(spark, sf_dir)
+    landed = G.land_wire(p.wire, scratch_path(spark, "wire_landed"))
+    sink = scratch_path(spark, "stream_packets")
+    q = G.start_gate(G.read_wire_stream(spark, landed), p.key_epochs, sink, scratch_path(spark, "ck_gate"))
+    q.awaitTermination()
+    return sink
+
+
+@query("stream_gate")
+def q_stream_gate(spark, sf_dir):
+    """S1+S9: the packet files read as a stream (one file per micro-batch), decoded and parsed."""
+    sink = _stream_packets(spark, sf_dir)
+    return spark.read.schema(schemas.PACKETS).parquet(sink)
+
+
+@query("stream_gaps")
+def q_stream_gaps(spark, sf_dir):
+    """L5+L6: stateful gap tracking over the decoded packet stream (numbers arrive out of order)."""
+    sink = _stream_packets(spark, sf_dir)
+    events_path = scratch_path(spark, "gap_events")
+    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(sink)
+    q = G.start_gaps(stream, events_path, scratch_path(spark, "ck_gaps"))
+    q.awaitTermination()
+    from feedspark.streaming.gaps import EVENTS
+
+    return missing_from_events(spark.read.schema(EVENTS).parquet(events_path))

@@ -73,7 +73,7 @@ class FeedPlan:
 
     @cached_property
     def key_epochs(self) -> DataFrame:
-        return K.key_epochs(self.key_fold)
+        return self._cut(K.key_epochs(self.key_fold), "key_epochs")
 
     @cached_property
     def decoded(self) -> DataFrame:

@@ -220,10 +220,29 @@ FROM h""",
 }
 
 ORACLES["feed_ordered"] = ORACLES["feed_union"]
-ORACLES["loss_gaps_stream"] = ORACLES["loss_gaps"]
+ORACLES["stream_gaps"] = ORACLES["loss_gaps"]
 ORACLES["stream_gate"] = ORACLES["parse_fields"]
 
 ORACLES["load_shed"] = _with(_EV) + """
 SELECT 'all' AS channel, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS interval_start, count(*) AS received,
        least(count(*), 50000) AS kept, greatest(count(*) - 50000, 0) AS shed
 FROM ev WHERE damage IS DISTINCT FROM 'dropped' GROUP BY 2"""
+
+_FEED = _with(_EV, _PASSED, _MISSING.strip().rstrip(","), _BATCHES) + """
+, f AS (SELECT channel, feed_date, seq, message, 'live' AS source FROM pr
+        UNION ALL SELECT channel, feed_date, seq, message, 'recovered' AS source FROM rec)
+"""
+ORACLES["sink_rows"] = _FEED + """
+SELECT row_number() OVER (ORDER BY channel, feed_date, seq) AS id, channel, feed_date, seq, message, source FROM f"""
+ORACLES["sink_preflight"] = _FEED + """
+SELECT row_number() OVER (ORDER BY channel, feed_date, seq) AS id, feed_date, seq, message, source FROM f"""
+ORACLES["audit_lines"] = _with(_EV, _STATUS, _PASSED) + """
+, g AS (SELECT status, max(ts) AS ts, count(*) AS n FROM st
+        WHERE status NOT IN ('passed_current', 'passed_previous') GROUP BY status),
+s AS (SELECT channel, feed_date, max(arrival_ts) AS ts, count(DISTINCT seq) AS dn,
+             max(seq) - min(seq) + 1 - count(DISTINCT seq) AS lost FROM pr GROUP BY 1, 2),
+r AS (SELECT ts, 'ERROR' AS level, 'channel all: ' || n || ' packets ' || status AS text FROM g
+      UNION ALL
+      SELECT ts, CASE WHEN lost > 0 THEN 'WARN' ELSE 'INFO' END AS level,
+             'channel ' || channel || ' date ' || feed_date || ': ' || dn || ' received, ' || lost || ' lost' AS text FROM s)
+SELECT ts, level, text, level || ': ' || strftime(ts, '%d/%m/%y->%I:%M:%S') || ' ' || text AS line FROM r"""
