@@ -131,9 +131,15 @@ def _byte_sum_udf(values: pa.Array) -> pa.Array:
     return byte_sum_kernel(values)
 
 
+# Marked non-deterministic only so the optimizer never copies the call into a
+# later filter and the projection both (it would then run twice per row); the
+# function itself is a pure byte XOR, so task retries give the same bytes.
+_xor_once = _xor_udf.asNondeterministic()
+
+
 def xor_bytes(value, key) -> Column:
     """XOR(value, key) on bytes; strings are taken as their UTF-8 bytes."""
-    return _xor_udf(_col(value).cast("binary"), _col(key).cast("binary"))
+    return _xor_once(_col(value).cast("binary"), _col(key).cast("binary"))
 
 
 def byte_sum(value) -> Column:
