@@ -142,9 +142,12 @@ def xor_bytes(value, key) -> Column:
     return _xor_once(_col(value).cast("binary"), _col(key).cast("binary"))
 
 
+_byte_sum_once = _byte_sum_udf.asNondeterministic()
+
+
 def byte_sum(value) -> Column:
-    """Checksum: sum of the (unsigned) byte codes of the UTF-8 bytes."""
-    return _byte_sum_udf(_col(value).cast("binary"))
+    """Checksum: sum of the (unsigned) byte codes of the UTF-8 bytes (evaluated once per row, see XOR)."""
+    return _byte_sum_once(_col(value).cast("binary"))
 
 
 def xor_bytes_native(value, key) -> Column:

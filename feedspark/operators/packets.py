@@ -154,24 +154,25 @@ def shed_counts(marked: DataFrame) -> DataFrame:
 # Legacy layout (checksum)
 # ---------------------------------------------------------------------------
 
-def parse_legacy(body: Column) -> Column:
-    """Legacy body (after the 10-byte secret): ``checksum ^ date ^ number ^ 0 ^ message``.
+def legacy_check(df: DataFrame, body: str = "body") -> DataFrame:
+    """Legacy body (after the 10-byte secret) ``checksum ^ date ^ number ^ 0 ^ message``.
 
-    Returns a struct with the stated checksum, the byte sum of everything from
-    the first '^', the fields, and ``valid`` (sums agree, all fields present).
+    Adds the stated ``checksum``, the byte sum of everything from the first
+    '^' (``computed``), the fields, and ``valid`` (sums agree, all fields
+    present).  The byte sum runs once per row in its own projection.
     """
-    text = body.cast("string")
-    stated = F.regexp_extract(text, r"^(\d*)\^", 1)
-    rest_pos = F.instr(text, "^")
-    rest_bin = F.when(rest_pos > 0, body.substr(F.octet_length(F.substring_index(text, "^", 1).cast("binary")) + 1, F.octet_length(body)))
+    b = F.col(body)
+    text = b.cast("string")
+    head_len = F.octet_length(F.substring_index(text, "^", 1).cast("binary"))
+    rest = F.when(F.instr(text, "^") > 0, b.substr(head_len + 1, F.octet_length(b)))
+    x = df.withColumn("_rest", rest).withColumn("computed", byte_sum(F.col("_rest")))
     tok = split_fields(text)
-    computed = byte_sum(rest_bin)
-    stated_n = stated.try_cast("bigint")
-    return F.struct(
-        stated_n.alias("checksum"),
-        computed.alias("computed"),
-        F.get(tok, 1).alias("feed_date"),
-        atoi(F.get(tok, 2)).alias("seq"),
-        F.get(tok, 4).alias("message"),
-        F.coalesce((stated_n == computed) & (F.size(tok) >= 5), F.lit(False)).alias("valid"),
-    )
+    stated = F.regexp_extract(text, r"^(\d*)\^", 1).try_cast("bigint")
+    return x.select(
+        "*",
+        stated.alias("checksum"),
+        F.get(tok, 1).alias("legacy_date"),
+        atoi(F.get(tok, 2)).alias("legacy_seq"),
+        F.get(tok, 4).alias("legacy_message"),
+        F.coalesce((stated == F.col("computed")) & (F.size(tok) >= 5), F.lit(False)).alias("valid"),
+    ).drop("_rest")

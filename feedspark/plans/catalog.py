@@ -118,15 +118,17 @@ def q_xor_roundtrip(spark, sf_dir):
 
 @query("checksum_valid")
 def q_checksum_valid(spark, sf_dir):
-    """Legacy packets over whole documents -- encode, decode, recompute the byte sum."""
+    """Legacy packets over whole documents -- encode, decode, recompute the byte sum.
+
+    One projection per step, so each Arrow UDF appears once per row.
+    """
     docs = read_table(spark, sf_dir, "documents")
     secret, key = F.lit("legacysec0"), F.lit("legacykey0")
-    plain = W.legacy_plaintext(secret, F.lit("000000"), F.col("doc_id"), F.col("text"))
-    wire = W.encode(plain, key)
-    body = xor_bytes(b64_decode_lenient(wire), key)
-    after = body.substr(F.lit(11), F.octet_length(body) - 10)
-    chk = P.parse_legacy(after)
-    return docs.select("doc_id", chk.alias("c")).select("doc_id", "c.checksum", "c.valid")
+    x = docs.select("doc_id", W.legacy_plaintext(secret, F.lit("000000"), F.col("doc_id"), F.col("text")).alias("plain"))
+    x = x.select("doc_id", W.encode(F.col("plain"), key).alias("wire"))
+    x = x.select("doc_id", xor_bytes(b64_decode_lenient("wire"), key).alias("body"))
+    x = x.select("doc_id", F.col("body").substr(F.lit(11), F.octet_length("body") - 10).alias("after"))
+    return P.legacy_check(x, "after").select("doc_id", "checksum", "valid")
 
 
 # ---------------------------------------------------------------------------

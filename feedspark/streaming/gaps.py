@@ -63,6 +63,8 @@ def absorb(mn, mx, los: np.ndarray, his: np.ndarray, nums: np.ndarray):
         cand_lo, cand_hi, real = np.concatenate(parts_lo), np.concatenate(parts_hi), np.concatenate(parts_real)
         order = np.argsort(cand_lo, kind="stable")
         cand_lo, cand_hi, real = cand_lo[order], cand_hi[order], real[order]
+    if cand_lo.size == 0:  # nothing open and nothing new outside [mn, mx]: all numbers known
+        return new_mn, new_mx, los, his, empty, empty, empty, empty
     # which candidate range (if any) holds each new number
     r = np.searchsorted(cand_lo, nums, side="right") - 1
     inside = (r >= 0) & (nums <= cand_hi[np.maximum(r, 0)])
