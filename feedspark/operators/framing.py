@@ -14,20 +14,24 @@ def frame_count(nbytes) -> F.Column:
     return F.greatest(F.ceil(nbytes / F.lit(C.FRAME_SIZE)), F.lit(1)).cast("bigint")
 
 
-def split_frames(messages: DataFrame, channel: str, order: str, text: str, size: int = C.FRAME_SIZE) -> DataFrame:
+def split_frames(messages: DataFrame, channel: str, order: str, text: str, size: int = C.FRAME_SIZE,
+                 lead_order=()) -> DataFrame:
     """M1: one row per frame -- ``channel, pos, mtext (binary), full_msg``.
 
     ``pos`` is the dense position of the frame in its channel's stream,
     messages taken in ``order``: the first frame of a message sits at the
     running total of frames of the messages before it (bucketed, see
     ``positions``).  ``full_msg`` is 1 on the last frame of a message.
+    ``lead_order`` columns come before ``order`` (e.g. date, then number).
     """
+    lead_order = list(lead_order)
     m = messages.select(
         F.col(channel).alias("channel"),
+        *lead_order,
         F.col(order).alias("_order"),
         F.encode(F.col(text), "UTF-8").alias("_bytes"),
     ).withColumn("_nf", frame_count(F.octet_length("_bytes")))
-    m = positions(m, ["channel"], "_order", out="_first", weight_col="_nf")
+    m = positions(m, ["channel"], "_order", out="_first", weight_col="_nf", bucket_cols=lead_order)
     f = m.select(
         "channel", "_order", "_bytes", "_nf", "_first",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nf") - 1)).alias("_i"),

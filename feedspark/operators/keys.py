@@ -37,31 +37,48 @@ def _text(b: bytes | None) -> str | None:
     return None if b is None else b.decode("utf-8", errors="replace")
 
 
+# Key state: (cipher, secret, prev_cipher, prev_secret, epoch); bytes, -1 before the first good reply.
+KeyState = tuple
+
+
+def initial_state(bootstrap: bytes) -> KeyState:
+    return (bootstrap, None, None, None, -1)
+
+
+def fold_step(state: KeyState, pdf: pd.DataFrame) -> tuple[KeyState, pd.DataFrame]:
+    """Apply one channel's replies (any order; applied by ``ord``) to the key state.
+
+    Each reply is decoded with the cipher of the last good reply; a good reply
+    (exactly two '^', three non-empty fields) moves current -> previous; a bad
+    one changes nothing and sets the refresh to 2 s.  Control-plane rows only.
+    """
+    cipher, secret, prev_cipher, prev_secret, epoch = state
+    pdf = pdf.sort_values("ord", kind="stable")
+    out = []
+    for ch, o, ts, dec in zip(pdf["channel"], pdf["ord"], pdf["arrival_ts"], pdf["decoded"]):
+        value = _xor(bytes(dec) if dec is not None else b"", cipher)
+        parts = value.split(b"^") if value.count(b"^") == 2 else None
+        ok = parts is not None and all(len(p) > 0 for p in parts)
+        if ok:
+            prev_cipher, prev_secret = (cipher if epoch >= 0 else None), secret
+            cipher, secret = parts[0], parts[1]
+            epoch += 1
+            refresh = _refresh(parts[2])
+        else:
+            refresh = C.REFRESH_AFTER_BAD_S
+        out.append(
+            (ch, int(o), ts, ok, epoch, _text(cipher) if epoch >= 0 else None, _text(secret),
+             refresh, _text(prev_cipher), _text(prev_secret))
+        )
+    res = pd.DataFrame(out, columns=schemas.KEY_FOLD.fieldNames())
+    return (cipher, secret, prev_cipher, prev_secret, epoch), res
+
+
 def _fold_channel(bootstrap: bytes):
     """Sequential fold of one channel's replies (ordered by ``ord``)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        cipher, secret = bootstrap, None
-        prev_cipher = prev_secret = None
-        epoch = -1
-        out = []
-        for ch, o, ts, dec in zip(pdf["channel"], pdf["ord"], pdf["arrival_ts"], pdf["decoded"]):
-            value = _xor(bytes(dec) if dec is not None else b"", cipher)
-            parts = value.split(b"^") if value.count(b"^") == 2 else None
-            ok = parts is not None and all(len(p) > 0 for p in parts)
-            if ok:
-                prev_cipher, prev_secret = cipher if epoch >= 0 else None, secret
-                cipher, secret = parts[0], parts[1]
-                epoch += 1
-                refresh = _refresh(parts[2])
-            else:
-                refresh = C.REFRESH_AFTER_BAD_S
-            out.append(
-                (ch, int(o), ts, ok, epoch, _text(cipher) if epoch >= 0 else None, _text(secret),
-                 refresh, _text(prev_cipher), _text(prev_secret))
-            )
-        return pd.DataFrame(out, columns=schemas.KEY_FOLD.fieldNames())
+        return fold_step(initial_state(bootstrap), pdf)[1]
 
     return fold
 
@@ -72,8 +89,8 @@ def fold_replies(replies: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY) -> Data
     Each reply is decoded with the cipher of the last *good* reply (the
     bootstrap key before the first); a good reply (exactly two '^', three
     non-empty fields) moves current -> previous; a bad one changes nothing and
-    sets the refresh to 2 s.  The chain is sequential within a channel and
-    parallel across channels.  Its length is bounded by time / refresh period
+    sets the refresh to 2 s (see ``fold_step``).  The chain is sequential
+    within a channel and parallel across channels.  Its length is bounded by time / refresh period
     (control-plane rows, not data rows); base64 is decoded on the JVM first.
     """
     pre = replies.select("channel", "ord", "arrival_ts", b64_decode_lenient("wire").alias("decoded"))

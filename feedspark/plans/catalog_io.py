@@ -72,3 +72,42 @@ def q_stream_gaps(spark, sf_dir):
     from feedspark.streaming.gaps import EVENTS
 
     return missing_from_events(spark.read.schema(EVENTS).parquet(events_path))
+
+
+@query("stream_key_epochs")
+def q_stream_key_epochs(spark, sf_dir):
+    """K2 on a stream: control replies landed in five successive files, folded with per-channel state."""
+    from feedspark.operators.keys import key_epochs
+    from feedspark.streaming import keys as SK
+
+    p = _plan(spark, sf_dir)
+    landed = SK.land_replies(p.control_replies, scratch_path(spark, "replies_landed"))
+    out = scratch_path(spark, "stream_fold")
+    q = (SK.fold_stream(SK.read_replies_stream(spark, landed)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck_keys")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return key_epochs(spark.read.schema(schemas.KEY_FOLD).parquet(out))
+
+
+@query("stream_recovery")
+def q_stream_recovery(spark, sf_dir):
+    """The periodic recovery query over the gap-event log of the packet stream."""
+    from feedspark.streaming import recovery as SR
+
+    p = _plan(spark, sf_dir)
+    sink = _stream_packets(spark, sf_dir)
+    events_path = scratch_path(spark, "gap_events")
+    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(sink)
+    G.start_gaps(stream, events_path, scratch_path(spark, "ck_gaps")).awaitTermination()
+    rec_path = scratch_path(spark, "recovered")
+    SR.start_recovery(spark, events_path, p.archive, rec_path, scratch_path(spark, "ck_rec")).awaitTermination()
+    return SR.read_recovered(spark, rec_path).select("channel", "feed_date", "seq", "message", "source")
+
+
+@query("feed_frames")
+def q_feed_frames(spark, sf_dir):
+    """S11 frames mode: the merged feed as a frame stream per channel, in (date, number) order."""
+    from feedspark.sinks.deliver import feed_frames
+
+    f = feed_frames(_plan(spark, sf_dir).feed)
+    return f.select("channel", "pos", F.hex("mtext").alias("mtext_hex"), "full_msg")

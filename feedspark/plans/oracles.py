@@ -246,3 +246,13 @@ r AS (SELECT ts, 'ERROR' AS level, 'channel all: ' || n || ' packets ' || status
       SELECT ts, CASE WHEN lost > 0 THEN 'WARN' ELSE 'INFO' END AS level,
              'channel ' || channel || ' date ' || feed_date || ': ' || dn || ' received, ' || lost || ' lost' AS text FROM s)
 SELECT ts, level, text, level || ': ' || strftime(ts, '%d/%m/%y->%I:%M:%S') || ' ' || text AS line FROM r"""
+
+ORACLES["stream_key_epochs"] = ORACLES["key_epochs"]
+ORACLES["stream_recovery"] = _with(_EV, _PASSED, _MISSING.strip().rstrip(","), """
+arch AS (SELECT 'all' AS channel, strftime(ts, '%Y%m%d') AS feed_date, event_id AS seq, props AS message
+         FROM events WHERE event_id % 5 <> 0)""") + """
+SELECT m.channel, m.feed_date, m.seq, a.message, 'recovered' AS source FROM miss m
+JOIN arch a ON a.channel = m.channel AND a.feed_date = m.feed_date AND a.seq = m.seq"""
+ORACLES["feed_frames"] = _FEED + """
+SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY feed_date, seq) - 1 AS BIGINT) AS pos,
+       hex(encode(message)) AS mtext_hex, 1 AS full_msg FROM f"""

@@ -62,3 +62,35 @@ def test_stream_equals_batch(spark):
     want = sorted(tuple(r) for r in L.gaps(df).collect())
     assert got == want
     assert start_gaps  # public entry point exists
+
+
+def test_key_fold_stream_equals_batch(spark):
+    import base64
+    import datetime as dt
+
+    from feedspark.operators.keys import fold_replies
+    from feedspark.streaming import keys as SK
+
+    def enc(text: bytes, key: bytes) -> str:
+        return base64.b64encode(bytes(b ^ key[i % len(key)] for i, b in enumerate(text))).decode()
+
+    boot, t0 = b"boot-key-x", dt.datetime(2024, 1, 1)
+    rows, key = [], boot
+    for i in range(12):
+        if i in (4, 7):  # malformed replies keep the state
+            rows.append(("c", i, t0 + dt.timedelta(hours=i), enc(b"only^two", key)))
+            continue
+        c = f"ci{i:02d}".encode()
+        rows.append(("c", i, t0 + dt.timedelta(hours=i), enc(c + b"^sec" + str(i).encode() + b"^60", key)))
+        key = c
+    df = spark.createDataFrame(rows, "channel string, ord int, arrival_ts timestamp_ntz, wire string")
+    landed = SK.land_replies(df, scratch_path(spark, "rep"), files=4)
+    out = scratch_path(spark, "fold")
+    q = (SK.fold_stream(SK.read_replies_stream(spark, landed)).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(q.recentProgress) == 4
+    got = sorted(tuple(r) for r in spark.read.schema(schemas.KEY_FOLD).parquet(out).collect())
+    want = sorted(tuple(r) for r in fold_replies(df).collect())
+    assert got == want
+    assert [r[3] for r in got].count(False) == 2
