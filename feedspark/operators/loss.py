@@ -51,19 +51,19 @@ def gap_ranges(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq",
 def expand_ranges(ranges: DataFrame, keys: Sequence[str] = KEYS, chunk: int = C.EXPAND_CHUNK) -> DataFrame:
     """L4: one row per lost number.
 
-    Ranges up to ``chunk`` numbers are exploded in place.  Wider ranges (a
-    corrupt, huge jump) are first cut into chunk rows, spread round-robin over
-    the cluster, and exploded there -- no single array or task holds them.
+    Every range is cut into chunks of at most ``chunk`` numbers (one chunk for
+    ordinary gaps), the chunk rows are hash-spread over the cluster, and each
+    chunk is exploded there -- a corrupt, huge jump never builds one big array
+    or lands in one task.  The ranges are read once (one extra shuffle of small
+    chunk rows instead of a second pass over the numbers).
     """
     keys = list(keys)
-    small = ranges.where(F.col("n") <= chunk).select(*keys, F.explode(F.sequence("lo", "hi")).alias("seq"))
-    big = ranges.where(F.col("n") > chunk)
-    pieces = big.select(
-        *keys, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / chunk).cast("bigint"))).alias("_k")
+    n_chunks = F.floor((F.col("n") - 1) / chunk).cast("bigint")
+    pieces = ranges.select(
+        *keys, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks)).alias("_k")
     ).repartition(*keys, "lo", "_k")
     start = F.col("lo") + F.col("_k") * chunk
-    wide = pieces.select(*keys, F.explode(F.sequence(start, F.least(F.col("hi"), start + (chunk - 1)))).alias("seq"))
-    return small.unionByName(wide)
+    return pieces.select(*keys, F.explode(F.sequence(start, F.least(F.col("hi"), start + (chunk - 1)))).alias("seq"))
 
 
 def gaps(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", width: int = C.SEQ_BUCKET) -> DataFrame:

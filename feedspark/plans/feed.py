@@ -51,7 +51,8 @@ class FeedPlan:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return W.demo_key_schedule(self.feed_source)
+        # one row per (channel, day): written once so joins see its real (small) size
+        return self._cut(W.demo_key_schedule(self.feed_source), "schedule")
 
     @cached_property
     def control_replies(self) -> DataFrame:
