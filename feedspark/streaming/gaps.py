@@ -84,39 +84,63 @@ def absorb(mn, mx, los: np.ndarray, his: np.ndarray, nums: np.ndarray):
     return new_mn, new_mx, new_los[o], new_his[o], op_lo, op_hi, cl_lo, cl_hi
 
 
-def _processor(key, pdfs: Iterator[pd.DataFrame], state):
-    channel, feed_date, bucket = key
-    if state.exists:
-        mn, mx, los, his = state.get
-        los, his = np.asarray(los or [], np.int64), np.asarray(his or [], np.int64)
+def _processor(retention_ms: int | None):
+    def run(key, pdfs: Iterator[pd.DataFrame], state):
+        channel, feed_date, bucket = key
+        if state.hasTimedOut:
+            # the date left tracking (no arrivals for the retention period): its ranges stay as logged
+            state.remove()
+            return
+        if state.exists:
+            mn, mx, los, his = state.get
+            los, his = np.asarray(los or [], np.int64), np.asarray(his or [], np.int64)
+        else:
+            mn = mx = None
+            los = his = np.zeros(0, np.int64)
+        old = (mn, mx)
+        out = []
+        latest = None
+        for pdf in pdfs:
+            mn, mx, los, his, olo, ohi, clo, chi = absorb(mn, mx, los, his, pdf["seq"].to_numpy())
+            if len(olo):
+                out.append(pd.DataFrame({"kind": "opened", "lo": olo, "hi": ohi}))
+            if len(clo):
+                out.append(pd.DataFrame({"kind": "closed", "lo": clo, "hi": chi}))
+            if retention_ms is not None and len(pdf):
+                t = pd.to_datetime(pdf["_ev"]).max()
+                latest = t if latest is None or t > latest else latest
+        if mn is not None:
+            state.update((int(mn), int(mx), [int(v) for v in los], [int(v) for v in his]))
+            if retention_ms is not None and latest is not None:
+                state.setTimeoutTimestamp(int(latest.value // 1_000_000) + retention_ms)
+            if (mn, mx) != old:
+                out.append(pd.DataFrame({"kind": ["bounds"], "lo": [mn], "hi": [mx]}))
+        if out:
+            res = pd.concat(out, ignore_index=True)
+            res.insert(0, "bucket", int(bucket))
+            res.insert(0, "feed_date", feed_date)
+            res.insert(0, "channel", channel)
+            yield res[["channel", "feed_date", "bucket", "kind", "lo", "hi"]].astype({"lo": "int64", "hi": "int64"})
+
+    return run
+
+
+def gap_events(packets: DataFrame, width: int = C.SEQ_BUCKET, retention_s: int | None = None) -> DataFrame:
+    """Streaming packets -> opened / closed / bounds rows per (channel, date, bucket).
+
+    With ``retention_s`` a date stops being tracked once no packet of it has
+    arrived for that long in event time (watermark on ``arrival_ts``): its
+    state is dropped and later packets of it no longer change its gaps -- the
+    stream form of keeping only the live dates.  The feed itself keeps them.
+    """
+    cols = ["channel", "feed_date", "seq", F.floor(F.col("seq") / F.lit(width)).cast("bigint").alias("bucket")]
+    if retention_s is None:
+        x, timeout = packets.select(*cols), GroupStateTimeout.NoTimeout
     else:
-        mn = mx = None
-        los = his = np.zeros(0, np.int64)
-    old = (mn, mx)
-    out = []
-    for pdf in pdfs:
-        mn, mx, los, his, olo, ohi, clo, chi = absorb(mn, mx, los, his, pdf["seq"].to_numpy())
-        if len(olo):
-            out.append(pd.DataFrame({"kind": "opened", "lo": olo, "hi": ohi}))
-        if len(clo):
-            out.append(pd.DataFrame({"kind": "closed", "lo": clo, "hi": chi}))
-    if mn is not None:
-        state.update((int(mn), int(mx), [int(v) for v in los], [int(v) for v in his]))
-        if (mn, mx) != old:
-            out.append(pd.DataFrame({"kind": ["bounds"], "lo": [mn], "hi": [mx]}))
-    if out:
-        res = pd.concat(out, ignore_index=True)
-        res.insert(0, "bucket", int(bucket))
-        res.insert(0, "feed_date", feed_date)
-        res.insert(0, "channel", channel)
-        yield res[["channel", "feed_date", "bucket", "kind", "lo", "hi"]].astype({"lo": "int64", "hi": "int64"})
-
-
-def gap_events(packets: DataFrame, width: int = C.SEQ_BUCKET) -> DataFrame:
-    """Streaming (or batch) packets -> opened / closed / bounds rows per (channel, date, bucket)."""
-    x = packets.select("channel", "feed_date", "seq", F.floor(F.col("seq") / F.lit(width)).cast("bigint").alias("bucket"))
+        x = packets.select(*cols, F.col("arrival_ts").cast("timestamp").alias("_ev"))
+        x, timeout = x.withWatermark("_ev", f"{int(retention_s)} seconds"), GroupStateTimeout.EventTimeTimeout
     return x.groupBy("channel", "feed_date", "bucket").applyInPandasWithState(
-        _processor, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout
+        _processor(None if retention_s is None else int(retention_s) * 1000), EVENTS, STATE, "append", timeout
     )
 
 

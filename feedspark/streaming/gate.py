@@ -51,12 +51,15 @@ def start_gate(stream: DataFrame, epochs: DataFrame, sink_path: str, checkpoint:
 
 
 def start_gaps(packets_stream: DataFrame, sink_path: str, checkpoint: str,
-               available_now: bool = True, period: str = C.SCAN_PERIOD):
-    """Stateful gap tracking over a packets stream; appends opened / closed / bounds rows."""
+               available_now: bool = True, period: str = C.SCAN_PERIOD, retention_s: int | None = None):
+    """Stateful gap tracking over a packets stream; appends opened / closed / bounds rows.
+
+    ``retention_s`` bounds the state of an endless feed (dates leave tracking).
+    """
     from feedspark.streaming.gaps import gap_events
 
     return (
-        gap_events(packets_stream).writeStream.format("parquet")
+        gap_events(packets_stream, retention_s=retention_s).writeStream.format("parquet")
         .option("path", sink_path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

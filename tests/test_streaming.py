@@ -94,3 +94,29 @@ def test_key_fold_stream_equals_batch(spark):
     want = sorted(tuple(r) for r in fold_replies(df).collect())
     assert got == want
     assert [r[3] for r in got].count(False) == 2
+
+
+def test_retention_drops_old_dates_from_tracking(spark):
+    import datetime as dt
+    import time
+
+    t0 = dt.datetime(2024, 1, 1)
+    batches = [
+        [("c", "A", s, "m", t0 + dt.timedelta(minutes=s), 0) for s in (1, 2, 5)],
+        [("c", "B", s, "m", t0 + dt.timedelta(days=3, minutes=s), 0) for s in (1, 4)],
+        [("c", "B", 9, "m", t0 + dt.timedelta(days=3, minutes=9), 0)],
+        # late packets: A's 3 after A left tracking, B's 2 within the retention period
+        [("c", "A", 3, "m", t0 + dt.timedelta(minutes=3), 0), ("c", "B", 2, "m", t0 + dt.timedelta(days=3, minutes=2), 0)],
+    ]
+    src = scratch_path(spark, "pk")
+    for b in batches:
+        spark.createDataFrame(b, schemas.PACKETS).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "ev")
+    q = (SG.gap_events(stream, retention_s=86400).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.feed_date, r.seq) for r in SG.missing_from_events(spark.read.schema(SG.EVENTS).parquet(out)).collect())
+    # A: 3 and 4 stay missing (3 arrived after tracking ended); B: 2 healed, 3, 5-8 missing
+    assert got == [("A", 3), ("A", 4), ("B", 3), ("B", 5), ("B", 6), ("B", 7), ("B", 8)]
