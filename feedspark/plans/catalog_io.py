@@ -21,8 +21,10 @@ def q_sink_rows(spark, sf_dir):
     """S3+S5+S11: the merged feed with serial ids, appended to a path table and read back."""
     feed = _plan(spark, sf_dir).feed
     path = scratch_path(spark, "feed_table")
-    S.append_path(S.with_ids(feed), path)
-    return spark.read.parquet(path).select("id", "channel", "feed_date", "seq", "message", "source")
+    rows = S.with_ids(feed)
+    S.append_path(rows, path)
+    # the written schema, not partition-folder inference (feed_date stays a string)
+    return spark.read.schema(rows.schema).parquet(path).select("id", "channel", "feed_date", "seq", "message", "source")
 
 
 @query("sink_preflight")
