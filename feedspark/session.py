@@ -70,3 +70,21 @@ def materialize(df, name: str, spark: SparkSession | None = None):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give a narrow input enough tasks for the CPU-heavy steps after it.
+
+    A table stored as one unsplittable file (one row group) is scanned by one
+    task, and every UDF after it would run on one core.  When the scan has
+    fewer partitions than the cluster's default parallelism, rows are dealt
+    round-robin over that many; a large input (already split into many
+    partitions) is returned unchanged, with no shuffle.
+    """
+    spark = df.sparkSession
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect: no SparkContext
+        return df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
