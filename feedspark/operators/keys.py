@@ -124,38 +124,39 @@ def key_health(epochs: DataFrame) -> DataFrame:
 def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", unit: str = "HOUR") -> DataFrame:
     """K4: attach the key pair in force at ``ts`` (as-of join, exact).
 
-    Epoch validity [effective_from, next effective_from) is exploded over
-    ``unit`` buckets (an epoch that is still open runs to now), then joined on
-    (channel, bucket) with the interval predicate: every packet meets only the
-    epochs overlapping its bucket.  The epoch side is tiny; Spark/AQE picks a
-    broadcast hash join when its measured size allows, sort-merge (with skew
-    splitting) beyond.  Packets with no epoch in force keep null key columns.
+    A closed epoch [effective_from, next effective_from) is exploded over the
+    ``unit`` buckets it overlaps and equi-joined on (channel, bucket) with the
+    interval predicate, so a packet meets only the epochs of its own bucket.
+    The still-open last epoch of each channel (one row per channel) is a
+    second equi-join on channel with ``ts >= effective_from``.  Both sides are
+    bounded by the key schedule, not by the data or the clock; Spark/AQE
+    broadcasts them when their measured size allows, sort-merge with skew
+    splitting beyond.  Packets before any epoch keep null key columns.
     """
     w = Window.partitionBy("channel").orderBy("effective_from")
     ts_type = dict(packets.dtypes)[ts]
-    now = F.localtimestamp() if ts_type == "timestamp_ntz" else F.current_timestamp()
+    key_cols = ["epoch", "cipher", "secret", "prev_cipher", "prev_secret"]
     e = epochs.select(
         "channel",
-        "epoch",
+        *key_cols,
         F.col("effective_from").cast(ts_type).alias("_from"),
         F.lead(F.col("effective_from").cast(ts_type)).over(w).alias("_to"),
-        "cipher",
-        "secret",
-        "prev_cipher",
-        "prev_secret",
     )
-    last = F.coalesce(F.col("_to") - F.expr("INTERVAL 1 MICROSECOND"), F.greatest(F.col("_from"), now))
     step = F.expr(f"INTERVAL 1 {unit}")
-    e = e.withColumn(
-        "_bkt",
-        F.explode(F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), step)),
+    last = F.col("_to") - F.expr("INTERVAL 1 MICROSECOND")
+    closed = e.where(F.col("_to").isNotNull()).withColumn(
+        "_bkt", F.explode(F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), step))
+    )
+    closed = closed.select(F.col("channel").alias("_cch"), F.col("_bkt").alias("_cbkt"), "_from", "_to",
+                           *[F.col(c).alias(f"_c_{c}") for c in key_cols])
+    opened = e.where(F.col("_to").isNull()).select(
+        F.col("channel").alias("_och"), F.col("_from").alias("_ofrom"), *[F.col(c).alias(f"_o_{c}") for c in key_cols]
     )
     p = packets.withColumn("_bkt", F.date_trunc(unit, ts))
-    cond = (
-        (p["channel"] == e["channel"])
-        & (p["_bkt"] == e["_bkt"])
-        & (p[ts] >= e["_from"])
-        & (e["_to"].isNull() | (p[ts] < e["_to"]))
+    j = p.join(closed, (F.col("channel") == F.col("_cch")) & (F.col("_bkt") == F.col("_cbkt"))
+               & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to")), "left")
+    j = j.join(opened, (F.col("channel") == F.col("_och")) & (F.col(ts) >= F.col("_ofrom")), "left")
+    return j.select(
+        *packets.columns,
+        *[F.coalesce(F.col(f"_c_{c}"), F.col(f"_o_{c}")).alias(c) for c in key_cols],
     )
-    j = p.join(e, cond, "left")
-    return j.select(p["*"], e["epoch"], e["cipher"], e["secret"], e["prev_cipher"], e["prev_secret"]).drop("_bkt")

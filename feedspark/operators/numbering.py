@@ -43,10 +43,23 @@ def positions(
     wt = F.col(weight_col) if weight_col else F.lit(1)
     keys = group_cols + lead_cols + ["_nb"]
     counts = x.groupBy(*keys).agg(F.sum(wt).cast("bigint").alias("_nw"))
-    # The running total runs over one row per bucket (rows / bucket_width).
-    wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    wg = wg.orderBy(*lead_cols, "_nb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wg), F.lit(0)).cast("bigint").alias("_noff"))
+    before = Window.unboundedPreceding, -1
+    if lead_cols:
+        # two levels: running totals of the lead groups (e.g. one row per date),
+        # then of the buckets inside each lead group
+        tot = counts.groupBy(*group_cols, *lead_cols).agg(F.sum("_nw").alias("_lw"))
+        wl = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
+        tot = tot.select(*group_cols, *lead_cols,
+                         F.coalesce(F.sum("_lw").over(wl.orderBy(*lead_cols).rowsBetween(*before)), F.lit(0)).alias("_loff"))
+        wb = Window.partitionBy(*group_cols, *lead_cols).orderBy("_nb").rowsBetween(*before)
+        offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wb), F.lit(0)).alias("_boff"))
+        offsets = offsets.join(tot, group_cols + lead_cols).select(
+            *keys, (F.col("_loff") + F.col("_boff")).cast("bigint").alias("_noff"))
+    else:
+        # The running total runs over one row per bucket (rows / bucket_width).
+        wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+        wg = wg.orderBy("_nb").rowsBetween(*before)
+        offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wg), F.lit(0)).cast("bigint").alias("_noff"))
     j = x.join(offsets, keys, "inner")
     wb = Window.partitionBy(*keys).orderBy(order_col)
     if weight_col:

@@ -72,3 +72,14 @@ def test_positions_equal_row_number(spark):
     for g, k, v in b:
         kb.setdefault((g, k), set()).add(v)
     assert ka == kb
+
+
+def test_positions_with_lead_columns_equal_global_row_number(spark):
+    rnd = random.Random(12)
+    rows = [(f"d{rnd.randint(0, 4)}", rnd.randint(0, 300)) for _ in range(700)]
+    rows = list({r: None for r in rows})  # distinct keys: positions are then unique
+    df = spark.createDataFrame(rows, "d string, k bigint")
+    p = positions(df, [], "k", out="pos", bucket_width=5, bucket_cols=["d"])
+    got = {(r.d, r.k): r.pos for r in p.collect()}
+    want = {key: i for i, key in enumerate(sorted(rows))}
+    assert got == want
