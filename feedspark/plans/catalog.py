@@ -140,6 +140,13 @@ def q_key_epochs(spark, sf_dir):
     return _plan(spark, sf_dir).key_epochs
 
 
+@query("key_health")
+def q_key_health(spark, sf_dir):
+    """K3 + Q18 + P6: per epoch, can its secret authenticate, is the cipher in the key charset, when is the next refresh due."""
+    h = K.key_health(_plan(spark, sf_dir).key_epochs)
+    return h.select("channel", "epoch", "secret_usable", "cipher_charset_ok", "next_refresh_due")
+
+
 @query("asof_keys")
 def q_asof_keys(spark, sf_dir):
     p = _plan(spark, sf_dir)

@@ -256,3 +256,11 @@ JOIN arch a ON a.channel = m.channel AND a.feed_date = m.feed_date AND a.seq = m
 ORACLES["feed_frames"] = _FEED + """
 SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY feed_date, seq) - 1 AS BIGINT) AS pos,
        hex(encode(message)) AS mtext_hex, 1 AS full_msg FROM f"""
+
+ORACLES["key_health"] = _with(_EV, """
+d AS (SELECT DISTINCT ord, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev)""") + """
+SELECT 'all' AS channel, ord AS epoch,
+       octet_length(encode('secret' || lpad(CAST(ord AS VARCHAR), 4, '0'))) = 10 AS secret_usable,
+       regexp_full_match(rpad('k' || ord || 'cipher', 10, '0'), '[A-Za-z0-9-]*') AS cipher_charset_ok,
+       day + to_seconds(CASE WHEN ord % 10 = 3 THEN 30 ELSE 86400 END) AS next_refresh_due
+FROM d"""
