@@ -29,19 +29,35 @@ def b64_encode(c) -> Column:
     return F.regexp_replace(F.base64(_col(c).cast("binary")), r"[\r\n]", "")
 
 
+B64_PREFIX = r"^[A-Za-z0-9+/]*"
+
+
+def b64_prefix(c) -> Column:
+    """The alphabet prefix a lenient decoder reads (stops at '=' or any other byte)."""
+    return F.regexp_extract(_col(c), B64_PREFIX, 0)
+
+
+def b64_decode_prefix(prefix) -> Column:
+    """Decode an alphabet-only prefix: a single dangling character is ignored, two or three give one or two bytes.
+
+    All arithmetic is unconditional, so a prefix held in its own column is read
+    a few times but computed once.
+    """
+    s = _col(prefix)
+    n = F.length(s)
+    keep = n - (n % 4 == 1).cast("int")
+    return F.unbase64(F.rpad(s.substr(F.lit(1), keep), F.ceil(keep / 4).cast("int") * 4, F.lit("=")))
+
+
 def b64_decode_lenient(c) -> Column:
     """Lenient base64 decode that never fails.
 
     Reads the longest prefix of alphabet characters (it stops at '=' or at any
     other byte); a single dangling character is ignored; two or three dangling
-    characters give one or two bytes.
+    characters give one or two bytes.  For hot paths put ``b64_prefix`` in its
+    own column first (the regex then runs once per row).
     """
-    s = F.regexp_extract(_col(c), r"^[A-Za-z0-9+/]*", 0)
-    n = F.length(s)
-    keep = n - F.when(n % 4 == 1, F.lit(1)).otherwise(F.lit(0))
-    trimmed = s.substr(F.lit(1), keep)
-    padded = F.rpad(trimmed, F.ceil(keep / 4).cast("int") * 4, F.lit("="))
-    return F.when(keep == 0, F.lit(b"").cast("binary")).otherwise(F.unbase64(padded))
+    return b64_decode_prefix(b64_prefix(c))
 
 
 # ---------------------------------------------------------------------------
@@ -155,6 +171,82 @@ def byte_sum_kernel(values: pa.Array) -> pa.Array:
     return pa.array(sums, type=pa.int64(), mask=~np.asarray(pc.is_valid(values).to_numpy(zero_copy_only=False)))
 
 
+def _secret_match(plain: pa.Array, secret: pa.Array, secret_len: int = 10) -> np.ndarray:
+    """More than ``secret_len`` bytes and the first ``secret_len`` equal the secret (exactly that long)."""
+    n = len(plain)
+    p_off, p_data = _binary_parts(plain)
+    s_off, s_data = _binary_parts(secret)
+    ok = (p_off[1:] - p_off[:-1] > secret_len) & (s_off[1:] - s_off[:-1] == secret_len)
+    ok &= np.asarray(pc.and_(pc.is_valid(plain), pc.is_valid(secret)).to_numpy(zero_copy_only=False))
+    rows = np.nonzero(ok)[0]
+    if rows.size:
+        span = np.arange(secret_len)
+        a = p_data[p_off[rows][:, None] + span]
+        b = s_data[s_off[rows][:, None] + span]
+        ok[rows] = (a == b).all(axis=1)
+    return ok[:n]
+
+
+def _tail(arr: pa.Array, skip: int, mask: np.ndarray) -> pa.Array:
+    """Bytes after the first ``skip`` of each row where ``mask`` (rows are longer than ``skip``); NULL elsewhere."""
+    off, data = _binary_parts(arr)
+    n = len(arr)
+    start = off[:-1] + skip
+    lens = np.where(mask, off[1:] - start, 0)
+    new_off = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(lens, out=new_off[1:])
+    total = int(new_off[-1])
+    idx = np.arange(total, dtype=np.int64) + np.repeat(start - new_off[:-1], lens)
+    out = data[idx] if total else np.zeros(0, np.uint8)
+    valid = pa.array(mask).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(new_off.astype(np.int32)), pa.py_buffer(out)],
+                                 null_count=int(n - mask.sum()))
+
+
+def auth_kernel(decoded: pa.Array, cipher: pa.Array, secret: pa.Array, prev_cipher: pa.Array,
+                prev_secret: pa.Array, body_offset: int = 11) -> pa.StructArray:
+    """Try the current key, then (only on rows that failed) the previous one; one pass per batch.
+
+    Returns ``struct<code int, body binary>``: code 1 = current key, 2 =
+    previous key, 0 = neither; body = bytes after the secret and separator.
+    """
+    n = len(decoded)
+    cur = xor_kernel(decoded, cipher)
+    ok_cur = _secret_match(cur, secret)
+    code = np.where(ok_cur, 1, 0).astype(np.int32)
+    body = _tail(cur, body_offset, ok_cur)
+    retry = ~ok_cur & np.asarray(pc.and_(pc.is_valid(decoded), pc.is_valid(prev_cipher)).to_numpy(zero_copy_only=False))
+    idx = np.nonzero(retry)[0]
+    if idx.size:
+        take = pa.array(idx)
+        sub = xor_kernel(pc.take(decoded, take), pc.take(prev_cipher, take))
+        ok_prev = _secret_match(sub, pc.take(prev_secret, take))
+        hit = idx[ok_prev]
+        if hit.size:
+            code[hit] = 2
+            # scatter the previous-key bodies back to their rows (others point at a trailing null)
+            where = np.full(n, len(sub), dtype=np.int64)
+            where[idx] = np.arange(len(sub))
+            padded = pa.concat_arrays([_tail(sub, body_offset, ok_prev), pa.nulls(1, pa.binary())])
+            prev_body = pc.take(padded, pa.array(where))
+            body = pc.if_else(pa.array(code == 2), prev_body, body)
+    return pa.StructArray.from_arrays([pa.array(code, pa.int32()), body], names=["code", "body"])
+
+
+@arrow_udf(T.StructType([T.StructField("code", T.IntegerType()), T.StructField("body", T.BinaryType())]))
+def _auth_udf(decoded: pa.Array, cipher: pa.Array, secret: pa.Array, prev_cipher: pa.Array,
+              prev_secret: pa.Array) -> pa.Array:
+    return auth_kernel(decoded, cipher, secret, prev_cipher, prev_secret)
+
+
+_auth_once = _auth_udf.asNondeterministic()
+
+
+def xor_authenticate(decoded, cipher, secret, prev_cipher, prev_secret) -> Column:
+    """R1 + P3 + P4 in one Arrow pass: ``struct<code, body>`` (1 current key, 2 previous key, 0 neither)."""
+    return _auth_once(*[_col(c).cast("binary") for c in (decoded, cipher, secret, prev_cipher, prev_secret)])
+
+
 @arrow_udf(T.BinaryType())
 def _xor_udf(values: pa.Array, keys: pa.Array) -> pa.Array:
     return xor_kernel(values, keys)

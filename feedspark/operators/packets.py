@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
-from feedspark.functions.codec import b64_decode_lenient, byte_sum, xor_bytes
+from feedspark.functions.codec import b64_decode_prefix, b64_prefix, byte_sum, xor_authenticate
 from feedspark.functions.text import atoi, split_fields
 from feedspark.operators.keys import asof_keys
 from feedspark.operators.numbering import positions
@@ -44,28 +44,25 @@ def _after(b: Column, offset: int) -> Column:
 def authenticate(keyed: DataFrame, wire: str = "wire", offset: int = C.BODY_OFFSET) -> DataFrame:
     """R1 + P3 + P4 on rows that carry their key pair (see ``asof_keys``).
 
-    Oversize rows are never decoded; the previous key is tried only on rows
-    that failed the current one (the UDF sees NULL elsewhere and does no work).
-    Adds ``status`` and ``body`` (binary, after the secret and separator).
+    Oversize and keyless rows are never decoded.  One Arrow pass per batch
+    XORs with the current cipher, checks the secret, and retries the previous
+    cipher only on the rows that failed.  Adds ``status`` and ``body`` (binary,
+    after the secret and separator).  Each step is its own projection, so the
+    base64 regex and the UDF run once per row.
     """
     ok_size = size_ok(F.col(wire))
-    decoded = F.when(ok_size & F.col("cipher").isNotNull(), b64_decode_lenient(F.col(wire)))
-    x = keyed.withColumn("_dec", decoded).withColumn("_cur", xor_bytes(F.col("_dec"), F.col("cipher")))
-    x = x.withColumn("_cur_ok", _auth(F.col("_cur"), F.col("secret")))
-    retry = F.when(~F.col("_cur_ok") & F.col("prev_cipher").isNotNull(), F.col("_dec"))
-    x = x.withColumn("_prev", xor_bytes(retry, F.col("prev_cipher")))
-    x = x.withColumn("_prev_ok", _auth(F.col("_prev"), F.col("prev_secret")))
+    x = keyed.withColumn("_b64", F.when(ok_size & F.col("cipher").isNotNull(), b64_prefix(F.col(wire))))
+    x = x.withColumn("_dec", b64_decode_prefix(F.col("_b64")))
+    x = x.withColumn("_a", xor_authenticate("_dec", "cipher", "secret", "prev_cipher", "prev_secret"))
+    code = F.col("_a.code")
     status = (
         F.when(~ok_size, F.lit(OVERSIZE))
         .when(F.col("cipher").isNull(), F.lit(NO_KEY))
-        .when(F.col("_cur_ok"), F.lit(PASSED_CURRENT))
-        .when(F.col("_prev_ok"), F.lit(PASSED_PREVIOUS))
+        .when(code == 1, F.lit(PASSED_CURRENT))
+        .when(code == 2, F.lit(PASSED_PREVIOUS))
         .otherwise(F.lit(BAD_SECRET))
     )
-    body = F.when(F.col("_cur_ok"), _after(F.col("_cur"), offset)).when(F.col("_prev_ok"), _after(F.col("_prev"), offset))
-    return x.withColumn("status", status).withColumn("body", body).drop(
-        "_dec", "_cur", "_cur_ok", "_prev", "_prev_ok"
-    )
+    return x.withColumn("status", status).withColumn("body", F.col("_a.body")).drop("_b64", "_dec", "_a")
 
 
 def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
@@ -75,19 +72,25 @@ def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> Da
     return a.select("arrival_ts", "channel", "wire", "epoch", "status", "body")
 
 
+# A body is complete when date, number and message are all non-empty: two
+# non-empty fields, each followed by '^', then at least one more character.
+COMPLETE_BODY = r"^[^^]+\^[^^]+\^[^^]"
+
+
 def parse_fields(decoded: DataFrame) -> DataFrame:
     """R2 + P5: split the body on '^'; date, number, message must all be non-empty.
 
     A short body is incomplete (each row stands alone); tokens after the third
     are ignored and counted in ``extra_fields``.  Rows that did not pass the
-    gate keep their gate status.
+    gate keep their gate status.  Completeness is one anchored regex, so a
+    filter on ``status`` never repeats the split.
     """
     text = F.col("body").cast("string")
     tok = split_fields(text)
     d, n, m = F.get(tok, 0), F.get(tok, 1), F.get(tok, 2)
-    complete = (F.size(tok) >= 3) & (F.length(d) > 0) & (F.length(n) > 0) & (F.length(m) > 0)
     passed = F.col("status").isin(PASSED_CURRENT, PASSED_PREVIOUS)
-    status = F.when(passed & ~F.coalesce(complete, F.lit(False)), F.lit(INCOMPLETE)).otherwise(F.col("status"))
+    complete = F.coalesce(text.rlike(COMPLETE_BODY), F.lit(False))
+    status = F.when(passed & ~complete, F.lit(INCOMPLETE)).otherwise(F.col("status"))
     return decoded.select(
         "channel",
         F.when(passed, d).alias("feed_date"),

@@ -81,3 +81,16 @@ def test_xor_fast_and_fallback_paths_agree(monkeypatch):
     assert fast.equals(slow)
     want = [None if k is None else _py_xor(v, k) for v, k in zip(vals[5:], keys[5:])]
     assert fast.to_pylist() == want
+
+
+def test_auth_kernel_current_previous_and_failures():
+    from feedspark.functions.codec import auth_kernel
+
+    cur, sec, old, osec = b"curcipher0", b"cursecret0", b"Zq9-older7", b"prevsecret"
+    dec = [_py_xor(sec + b"^a^1^m", cur), _py_xor(osec + b"^b^2^m", old), _py_xor(b"nosecret00^c", cur),
+           _py_xor(sec, cur), None, _py_xor(sec + b"^", cur), _py_xor(osec + b"^zz", old)]
+    n = len(dec)
+    r = auth_kernel(pa.array(dec, pa.binary()), pa.array([cur] * n), pa.array([sec] * n),
+                    pa.array([old] * (n - 1) + [None]), pa.array([osec] * n)).to_pylist()
+    assert [x["code"] for x in r] == [1, 2, 0, 0, 0, 1, 0]
+    assert [x["body"] for x in r] == [b"a^1^m", b"b^2^m", None, None, None, b"", None]
