@@ -141,7 +141,8 @@ def mark_shed(wire: DataFrame, cap: int = C.QUEUE_CAP, interval: str = "1 hour",
     w = wire.withColumn("_iv", F.window(ts, interval).start).withColumn(
         "_us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
-    numbered = positions(w, ["channel", "_iv"], "_us", out="_pos", bucket_width=1_000_000)
+    # 10 ms time buckets: even a burst inside one second spreads over many window partitions
+    numbered = positions(w, ["channel", "_iv"], "_us", out="_pos", bucket_width=10_000)
     return numbered.withColumn("shed", F.col("_pos") >= cap).drop("_us", "_pos")
 
 
