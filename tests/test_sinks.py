@@ -45,3 +45,18 @@ def test_audit_line_format(spark):
     df = spark.createDataFrame([(ts,)], "ts timestamp_ntz")
     line = df.select(A.audit_line(F.lit("INFO"), F.col("ts"), F.lit("hello")).alias("l")).first().l
     assert line == "INFO: 09/03/24->03:04:05 hello"
+
+
+def test_quarantine_and_audit_writers(spark):
+    rows = [(dt.datetime(2024, 1, 1, 1), "c", "w1", "oversize"), (dt.datetime(2024, 1, 2, 1), "c", "w2", "bad_secret")]
+    rej = spark.createDataFrame(rows, "arrival_ts timestamp_ntz, channel string, wire string, reason string")
+    qp = scratch_path(spark, "q")
+    S.write_quarantine(rej, qp)
+    S.write_quarantine(rej, qp)
+    back = spark.read.parquet(qp)
+    assert back.count() == 4 and {r.reason for r in back.collect()} == {"oversize", "bad_secret"}
+    ap = scratch_path(spark, "a")
+    lines = rej.select(A.audit_line(F.lit("ERROR"), F.col("arrival_ts"), F.col("reason")).alias("line"))
+    A.append_audit(lines, ap)
+    got = sorted(r.value for r in spark.read.text(ap).collect())
+    assert got == ["ERROR: 01/01/24->01:00:00 oversize", "ERROR: 02/01/24->01:00:00 bad_secret"]
