@@ -121,24 +121,21 @@ def key_health(epochs: DataFrame) -> DataFrame:
     )
 
 
-def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", unit: str = "HOUR") -> DataFrame:
-    """K4: attach the key pair in force at ``ts`` (as-of join, exact).
+KEY_COLS = ["epoch", "cipher", "secret", "prev_cipher", "prev_secret"]
 
-    A closed epoch [effective_from, next effective_from) is exploded over the
-    ``unit`` buckets it overlaps and equi-joined on (channel, bucket) with the
-    interval predicate, so a packet meets only the epochs of its own bucket.
-    The still-open last epoch of each channel (one row per channel) is a
-    second equi-join on channel with ``ts >= effective_from``.  Both sides are
-    bounded by the key schedule, not by the data or the clock; Spark/AQE
-    broadcasts them when their measured size allows, sort-merge with skew
-    splitting beyond.  Packets before any epoch keep null key columns.
+
+def prepare_epochs(epochs: DataFrame, ts_type: str = "timestamp_ntz", unit: str = "HOUR") -> tuple[DataFrame, DataFrame]:
+    """The two lookup sides of the as-of key join.
+
+    ``closed``: every epoch with a successor, exploded over the ``unit``
+    buckets its validity [effective_from, next) overlaps.  ``opened``: the
+    still-open last epoch of each channel (one row per channel).  Both are
+    bounded by the key schedule; a stream prepares them once.
     """
     w = Window.partitionBy("channel").orderBy("effective_from")
-    ts_type = dict(packets.dtypes)[ts]
-    key_cols = ["epoch", "cipher", "secret", "prev_cipher", "prev_secret"]
     e = epochs.select(
         "channel",
-        *key_cols,
+        *KEY_COLS,
         F.col("effective_from").cast(ts_type).alias("_from"),
         F.lead(F.col("effective_from").cast(ts_type)).over(w).alias("_to"),
     )
@@ -148,15 +145,37 @@ def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", uni
         "_bkt", F.explode(F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), step))
     )
     closed = closed.select(F.col("channel").alias("_cch"), F.col("_bkt").alias("_cbkt"), "_from", "_to",
-                           *[F.col(c).alias(f"_c_{c}") for c in key_cols])
+                           *[F.col(c).alias(f"_c_{c}") for c in KEY_COLS])
     opened = e.where(F.col("_to").isNull()).select(
-        F.col("channel").alias("_och"), F.col("_from").alias("_ofrom"), *[F.col(c).alias(f"_o_{c}") for c in key_cols]
+        F.col("channel").alias("_och"), F.col("_from").alias("_ofrom"), *[F.col(c).alias(f"_o_{c}") for c in KEY_COLS]
     )
+    return closed, opened
+
+
+def join_epochs(packets: DataFrame, closed: DataFrame, opened: DataFrame, ts: str = "arrival_ts",
+                unit: str = "HOUR") -> DataFrame:
+    """Attach the key pair in force at ``ts`` from prepared sides (see ``prepare_epochs``)."""
     p = packets.withColumn("_bkt", F.date_trunc(unit, ts))
     j = p.join(closed, (F.col("channel") == F.col("_cch")) & (F.col("_bkt") == F.col("_cbkt"))
                & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to")), "left")
     j = j.join(opened, (F.col("channel") == F.col("_och")) & (F.col(ts) >= F.col("_ofrom")), "left")
     return j.select(
         *packets.columns,
-        *[F.coalesce(F.col(f"_c_{c}"), F.col(f"_o_{c}")).alias(c) for c in key_cols],
+        *[F.coalesce(F.col(f"_c_{c}"), F.col(f"_o_{c}")).alias(c) for c in KEY_COLS],
     )
+
+
+def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", unit: str = "HOUR") -> DataFrame:
+    """K4: attach the key pair in force at ``ts`` (as-of join, exact).
+
+    A closed epoch [effective_from, next effective_from) is exploded over the
+    ``unit`` buckets it overlaps and equi-joined on (channel, bucket) with the
+    interval predicate, so a packet meets only the epochs of its own bucket.
+    The still-open last epoch of each channel (one row per channel) is a
+    second equi-join on channel with ``ts >= effective_from``.  Both sides are
+    bounded by the key schedule, not by the data or the clock; Spark/AQE
+    broadcasts them when their measured size allows, sort-merge with skew
+    splitting beyond.  Packets before any epoch keep null key columns.
+    """
+    closed, opened = prepare_epochs(epochs, dict(packets.dtypes)[ts], unit)
+    return join_epochs(packets, closed, opened, ts, unit)

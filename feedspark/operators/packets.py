@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from feedspark import constants as C
 from feedspark.functions.codec import b64_decode_prefix, b64_prefix, byte_sum, xor_authenticate
 from feedspark.functions.text import atoi, split_fields
-from feedspark.operators.keys import asof_keys
+from feedspark.operators.keys import asof_keys, join_epochs
 from feedspark.operators.numbering import positions
 
 # ---- fixed values: status labels of the gate ---------------------------------
@@ -65,9 +65,15 @@ def authenticate(keyed: DataFrame, wire: str = "wire", offset: int = C.BODY_OFFS
     return x.withColumn("status", status).withColumn("body", F.col("_a.body")).drop("_b64", "_dec", "_a")
 
 
-def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
-    """Gate + decode: wire rows -> ``arrival_ts, channel, wire, status, body``."""
-    keyed = asof_keys(wire, epochs, "arrival_ts", unit)
+def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR", prepared=None) -> DataFrame:
+    """Gate + decode: wire rows -> ``arrival_ts, channel, wire, status, body``.
+
+    ``prepared`` = ``prepare_epochs(...)`` sides, written once by a stream.
+    """
+    if prepared is not None:
+        keyed = join_epochs(wire, *prepared, "arrival_ts", unit)
+    else:
+        keyed = asof_keys(wire, epochs, "arrival_ts", unit)
     a = authenticate(keyed)
     return a.select("arrival_ts", "channel", "wire", "epoch", "status", "body")
 
@@ -110,9 +116,9 @@ def complete_packets(parsed: DataFrame) -> DataFrame:
     )
 
 
-def packets_from_wire(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
+def packets_from_wire(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR", prepared=None) -> DataFrame:
     """wire -> gate -> decode -> parse -> complete packets."""
-    return complete_packets(parse_fields(decode_packets(wire, epochs, unit)))
+    return complete_packets(parse_fields(decode_packets(wire, epochs, unit, prepared)))
 
 
 def gate_counts(parsed: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from feedspark import constants as C
 from feedspark import schemas
 from feedspark.operators import packets as P
+from feedspark.operators.keys import prepare_epochs
+from feedspark.session import materialize
 
 
 def land_wire(wire: DataFrame, path: str, files: int = 8) -> str:
@@ -36,10 +38,16 @@ def start_gate(stream: DataFrame, epochs: DataFrame, sink_path: str, checkpoint:
                available_now: bool = True, period: str = C.SCAN_PERIOD):
     """S9 start: decode the wire stream against the (static) key epochs and append complete packets.
 
-    The key join is a stream-static join; the Arrow XOR UDF runs per micro-batch.
-    Returns the running query (``.stop()`` ends it; ``awaitTermination`` for availableNow).
+    The key join is a stream-static join against the two epoch lookup sides,
+    prepared and written once (not recomputed by every micro-batch); the Arrow
+    authentication UDF runs per micro-batch.  Returns the running query
+    (``.stop()`` ends it; ``awaitTermination`` for availableNow).
     """
-    packets = P.packets_from_wire(stream, epochs)
+    spark = stream.sparkSession
+    ts_type = dict(stream.dtypes)["arrival_ts"]
+    closed, opened = prepare_epochs(epochs, ts_type)
+    prepared = (materialize(closed, "epochs_closed", spark), materialize(opened, "epochs_open", spark))
+    packets = P.packets_from_wire(stream, epochs, prepared=prepared)
     return (
         packets.writeStream.format("parquet")
         .option("path", sink_path)
