@@ -2,8 +2,11 @@
 
 from feedspark.functions.codec import (  # noqa: F401
     b64_decode_lenient,
+    b64_decode_prefix,
     b64_encode,
+    b64_prefix,
     byte_sum,
+    xor_authenticate,
     xor_bytes,
     xor_bytes_native,
 )

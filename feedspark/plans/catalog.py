@@ -20,7 +20,7 @@ from feedspark.operators import packets as P
 from feedspark.operators import recovery as R
 from feedspark.plans.feed import FeedPlan
 from feedspark.sources import writer as W
-from feedspark.sources.tables import events_as_feed, lineitem_as_numbers, read_table
+from feedspark.sources.tables import lineitem_as_numbers, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
