@@ -77,3 +77,19 @@ def test_legacy_checksum(spark):
     got = P.legacy_check(df).collect()
     assert [r.valid for r in got] == [True, False, False]
     assert got[0].checksum == s and got[0].legacy_seq == 7 and got[0].legacy_message == "price"
+
+
+def test_kafka_records_decode_like_files(spark):
+    from feedspark.sources.kafka import wire_from_kafka
+
+    ts = dt.datetime(2024, 1, 1, 5)
+    recs = [(b"c", _wire(SEC + b"^20240101^5^m", CUR).encode(), "t", 0, 1, ts),
+            (None, _wire(SEC + b"^20240101^6^n", CUR).encode(), "t", 0, 2, ts)]
+    df = spark.createDataFrame(recs, "key binary, value binary, topic string, partition int, offset bigint, "
+                                     "timestamp timestamp")
+    w = wire_from_kafka(df)
+    assert [r.channel for r in w.collect()] == ["c", "t"]
+    keyed = w.select("*", F.lit(CUR.decode()).alias("cipher"), F.lit(SEC.decode()).alias("secret"),
+                     F.lit(None).cast("string").alias("prev_cipher"), F.lit(None).cast("string").alias("prev_secret"))
+    got = P.parse_fields(P.authenticate(keyed)).collect()
+    assert [(r.seq, r.message) for r in got] == [(5, "m"), (6, "n")]
