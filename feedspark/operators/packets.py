@@ -27,20 +27,6 @@ def size_ok(wire: Column) -> Column:
     return F.octet_length(wire) < C.MAX_PACKET_BYTES
 
 
-def _auth(plain: Column, secret: Column) -> Column:
-    """More than 10 bytes and the first 10 equal the secret."""
-    return F.coalesce(
-        (F.octet_length(plain) > C.SECRET_LEN)
-        & (plain.substr(1, C.SECRET_LEN) == secret.cast("binary")),
-        F.lit(False),
-    )
-
-
-def _after(b: Column, offset: int) -> Column:
-    """Bytes after the first ``offset`` bytes."""
-    return b.substr(F.lit(offset + 1), F.octet_length(b) - offset)
-
-
 def authenticate(keyed: DataFrame, wire: str = "wire", offset: int = C.BODY_OFFSET) -> DataFrame:
     """R1 + P3 + P4 on rows that carry their key pair (see ``asof_keys``).
 
