@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from feedspark import constants as C
+
 # Work on at most this many payload bytes per numpy pass (bounds the index
 # arrays built for a batch of large rows).
 _CHUNK_BYTES = 8 << 20
@@ -171,7 +173,7 @@ def byte_sum_kernel(values: pa.Array) -> pa.Array:
     return pa.array(sums, type=pa.int64(), mask=~np.asarray(pc.is_valid(values).to_numpy(zero_copy_only=False)))
 
 
-def _secret_match(plain: pa.Array, secret: pa.Array, secret_len: int = 10) -> np.ndarray:
+def _secret_match(plain: pa.Array, secret: pa.Array, secret_len: int = C.SECRET_LEN) -> np.ndarray:
     """More than ``secret_len`` bytes and the first ``secret_len`` equal the secret (exactly that long)."""
     n = len(plain)
     p_off, p_data = _binary_parts(plain)
@@ -204,7 +206,7 @@ def _tail(arr: pa.Array, skip: int, mask: np.ndarray) -> pa.Array:
 
 
 def auth_kernel(decoded: pa.Array, cipher: pa.Array, secret: pa.Array, prev_cipher: pa.Array,
-                prev_secret: pa.Array, body_offset: int = 11) -> pa.StructArray:
+                prev_secret: pa.Array, body_offset: int = C.BODY_OFFSET) -> pa.StructArray:
     """Try the current key, then (only on rows that failed) the previous one; one pass per batch.
 
     Returns ``struct<code int, body binary>``: code 1 = current key, 2 =

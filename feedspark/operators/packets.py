@@ -27,7 +27,7 @@ def size_ok(wire: Column) -> Column:
     return F.octet_length(wire) < C.MAX_PACKET_BYTES
 
 
-def authenticate(keyed: DataFrame, wire: str = "wire", offset: int = C.BODY_OFFSET) -> DataFrame:
+def authenticate(keyed: DataFrame, wire: str = "wire") -> DataFrame:
     """R1 + P3 + P4 on rows that carry their key pair (see ``asof_keys``).
 
     Oversize and keyless rows are never decoded.  One Arrow pass per batch
