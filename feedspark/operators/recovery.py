@@ -46,14 +46,25 @@ def request_body(requests: DataFrame) -> DataFrame:
     )
 
 
+def lookup(wanted: DataFrame, archive: DataFrame) -> DataFrame:
+    """Archive rows for the wanted (channel, feed_date, seq) keys.
+
+    An inner join with the (small) wanted side, so Spark can broadcast it or
+    push a runtime bloom filter into the archive scan instead of shuffling the
+    whole archive; a left join from the wanted side could only broadcast the
+    archive.
+    """
+    a = archive.select(*KEYS, "seq", "message")
+    return a.join(wanted.select(*KEYS, "seq"), KEYS + ["seq"], "inner")
+
+
 def answer_requests(assigned: DataFrame, archive: DataFrame, fail_when: Column | None = None) -> DataFrame:
     """Archive side of B3: one reply body per batch -- header, then the found messages in number order.
 
     ``fail_when`` (a predicate on ``batch_no``) marks batches the server
     answers with an error text instead, to exercise the retry path.
     """
-    a = archive.select(*KEYS, "seq", "message")
-    j = assigned.join(a, KEYS + ["seq"], "left")
+    j = assigned.join(lookup(assigned, archive), KEYS + ["seq"], "left")
     g = j.groupBy(*KEYS, "batch_no").agg(
         F.sort_array(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("seq", "message")))).alias("_m")
     )
@@ -87,11 +98,13 @@ def parse_replies(replies: DataFrame, key_cols=("channel", "feed_date", "batch_n
 def backfill(missing: DataFrame, archive: DataFrame) -> DataFrame:
     """Look every lost number up in the archive (left join; message NULL when absent).
 
-    The join key (channel, feed_date, seq) is close to unique, so a hot date
-    still hashes evenly over all partitions.
+    The archive is probed with an inner join from the missing side (see
+    ``lookup``), then the few found rows are attached back.  The join key
+    (channel, feed_date, seq) is close to unique, so a hot date still hashes
+    evenly over all partitions.
     """
-    a = archive.select(*KEYS, "seq", "message")
-    return missing.select(*KEYS, "seq").join(a, KEYS + ["seq"], "left")
+    m = missing.select(*KEYS, "seq")
+    return m.join(lookup(m, archive), KEYS + ["seq"], "left")
 
 
 def recovered_rows(backfilled: DataFrame) -> DataFrame:
