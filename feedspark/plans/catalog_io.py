@@ -85,8 +85,7 @@ def q_stream_key_epochs(spark, sf_dir):
     p = _plan(spark, sf_dir)
     landed = SK.land_replies(p.control_replies, scratch_path(spark, "replies_landed"))
     out = scratch_path(spark, "stream_fold")
-    q = (SK.fold_stream(SK.read_replies_stream(spark, landed)).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch_path(spark, "ck_keys")).trigger(availableNow=True).start())
+    q = SK.start_fold(SK.read_replies_stream(spark, landed), out, scratch_path(spark, "ck_keys"))
     q.awaitTermination()
     return key_epochs(spark.read.schema(schemas.KEY_FOLD).parquet(out))
 

@@ -88,3 +88,40 @@ def spread(df, min_partitions: int | None = None):
         return df
     n = df.rdd.getNumPartitions()
     return df.repartition(target) if n < target else df
+
+
+class conf_override:
+    """Set SQL confs for the duration of a block (e.g. while a stream starts) and restore them."""
+
+    def __init__(self, spark: SparkSession, **confs):
+        self.spark = spark
+        self.confs = {k.replace("__", "."): str(v) for k, v in confs.items()}
+        self.saved: dict[str, str | None] = {}
+
+    def __enter__(self):
+        for k, v in self.confs.items():
+            self.saved[k] = self.spark.conf.get(k, None)
+            self.spark.conf.set(k, v)
+        return self
+
+    def __exit__(self, *exc):
+        for k, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
+        return False
+
+
+def state_partitions(spark: SparkSession, n: int | None = None) -> int:
+    """Partitions of a stream's state store: fixed at its first start, so chosen explicitly.
+
+    Defaults to the cluster's parallelism (one state task per core) rather
+    than whatever ``spark.sql.shuffle.partitions`` happens to be.
+    """
+    if n:
+        return int(n)
+    try:
+        return max(int(spark.sparkContext.defaultParallelism), 1)
+    except Exception:  # Spark Connect
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

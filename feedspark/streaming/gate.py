@@ -8,7 +8,7 @@ from feedspark import constants as C
 from feedspark import schemas
 from feedspark.operators import packets as P
 from feedspark.operators.keys import prepare_epochs
-from feedspark.session import materialize
+from feedspark.session import conf_override, materialize, state_partitions
 
 
 def land_wire(wire: DataFrame, path: str, files: int = 8) -> str:
@@ -59,18 +59,22 @@ def start_gate(stream: DataFrame, epochs: DataFrame, sink_path: str, checkpoint:
 
 
 def start_gaps(packets_stream: DataFrame, sink_path: str, checkpoint: str,
-               available_now: bool = True, period: str = C.SCAN_PERIOD, retention_s: int | None = None):
+               available_now: bool = True, period: str = C.SCAN_PERIOD, retention_s: int | None = None,
+               partitions: int | None = None):
     """Stateful gap tracking over a packets stream; appends opened / closed / bounds rows.
 
-    ``retention_s`` bounds the state of an endless feed (dates leave tracking).
+    ``retention_s`` bounds the state of an endless feed (dates leave tracking);
+    ``partitions`` is the state-store partition count (fixed at first start).
     """
     from feedspark.streaming.gaps import gap_events
 
-    return (
-        gap_events(packets_stream, retention_s=retention_s).writeStream.format("parquet")
-        .option("path", sink_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(**trigger_options(available_now, period))
-        .start()
-    )
+    spark = packets_stream.sparkSession
+    with conf_override(spark, spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
+        return (
+            gap_events(packets_stream, retention_s=retention_s).writeStream.format("parquet")
+            .option("path", sink_path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(**trigger_options(available_now, period))
+            .start()
+        )

@@ -71,3 +71,17 @@ def land_replies(replies: DataFrame, path: str, files: int = 5) -> str:
 
 def read_replies_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.CONTROL_REPLIES).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def start_fold(replies_stream: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True,
+               period: str = "30 seconds", partitions: int | None = None):
+    """K2 as a running query: appends one fold row per reply; state partitions fixed explicitly."""
+    from feedspark.session import conf_override, state_partitions
+
+    spark = replies_stream.sparkSession
+    trig = {"availableNow": True} if available_now else {"processingTime": period}
+    with conf_override(spark, spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
+        return (
+            fold_stream(replies_stream).writeStream.format("parquet").option("path", sink_path)
+            .option("checkpointLocation", checkpoint).trigger(**trig).start()
+        )
