@@ -26,14 +26,21 @@ RECOVERED = T.StructType([
 ])
 
 
+# The written layout: one folder per micro-batch id.
+_STORED = T.StructType(RECOVERED.fields + [T.StructField("batch_id", T.LongType())])
+
+
 def recovery_batch(spark: SparkSession, events_path: str, archive: DataFrame, recovered_path: str):
+    """The ``foreachBatch`` body.  Only batches before this one count as already recovered, so a
+    replay of this batch (after a failure) recomputes and rewrites the same rows."""
     keys = ["channel", "feed_date"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select(*keys).distinct()
         events = spark.read.schema(EVENTS).parquet(events_path).join(touched, keys, "left_semi")
         missing = missing_from_events(events)
-        done = spark.read.schema(RECOVERED).parquet(recovered_path).select(*keys, "seq")
+        done = (spark.read.schema(_STORED).parquet(recovered_path)
+                .where(F.col("batch_id") < batch_id).select(*keys, "seq"))
         todo = missing.join(done, keys + ["seq"], "left_anti")
         rec = todo.join(archive.select(*keys, "seq", "message"), keys + ["seq"], "inner")
         rec.select(*keys, "seq", "message", F.lit("recovered").alias("source")).write.mode("overwrite").parquet(
@@ -58,4 +65,5 @@ def start_recovery(spark: SparkSession, events_path: str, archive: DataFrame, re
 
 
 def read_recovered(spark: SparkSession, recovered_path: str) -> DataFrame:
-    return spark.read.schema(RECOVERED).parquet(recovered_path)
+    cols = [f.name for f in RECOVERED.fields]
+    return spark.read.schema(_STORED).parquet(recovered_path).select(*cols)

@@ -120,3 +120,23 @@ def test_retention_drops_old_dates_from_tracking(spark):
     got = sorted((r.feed_date, r.seq) for r in SG.missing_from_events(spark.read.schema(SG.EVENTS).parquet(out)).collect())
     # A: 3 and 4 stay missing (3 arrived after tracking ended); B: 2 healed, 3, 5-8 missing
     assert got == [("A", 3), ("A", 4), ("B", 3), ("B", 5), ("B", 6), ("B", 7), ("B", 8)]
+
+
+def test_recovery_batch_replay_is_idempotent(spark):
+    from feedspark.streaming import recovery as SR
+
+    ev_path = scratch_path(spark, "ev")
+    events = spark.createDataFrame(
+        [("c", "D", 0, "opened", 3, 5), ("c", "D", 0, "opened", 7, 8), ("c", "D", 0, "bounds", 1, 9)], SG.EVENTS)
+    events.write.parquet(ev_path)
+    archive = spark.createDataFrame([("c", "D", s, f"m{s}") for s in range(1, 10) if s != 4],
+                                    "channel string, feed_date string, seq bigint, message string")
+    rec_path = scratch_path(spark, "rec")
+    spark.createDataFrame([], SR.RECOVERED).write.parquet(f"{rec_path}/batch_id=-1")
+    run = SR.recovery_batch(spark, ev_path, archive, rec_path)
+    run(events, 0)
+    run(events, 0)  # the same batch replayed after a failure
+    got = sorted(r.seq for r in SR.read_recovered(spark, rec_path).collect())
+    assert got == [3, 5, 7, 8]
+    run(events, 1)  # a later batch finds nothing new to recover
+    assert sorted(r.seq for r in SR.read_recovered(spark, rec_path).collect()) == [3, 5, 7, 8]
