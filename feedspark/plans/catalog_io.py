@@ -112,3 +112,19 @@ def q_feed_frames(spark, sf_dir):
 
     f = feed_frames(_plan(spark, sf_dir).feed)
     return f.select("channel", "pos", F.hex("mtext").alias("mtext_hex"), "full_msg")
+
+
+@query("sink_jdbc")
+def q_sink_jdbc(spark, sf_dir):
+    """S3 over JDBC: the feed with serial ids appended to an embedded, in-process database, read back.
+
+    Derby in memory needs no server or port; any JDBC database takes the same
+    writer (batched prepared inserts, one transaction per partition).
+    """
+    name = f"feed_{uuid.uuid4().hex[:10]}"
+    url = f"jdbc:derby:memory:{name};create=true"
+    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = S.with_ids(_plan(spark, sf_dir).feed).select("id", "feed_date", "seq", "message", "source")
+    S.append_jdbc(rows, url, "FEED", props)
+    back = spark.read.jdbc(url, "FEED", properties=props)
+    return back.select(*[F.col(c.upper()).alias(c) for c in ("id", "feed_date", "seq", "message", "source")])

@@ -264,3 +264,5 @@ SELECT 'all' AS channel, ord AS epoch,
        regexp_full_match(rpad('k' || ord || 'cipher', 10, '0'), '[A-Za-z0-9-]*') AS cipher_charset_ok,
        day + to_seconds(CASE WHEN ord % 10 = 3 THEN 30 ELSE 86400 END) AS next_refresh_due
 FROM d"""
+
+ORACLES["sink_jdbc"] = ORACLES["sink_preflight"]
