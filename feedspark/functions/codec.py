@@ -118,12 +118,19 @@ def _xor_tiled(values: pa.Array, keys: pa.Array, v_off: np.ndarray, out: np.ndar
         if kb:
             tiles[i] = np.resize(np.frombuffer(kb, dtype=np.uint8), maxlen)
     idx = enc.indices.fill_null(d).to_numpy(zero_copy_only=False).astype(np.int64)
-    total = out.size
-    itype = np.int32 if (d + 1) * maxlen < (1 << 31) and total < (1 << 31) else np.int64
-    starts = (v_off[:-1] - v_off[0]).astype(itype)
-    flat = np.arange(total, dtype=itype)
-    flat += np.repeat((idx * maxlen).astype(itype) - starts, lens)
-    out ^= tiles.ravel()[flat]
+    flat_tiles = tiles.ravel()
+    itype = np.int32 if (d + 1) * maxlen < (1 << 31) else np.int64
+    base = v_off[0]
+    for r0, r1 in _row_chunks(v_off):  # index arrays stay within _CHUNK_BYTES of payload per pass
+        lens = v_off[r0 + 1:r1 + 1] - v_off[r0:r1]
+        m = int(lens.sum())
+        if m == 0:
+            continue
+        lo = int(v_off[r0] - base)
+        starts = (v_off[r0:r1] - v_off[r0]).astype(itype)
+        flat = np.arange(m, dtype=itype)
+        flat += np.repeat((idx[r0:r1] * maxlen).astype(itype) - starts, lens)
+        out[lo:lo + m] ^= flat_tiles[flat]
     return True
 
 
