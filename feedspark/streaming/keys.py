@@ -1,9 +1,12 @@
 """Key rotation on a stream (K2): the rotation fold with its state kept per channel.
 
 Control replies arrive as landed files (or a topic).  The state of a channel
-is its current and previous (cipher, secret) and the epoch counter; each
-micro-batch applies its replies in ``ord`` order with the same step as the
-batch fold, so the stream and the batch give the same epochs.
+is its current and previous (cipher, secret), the epoch counter, the next
+reply number due, and the replies that arrived ahead of a gap.  Each
+micro-batch applies the contiguous run of replies from the next number due
+with the same step as the batch fold; replies after a missing number wait in
+state until it arrives, and replayed ones are ignored -- so the stream gives
+the batch epochs whatever order the files are picked up in.
 """
 
 from __future__ import annotations
@@ -27,31 +30,56 @@ STATE = T.StructType([
     T.StructField("prev_cipher", T.BinaryType()),
     T.StructField("prev_secret", T.BinaryType()),
     T.StructField("epoch", T.IntegerType()),
+    T.StructField("next_ord", T.IntegerType()),
+    T.StructField("wait_ord", T.ArrayType(T.IntegerType())),
+    T.StructField("wait_ts", T.ArrayType(T.LongType())),
+    T.StructField("wait_dec", T.ArrayType(T.BinaryType())),
 ])
 
 
-def _processor(bootstrap: bytes):
+def _opt(b):
+    return None if b is None else bytes(b)
+
+
+def _processor(bootstrap: bytes, first_ord: int):
     def run(key, pdfs: Iterator[pd.DataFrame], state):
         if state.exists:
-            c, s, pc, ps, e = state.get
-            st = (bytes(c), None if s is None else bytes(s), None if pc is None else bytes(pc),
-                  None if ps is None else bytes(ps), int(e))
+            c, s, pc, ps, e, nxt, w_ord, w_ts, w_dec = state.get
+            st = (bytes(c), _opt(s), _opt(pc), _opt(ps), int(e))
+            waiting = pd.DataFrame({
+                "channel": key[0], "ord": list(w_ord or []),
+                "arrival_ts": pd.to_datetime(list(w_ts or []), unit="ns"), "decoded": list(w_dec or []),
+            })
         else:
-            st = initial_state(bootstrap)
-        # one channel's replies of one micro-batch: control-plane rows, applied in ord order
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        st, out = fold_step(st, pdf)
-        state.update(st)
-        yield out
+            st, nxt, waiting = initial_state(bootstrap), first_ord, None
+        # one channel's replies: control-plane rows (one per rotation)
+        parts = [p for p in pdfs] + ([waiting] if waiting is not None and len(waiting) else [])
+        pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["channel", "ord", "arrival_ts", "decoded"])
+        pdf = pdf[pdf["ord"] >= nxt].drop_duplicates("ord").sort_values("ord", kind="stable")
+        ords = pdf["ord"].to_numpy()
+        run_len = 0
+        while run_len < len(ords) and ords[run_len] == nxt + run_len:
+            run_len += 1
+        ready, later = pdf.iloc[:run_len], pdf.iloc[run_len:]
+        st, out = fold_step(st, ready)
+        ts_ns = pd.to_datetime(later["arrival_ts"]).astype("int64").tolist() if len(later) else []
+        state.update(st + (int(nxt + run_len), [int(o) for o in later["ord"]], [int(t) for t in ts_ns],
+                           [bytes(d) if d is not None else None for d in later["decoded"]]))
+        if len(out):
+            yield out
 
     return run
 
 
-def fold_stream(replies: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY) -> DataFrame:
-    """Streaming replies (channel, ord, arrival_ts, wire) -> one fold row per reply (``KEY_FOLD``)."""
+def fold_stream(replies: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY, first_ord: int = 0) -> DataFrame:
+    """Streaming replies (channel, ord, arrival_ts, wire) -> one fold row per reply (``KEY_FOLD``).
+
+    Replies are numbered from ``first_ord`` per channel; one that arrives
+    before an earlier number waits in state until that number arrives.
+    """
     pre = replies.select("channel", "ord", "arrival_ts", b64_decode_lenient("wire").alias("decoded"))
     return pre.groupBy("channel").applyInPandasWithState(
-        _processor(bootstrap_key.encode()), schemas.KEY_FOLD, STATE, "append", GroupStateTimeout.NoTimeout
+        _processor(bootstrap_key.encode(), first_ord), schemas.KEY_FOLD, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -140,3 +140,31 @@ def test_recovery_batch_replay_is_idempotent(spark):
     assert got == [3, 5, 7, 8]
     run(events, 1)  # a later batch finds nothing new to recover
     assert sorted(r.seq for r in SR.read_recovered(spark, rec_path).collect()) == [3, 5, 7, 8]
+
+
+def test_key_fold_stream_out_of_order_files(spark):
+    import base64
+    import datetime as dt
+    import time
+
+    from feedspark.operators.keys import fold_replies
+    from feedspark.streaming import keys as SK
+
+    def enc(text: bytes, key: bytes) -> str:
+        return base64.b64encode(bytes(b ^ key[i % len(key)] for i, b in enumerate(text))).decode()
+
+    t0, key, rows = dt.datetime(2024, 1, 1), b"boot-key-x", []
+    for i in range(9):
+        c = f"kk{i:02d}".encode()
+        rows.append(("c", i, t0 + dt.timedelta(hours=i), enc(c + b"^sec" + str(i).encode() + b"^60", key)))
+        key = c
+    df = spark.createDataFrame(rows, "channel string, ord int, arrival_ts timestamp_ntz, wire string")
+    path = scratch_path(spark, "rep")
+    for lo, hi in ((6, 9), (0, 3), (3, 6), (0, 3)):  # later numbers first, then a replayed file
+        df.where(f"ord >= {lo} AND ord < {hi}").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    out = scratch_path(spark, "fold")
+    q = SK.start_fold(SK.read_replies_stream(spark, path), out, scratch_path(spark, "ck"))
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.schema(schemas.KEY_FOLD).parquet(out).collect())
+    assert got == sorted(tuple(r) for r in fold_replies(df).collect())
