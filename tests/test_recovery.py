@@ -51,3 +51,14 @@ def test_backfill_pending_and_still_missing(spark):
     assert [(r.batch_no, r.attempt) for r in pend] == [(1, 2)]
     body = {r.batch_no: r.body for r in replies.collect()}
     assert body[0] == "Missed Packets:\n" + "\n".join(f"m{s}" for s in (100, 102, 104, 106, 108))
+
+
+def test_merge_keeps_every_live_row_and_adds_recovered(spark):
+    live = spark.createDataFrame([("c", "D", 1, "a"), ("c", "D", 1, "a"), ("c", "E", 5, "x")],
+                                 "channel string, feed_date string, seq bigint, message string")
+    rec = spark.createDataFrame([("c", "D", 2, "b", "recovered")],
+                                "channel string, feed_date string, seq bigint, message string, source string")
+    got = sorted(tuple(r) for r in R.merge_feed(live, rec).collect())
+    # a duplicate live packet is delivered twice (at-least-once), every date is kept
+    assert got == [("c", "D", 1, "a", "live"), ("c", "D", 1, "a", "live"), ("c", "D", 2, "b", "recovered"),
+                   ("c", "E", 5, "x", "live")]

@@ -28,3 +28,11 @@ def test_split_and_count(spark):
     got = spark.createDataFrame(rows, "s string, want array<string>, n int").select(
         "want", "n", split_fields("s").alias("got"), count_char("s", "^").alias("c")).collect()
     assert all(r.got == r.want and r.c == r.n for r in got), got
+
+
+def test_key_charset(spark):
+    from feedspark.functions.text import key_valid
+
+    rows = [("abc-DEF-123", True), ("", True), ("a b", False), ("k_1", False), ('{"k": 1}', False), ("ключ", False)]
+    got = spark.createDataFrame(rows, "s string, want boolean").select("want", key_valid("s").alias("got")).collect()
+    assert all(r.got == r.want for r in got), got
