@@ -60,3 +60,14 @@ def test_quarantine_and_audit_writers(spark):
     A.append_audit(lines, ap)
     got = sorted(r.value for r in spark.read.text(ap).collect())
     assert got == ["ERROR: 01/01/24->01:00:00 oversize", "ERROR: 02/01/24->01:00:00 bad_secret"]
+
+
+def test_spread_only_narrow_inputs(spark):
+    from feedspark.session import spread
+
+    target = spark.sparkContext.defaultParallelism
+    narrow = spark.range(1000).coalesce(1)
+    wide = spark.range(1000, numPartitions=target * 2)
+    assert spread(narrow).rdd.getNumPartitions() == target
+    assert spread(wide).rdd.getNumPartitions() == target * 2
+    assert spread(narrow).count() == 1000
