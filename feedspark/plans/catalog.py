@@ -11,6 +11,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedspark import constants as C
 from feedspark.functions.codec import b64_decode_lenient, b64_encode, xor_bytes
 from feedspark.functions.text import atoi, count_char, key_valid, trim_spaces_tabs
 from feedspark.operators import framing as M
@@ -248,7 +249,7 @@ def q_recovery_parse(spark, sf_dir):
     bodies = conv.groupBy("conv_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("b")
     )
-    replies = bodies.select("conv_id", F.concat(F.lit(R.C.REPLY_HEADER), F.lit("\n"), "b").alias("body"))
+    replies = bodies.select("conv_id", F.concat(F.lit(C.REPLY_HEADER), F.lit("\n"), "b").alias("body"))
     return R.parse_replies(replies, key_cols=["conv_id"])
 
 
