@@ -9,12 +9,14 @@ counts (rows / bucket_width of the data) pass through a group-wide window.
 
 from __future__ import annotations
 
+from itertools import accumulate
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
+from feedspark.session import materialize
 
 
 def positions(
@@ -67,3 +69,54 @@ def positions(
     else:
         within = F.row_number().over(wb) - 1
     return j.withColumn(out, (F.col("_noff") + within).cast("bigint")).drop("_nb", "_noff")
+
+
+def number_rows(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    out: str = "pos",
+    weight_col: str | None = None,
+) -> DataFrame:
+    """Add ``out``: 0-based position of each row in its group, ordered by ``order_cols``, in one pass over the rows.
+
+    Rows are range-partitioned by (group, order) and written once to the shared
+    scratch folder, so every task holds a contiguous run of positions whatever
+    the values look like (dense, sparse, one hot group).  Only one small row per
+    (task, group) is then counted to find where each run starts.  Rows equal in
+    every order column get distinct positions; a tie column spreads them over
+    tasks.  Groups may be null.  With ``weight_col`` a row takes that many
+    positions and gets the first one (nulls count 0).
+    """
+    spark = df.sparkSession
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    tie = F.xxhash64(F.monotonically_increasing_id())
+    rows = df.withColumn("_tie", tie)
+    keys = [*group_cols, *order_cols, "_tie"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    runs = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
+    runs = materialize(runs.withColumn("_at", F.monotonically_increasing_id()), "numbered", spark)
+    runs = runs.withColumn("_run", F.shiftright("_at", 33))
+    size = F.sum(F.coalesce(F.col(weight_col), F.lit(0))) if weight_col else F.count(F.lit(1))
+    starts = runs.groupBy("_run", *group_cols).agg(F.min("_at").alias("_first"), size.cast("bigint").alias("_size"))
+    if group_cols:
+        before = Window.partitionBy(*group_cols).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    else:  # one row per task of the shuffle above, so at most ``n`` rows
+        sizes = sorted((r["_run"], r["_first"], r["_size"]) for r in starts.collect())
+        froms = accumulate((s for _, _, s in sizes), initial=0)
+        starts = spark.createDataFrame(
+            [(*r, at) for r, at in zip(sizes, froms)], "_run bigint, _first bigint, _size bigint, _from bigint")
+    starts = starts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
+                           F.col("_run").alias("_r"), "_first", "_from")
+    same = F.col("_run") == F.col("_r")
+    for i, c in enumerate(group_cols):
+        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    placed = runs.join(starts, same)
+    if weight_col:
+        earlier = Window.partitionBy("_run", *group_cols).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        within = F.coalesce(F.sum(F.coalesce(F.col(weight_col), F.lit(0))).over(earlier), F.lit(0))
+    else:
+        within = F.col("_at") - F.col("_first")
+    return placed.withColumn(out, (F.col("_from") + within).cast("bigint")).drop(
+        "_at", "_run", "_r", "_first", "_from", *[f"_g{i}" for i in range(len(group_cols))])
