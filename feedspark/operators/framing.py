@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
-from feedspark.operators.numbering import positions
+from feedspark.operators.numbering import number_rows
+from feedspark.session import materialize
 
 
-def frame_count(nbytes) -> F.Column:
-    """Frames for a message: at least one; a message of exactly 1,024 bytes is one frame."""
-    return F.greatest(F.ceil(nbytes / F.lit(C.FRAME_SIZE)), F.lit(1)).cast("bigint")
+def frame_count(nbytes, size: int = C.FRAME_SIZE) -> F.Column:
+    """Frames of ``size`` bytes for a message: at least one; a message of exactly ``size`` bytes is one frame."""
+    return F.greatest(F.ceil(nbytes / F.lit(size)), F.lit(1)).cast("bigint")
 
 
 def split_frames(messages: DataFrame, channel: str, order: str, text: str, size: int = C.FRAME_SIZE,
@@ -20,8 +21,7 @@ def split_frames(messages: DataFrame, channel: str, order: str, text: str, size:
 
     ``pos`` is the dense position of the frame in its channel's stream,
     messages taken in ``order``: the first frame of a message sits at the
-    running total of frames of the messages before it (bucketed, see
-    ``positions``).  ``full_msg`` is 1 on the last frame of a message.
+    running total of frames of the messages before it (``number_rows``).  ``full_msg`` is 1 on the last frame of a message.
     ``lead_order`` columns come before ``order`` (e.g. date, then number).
     """
     lead_order = list(lead_order)
@@ -30,8 +30,11 @@ def split_frames(messages: DataFrame, channel: str, order: str, text: str, size:
         *lead_order,
         F.col(order).alias("_order"),
         F.encode(F.col(text), "UTF-8").alias("_bytes"),
-    ).withColumn("_nf", frame_count(F.octet_length("_bytes")))
-    m = positions(m, ["channel"], "_order", out="_first", weight_col="_nf", bucket_cols=lead_order)
+    ).withColumn("_nf", frame_count(F.octet_length("_bytes"), size)).withColumn("_row", F.monotonically_increasing_id())
+    m = materialize(m, "messages")
+    # numbered without their texts, which then meet their numbers by row
+    numbered = number_rows(m.drop("_bytes"), ["channel"], [*lead_order, "_order"], out="_first", weight_col="_nf")
+    m = m.select("_row", "_bytes").join(numbered, "_row")
     f = m.select(
         "channel", "_order", "_bytes", "_nf", "_first",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nf") - 1)).alias("_i"),
@@ -44,10 +47,11 @@ def split_frames(messages: DataFrame, channel: str, order: str, text: str, size:
     )
 
 
-def _message_ids(frames: DataFrame, bucket_width: int = 1 << 20) -> DataFrame:
+def _message_ids(frames: DataFrame, bucket_width: int = 1 << 14) -> DataFrame:
     """Message id of every frame = number of closing flags before it in its channel.
 
-    Two levels: flags per (channel, pos bucket) give each bucket an offset;
+    ``bucket_width`` frames (16 MiB of 1,024-byte frames) are the most that one
+    window holds.  Two levels: flags per (channel, pos bucket) give each bucket an offset;
     inside a bucket a running sum does the rest.
     """
     x = frames.withColumn("_b", F.floor(F.col("pos") / F.lit(bucket_width)))

@@ -1,11 +1,4 @@
-"""Dense positions without a window over a whole group.
-
-A ``row_number()`` over ``partitionBy(channel, feed_date)`` sends a hot date to
-one task.  Here rows are cut into buckets that are monotone in the order
-column; each (group, bucket) is numbered by its own window and shifted by the
-running total of the earlier buckets of its group.  Only the per-bucket
-counts (rows / bucket_width of the data) pass through a group-wide window.
-"""
+"""Dense positions in one pass over the rows, without a window over a whole group."""
 
 from __future__ import annotations
 
@@ -15,62 +8,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedspark import constants as C
 from feedspark.session import materialize
 
 
-def positions(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_col: str,
-    out: str = "pos",
-    bucket_width: int = C.SEQ_BUCKET,
-    weight_col: str | None = None,
-    bucket_col: str | None = None,
-    bucket_cols: Sequence[str] | None = None,
-) -> DataFrame:
-    """Add ``out``: 0-based position of each row within ``group_cols`` ordered by ``order_col``.
-
-    With ``weight_col`` every row occupies that many positions (the column then
-    holds the first one), e.g. messages that become several frames.
-    ``bucket_col`` overrides the bucket (must be monotone in the order);
-    ``bucket_cols`` adds leading order columns, so the order is
-    (*bucket_cols, order_col) -- e.g. a global id over (feed_date, seq).
-    Ties in ``order_col`` get distinct, arbitrary positions.
-    """
-    group_cols = list(group_cols)
-    lead_cols = list(bucket_cols or [])
-    bkt = F.col(bucket_col) if bucket_col else F.floor(F.col(order_col) / F.lit(bucket_width))
-    x = df.withColumn("_nb", bkt)
-    wt = F.col(weight_col) if weight_col else F.lit(1)
-    keys = group_cols + lead_cols + ["_nb"]
-    counts = x.groupBy(*keys).agg(F.sum(wt).cast("bigint").alias("_nw"))
-    before = Window.unboundedPreceding, -1
-    if lead_cols:
-        # two levels: running totals of the lead groups (e.g. one row per date),
-        # then of the buckets inside each lead group
-        tot = counts.groupBy(*group_cols, *lead_cols).agg(F.sum("_nw").alias("_lw"))
-        wl = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0)))
-        tot = tot.select(*group_cols, *lead_cols,
-                         F.coalesce(F.sum("_lw").over(wl.orderBy(*lead_cols).rowsBetween(*before)), F.lit(0)).alias("_loff"))
-        wb = Window.partitionBy(*group_cols, *lead_cols).orderBy("_nb").rowsBetween(*before)
-        offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wb), F.lit(0)).alias("_boff"))
-        offsets = offsets.join(tot, group_cols + lead_cols).select(
-            *keys, (F.col("_loff") + F.col("_boff")).cast("bigint").alias("_noff"))
-    else:
-        # The running total runs over one row per bucket (rows / bucket_width).
-        wg = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-        wg = wg.orderBy("_nb").rowsBetween(*before)
-        offsets = counts.select(*keys, F.coalesce(F.sum("_nw").over(wg), F.lit(0)).cast("bigint").alias("_noff"))
-    j = x.join(offsets, keys, "inner")
-    wb = Window.partitionBy(*keys).orderBy(order_col)
-    if weight_col:
-        within = F.coalesce(F.sum(wt).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    else:
-        within = F.row_number().over(wb) - 1
-    return j.withColumn(out, (F.col("_noff") + within).cast("bigint")).drop("_nb", "_noff")
-
-
 def number_rows(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -91,32 +31,32 @@ def number_rows(
     spark = df.sparkSession
     group_cols, order_cols = list(group_cols), list(order_cols)
     tie = F.xxhash64(F.monotonically_increasing_id())
-    rows = df.withColumn("_tie", tie)
-    keys = [*group_cols, *order_cols, "_tie"]
+    rows = df.withColumn("_n_tie", tie)
+    keys = [*group_cols, *order_cols, "_n_tie"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
-    runs = materialize(runs.withColumn("_at", F.monotonically_increasing_id()), "numbered", spark)
-    runs = runs.withColumn("_run", F.shiftright("_at", 33))
+    runs = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_n_tie")
+    runs = materialize(runs.withColumn("_n_at", F.monotonically_increasing_id()), "numbered", spark)
+    runs = runs.withColumn("_n_run", F.shiftright("_n_at", 33))
     size = F.sum(F.coalesce(F.col(weight_col), F.lit(0))) if weight_col else F.count(F.lit(1))
-    starts = runs.groupBy("_run", *group_cols).agg(F.min("_at").alias("_first"), size.cast("bigint").alias("_size"))
+    starts = runs.groupBy("_n_run", *group_cols).agg(F.min("_n_at").alias("_n_first"), size.cast("bigint").alias("_n_size"))
     if group_cols:
-        before = Window.partitionBy(*group_cols).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-        starts = starts.withColumn("_from", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        before = Window.partitionBy(*group_cols).orderBy("_n_run").rowsBetween(Window.unboundedPreceding, -1)
+        starts = starts.withColumn("_n_from", F.coalesce(F.sum("_n_size").over(before), F.lit(0)))
     else:  # one row per task of the shuffle above, so at most ``n`` rows
-        sizes = sorted((r["_run"], r["_first"], r["_size"]) for r in starts.collect())
+        sizes = sorted((r["_n_run"], r["_n_first"], r["_n_size"]) for r in starts.collect())
         froms = accumulate((s for _, _, s in sizes), initial=0)
         starts = spark.createDataFrame(
-            [(*r, at) for r, at in zip(sizes, froms)], "_run bigint, _first bigint, _size bigint, _from bigint")
-    starts = starts.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)],
-                           F.col("_run").alias("_r"), "_first", "_from")
-    same = F.col("_run") == F.col("_r")
+            [(*r, at) for r, at in zip(sizes, froms)], "_n_run bigint, _n_first bigint, _n_size bigint, _n_from bigint")
+    starts = starts.select(*[F.col(c).alias(f"_n_g{i}") for i, c in enumerate(group_cols)],
+                           F.col("_n_run").alias("_n_r"), "_n_first", "_n_from")
+    same = F.col("_n_run") == F.col("_n_r")
     for i, c in enumerate(group_cols):
-        same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        same &= F.col(c).eqNullSafe(F.col(f"_n_g{i}"))
     placed = runs.join(starts, same)
     if weight_col:
-        earlier = Window.partitionBy("_run", *group_cols).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy("_n_run", *group_cols).orderBy("_n_at").rowsBetween(Window.unboundedPreceding, -1)
         within = F.coalesce(F.sum(F.coalesce(F.col(weight_col), F.lit(0))).over(earlier), F.lit(0))
     else:
-        within = F.col("_at") - F.col("_first")
-    return placed.withColumn(out, (F.col("_from") + within).cast("bigint")).drop(
-        "_at", "_run", "_r", "_first", "_from", *[f"_g{i}" for i in range(len(group_cols))])
+        within = F.col("_n_at") - F.col("_n_first")
+    return placed.withColumn(out, (F.col("_n_from") + within).cast("bigint")).drop(
+        "_n_at", "_n_run", "_n_r", "_n_first", "_n_from", *[f"_n_g{i}" for i in range(len(group_cols))])

@@ -41,12 +41,17 @@ def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, sink tables and stream checkpoints.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one.  Only when it is
-    unset (local tests) a fresh temporary folder is created and registered.
+    unset and the master is local (tests) a fresh temporary folder is created
+    and registered; on a cluster an unset folder is an error, since every
+    executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="feedspark-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(os.path.join(root, "rdd"))
@@ -77,24 +82,6 @@ def materialize(df, name: str, spark: SparkSession | None = None):
     return spark.read.parquet(path)
 
 
-def spread(df, min_partitions: int | None = None):
-    """Give a narrow input enough tasks for the CPU-heavy steps after it.
-
-    A table stored as one unsplittable file (one row group) is scanned by one
-    task, and every UDF after it would run on one core.  When the scan has
-    fewer partitions than the cluster's default parallelism, rows are dealt
-    round-robin over that many; a large input (already split into many
-    partitions) is returned unchanged, with no shuffle.
-    """
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect: no SparkContext
-        return df
-    n = df.rdd.getNumPartitions()
-    return df.repartition(target) if n < target else df
-
-
 class conf_override:
     """Set SQL confs for the duration of a block (e.g. while a stream starts) and restore them."""
 

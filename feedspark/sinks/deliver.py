@@ -1,31 +1,69 @@
-"""Delivery (S7, S8, S11): one feed, delivered as table rows or as frames; consumers."""
+"""Delivery (S7, S8, S11): one feed, delivered as table rows or as frames, from batches and streams; consumers."""
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from feedspark import schemas
 from feedspark.operators.framing import split_frames
+from feedspark.session import materialize
 from feedspark.sinks import tables as S
 
+ROWS = T.StructType([T.StructField("id", T.LongType()), *schemas.FEED.fields])
+_STORED = T.StructType([*ROWS.fields, T.StructField("batch_id", T.LongType())])
+
 
 def feed_frames(feed: DataFrame) -> DataFrame:
     """The feed as a frame stream per channel, messages in (feed_date, seq) order."""
     return split_frames(feed, channel="channel", order="seq", text="message", lead_order=("feed_date",))
 
 
+def deliver_batch(feed: DataFrame, path: str, batch_id: int) -> None:
+    """S5+S11: one batch of the feed into a path table, ids going on from the batches before it.
+
+    The batch has its own folder, so a replay overwrites its own rows and gets
+    the same ids: they start behind the largest id of the earlier batches.
+    """
+    spark = feed.sparkSession
+    spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+    earlier = spark.read.schema(_STORED).parquet(path).where(F.col("batch_id") < batch_id)
+    rows = S.with_ids(materialize(feed.select(*schemas.FEED.fieldNames()), "batch", spark), start=S.next_id(earlier))
+    rows.select(*ROWS.fieldNames()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_delivered(spark, path: str) -> DataFrame:
+    """All delivered rows: id and the feed's columns."""
+    return spark.read.schema(_STORED).parquet(path).drop("batch_id")
+
+
 def deliver(feed: DataFrame, mode: str = "table", *, path: str | None = None, table: str | None = None,
             jdbc_url: str | None = None, jdbc_table: str | None = None, jdbc_properties: dict | None = None) -> None:
-    """The same feed to a table (path, catalog or JDBC, with serial ids) or as frames."""
+    """The same feed to a table (path, catalog or JDBC, with serial ids) or as frames.
+
+    Ids go on from what the target holds; deliveries to one target must follow
+    each other.
+    """
+    spark = feed.sparkSession
     if mode == "table":
-        rows = S.with_ids(feed)
-        if table:
-            S.append_table(rows, table)
+        if path:
+            spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{path}/batch_id=-1")
+            last = spark.read.schema(_STORED).parquet(path).agg(F.max("batch_id")).first()[0]
+            deliver_batch(feed, path, 0 if last is None else last + 1)
+        elif table:
+            S.append_table(S.with_ids(feed, start=S.next_id(spark.table(table))), table)
         elif jdbc_url:
-            S.append_jdbc(rows, jdbc_url, jdbc_table or "feed", jdbc_properties)
-        elif path:
-            S.append_path(rows, path)
+            name = jdbc_table or "feed"
+            try:
+                start = S.next_id(spark.read.jdbc(jdbc_url, name, properties=jdbc_properties))
+            except Exception as e:  # drivers raise their own kinds for a table that is not there yet
+                if "exist" not in str(e).lower():
+                    raise
+                start = 1
+            S.append_jdbc(S.with_ids(feed, start=start), jdbc_url, name, jdbc_properties)
         else:
             raise ValueError("table mode needs path, table or jdbc_url")
     elif mode == "frames":
@@ -36,13 +74,15 @@ def deliver(feed: DataFrame, mode: str = "table", *, path: str | None = None, ta
         raise ValueError(f"unknown delivery mode {mode!r}")
 
 
-def consume(feed: DataFrame, fn: Callable, order=("channel", "feed_date", "seq")) -> int:
-    """Pull items in feed order, one partition at a time (``toLocalIterator``), for small consumers."""
-    n = 0
-    for row in feed.orderBy(*order).toLocalIterator():
-        fn(row)
-        n += 1
-    return n
+def start_delivery(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, period: str = "2 seconds"):
+    """S11 as a running query: every micro-batch of a feed stream goes into the path table, once per batch id."""
+    return start_consumer(stream, lambda batch, batch_id: deliver_batch(batch, path, batch_id), checkpoint, available_now, period)
+
+
+def consume(feed: DataFrame, fn: Callable[[Iterable[Row]], None], order=("channel", "feed_date", "seq")) -> None:
+    """Items in feed order, one contiguous run per task: ``fn`` gets the rows of its run, sorted, on the executor."""
+    n = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    feed.repartitionByRange(n, *order).sortWithinPartitions(*order).foreachPartition(fn)
 
 
 def start_consumer(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str,

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.operators.numbering import positions
+from feedspark.operators.numbering import number_rows
+from feedspark.session import materialize
 
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -24,42 +27,99 @@ def _ident(name: str) -> str:
 def with_ids(feed: DataFrame, order=("channel", "feed_date"), seq: str = "seq", start: int = 1) -> DataFrame:
     """A serial id in feed order (channel, date, number), starting at ``start``.
 
-    Computed per (channel, date, number bucket) plus a running offset of the
-    earlier buckets -- no global single-task window over the rows.
+    Ties are settled by the other columns, so equal input gives equal ids; rows
+    equal in every column are interchangeable.
     """
-    p = positions(feed, [], seq, out="_id", bucket_cols=list(order))
+    ties = [c for c in feed.columns if c not in (*order, seq)]
+    p = number_rows(feed, [], [*order, seq, *ties], out="_id")
     return p.withColumn("id", F.col("_id") + start).drop("_id")
 
 
-def preflight(spark: SparkSession, table: str, column: str, location: str | None = None,
-              extra_columns: dict[str, str] | None = None) -> bool:
-    """Make sure ``table(id bigint, <column> string NOT NULL ...)`` exists with the column.
+def next_id(stored: DataFrame) -> int:
+    """The id after the largest one in a table (1 for an empty table)."""
+    return int(stored.agg(F.max("id")).first()[0] or 0) + 1
+
+
+class Preflight(NamedTuple):
+    """Whether a table can take the feed, and why not."""
+
+    ok: bool
+    reason: str = ""
+
+    def __bool__(self) -> bool:
+        return self.ok
 
-    Creates the table when absent, adds missing columns when present; returns
-    False instead of raising when the catalog refuses.
+
+REQUIRED = "feed.required"                 # table property: the columns that must not be null
+
+
+def preflight(spark: SparkSession, table: str, column: str, location: str | None = None,
+              extra_columns: dict[str, str] | None = None) -> Preflight:
+    """Make sure ``table(id bigint, <column> string NOT NULL ...)`` exists with the columns and types.
+
+    Creates the table when absent and adds missing columns when present.  A
+    column of another type, or a refusal of the catalog, gives a false result
+    with the reason instead of an exception.  File tables do not enforce NOT
+    NULL themselves, so the columns are also kept as a table property and
+    ``append_checked`` holds the rows against it.
     """
     cols = {"id": "BIGINT", column: "STRING"}
     cols.update(extra_columns or {})
     try:
+        _ident(table)
         if not spark.catalog.tableExists(table):
-            body = ", ".join(f"{_ident(c)} {t}" for c, t in cols.items())
+            body = ", ".join(f"{_ident(c)} {t}{' NOT NULL' if c in ('id', column) else ''}" for c, t in cols.items())
             loc = f" LOCATION '{location}'" if location else ""
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {_ident(table)} ({body}) USING parquet{loc}")
-        else:
-            have = {f.name.lower() for f in spark.table(table).schema.fields}
-            add = [(c, t) for c, t in cols.items() if c.lower() not in have]
-            if add:
-                spec = ", ".join(f"{_ident(c)} {t}" for c, t in add)
-                spark.sql(f"ALTER TABLE {_ident(table)} ADD COLUMNS ({spec})")
-        return True
-    except Exception:  # noqa: BLE001 - the preflight reports, it does not raise
-        return False
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {_ident(table)} ({body}) USING parquet{loc} "
+                      f"TBLPROPERTIES ('{REQUIRED}' = 'id,{column}')")
+            return Preflight(True)
+        have = {f.name.lower(): f.dataType.simpleString() for f in spark.table(table).schema.fields}
+        wanted = {c: spark.createDataFrame([], f"c {t}").schema["c"].dataType.simpleString() for c, t in cols.items()}
+        if wrong := [f"{c} is {have[c.lower()]}, not {t}" for c, t in wanted.items() if have.get(c.lower(), t) != t]:
+            return Preflight(False, "; ".join(wrong))
+        if add := [(c, t) for c, t in cols.items() if c.lower() not in have]:
+            spec = ", ".join(f"{_ident(c)} {t}" for c, t in add)
+            spark.sql(f"ALTER TABLE {_ident(table)} ADD COLUMNS ({spec})")
+        return Preflight(True)
+    except (AnalysisException, ParseException, ValueError) as e:
+        return Preflight(False, str(e).strip().splitlines()[0])
+
+
+def required_columns(spark: SparkSession, table: str) -> list[str]:
+    """The columns of a table that must not be null (see ``preflight``)."""
+    props = spark.sql(f"SHOW TBLPROPERTIES {_ident(table)}").where(F.col("key") == REQUIRED).collect()
+    return props[0]["value"].split(",") if props else []
+
+
+def append_checked(df: DataFrame, table: str, quarantine: str) -> tuple[int, int]:
+    """Append the rows that the table can take; the others go to ``quarantine`` with the reason.
+
+    A row is refused for a null in a required column or for a value that does
+    not convert to the column's type.  Returns (rows written, rows refused).
+    """
+    spark = df.sparkSession
+    kinds = {f.name.lower(): f.dataType for f in spark.table(table).schema.fields}
+    required = {c.lower() for c in required_columns(spark, table)}
+    faults = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in df.columns if c.lower() in required]
+    faults += [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c.lower()]).isNull(),
+                      F.lit(f"{c} is not {kinds[c.lower()].simpleString()}"))
+               for c in df.columns if c.lower() in kinds and df.schema[c].dataType != kinds[c.lower()]]
+    judged = materialize(df.withColumn("reason", F.array_join(F.array_compact(F.array(*faults)), "; ") if faults else F.lit("")),
+                         "judged", spark)
+    good = judged.where("reason = ''").drop("reason")
+    append_table(good.select(*[F.col(c).cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(c) for c in good.columns]), table)
+    refused = judged.where("reason <> ''")
+    refused.write.mode("append").parquet(quarantine)
+    return good.count(), refused.count()
 
 
 def append_table(df: DataFrame, table: str) -> None:
-    """S3 into a catalog table: columns matched by name, rows appended by partition."""
+    """S3 into a catalog table: columns matched by name; a column that the table lacks is an error, never dropped."""
     cols = [f.name for f in df.sparkSession.table(table).schema.fields]
-    df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in cols]).write.insertInto(table)
+    if lacking := sorted({c.lower() for c in df.columns} - {c.lower() for c in cols}):
+        raise ValueError(f"table {table} lacks the columns {', '.join(lacking)}; run the preflight with them first")
+    have = {c.lower() for c in df.columns}
+    df.select(*[F.col(c) if c.lower() in have else F.lit(None).alias(c) for c in cols]).write.insertInto(table)
 
 
 def append_path(df: DataFrame, path: str, partition_by=("feed_date",)) -> None:

@@ -5,32 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """One parquet table of a test directory (schema comes from the file footer).
-
-    A table that scans as fewer tasks than the cluster has cores is spread
-    round-robin first (see ``session.spread``); large inputs are untouched.
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One parquet table of a test directory (schema comes from the file footer)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events_as_feed(events: DataFrame, channel: str = "all") -> DataFrame:
+def events_as_feed(events: DataFrame, channels: int = 3) -> DataFrame:
     """The common feed built from ``events``.
 
-    channel = constant, feed_date = yyyyMMdd of ``ts``, seq = ``event_id``,
-    message = ``props``, arrival_ts = ``ts``; ``day`` is the key-epoch day.
+    channel = ``ch`` + day of the month modulo ``channels``, feed_date =
+    yyyyMMdd of ``ts``, seq = ``event_id``, message = ``props``, arrival_ts =
+    ``ts``; ``day`` is the key-epoch day.
     """
     return events.select(
-        F.lit(channel).alias("channel"),
+        F.concat(F.lit("ch"), (F.dayofmonth("ts") % channels).cast("string")).alias("channel"),
         F.date_format("ts", "yyyyMMdd").alias("feed_date"),
         F.col("event_id").alias("seq"),
         F.col("props").alias("message"),

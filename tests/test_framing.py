@@ -22,6 +22,14 @@ def test_frame_counts_and_roundtrip(spark):
     assert [r.n_frames for r in back] == [1, 1, 1, 2, 2, 2, 2]
 
 
+def test_other_frame_sizes_lose_nothing(spark):
+    texts = ["x" * 1500, "", "é" * 511, "y" * 512]
+    for size in (1, 7, 256, 512, 5000):
+        fr = M.split_frames(_msgs(spark, texts), "ch", "k", "t", size=size)
+        assert max(len(r.mtext) for r in fr.collect()) <= size
+        assert [r.message for r in M.join_frames(fr).orderBy("msg_id").collect()] == texts
+
+
 def test_tail_without_flag_is_held_back(spark):
     fr = M.split_frames(_msgs(spark, ["a" * 10, "b" * 3000]), "ch", "k", "t")
     cut = fr.where(F.col("pos") < 3)  # the closing frame of the second message has not arrived

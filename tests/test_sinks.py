@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedspark.session import scratch_path
@@ -19,25 +20,46 @@ def test_serial_ids_dense_in_feed_order(spark):
     assert keys == sorted(keys)
 
 
+def _name(spark):
+    return "t_" + scratch_path(spark, "x").rsplit("-", 1)[1]
+
+
 def test_preflight_create_then_add_column(spark):
-    name = "t_" + scratch_path(spark, "x").rsplit("-", 1)[1]
+    name = _name(spark)
     assert S.preflight(spark, name, "message", location=scratch_path(spark, name))
     assert [f.name for f in spark.table(name).schema] == ["id", "message"]
-    assert S.preflight(spark, name, "message", extra_columns={"source": "STRING"})
-    assert [f.name for f in spark.table(name).schema] == ["id", "message", "source"]
+    more = {"channel": "STRING", "feed_date": "STRING", "seq": "BIGINT", "source": "STRING"}
+    assert S.preflight(spark, name, "message", extra_columns=more)
     S.append_table(S.with_ids(_feed(spark, 5)), name)
-    assert spark.table(name).count() == 5
-    assert S.preflight(spark, "bad name;", "message") is False
+    assert sorted((r.seq, r.message, r.source) for r in spark.table(name).collect()) == [(i, f"m{i}", "live") for i in range(5)]
+    assert S.required_columns(spark, name) == ["id", "message"]
+
+
+def test_preflight_says_why_not(spark):
+    bad = S.preflight(spark, "bad name;", "message")
+    assert not bad and "bad identifier" in bad.reason
+    name = _name(spark)
+    spark.sql(f"CREATE TABLE {name} (id STRING, message STRING) USING parquet LOCATION '{scratch_path(spark, name)}'")
+    bad = S.preflight(spark, name, "message")
+    assert not bad and bad.reason == "id is string, not bigint"
+
+
+def test_append_never_drops_a_column(spark):
+    name = _name(spark)
+    assert S.preflight(spark, name, "message", location=scratch_path(spark, name))
+    with pytest.raises(ValueError, match="channel, feed_date, seq, source"):
+        S.append_table(S.with_ids(_feed(spark, 5)), name)
+    assert spark.table(name).count() == 0
 
 
-def test_jdbc_append_embedded_derby(spark):
-    url = "jdbc:derby:memory:feedtest;create=true"
-    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    df = S.with_ids(_feed(spark)).select("id", "message")
-    S.append_jdbc(df, url, "FEED", props, num_partitions=2)
-    S.append_jdbc(df, url, "FEED", props)
-    back = spark.read.jdbc(url, "FEED", properties=props)
-    assert back.count() == 100
+def test_refused_rows_go_aside(spark):
+    name, aside = _name(spark), scratch_path(spark, "refused")
+    assert S.preflight(spark, name, "message", scratch_path(spark, name), {"seq": "BIGINT"})
+    rows = spark.createDataFrame([(1, "a", "7"), (2, None, "8"), (3, "c", "x"), (None, None, None)], "id bigint, message string, seq string")
+    assert S.append_checked(rows, name, aside) == (1, 3)
+    assert [tuple(r) for r in spark.table(name).collect()] == [(1, "a", 7)]
+    assert {(r.id, r.reason) for r in spark.read.parquet(aside).collect()} == {
+        (2, "message is null"), (3, "seq is not bigint"), (None, "id is null; message is null")}
 
 
 def test_audit_line_format(spark):
@@ -62,12 +84,18 @@ def test_quarantine_and_audit_writers(spark):
     assert got == ["ERROR: 01/01/24->01:00:00 oversize", "ERROR: 02/01/24->01:00:00 bad_secret"]
 
 
-def test_spread_only_narrow_inputs(spark):
-    from feedspark.session import spread
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from feedspark.session import scratch_root
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        getConf = staticmethod(Conf)
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
 
-    target = spark.sparkContext.defaultParallelism
-    narrow = spark.range(1000).coalesce(1)
-    wide = spark.range(1000, numPartitions=target * 2)
-    assert spread(narrow).rdd.getNumPartitions() == target
-    assert spread(wide).rdd.getNumPartitions() == target * 2
-    assert spread(narrow).count() == 1000
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(Session())
