@@ -6,8 +6,7 @@ by name.
 """
 
 # ---- fixed values (protocol) -------------------------------------------------
-MAX_PACKET_BYTES = 5000          # a packet is kept only when strictly shorter
-QUEUE_CAP = 50000                # packets allowed to wait before new ones are shed
+MAX_PACKET_BYTES = 5000          # packets of this size or more are counted as oversize
 SECRET_LEN = 10                  # authentication secret in front of every packet
 BODY_OFFSET = 11                 # secret plus one unchecked separator byte
 FIELD_SEP = "^"                  # field separator inside a packet / reply

@@ -124,58 +124,42 @@ def key_health(epochs: DataFrame) -> DataFrame:
 KEY_COLS = ["epoch", "cipher", "secret", "prev_cipher", "prev_secret"]
 
 
-def prepare_epochs(epochs: DataFrame, ts_type: str = "timestamp_ntz", unit: str = "HOUR") -> tuple[DataFrame, DataFrame]:
-    """The two lookup sides of the as-of key join.
-
-    ``closed``: every epoch with a successor, exploded over the ``unit``
-    buckets its validity [effective_from, next) overlaps.  ``opened``: the
-    still-open last epoch of each channel (one row per channel).  Both are
-    bounded by the key schedule; a stream prepares them once.
+def epoch_intervals(epochs: DataFrame, until, ts_type: str = "timestamp_ntz", unit: str = "HOUR") -> DataFrame:
+    """The lookup side of the as-of key join: every epoch's validity, one row per ``unit`` bucket that it overlaps.
+
+    An epoch holds from ``effective_from`` to the next one of its channel; of
+    epochs that start at the same instant the last one holds.  The open last
+    epoch ends behind ``until`` (a timestamp literal or column expression, the
+    last instant that will be looked up).  Epochs that begin after ``until``
+    and empty intervals have no row.  The size follows the key schedule and the
+    time span of the packets, not their number.
     """
-    w = Window.partitionBy("channel").orderBy("effective_from")
+    w = Window.partitionBy("channel").orderBy("effective_from", "epoch")
+    bound = F.lit(until).cast(ts_type) + F.expr("INTERVAL 1 MICROSECOND")
     e = epochs.select(
-        "channel",
-        *KEY_COLS,
+        F.col("channel").alias("_ch"),
+        *[F.col(c).alias(f"_k_{c}") for c in KEY_COLS],
         F.col("effective_from").cast(ts_type).alias("_from"),
-        F.lead(F.col("effective_from").cast(ts_type)).over(w).alias("_to"),
+        F.lead(F.col("effective_from").cast(ts_type)).over(w).alias("_next"),
     )
-    step = F.expr(f"INTERVAL 1 {unit}")
+    e = e.withColumn("_to", F.least(F.coalesce(F.col("_next"), bound), bound)).where(F.col("_to") > F.col("_from"))
     last = F.col("_to") - F.expr("INTERVAL 1 MICROSECOND")
-    closed = e.where(F.col("_to").isNotNull()).withColumn(
-        "_bkt", F.explode(F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), step))
-    )
-    closed = closed.select(F.col("channel").alias("_cch"), F.col("_bkt").alias("_cbkt"), "_from", "_to",
-                           *[F.col(c).alias(f"_c_{c}") for c in KEY_COLS])
-    opened = e.where(F.col("_to").isNull()).select(
-        F.col("channel").alias("_och"), F.col("_from").alias("_ofrom"), *[F.col(c).alias(f"_o_{c}") for c in KEY_COLS]
-    )
-    return closed, opened
-
-
-def join_epochs(packets: DataFrame, closed: DataFrame, opened: DataFrame, ts: str = "arrival_ts",
-                unit: str = "HOUR") -> DataFrame:
-    """Attach the key pair in force at ``ts`` from prepared sides (see ``prepare_epochs``)."""
-    p = packets.withColumn("_bkt", F.date_trunc(unit, ts))
-    j = p.join(closed, (F.col("channel") == F.col("_cch")) & (F.col("_bkt") == F.col("_cbkt"))
-               & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to")), "left")
-    j = j.join(opened, (F.col("channel") == F.col("_och")) & (F.col(ts) >= F.col("_ofrom")), "left")
-    return j.select(
-        *packets.columns,
-        *[F.coalesce(F.col(f"_c_{c}"), F.col(f"_o_{c}")).alias(c) for c in KEY_COLS],
-    )
+    buckets = F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), F.expr(f"INTERVAL 1 {unit}"))
+    return e.withColumn("_kbkt", F.explode(buckets)).drop("_next")
 
 
 def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", unit: str = "HOUR") -> DataFrame:
     """K4: attach the key pair in force at ``ts`` (as-of join, exact).
 
-    A closed epoch [effective_from, next effective_from) is exploded over the
-    ``unit`` buckets it overlaps and equi-joined on (channel, bucket) with the
-    interval predicate, so a packet meets only the epochs of its own bucket.
-    The still-open last epoch of each channel (one row per channel) is a
-    second equi-join on channel with ``ts >= effective_from``.  Both sides are
-    bounded by the key schedule, not by the data or the clock; Spark/AQE
-    broadcasts them when their measured size allows, sort-merge with skew
-    splitting beyond.  Packets before any epoch keep null key columns.
+    One equi-join on (channel, ``unit`` bucket) with the interval predicate: a
+    packet meets only the epochs of its own bucket.  Choose ``unit`` about as
+    long as a rotation.  Spark broadcasts the lookup side when its measured
+    size allows, and sorts and merges with skew splitting beyond.  Packets
+    before any epoch keep null key columns.
     """
-    closed, opened = prepare_epochs(epochs, dict(packets.dtypes)[ts], unit)
-    return join_epochs(packets, closed, opened, ts, unit)
+    until = packets.agg(F.max(ts)).first()[0]
+    side = epoch_intervals(epochs, until, dict(packets.dtypes)[ts], unit)
+    j = packets.withColumn("_bkt", F.date_trunc(unit, ts)).join(
+        side, (F.col("channel") == F.col("_ch")) & (F.col("_bkt") == F.col("_kbkt"))
+        & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to")), "left")
+    return j.select(*packets.columns, *[F.col(f"_k_{c}").alias(c) for c in KEY_COLS])

@@ -1,4 +1,4 @@
-"""Gate, decode, authenticate and parse packets (P1-P5, R1-R4) and load shedding."""
+"""Gate, decode, authenticate and parse packets."""
 
 from __future__ import annotations
 
@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from feedspark import constants as C
 from feedspark.functions.codec import b64_decode_prefix, b64_prefix, byte_sum, xor_authenticate
 from feedspark.functions.text import atoi, split_fields
-from feedspark.operators.keys import asof_keys, join_epochs
-from feedspark.operators.numbering import positions
+from feedspark.operators.keys import asof_keys
 
 # ---- fixed values: status labels of the gate ---------------------------------
-OVERSIZE = "oversize"
-SHED = "shed"
 NO_KEY = "no_key"
 BAD_SECRET = "bad_secret"
 INCOMPLETE = "incomplete"
@@ -22,28 +19,25 @@ PASSED_PREVIOUS = "passed_previous"
 # ------------------------------------------------------------------------------
 
 
-def size_ok(wire: Column) -> Column:
-    """A packet is kept only if it is strictly shorter than 5,000 bytes."""
-    return F.octet_length(wire) < C.MAX_PACKET_BYTES
+def oversize(wire: Column) -> Column:
+    """Packets of 5,000 bytes or more are labelled and counted; they are decoded and delivered like any other."""
+    return F.octet_length(wire) >= C.MAX_PACKET_BYTES
 
 
 def authenticate(keyed: DataFrame, wire: str = "wire") -> DataFrame:
     """R1 + P3 + P4 on rows that carry their key pair (see ``asof_keys``).
 
-    Oversize and keyless rows are never decoded.  One Arrow pass per batch
-    XORs with the current cipher, checks the secret, and retries the previous
+    Keyless rows are never decoded.  One Arrow pass per batch XORs with the current cipher, checks the secret, and retries the previous
     cipher only on the rows that failed.  Adds ``status`` and ``body`` (binary,
     after the secret and separator).  Each step is its own projection, so the
     base64 regex and the UDF run once per row.
     """
-    ok_size = size_ok(F.col(wire))
-    x = keyed.withColumn("_b64", F.when(ok_size & F.col("cipher").isNotNull(), b64_prefix(F.col(wire))))
+    x = keyed.withColumn("_b64", F.when(F.col("cipher").isNotNull(), b64_prefix(F.col(wire))))
     x = x.withColumn("_dec", b64_decode_prefix(F.col("_b64")))
     x = x.withColumn("_a", xor_authenticate("_dec", "cipher", "secret", "prev_cipher", "prev_secret"))
     code = F.col("_a.code")
     status = (
-        F.when(~ok_size, F.lit(OVERSIZE))
-        .when(F.col("cipher").isNull(), F.lit(NO_KEY))
+        F.when(F.col("cipher").isNull(), F.lit(NO_KEY))
         .when(code == 1, F.lit(PASSED_CURRENT))
         .when(code == 2, F.lit(PASSED_PREVIOUS))
         .otherwise(F.lit(BAD_SECRET))
@@ -51,16 +45,9 @@ def authenticate(keyed: DataFrame, wire: str = "wire") -> DataFrame:
     return x.withColumn("status", status).withColumn("body", F.col("_a.body")).drop("_b64", "_dec", "_a")
 
 
-def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR", prepared=None) -> DataFrame:
-    """Gate + decode: wire rows -> ``arrival_ts, channel, wire, status, body``.
-
-    ``prepared`` = ``prepare_epochs(...)`` sides, written once by a stream.
-    """
-    if prepared is not None:
-        keyed = join_epochs(wire, *prepared, "arrival_ts", unit)
-    else:
-        keyed = asof_keys(wire, epochs, "arrival_ts", unit)
-    a = authenticate(keyed)
+def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
+    """Gate + decode: wire rows -> ``arrival_ts, channel, wire, epoch, status, body``."""
+    a = authenticate(asof_keys(wire, epochs, "arrival_ts", unit))
     return a.select("arrival_ts", "channel", "wire", "epoch", "status", "body")
 
 
@@ -92,6 +79,7 @@ def parse_fields(decoded: DataFrame) -> DataFrame:
         F.when(passed, F.greatest(F.size(tok) - 3, F.lit(0))).cast("int").alias("extra_fields"),
         status.alias("status"),
         "wire",
+        "epoch",
     )
 
 
@@ -102,14 +90,15 @@ def complete_packets(parsed: DataFrame) -> DataFrame:
     )
 
 
-def packets_from_wire(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR", prepared=None) -> DataFrame:
+def packets_from_wire(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
     """wire -> gate -> decode -> parse -> complete packets."""
-    return complete_packets(parse_fields(decode_packets(wire, epochs, unit, prepared)))
+    return complete_packets(parse_fields(decode_packets(wire, epochs, unit)))
 
 
 def gate_counts(parsed: DataFrame) -> DataFrame:
-    """L8 counters: packets per (channel, status)."""
-    return parsed.groupBy("channel", "status").agg(F.count(F.lit(1)).alias("packets"))
+    """L8 counters: packets per (channel, status), and how many of them were oversize."""
+    return parsed.groupBy("channel", "status").agg(
+        F.count(F.lit(1)).alias("packets"), F.count(F.when(oversize(F.col("wire")), 1)).alias("oversize"))
 
 
 def quarantine_rows(parsed: DataFrame) -> DataFrame:
@@ -118,34 +107,6 @@ def quarantine_rows(parsed: DataFrame) -> DataFrame:
     return parsed.where(bad).select("arrival_ts", "channel", "wire", F.col("status").alias("reason"))
 
 
-# ---------------------------------------------------------------------------
-# Load shedding
-# ---------------------------------------------------------------------------
-
-def mark_shed(wire: DataFrame, cap: int = C.QUEUE_CAP, interval: str = "1 hour", ts: str = "arrival_ts") -> DataFrame:
-    """Flag packets beyond ``cap`` arrivals per (channel, interval) as shed.
-
-    The arrival position inside an interval is computed without a window over
-    the whole interval: numbering runs per (channel, interval, time bucket)
-    and adds a running offset of earlier buckets, so a hot interval spreads
-    over many tasks.
-    """
-    w = wire.withColumn("_iv", F.window(ts, interval).start).withColumn(
-        "_us", F.unix_micros(F.col(ts).cast("timestamp"))
-    )
-    # 10 ms time buckets: even a burst inside one second spreads over many window partitions
-    numbered = positions(w, ["channel", "_iv"], "_us", out="_pos", bucket_width=10_000)
-    return numbered.withColumn("shed", F.col("_pos") >= cap).drop("_us", "_pos")
-
-
-def shed_counts(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("channel", F.col("_iv").alias("interval_start")).agg(
-        F.count(F.lit(1)).alias("received"),
-        F.sum(F.when(~F.col("shed"), 1).otherwise(0)).cast("bigint").alias("kept"),
-        F.sum(F.when(F.col("shed"), 1).otherwise(0)).cast("bigint").alias("shed"),
-    )
-
-
 # ---------------------------------------------------------------------------
 # Legacy layout (checksum)
 # ---------------------------------------------------------------------------

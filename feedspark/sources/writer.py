@@ -22,7 +22,10 @@ WRONG_SECRET = "nosecret00"
 DAILY_REFRESH = "86400"
 # Damage by residue of the number, first match wins:
 #   % 17 = 3 never sent; % 13 = 0 wrong secret; % 11 = 0 previous key;
-#   % 29 = 0 message padded past 5,000 bytes; % 31 = 0 empty message.
+#   % 29 = 0 message padded past 5,000 bytes; % 31 = 0 empty message;
+#   % 37 = 0 two more fields behind the message.
+# Keys by epoch: % 10 = 3 refresh "0"; % 10 = 4 a malformed reply comes first;
+#   % 10 = 5 a cipher outside the key charset; % 10 = 7 a secret that is not 10 bytes.
 PAD_CHAR = "."
 # ------------------------------------------------------------------------------
 
@@ -54,8 +57,7 @@ def demo_key_schedule(feed: DataFrame) -> DataFrame:
     """One key epoch per day present in the feed (server side, plain text).
 
     cipher ``k<ord>cipher`` right-padded with '0' to 10 bytes, secret
-    ``secret<ord:4>``; every tenth epoch (ord % 10 = 3) announces refresh ``0``
-    so the fallback rule is exercised.  The distinct days are a calendar-sized
+    ``secret<ord:4>``, with the faults by epoch listed above.  The distinct days are a calendar-sized
     set, so the window below runs over a handful of rows per channel.
     """
     days = feed.groupBy("channel", "day").agg(F.min("arrival_ts").alias("_first"))
@@ -69,8 +71,10 @@ def demo_key_schedule(feed: DataFrame) -> DataFrame:
         "channel",
         "ord",
         "effective_from",
-        F.rpad(F.concat(F.lit("k"), F.col("ord").cast("string"), F.lit("cipher")), 10, "0").alias("cipher"),
-        F.concat(F.lit("secret"), F.lpad(F.col("ord").cast("string"), 4, "0")).alias("secret"),
+        F.rpad(F.concat(F.lit("k"), F.col("ord").cast("string"), F.when(F.col("ord") % 10 == 5, F.lit("_")).otherwise(F.lit("")),
+                        F.lit("cipher")), 10, "0").alias("cipher"),
+        F.concat(F.when(F.col("ord") % 10 == 7, F.lit("short")).otherwise(F.lit("secret")),
+                 F.lpad(F.col("ord").cast("string"), 4, "0")).alias("secret"),
         F.when(F.col("ord") % 10 == 3, F.lit("0")).otherwise(F.lit(DAILY_REFRESH)).alias("refresh_text"),
     )
     w2 = Window.partitionBy("channel").orderBy("ord")
@@ -82,14 +86,22 @@ def demo_key_schedule(feed: DataFrame) -> DataFrame:
 
 
 def control_replies(schedule: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY) -> DataFrame:
-    """Encode each rotation message ``cipher^secret^seconds`` with the cipher it replaces."""
+    """Encode each rotation message ``cipher^secret^seconds`` with the cipher it replaces.
+
+    Where ``ord % 10 = 4`` a malformed reply (two fields) comes right before
+    the good one, at the same instant; replies are numbered without a gap.
+    """
     key = F.coalesce(F.col("prev_cipher"), F.lit(bootstrap_key))
-    body = F.concat_ws(C.FIELD_SEP, "cipher", "secret", "refresh_text")
-    return schedule.select(
+    good = F.struct((F.col("ord") + F.floor((F.col("ord") + 6) / 10)).cast("int").alias("ord"),
+                    F.concat_ws(C.FIELD_SEP, "cipher", "secret", "refresh_text").alias("body"))
+    bad = F.struct((good["ord"] - 1).alias("ord"), F.concat_ws(C.FIELD_SEP, "cipher", "secret").alias("body"))
+    both = F.when(F.col("ord") % 10 == 4, F.array(bad, good)).otherwise(F.array(good))
+    x = schedule.select("channel", "effective_from", key.alias("_key"), F.explode(both).alias("r"))
+    return x.select(
         "channel",
-        F.col("ord").cast("int").alias("ord"),
+        F.col("r.ord").alias("ord"),
         F.col("effective_from").alias("arrival_ts"),
-        encode(body, key).alias("wire"),
+        encode(F.col("r.body"), F.col("_key")).alias("wire"),
     )
 
 
@@ -105,6 +117,7 @@ def demo_damage(seq: Column) -> Column:
         .when(seq % 11 == 0, F.lit("previous_key"))
         .when(seq % 29 == 0, F.lit("oversize"))
         .when(seq % 31 == 0, F.lit("empty"))
+        .when(seq % 37 == 0, F.lit("extra"))
     )
 
 
@@ -131,6 +144,7 @@ def demo_wire(feed: DataFrame, schedule: DataFrame, with_truth: bool = False) ->
     message = (
         F.when(F.col("damage") == "oversize", F.concat("message", F.expr(f"repeat('{PAD_CHAR}', {C.MAX_PACKET_BYTES})")))
         .when(F.col("damage") == "empty", F.lit(""))
+        .when(F.col("damage") == "extra", F.concat("message", F.lit("^x^y")))
         .otherwise(F.col("message"))
     )
     out = f.select(

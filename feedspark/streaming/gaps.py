@@ -5,8 +5,8 @@ so a hot date spreads over many state keys and tasks.  Each key holds the
 lowest and highest number seen and its open gap ranges (ranges, not numbers).
 A new number above the maximum opens the run between; a number inside an
 open range closes it and re-opens what is left on either side.  The query
-emits ``opened`` / ``closed`` range rows and ``bounds`` rows; the current
-missing set is their fold (``fold_gap_events``), with the gaps that straddle
+emits ``opened`` / ``closed`` range rows, ``bounds`` rows, and ``evicted`` rows
+for state that the retention period ends; the current missing set is their fold (``fold_gap_events``), with the gaps that straddle
 buckets rebuilt from the bounds exactly as the batch operator does.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from feedspark import constants as C
-from feedspark.operators.loss import expand_ranges
+from feedspark.operators.loss import _apart, expand_ranges, range_size
 
 EVENTS = T.StructType([
     T.StructField("channel", T.StringType()),
@@ -88,7 +88,11 @@ def _processor(retention_ms: int | None):
     def run(key, pdfs: Iterator[pd.DataFrame], state):
         channel, feed_date, bucket = key
         if state.hasTimedOut:
-            # the date left tracking (no arrivals for the retention period): its ranges stay as logged
+            # the date left tracking (no arrivals for the retention period): its ranges stay as logged, and the log says so
+            if state.exists:
+                mn, mx, _, _ = state.get
+                yield pd.DataFrame({"channel": [channel], "feed_date": [feed_date], "bucket": [int(bucket)], "kind": ["evicted"],
+                                    "lo": [int(mn)], "hi": [int(mx)]})
             state.remove()
             return
         if state.exists:
@@ -147,7 +151,7 @@ def gap_events(packets: DataFrame, width: int = C.SEQ_BUCKET, retention_s: int |
 def fold_gap_events(events: DataFrame) -> DataFrame:
     """Current gap ranges from the event log: open interior ranges plus the gaps between buckets."""
     keys = ["channel", "feed_date"]
-    rng = events.where(F.col("kind") != "bounds").groupBy(*keys, "lo", "hi").agg(
+    rng = events.where(F.col("kind").isin("opened", "closed")).groupBy(*keys, "lo", "hi").agg(
         F.sum(F.when(F.col("kind") == "opened", 1).otherwise(-1)).alias("_open")
     )
     interior = rng.where(F.col("_open") > 0).select(*keys, "lo", "hi")
@@ -157,10 +161,10 @@ def fold_gap_events(events: DataFrame) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("bucket")
     cross = (
         b.withColumn("_nmn", F.lead("_mn").over(w))
-        .where(F.col("_nmn") - F.col("_mx") > 1)
+        .where(_apart("_mx", "_nmn"))
         .select(*keys, (F.col("_mx") + 1).alias("lo"), (F.col("_nmn") - 1).alias("hi"))
     )
-    return interior.unionByName(cross).withColumn("n", F.col("hi") - F.col("lo") + 1)
+    return interior.unionByName(cross).withColumn("n", range_size())
 
 
 def missing_from_events(events: DataFrame) -> DataFrame:

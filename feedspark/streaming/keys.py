@@ -5,7 +5,7 @@ is its current and previous (cipher, secret), the epoch counter, the next
 reply number due, and the replies that arrived ahead of a gap.  Each
 micro-batch applies the contiguous run of replies from the next number due
 with the same step as the batch fold; replies after a missing number wait in
-state until it arrives, and replayed ones are ignored -- so the stream gives
+state until it arrives or the wait is over, and replayed ones are ignored -- so the stream gives
 the batch epochs whatever order the files are picked up in.
 """
 
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from feedspark import constants as C
 from feedspark import schemas
 from feedspark.functions.codec import b64_decode_lenient
 from feedspark.operators.keys import fold_step, initial_state
 from feedspark.sources.writer import BOOTSTRAP_KEY
 
+WAIT_S = 7 * 86400                         # how long (by arrival times) replies wait for an earlier one
+
 STATE = T.StructType([
     T.StructField("cipher", T.BinaryType()),
     T.StructField("secret", T.BinaryType()),
@@ -41,7 +44,16 @@ def _opt(b):
     return None if b is None else bytes(b)
 
 
-def _processor(bootstrap: bytes, first_ord: int):
+def _skipped(channel: str, first: int, last: int, at) -> pd.DataFrame:
+    """Log rows of replies that never came: not ok, no key."""
+    n = last - first
+    none = [None] * n
+    return pd.DataFrame({"channel": [channel] * n, "ord": list(range(first, last)), "arrival_ts": [at] * n, "ok": [False] * n,
+                         "epoch": [-1] * n, "cipher": none, "secret": none, "refresh_s": [C.REFRESH_AFTER_BAD_S] * n,
+                         "prev_cipher": none, "prev_secret": none})
+
+
+def _processor(bootstrap: bytes, first_ord: int, wait_s: int):
     def run(key, pdfs: Iterator[pd.DataFrame], state):
         if state.exists:
             c, s, pc, ps, e, nxt, w_ord, w_ts, w_dec = state.get
@@ -56,30 +68,43 @@ def _processor(bootstrap: bytes, first_ord: int):
         parts = [p for p in pdfs] + ([waiting] if waiting is not None and len(waiting) else [])
         pdf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["channel", "ord", "arrival_ts", "decoded"])
         pdf = pdf[pdf["ord"] >= nxt].drop_duplicates("ord").sort_values("ord", kind="stable")
-        ords = pdf["ord"].to_numpy()
-        run_len = 0
-        while run_len < len(ords) and ords[run_len] == nxt + run_len:
-            run_len += 1
-        ready, later = pdf.iloc[:run_len], pdf.iloc[run_len:]
-        st, out = fold_step(st, ready)
+        outs, later, newest = [], pdf, pd.to_datetime(pdf["arrival_ts"]).max() if len(pdf) else None
+        while True:
+            ords = later["ord"].to_numpy()
+            run_len = 0
+            while run_len < len(ords) and ords[run_len] == nxt + run_len:
+                run_len += 1
+            ready, later = later.iloc[:run_len], later.iloc[run_len:]
+            st, out = fold_step(st, ready)
+            outs.append(out)
+            nxt += run_len
+            # the reply that the others wait for is given up once they have waited long enough
+            if not len(later) or newest - pd.to_datetime(later["arrival_ts"]).min() < pd.Timedelta(seconds=wait_s):
+                break
+            first = int(later["ord"].iloc[0])
+            outs.append(_skipped(key[0], int(nxt), first, later["arrival_ts"].iloc[0]))
+            nxt = first
+        outs = [o for o in outs if len(o)]
         ts_ns = pd.to_datetime(later["arrival_ts"]).astype("int64").tolist() if len(later) else []
-        state.update(st + (int(nxt + run_len), [int(o) for o in later["ord"]], [int(t) for t in ts_ns],
+        state.update(st + (int(nxt), [int(o) for o in later["ord"]], [int(t) for t in ts_ns],
                            [bytes(d) if d is not None else None for d in later["decoded"]]))
-        if len(out):
-            yield out
+        if outs:
+            yield pd.concat(outs, ignore_index=True)
 
     return run
 
 
-def fold_stream(replies: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY, first_ord: int = 0) -> DataFrame:
+def fold_stream(replies: DataFrame, bootstrap_key: str = BOOTSTRAP_KEY, first_ord: int = 0, wait_s: int = WAIT_S) -> DataFrame:
     """Streaming replies (channel, ord, arrival_ts, wire) -> one fold row per reply (``KEY_FOLD``).
 
     Replies are numbered from ``first_ord`` per channel; one that arrives
-    before an earlier number waits in state until that number arrives.
+    before an earlier number waits in state until that number arrives, or until
+    replies ``wait_s`` younger have come: then the missing ones are logged as
+    not ok and the fold goes on with the next reply.
     """
     pre = replies.select("channel", "ord", "arrival_ts", b64_decode_lenient("wire").alias("decoded"))
     return pre.groupBy("channel").applyInPandasWithState(
-        _processor(bootstrap_key.encode(), first_ord), schemas.KEY_FOLD, STATE, "append", GroupStateTimeout.NoTimeout
+        _processor(bootstrap_key.encode(), first_ord, wait_s), schemas.KEY_FOLD, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 

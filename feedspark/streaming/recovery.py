@@ -1,11 +1,16 @@
 """Recovery on a stream (B8): a periodic job that backfills whatever is missing now.
 
 It runs as its own query over the gap-event log written by the gap tracker
-(``foreachBatch``, every 10 s in production, ``availableNow`` in tests).  Each
-micro-batch re-folds only the (channel, date) pairs whose gap events changed,
-subtracts what was already recovered, looks the rest up in the archive and
-writes the recovered rows under its batch id (overwrite of that one folder),
-so a replayed batch after a failure writes the same rows again, not twice.
+(``foreachBatch``, every 10 s in production, ``availableNow`` in tests).  The
+log is partitioned by date.  Each batch folds the dates that got new events,
+takes the ranges still open from the batch before for all other dates, looks
+every open number up in the archive and writes, under its batch id, what was
+recovered and which ranges stay open.  So a number that the archive lacked is
+looked up again in every batch, and no batch reads the log of a quiet date.
+
+A replayed batch rewrites its own folders.  It may recover more than the
+first try did, if the log or the archive has grown since; it never writes a
+number twice.
 """
 
 from __future__ import annotations
@@ -15,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedspark import constants as C
-from feedspark.streaming.gaps import EVENTS, missing_from_events
+from feedspark.operators.loss import expand_ranges
+from feedspark.operators.recovery import lookup, open_ranges
+from feedspark.session import materialize
+from feedspark.streaming.gaps import EVENTS, fold_gap_events
 
 RECOVERED = T.StructType([
     T.StructField("channel", T.StringType()),
@@ -24,46 +32,56 @@ RECOVERED = T.StructType([
     T.StructField("message", T.StringType()),
     T.StructField("source", T.StringType()),
 ])
+_BATCH = T.StructField("batch_id", T.LongType())
+_OPEN = T.StructType([*EVENTS.fields[:2], T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+
 
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, _BATCH])).parquet(path)
 
-# The written layout: one folder per micro-batch id.
-_STORED = T.StructType(RECOVERED.fields + [T.StructField("batch_id", T.LongType())])
 
+def recover(spark: SparkSession, events_path: str, archive: DataFrame, out: str, touched: DataFrame, batch_id: int) -> None:
+    """One pass: fold the ``touched`` (channel, feed_date) pairs, look all open numbers up, write the outcome.
 
-def recovery_batch(spark: SparkSession, events_path: str, archive: DataFrame, recovered_path: str):
-    """The ``foreachBatch`` body.  Only batches before this one count as already recovered, so a
-    replay of this batch (after a failure) recomputes and rewrites the same rows."""
+    With an empty ``touched`` it only tries the open ranges again.
+    """
     keys = ["channel", "feed_date"]
+    touched = materialize(touched.select(*keys).distinct(), "touched", spark)
+    events = spark.read.schema(EVENTS).parquet(events_path).join(touched, keys, "left_semi")
+    done = _stored(spark, f"{out}/recovered", RECOVERED).where(F.col("batch_id") < batch_id).select(*keys, "seq")
+    fresh = open_ranges(fold_gap_events(events), done.join(touched, keys, "left_semi")).select(*keys, "lo", "hi")
+    before = _stored(spark, f"{out}/open", _OPEN).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+    now = materialize(fresh.unionByName(before.join(touched, keys, "left_anti")), "open", spark)
+    found = lookup(expand_ranges(now), archive).select(*keys, "seq", "message", F.lit("recovered").alias("source"))
+    found.write.mode("overwrite").parquet(f"{out}/recovered/batch_id={batch_id}")
+    got = _stored(spark, f"{out}/recovered", RECOVERED).where(F.col("batch_id") == batch_id)
+    open_ranges(now, got).select(*keys, "lo", "hi").write.mode("overwrite").parquet(f"{out}/open/batch_id={batch_id}")
+
+
+def recovery_batch(spark: SparkSession, events_path: str, archive: DataFrame, out: str):
+    """The ``foreachBatch`` body."""
+    return lambda batch, batch_id: recover(spark, events_path, archive, out, batch, batch_id)
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select(*keys).distinct()
-        events = spark.read.schema(EVENTS).parquet(events_path).join(touched, keys, "left_semi")
-        missing = missing_from_events(events)
-        done = (spark.read.schema(_STORED).parquet(recovered_path)
-                .where(F.col("batch_id") < batch_id).select(*keys, "seq"))
-        todo = missing.join(done, keys + ["seq"], "left_anti")
-        rec = todo.join(archive.select(*keys, "seq", "message"), keys + ["seq"], "inner")
-        rec.select(*keys, "seq", "message", F.lit("recovered").alias("source")).write.mode("overwrite").parquet(
-            f"{recovered_path}/batch_id={batch_id}"
-        )
 
-    return run
+def prepare(spark: SparkSession, out: str) -> None:
+    """Empty folders, so that the first batch has something to read."""
+    spark.createDataFrame([], RECOVERED).write.mode("overwrite").parquet(f"{out}/recovered/batch_id=-1")
+    spark.createDataFrame([], _OPEN).write.mode("overwrite").parquet(f"{out}/open/batch_id=-1")
 
 
-def start_recovery(spark: SparkSession, events_path: str, archive: DataFrame, recovered_path: str,
+def start_recovery(spark: SparkSession, events_path: str, archive: DataFrame, out: str,
                    checkpoint: str, available_now: bool = True, period: str = C.RECOVERY_PERIOD):
     """Start the recovery query over the gap-event files; returns the running query."""
-    spark.createDataFrame([], RECOVERED).write.mode("overwrite").parquet(f"{recovered_path}/batch_id=-1")
+    prepare(spark, out)
     stream = spark.readStream.schema(EVENTS).parquet(events_path)  # all new event files per trigger
     trig = {"availableNow": True} if available_now else {"processingTime": period}
     return (
-        stream.writeStream.foreachBatch(recovery_batch(spark, events_path, archive, recovered_path))
+        stream.writeStream.foreachBatch(recovery_batch(spark, events_path, archive, out))
         .option("checkpointLocation", checkpoint)
         .trigger(**trig)
         .start()
     )
 
 
-def read_recovered(spark: SparkSession, recovered_path: str) -> DataFrame:
-    cols = [f.name for f in RECOVERED.fields]
-    return spark.read.schema(_STORED).parquet(recovered_path).select(*cols)
+def read_recovered(spark: SparkSession, out: str) -> DataFrame:
+    return _stored(spark, f"{out}/recovered", RECOVERED).drop("batch_id")

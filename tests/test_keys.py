@@ -55,3 +55,25 @@ def test_asof_join_matches_brute_force(spark):
         cand = ep[(ep.channel == r.channel) & (ep.effective_from <= r.arrival_ts)]
         want = None if cand.empty else int(cand.sort_values("effective_from").epoch.iloc[-1])
         assert got[r.id] == want
+
+
+def test_asof_ties_and_early_packets(spark):
+    t0 = dt.datetime(2024, 1, 1, 5)
+    h = dt.timedelta(hours=1)
+    epochs = [("a", 0, t0, "k0"), ("a", 1, t0 + h, "k1"), ("a", 2, t0 + h, "k2"), ("a", 3, t0 + 3 * h, "k3"), ("b", 0, t0 + 9 * h, "z")]
+    e = spark.createDataFrame(epochs, "channel string, epoch int, effective_from timestamp_ntz, cipher string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("secret", "prev_cipher", "prev_secret")})
+    pk = [("a", t0 - h), ("a", t0), ("a", t0 + h), ("a", t0 + 2.5 * h), ("a", t0 + 50 * h), ("b", t0), ("c", t0)]
+    p = spark.createDataFrame(pk, "channel string, arrival_ts timestamp_ntz")
+    for unit in ("HOUR", "MINUTE", "DAY"):
+        got = {(r.channel, r.arrival_ts): r.cipher for r in K.asof_keys(p, e, unit=unit).collect()}
+        assert [got[x] for x in pk] == [None, "k0", "k2", "k2", "k3", None, None]
+    assert K.asof_keys(p.where("false"), e).count() == 0
+
+
+def test_asof_plan_has_one_hash_join(spark):
+    e = spark.createDataFrame([("x", 0, dt.datetime(2024, 1, 1), "k")], "channel string, epoch int, effective_from timestamp_ntz, cipher string")
+    e = e.withColumns({c: F.lit(None).cast("string") for c in ("secret", "prev_cipher", "prev_secret")})
+    p = spark.range(10).select(F.lit("x").alias("channel"), F.expr("timestamp_ntz'2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, id)").alias("arrival_ts"))
+    plan = K.asof_keys(p, e)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and plan.count("Join ") == 1

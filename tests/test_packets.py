@@ -23,9 +23,14 @@ def _keyed(spark, wires):
               "prev_cipher string, prev_secret string")
 
 
-def test_size_gate_boundary(spark):
+def test_size_label_boundary_and_delivery(spark):
     df = spark.createDataFrame([("a" * 4999,), ("a" * 5000,)], "w string")
-    assert [r.ok for r in df.select(P.size_ok(F.col("w")).alias("ok")).collect()] == [True, False]
+    assert [r.big for r in df.select(P.oversize(F.col("w")).alias("big")).collect()] == [False, True]
+    keyed = _keyed(spark, [_wire(SEC + b"^20240101^5^" + b"m" * 9000, CUR)]).withColumn("epoch", F.lit(0))
+    got = P.parse_fields(P.authenticate(keyed))
+    assert got.first().message == "m" * 9000
+    c = P.gate_counts(got).first()
+    assert (c.status, c.packets, c.oversize) == ("passed_current", 1, 1)
 
 
 def test_secret_check_and_fallback(spark):
@@ -51,7 +56,7 @@ def test_nine_byte_secret_never_matches(spark):
 def test_parse_rules(spark):
     bodies = ["d^1^m", "d^1", "d^1^", "d^^m", "d^1^m^x", " 12x^3^m"]
     wires = [_wire(SEC + b"^" + b.encode(), CUR) for b in bodies]
-    dec = P.authenticate(_keyed(spark, wires)).select("arrival_ts", "channel", "wire", "status", "body")
+    dec = P.authenticate(_keyed(spark, wires)).select("arrival_ts", "channel", "wire", "status", "body", F.lit(0).alias("epoch"))
     got = P.parse_fields(dec).collect()
     assert [r.status for r in got] == ["passed_current", "incomplete", "incomplete", "incomplete",
                                        "passed_current", "passed_current"]
@@ -60,15 +65,6 @@ def test_parse_rules(spark):
     assert got[5].feed_date == " 12x" and got[5].seq == 3
 
 
-def test_load_shed_marks_excess(spark):
-    rows = [(TS + dt.timedelta(microseconds=i * 7), "c", "w") for i in range(50)]
-    df = spark.createDataFrame(rows, "arrival_ts timestamp_ntz, channel string, wire string")
-    m = P.mark_shed(df, cap=20, interval="1 hour").orderBy("arrival_ts").collect()
-    assert [r.shed for r in m] == [False] * 20 + [True] * 30
-    c = P.shed_counts(P.mark_shed(df, cap=20)).first()
-    assert (c.received, c.kept, c.shed) == (50, 20, 30)
-
-
 def test_legacy_checksum(spark):
     tail = "^120511^7^0^price"
     s = sum(tail.encode())
@@ -90,6 +86,6 @@ def test_kafka_records_decode_like_files(spark):
     w = wire_from_kafka(df)
     assert [r.channel for r in w.collect()] == ["c", "t"]
     keyed = w.select("*", F.lit(CUR.decode()).alias("cipher"), F.lit(SEC.decode()).alias("secret"),
-                     F.lit(None).cast("string").alias("prev_cipher"), F.lit(None).cast("string").alias("prev_secret"))
+                     F.lit(None).cast("string").alias("prev_cipher"), F.lit(None).cast("string").alias("prev_secret"), F.lit(0).alias("epoch"))
     got = P.parse_fields(P.authenticate(keyed)).collect()
     assert [(r.seq, r.message) for r in got] == [(5, "m"), (6, "n")]

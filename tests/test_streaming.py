@@ -118,28 +118,89 @@ def test_retention_drops_old_dates_from_tracking(spark):
          .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = sorted((r.feed_date, r.seq) for r in SG.missing_from_events(spark.read.schema(SG.EVENTS).parquet(out)).collect())
+    assert [r.feed_date for r in spark.read.schema(SG.EVENTS).parquet(out).where("kind = 'evicted'").collect()] == ["A"]
     # A: 3 and 4 stay missing (3 arrived after tracking ended); B: 2 healed, 3, 5-8 missing
     assert got == [("A", 3), ("A", 4), ("B", 3), ("B", 5), ("B", 6), ("B", 7), ("B", 8)]
 
 
-def test_recovery_batch_replay_is_idempotent(spark):
+def test_recovery_retries_open_ranges_and_survives_replays(spark):
     from feedspark.streaming import recovery as SR
 
-    ev_path = scratch_path(spark, "ev")
+    ev_path, out = scratch_path(spark, "ev"), scratch_path(spark, "rec")
     events = spark.createDataFrame(
         [("c", "D", 0, "opened", 3, 5), ("c", "D", 0, "opened", 7, 8), ("c", "D", 0, "bounds", 1, 9)], SG.EVENTS)
-    events.write.parquet(ev_path)
+    events.write.partitionBy("feed_date").parquet(ev_path)
     archive = spark.createDataFrame([("c", "D", s, f"m{s}") for s in range(1, 10) if s != 4],
                                     "channel string, feed_date string, seq bigint, message string")
-    rec_path = scratch_path(spark, "rec")
-    spark.createDataFrame([], SR.RECOVERED).write.parquet(f"{rec_path}/batch_id=-1")
-    run = SR.recovery_batch(spark, ev_path, archive, rec_path)
-    run(events, 0)
-    run(events, 0)  # the same batch replayed after a failure
-    got = sorted(r.seq for r in SR.read_recovered(spark, rec_path).collect())
-    assert got == [3, 5, 7, 8]
-    run(events, 1)  # a later batch finds nothing new to recover
-    assert sorted(r.seq for r in SR.read_recovered(spark, rec_path).collect()) == [3, 5, 7, 8]
+    SR.prepare(spark, out)
+    got = lambda: sorted(r.seq for r in SR.read_recovered(spark, out).collect())
+    SR.recover(spark, ev_path, archive, out, events, 0)
+    SR.recover(spark, ev_path, archive, out, events, 0)  # the same batch replayed after a failure
+    assert got() == [3, 5, 7, 8]
+    SR.recover(spark, ev_path, archive, out, events, 1)  # nothing new to recover
+    assert got() == [3, 5, 7, 8]
+    late = archive.unionByName(spark.createDataFrame([("c", "D", 4, "m4")], archive.schema))
+    SR.recover(spark, ev_path, late, out, events.where("false"), 2)  # no new gap events, but the archive has more
+    assert got() == [3, 4, 5, 7, 8]
+
+
+def test_lost_reply_does_not_stall_the_channel(spark):
+    import base64
+    import datetime as dt
+
+    from feedspark.streaming import keys as SK
+
+    enc = lambda text, key: base64.b64encode(bytes(b ^ key[i % len(key)] for i, b in enumerate(text))).decode()
+    t0, boot = dt.datetime(2024, 1, 1), b"boot-key-x"
+    rows = [("c", 0, t0, enc(b"k0^s0^60", boot)), ("c", 2, t0 + dt.timedelta(hours=2), enc(b"k2^s2^60", b"k0")),
+            ("c", 3, t0 + dt.timedelta(hours=30), enc(b"k3^s3^60", b"k2"))]
+    path, out = scratch_path(spark, "rep"), scratch_path(spark, "fold")
+    df = spark.createDataFrame(rows, "channel string, ord int, arrival_ts timestamp_ntz, wire string")
+    SK.land_replies(df, path, files=4)
+    q = (SK.fold_stream(SK.read_replies_stream(spark, path), wait_s=86400).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r.ord: (r.ok, r.cipher) for r in spark.read.schema(schemas.KEY_FOLD).parquet(out).collect()}
+    assert got == {0: (True, "k0"), 1: (False, None), 2: (True, "k2"), 3: (True, "k3")}
+
+
+def test_gate_holds_packets_for_keys_that_come_later(spark):
+    import base64
+    import datetime as dt
+
+    from feedspark.streaming import gate as G
+
+    enc = lambda text, key: base64.b64encode(bytes(b ^ key[i % len(key)] for i, b in enumerate(text))).decode()
+    t0, hour, ciphers = dt.datetime(2024, 1, 1), dt.timedelta(hours=1), ["alphaalpha", "bravobravo", "charliecha"]
+
+    def fold(epoch):
+        return ("c", epoch, t0 + epoch * hour, True, epoch, ciphers[epoch], f"secret{epoch:04d}", 60, None, None)
+
+    def packet(epoch, n):
+        return (t0 + epoch * hour + dt.timedelta(minutes=n), "c", enc(f"secret{epoch:04d}^20240101^{n}^m".encode(), ciphers[epoch].encode()))
+
+    folds, out = scratch_path(spark, "fold"), scratch_path(spark, "gate")
+    spark.createDataFrame([fold(0)], schemas.KEY_FOLD).write.parquet(folds)
+    wire, ck = scratch_path(spark, "wire"), scratch_path(spark, "ck")
+
+    def go(rows):
+        G.land_wire(spark.createDataFrame(rows, schemas.WIRE), wire, 1)
+        G.start_gate(G.read_wire_stream(spark, wire), folds, out, ck).awaitTermination()
+        return (sorted(r.seq for r in G.read_packets(spark, out).collect()), G.read_waiting(spark, out).count(),
+                sorted(r.reason for r in G.read_rejected(spark, out).collect()))
+
+    bad = (t0 + dt.timedelta(minutes=30), "c", enc(b"nosecret00^20240101^9^m", ciphers[0].encode()))
+    assert go([packet(0, 1), packet(1, 2), bad]) == ([1], 2, [])
+    assert go([packet(2, 3)]) == ([1], 3, [])
+    spark.createDataFrame([fold(1)], schemas.KEY_FOLD).write.mode("append").parquet(folds)
+    assert go([packet(1, 4)]) == ([1, 2, 4], 1, ["bad_secret"])
+    spark.createDataFrame([fold(2)], schemas.KEY_FOLD).write.mode("append").parquet(folds)
+    last = G.last_batch(spark, out)
+    for _ in range(2):  # the second is a replay
+        G.gate_batch(spark, folds, out)(spark.createDataFrame([packet(2, 5)], schemas.WIRE), last + 1)
+    assert sorted(r.seq for r in G.read_packets(spark, out).collect()) == [1, 2, 3, 4, 5]
+    counts = {r.outcome: r.packets for r in G.gate_counts(spark, out).collect()}
+    assert counts == {"passed": 5, "bad_secret": 1}
 
 
 def test_key_fold_stream_out_of_order_files(spark):
