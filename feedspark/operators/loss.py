@@ -9,9 +9,10 @@ of 0 and add nothing, so no separate DISTINCT shuffle is needed.
 
 from __future__ import annotations
 
+from math import ceil, log2
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
@@ -19,51 +20,71 @@ from feedspark import constants as C
 KEYS = ("channel", "feed_date")
 
 
-def _bucketed(numbers: DataFrame, keys: Sequence[str], seq: str, width: int) -> DataFrame:
+def _bucketed(numbers: DataFrame, keys: Sequence[str], seq: str, width: int, opens: str | None = None) -> DataFrame:
     keys = list(keys)
-    w = Window.partitionBy(*keys, "_b").orderBy(seq)
-    x = numbers.select(*keys, F.col(seq).alias("seq"), F.floor(F.col(seq) / F.lit(width)).alias("_b"))
+    w = Window.partitionBy(*keys, "_b").orderBy("seq", "_opens")
+    x = numbers.select(*keys, F.col(seq).alias("seq"), F.floor(F.col(seq) / F.lit(width)).alias("_b"),
+                       (F.col(opens) if opens else F.lit(True)).alias("_opens"))
     return x.withColumn("_next", F.lead("seq").over(w))
 
 
-def gap_ranges(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", width: int = C.SEQ_BUCKET) -> DataFrame:
+def _apart(low: str, high: str) -> Column:
+    """Whether there is a number between two others; never leaves the range of a bigint."""
+    return F.when(F.col(high) > F.col(low), F.col(high) - 1 > F.col(low)).otherwise(F.lit(False))
+
+
+def range_size(lo: str = "lo", hi: str = "hi") -> Column:
+    """Numbers in lo..hi, exact over the whole bigint range."""
+    big = "decimal(20,0)"
+    return (F.col(hi).cast(big) - F.col(lo).cast(big) + F.lit(1)).cast(big)
+
+
+def gap_ranges(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", width: int = C.SEQ_BUCKET,
+               opens: str | None = None) -> DataFrame:
     """One row per run of lost numbers between two received neighbours: ``lo, hi, n``.
 
     Loss before the first or after the last received number of a group cannot
-    be seen (same as the original receiver).
+    be seen (same as the original receiver).  With the boolean column
+    ``opens`` only what follows a number that has it set can be lost.  Sparse
+    numbers make many buckets; the second window then runs over the buckets'
+    edges, as long as the group has buckets.
     """
     keys = list(keys)
-    x = _bucketed(numbers, keys, seq, width)
-    inner = x.where(F.col("_next") - F.col("seq") > 1).select(
+    x = _bucketed(numbers, keys, seq, width, opens)
+    inner = x.where(F.col("_opens") & _apart("seq", "_next")).select(
         *keys, (F.col("seq") + 1).alias("lo"), (F.col("_next") - 1).alias("hi")
     )
-    edges = x.groupBy(*keys, "_b").agg(F.min("seq").alias("_mn"), F.max("seq").alias("_mx"))
+    edges = x.groupBy(*keys, "_b").agg(F.min("seq").alias("_mn"), F.max(F.struct("seq", "_opens")).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_b")
     cross = (
-        edges.withColumn("_nmn", F.lead("_mn").over(wb))
-        .where(F.col("_nmn") - F.col("_mx") > 1)
+        edges.select(*keys, F.col("_last.seq").alias("_mx"), F.col("_last._opens").alias("_opens"),
+                     F.lead("_mn").over(wb).alias("_nmn"))
+        .where(F.col("_opens") & _apart("_mx", "_nmn"))
         .select(*keys, (F.col("_mx") + 1).alias("lo"), (F.col("_nmn") - 1).alias("hi"))
     )
-    r = inner.unionByName(cross)
-    return r.withColumn("n", F.col("hi") - F.col("lo") + 1)
+    return inner.unionByName(cross).withColumn("n", range_size())
 
 
 def expand_ranges(ranges: DataFrame, keys: Sequence[str] = KEYS, chunk: int = C.EXPAND_CHUNK) -> DataFrame:
     """L4: one row per lost number.
 
-    Every range is cut into chunks of at most ``chunk`` numbers (one chunk for
-    ordinary gaps), the chunk rows are hash-spread over the cluster, and each
-    chunk is exploded there -- a corrupt, huge jump never builds one big array
-    or lands in one task.  The ranges are read once (one extra shuffle of small
-    chunk rows instead of a second pass over the numbers).
+    Ranges stay ranges until here.  They are cut level by level: each level
+    turns a range into at most ``chunk`` parts, as many levels as the bigint
+    range needs, and an ordinary gap passes all of them as one part.  No array
+    is longer than ``chunk``, and the parts of a huge range are spread over the
+    cluster before the next level.
     """
     keys = list(keys)
-    n_chunks = F.floor((F.col("n") - 1) / chunk).cast("bigint")
-    pieces = ranges.select(
-        *keys, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), n_chunks)).alias("_k")
-    ).repartition(*keys, "lo", "_k")
-    start = F.col("lo") + F.col("_k") * chunk
-    return pieces.select(*keys, F.explode(F.sequence(start, F.least(F.col("hi"), start + (chunk - 1)))).alias("seq"))
+    pieces = ranges.select(*keys, "lo", "hi")
+    for level in range(ceil(64 / log2(chunk)) - 1, 0, -1):
+        width = chunk ** level
+        part = F.lit(width).cast("decimal(20,0)")
+        count = F.floor((range_size() - 1) / part).cast("bigint")
+        at = (F.col("lo").cast("decimal(38,0)") + F.col("_k") * part)
+        pieces = pieces.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), count))).select(
+            *keys, at.cast("bigint").alias("lo"), F.least(F.col("hi").cast("decimal(38,0)"), at + part - 1).cast("bigint").alias("hi"))
+        pieces = pieces.repartition(*keys, "lo") if level > 1 else pieces
+    return pieces.repartition(*keys, "lo").select(*keys, F.explode(F.sequence("lo", "hi")).alias("seq"))
 
 
 def gaps(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq", width: int = C.SEQ_BUCKET) -> DataFrame:
@@ -88,7 +109,7 @@ def loss_summary(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq
         F.min("_mn").alias("first_seq"),
         F.max("_mx").alias("last_seq"),
     )
-    return s.withColumn("lost", F.col("last_seq") - F.col("first_seq") + 1 - F.col("distinct_numbers"))
+    return s.withColumn("lost", (range_size("first_seq", "last_seq") - F.col("distinct_numbers")).cast("decimal(20,0)"))
 
 
 def live_dates(packets: DataFrame, keep: int = 2) -> DataFrame:
@@ -102,3 +123,9 @@ def live_dates(packets: DataFrame, keep: int = 2) -> DataFrame:
     )
     w = Window.partitionBy("channel").orderBy(F.col("first_arrival").desc(), F.col("feed_date").desc())
     return d.withColumn("arrival_rank", F.row_number().over(w)).withColumn("tracked", F.col("arrival_rank") <= keep)
+
+
+def tracked(packets: DataFrame, keep: int = 2) -> DataFrame:
+    """The packets of the tracked dates: what loss is looked for in when the live-date rule applies."""
+    live = live_dates(packets, keep).where("tracked").select("channel", "feed_date")
+    return packets.join(live, ["channel", "feed_date"], "left_semi")

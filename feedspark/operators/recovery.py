@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
 from feedspark.functions.codec import b64_encode
-from feedspark.operators.numbering import positions
+from feedspark.operators.loss import gap_ranges
+from feedspark.operators.numbering import number_rows
+from feedspark.session import materialize
 
 KEYS = ["channel", "feed_date"]
 
 
-def assign_batches(missing: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
-    """B1: batch number of every lost number: its position within (channel, feed_date) div ``batch_size``.
+def assign_ranges(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
+    """B1 on ranges: (channel, feed_date, batch_no, lo, hi), each range cut where a request batch ends.
 
-    Positions are bucketed (no window over a whole date).
+    The batch of a lost number is its position among the lost numbers of its
+    (channel, feed_date) div ``batch_size``; positions of ranges are running
+    sums of their sizes, so no number is written out.  A batch has at most
+    ``batch_size`` parts, and a huge range is cut in levels of bounded width.
     """
-    pos = positions(missing.select(*KEYS, "seq"), KEYS, "seq", out="_pos")
-    return pos.select(*KEYS, "seq", F.floor(F.col("_pos") / batch_size).cast("bigint").alias("batch_no"))
-
-
-def request_batches(missing: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
+    r = ranges.select(*KEYS, "lo", "hi", F.col("n").cast("bigint").alias("n"))
+    p = number_rows(r, KEYS, ["lo"], out="at", weight_col="n")
+    first, last = F.expr(f"at div {batch_size}"), F.expr(f"(at + n - 1) div {batch_size}")
+    p = p.withColumns({"b0": first, "b1": last})
+    wide = C.EXPAND_CHUNK
+    p = p.withColumn("b0", F.explode(F.sequence(F.col("b0"), F.col("b1"), F.lit(wide * wide).cast("bigint"))))
+    p = p.withColumn("b1", F.least("b1", F.col("b0") + wide * wide - 1))
+    p = p.withColumn("b0", F.explode(F.sequence(F.col("b0"), F.col("b1"), F.lit(wide).cast("bigint"))))
+    p = p.withColumn("b1", F.least("b1", F.col("b0") + wide - 1))
+    p = p.withColumn("batch_no", F.explode(F.sequence("b0", "b1")))
+    start = F.greatest(F.col("batch_no") * batch_size - F.col("at"), F.lit(0))
+    end = F.least((F.col("batch_no") + 1) * batch_size - F.col("at") - 1, F.col("n") - 1)
+    return p.select(*KEYS, "batch_no", (F.col("lo") + start).alias("lo"), (F.col("lo") + end).alias("hi"))
+
+
+def assign_batches(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
+    """B1: the batch number of every lost number."""
+    parts = assign_ranges(ranges, batch_size)
+    return parts.select(*KEYS, F.explode(F.sequence("lo", "hi")).alias("seq"), "batch_no")
+
+
+def request_counts(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
+    """Lost numbers and request batches per (channel, feed_date), by arithmetic on the ranges."""
+    c = ranges.groupBy(*KEYS).agg(F.sum("n").cast("decimal(20,0)").alias("lost"))
+    return c.withColumn("requests", F.ceil(F.col("lost") / batch_size).cast("decimal(20,0)"))
+
+
+def request_batches(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
     """B1+B2: lost numbers in order, ``batch_size`` per request, '^'-joined and base64 encoded.
 
     ``ceil(n / size)`` batches per date, none skipped, no stray separator;
-    each group collects at most ``batch_size`` numbers.
+    each group collects at most ``batch_size`` parts of ranges.
     """
-    b = assign_batches(missing, batch_size)
-    g = b.groupBy(*KEYS, "batch_no").agg(F.sort_array(F.collect_list("seq")).alias("_nums"))
+    g = assign_ranges(ranges, batch_size).groupBy(*KEYS, "batch_no").agg(
+        F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
+    g = g.withColumn("_nums", F.flatten(F.transform("parts", lambda r: F.sequence(r["lo"], r["hi"]))))
     missed = F.array_join(F.transform("_nums", lambda s: s.cast("string")), C.FIELD_SEP)
     return g.select(
         *KEYS,
         "batch_no",
         F.size("_nums").cast("int").alias("n"),
+        F.get("_nums", 0).alias("lo"),
+        F.element_at("_nums", -1).alias("hi"),
+        "parts",
         b64_encode(F.col("feed_date")).alias("date_b64"),
         b64_encode(missed).alias("missed_b64"),
     )
@@ -58,21 +93,6 @@ def lookup(wanted: DataFrame, archive: DataFrame) -> DataFrame:
     return a.join(wanted.select(*KEYS, "seq"), KEYS + ["seq"], "inner")
 
 
-def answer_requests(assigned: DataFrame, archive: DataFrame, fail_when: Column | None = None) -> DataFrame:
-    """Archive side of B3: one reply body per batch -- header, then the found messages in number order.
-
-    ``fail_when`` (a predicate on ``batch_no``) marks batches the server
-    answers with an error text instead, to exercise the retry path.
-    """
-    j = assigned.join(lookup(assigned, archive), KEYS + ["seq"], "left")
-    g = j.groupBy(*KEYS, "batch_no").agg(
-        F.sort_array(F.collect_list(F.when(F.col("message").isNotNull(), F.struct("seq", "message")))).alias("_m")
-    )
-    text = F.concat(F.lit(C.REPLY_HEADER), F.lit("\n"), F.array_join(F.transform("_m", lambda s: s["message"]), "\n"))
-    body = text if fail_when is None else F.when(fail_when, F.lit("Server busy")).otherwise(text)
-    return g.select(*KEYS, "batch_no", body.alias("body"))
-
-
 def reply_ok(body: Column) -> Column:
     """At least 15 characters and they equal the header."""
     return F.coalesce((F.length(body) >= len(C.REPLY_HEADER)) & body.startswith(C.REPLY_HEADER), F.lit(False))
@@ -96,15 +116,23 @@ def parse_replies(replies: DataFrame, key_cols=("channel", "feed_date", "batch_n
 
 
 def backfill(missing: DataFrame, archive: DataFrame) -> DataFrame:
-    """Look every lost number up in the archive (left join; message NULL when absent).
+    """Look every lost number up in the archive (message NULL when absent).
 
-    The archive is probed with an inner join from the missing side (see
-    ``lookup``), then the few found rows are attached back.  The join key
-    (channel, feed_date, seq) is close to unique, so a hot date still hashes
-    evenly over all partitions.
+    One full pass over both sides: the archive's rows and the lost numbers
+    meet in one join on (channel, feed_date, seq) that keeps the missing side.
+    The key is close to unique, so a hot date still hashes evenly.
     """
-    m = missing.select(*KEYS, "seq")
-    return m.join(lookup(m, archive), KEYS + ["seq"], "left")
+    return missing.select(*KEYS, "seq").join(archive.select(*KEYS, "seq", "message"), KEYS + ["seq"], "left")
+
+
+def number_lines(parsed: DataFrame) -> DataFrame:
+    """Reply lines ``number^message`` as recovered rows; lines without a number are not messages."""
+    n = F.substring_index("message", C.FIELD_SEP, 1)
+    own = n.rlike("^-?[0-9]{1,19}$") & F.col("message").contains(C.FIELD_SEP)
+    text = F.expr(f"substring(message, instr(message, '{C.FIELD_SEP}') + 1)")
+    more = ["attempts"] if "attempts" in parsed.columns else []
+    return parsed.where(own).select(*KEYS, n.try_cast("bigint").alias("seq"), text.alias("message"),
+                                    F.lit("recovered").alias("source"), *more).where("seq is not null")
 
 
 def recovered_rows(backfilled: DataFrame) -> DataFrame:
@@ -116,11 +144,52 @@ def still_missing(missing: DataFrame, recovered: DataFrame) -> DataFrame:
     return missing.select(*KEYS, "seq").join(recovered.select(*KEYS, "seq"), KEYS + ["seq"], "left_anti")
 
 
-def pending_requests(requests: DataFrame, replies: DataFrame, attempt: int = 1, max_attempts: int = 5) -> DataFrame:
-    """Batches without a good reply go out again (bounded attempts)."""
-    good = replies.where(reply_ok(F.col("body"))).select("channel", "feed_date", "batch_no")
-    p = requests.join(good, ["channel", "feed_date", "batch_no"], "left_anti")
-    return p.withColumn("attempt", F.lit(attempt + 1)).withColumn("give_up", F.lit(attempt + 1 > max_attempts))
+def open_ranges(ranges: DataFrame, recovered: DataFrame) -> DataFrame:
+    """What is left of lost ranges (disjoint, per date) once the recovered numbers are taken out: ``lo, hi, n``.
+
+    The ends of the ranges and the recovered numbers are points on one line;
+    numbers are missing behind the start of a range or a recovered number, not
+    behind the end of a range.
+    """
+    ends = F.array(F.struct((F.col("lo") - 1).alias("seq"), F.lit(True).alias("opens")),
+                   F.struct((F.col("hi") + 1).alias("seq"), F.lit(False).alias("opens")))
+    points = ranges.select(*KEYS, F.explode(ends).alias("p")).select(*KEYS, "p.seq", "p.opens")
+    points = points.unionByName(recovered.select(*KEYS, "seq", F.lit(True).alias("opens")))
+    points = points.groupBy(*KEYS, "seq").agg(F.max("opens").alias("opens"))
+    return gap_ranges(points, opens="opens")
+
+
+class Round(NamedTuple):
+    """One round of requests: what was sent, what came back, what goes on."""
+
+    sent: DataFrame                        # requests with ``parts`` and ``attempts``, this round's included
+    recovered: DataFrame                   # rows read from the reply bodies, with the attempts of their request
+    pending: DataFrame                     # requests without a good reply
+    left: DataFrame                        # ranges that good replies did not fill
+
+
+def recovery_round(ranges: DataFrame, pending: DataFrame | None, ask: Callable[[DataFrame], DataFrame],
+                   batch_size: int = C.BATCH_SIZE) -> Round:
+    """Ask for the lost ``ranges`` and, again, for what is ``pending``.
+
+    ``ask`` sends requests and gives (channel, feed_date, lo, hi, body).  A
+    request keeps its identity (channel, feed_date, lo, hi) until it is
+    answered; its attempts are kept with it.  Numbers that a good reply lacks
+    are in ``left``, to be asked for in the next round.
+    """
+    key = [*KEYS, "lo", "hi"]
+    sent = request_batches(ranges, batch_size).withColumn("attempts", F.lit(0))
+    if pending is not None:
+        sent = sent.unionByName(pending.select(sent.columns))
+    sent = materialize(sent.withColumn("attempts", (F.col("attempts") + 1).cast("int")), "requests")
+    replies = materialize(ask(sent), "replies").select(*key, "body")
+    good = replies.where(reply_ok(F.col("body")))
+    lines = parse_replies(good, key).join(sent.select(*key, "attempts"), key)
+    recovered = materialize(number_lines(lines), "recovered")
+    waiting = materialize(sent.join(good.select(*key), key, "left_anti"), "pending")
+    answered = sent.join(good.select(*key), key, "left_semi").select(*KEYS, F.explode("parts").alias("p"))
+    left = open_ranges(answered.select(*KEYS, "p.lo", "p.hi"), recovered)
+    return Round(sent, recovered, waiting, materialize(left, "left"))
 
 
 def merge_feed(live: DataFrame, recovered: DataFrame) -> DataFrame:

@@ -19,7 +19,10 @@ from feedspark.operators import keys as K
 from feedspark.operators import loss as L
 from feedspark.operators import packets as P
 from feedspark.operators import recovery as R
+from feedspark.operators.numbering import number_rows
 from feedspark.plans.feed import FeedPlan
+from feedspark.session import materialize
+from feedspark.sinks import tables as S
 from feedspark.sources import writer as W
 from feedspark.sources.tables import lineitem_as_numbers, read_table
 
@@ -35,12 +38,12 @@ def query(name: str):
     return deco
 
 
-_PLANS: dict[tuple[int, str], FeedPlan] = {}
+_PLANS: dict[tuple[str, str], FeedPlan] = {}
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> FeedPlan:
     """One feed plan per (session, directory): its written stage tables are shared by the queries."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _PLANS:
         _PLANS[key] = FeedPlan(spark, sf_dir)
     return _PLANS[key]
@@ -57,7 +60,15 @@ def reset_plans() -> None:
 
 @query("wire_encode")
 def q_wire_encode(spark, sf_dir):
-    """The feed writer's wire rows (with the test damage)."""
+    """Every event as the feed writer sends it."""
+    p = _plan(spark, sf_dir)
+    keys = p.schedule.select("channel", F.col("effective_from").alias("day"), "cipher", "secret")
+    return W.encode_packets(p.feed_source, keys).select("channel", "arrival_ts", "wire")
+
+
+@query("wire_damaged")
+def q_wire_damaged(spark, sf_dir):
+    """The wire rows of the fixture: packets lost, damaged and altered by residue."""
     return _plan(spark, sf_dir).wire.select("channel", "arrival_ts", "wire")
 
 
@@ -121,7 +132,7 @@ def q_xor_roundtrip(spark, sf_dir):
 def q_checksum_valid(spark, sf_dir):
     """Legacy packets over whole documents -- encode, decode, recompute the byte sum.
 
-    One projection per step, so each Arrow UDF appears once per row.
+    Where doc_id % 7 = 0 the last byte is lost on the way.  One projection per step, so each Arrow UDF appears once per row.
     """
     docs = read_table(spark, sf_dir, "documents")
     secret, key = F.lit("legacysec0"), F.lit("legacykey0")
@@ -129,6 +140,8 @@ def q_checksum_valid(spark, sf_dir):
     x = x.select("doc_id", W.encode(F.col("plain"), key).alias("wire"))
     x = x.select("doc_id", xor_bytes(b64_decode_lenient("wire"), key).alias("body"))
     x = x.select("doc_id", F.col("body").substr(F.lit(11), F.octet_length("body") - 10).alias("after"))
+    lost = F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)
+    x = x.select("doc_id", F.col("after").substr(F.lit(1), F.octet_length("after") - lost).alias("after"))
     return P.legacy_check(x, "after").select("doc_id", "checksum", "valid")
 
 
@@ -155,6 +168,17 @@ def q_asof_keys(spark, sf_dir):
     return K.asof_keys(f, p.key_epochs).select("channel", "seq", "arrival_ts", "epoch", "cipher")
 
 
+@query("asof_ties")
+def q_asof_ties(spark, sf_dir):
+    """K4 with every second epoch replaced at the instant it begins: the later of two replies holds."""
+    p = _plan(spark, sf_dir)
+    e = p.key_epochs
+    void = e.where("epoch % 2 = 0").withColumns({"epoch": F.col("epoch") * 2, "cipher": F.lit("void")})
+    both = e.withColumn("epoch", F.col("epoch") * 2 + 1).unionByName(void)
+    f = p.feed_source.select("channel", "seq", "arrival_ts")
+    return K.asof_keys(f, both).select("channel", "seq", "epoch", "cipher")
+
+
 @query("decode_packets")
 def q_decode_packets(spark, sf_dir):
     d = _plan(spark, sf_dir).decoded
@@ -171,13 +195,6 @@ def q_gate_status(spark, sf_dir):
     return P.gate_counts(_plan(spark, sf_dir).parsed)
 
 
-@query("load_shed")
-def q_load_shed(spark, sf_dir):
-    """Arrivals beyond the 50,000 queue cap per channel and hour are shed (counted)."""
-    marked = P.mark_shed(_plan(spark, sf_dir).wire, interval="1 hour")
-    return P.shed_counts(marked)
-
-
 @query("quarantine")
 def q_quarantine(spark, sf_dir):
     q = P.quarantine_rows(_plan(spark, sf_dir).parsed)
@@ -198,6 +215,27 @@ def q_loss_ranges(spark, sf_dir):
     return _plan(spark, sf_dir).gap_ranges
 
 
+@query("loss_ranges_sparse")
+def q_loss_ranges_sparse(spark, sf_dir):
+    """L7 over numbers a million apart, with one jump of 1e15: ranges only, nothing is written out."""
+    p = _plan(spark, sf_dir).packets.select("channel", "feed_date", (F.col("seq") * 1_000_003).alias("seq"))
+    jump = p.groupBy("channel", "feed_date").agg((F.max("seq") + F.lit(10 ** 15)).alias("seq"))
+    return L.gap_ranges(p.unionByName(jump))
+
+
+@query("request_counts_sparse")
+def q_request_counts_sparse(spark, sf_dir):
+    """B1: lost numbers and request batches of the same sparse feed, by arithmetic on ranges."""
+    return R.request_counts(q_loss_ranges_sparse(spark, sf_dir))
+
+
+@query("sparse_ids")
+def q_sparse_ids(spark, sf_dir):
+    """S5 over sparse numbers: one global order, no density assumed."""
+    ev = _plan(spark, sf_dir).feed_source.select("channel", "feed_date", (F.col("seq") * 1_000_003).alias("seq"))
+    return S.with_ids(ev).select("id", "channel", "seq")
+
+
 @query("loss_gaps_lineitem")
 def q_loss_gaps_lineitem(spark, sf_dir):
     return L.gaps(lineitem_as_numbers(read_table(spark, sf_dir, "lineitem")))
@@ -218,13 +256,20 @@ def q_live_dates(spark, sf_dir):
     return L.live_dates(_plan(spark, sf_dir).packets)
 
 
+@query("live_dates_gaps")
+def q_live_dates_gaps(spark, sf_dir):
+    """L2: lost numbers of the two tracked dates of each channel."""
+    return L.gaps(L.tracked(_plan(spark, sf_dir).packets))
+
+
 # ---------------------------------------------------------------------------
 # recovery and the merged feed
 # ---------------------------------------------------------------------------
 
 @query("recovery_requests")
 def q_recovery_requests(spark, sf_dir):
-    return _plan(spark, sf_dir).requests
+    return R.request_body(_plan(spark, sf_dir).requests).select(
+        "channel", "feed_date", "batch_no", "n", "date_b64", "missed_b64", "post_body")
 
 
 @query("backfill_join")
@@ -239,7 +284,17 @@ def q_still_missing(spark, sf_dir):
 
 @query("recovery_pending")
 def q_recovery_pending(spark, sf_dir):
-    return _plan(spark, sf_dir).pending.select("channel", "feed_date", "batch_no", "n", "attempt", "give_up")
+    """Requests without an answer after two rounds, with their attempts."""
+    return _plan(spark, sf_dir).pending.select("channel", "feed_date", "lo", "hi", "n", "attempts")
+
+
+@query("recovery_rounds")
+def q_recovery_rounds(spark, sf_dir):
+    """B1-B4, B6 over three rounds: what each round's replies brought, at which attempt of their request."""
+    rounds = _plan(spark, sf_dir).rounds
+    parts = [r.recovered.select("channel", "feed_date", "seq", "message", "attempts", F.lit(i + 1).alias("round"))
+             for i, r in enumerate(rounds)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("recovery_parse")
@@ -260,8 +315,9 @@ def q_feed_union(spark, sf_dir):
 
 @query("feed_ordered")
 def q_feed_ordered(spark, sf_dir):
-    """The feed in delivery order (channel, date, number)."""
-    return _plan(spark, sf_dir).feed.orderBy("channel", "feed_date", "seq", "source")
+    """The feed in delivery order (channel, date, number), each row with its position."""
+    p = number_rows(_plan(spark, sf_dir).feed, [], ["channel", "feed_date", "seq", "source"], out="position")
+    return p.select("position", "channel", "feed_date", "seq", "message", "source")
 
 
 @query("feed_upper")
@@ -275,9 +331,9 @@ def q_feed_upper(spark, sf_dir):
 # framing
 # ---------------------------------------------------------------------------
 
-def _frames(spark, sf_dir) -> DataFrame:
+def _frames(spark, sf_dir, size: int = C.FRAME_SIZE) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return M.split_frames(docs, channel="lang", order="doc_id", text="text")
+    return M.split_frames(docs, channel="lang", order="doc_id", text="text", size=size)
 
 
 @query("frame_split")
@@ -292,9 +348,31 @@ def q_frame_join(spark, sf_dir):
     return j.select("channel", "msg_id", F.md5(F.encode("message", "UTF-8")).alias("md5"), F.col("n_bytes").cast("int"))
 
 
+@query("frame_split_small")
+def q_frame_split_small(spark, sf_dir):
+    """M1+M2 with frames of 512 bytes: the texts come back whole."""
+    f = materialize(_frames(spark, sf_dir, 512), "frames")
+    j = M.join_frames(f)
+    return j.select("channel", "msg_id", F.md5(F.encode("message", "UTF-8")).alias("md5"), F.col("n_frames").cast("bigint"))
+
+
+def _open_tail(spark, sf_dir) -> DataFrame:
+    """Frames without the last one of each channel: its message is still open."""
+    f = materialize(_frames(spark, sf_dir), "frames")
+    last = f.groupBy(F.col("channel").alias("_c")).agg(F.max("pos").alias("_last"))
+    return f.join(last, (F.col("channel") == F.col("_c")) & (F.col("pos") == F.col("_last")), "left_anti")
+
+
 @query("frame_pending")
 def q_frame_pending(spark, sf_dir):
-    return M.frame_state(_frames(spark, sf_dir))
+    """M3: complete messages, frames and bytes held back, per channel."""
+    return M.frame_state(_open_tail(spark, sf_dir))
+
+
+@query("frame_tail")
+def q_frame_tail(spark, sf_dir):
+    """M3: the frames of the open messages."""
+    return M.pending_frames(_open_tail(spark, sf_dir)).select("channel", "pos", F.hex("mtext").alias("mtext_hex"))
 
 
 def all_queries() -> dict[str, Query]:

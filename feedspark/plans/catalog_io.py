@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from feedspark import schemas
 from feedspark.operators import loss as L
+from feedspark.operators.numbering import number_rows
 from feedspark.plans.catalog import _plan, query
-from feedspark.session import scratch_path
+from feedspark.session import materialize, scratch_path
 from feedspark.sinks import audit as A
+from feedspark.sinks import deliver as D
 from feedspark.sinks import tables as S
 from feedspark.streaming import gate as G
-from feedspark.streaming.gaps import missing_from_events
+from feedspark.streaming.gaps import EVENTS, missing_from_events
 
 
 @query("sink_rows")
@@ -27,17 +29,67 @@ def q_sink_rows(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(path).select("id", "channel", "feed_date", "seq", "message", "source")
 
 
+@query("sink_rows_twice")
+def q_sink_rows_twice(spark, sf_dir):
+    """S5+S11: the feed delivered in two parts, the second one twice (a replay): ids go on and stay unique."""
+    feed = _plan(spark, sf_dir).feed
+    path = scratch_path(spark, "delivered")
+    D.deliver_batch(feed.where("seq % 2 = 0"), path, 0)
+    D.deliver_batch(feed.where("seq % 2 = 1"), path, 1)
+    D.deliver_batch(feed.where("seq % 2 = 1"), path, 1)
+    return D.read_delivered(spark, path)
+
+
+@query("stream_deliver")
+def q_stream_deliver(spark, sf_dir):
+    """S11 on a stream: the feed landed as files, delivered per micro-batch."""
+    landed, path = scratch_path(spark, "feed_landed"), scratch_path(spark, "delivered")
+    _plan(spark, sf_dir).feed.select(*schemas.FEED.fieldNames()).repartition(4).write.parquet(landed)
+    stream = spark.readStream.schema(schemas.FEED).option("maxFilesPerTrigger", 2).parquet(landed)
+    D.start_delivery(stream, path, scratch_path(spark, "ck_deliver")).awaitTermination()
+    rows = D.read_delivered(spark, path)
+    # which rows share a batch is up to the file listing; that ids are dense and unique is not
+    ids = number_rows(rows, [], ["id"], out="at").select("channel", "feed_date", "seq", "message", "source",
+                                                         (F.col("id") == F.col("at") + 1).alias("dense"))
+    return ids
+
+
 @query("sink_preflight")
 def q_sink_preflight(spark, sf_dir):
-    """Create the catalog table, then add a column it lacks, then append the feed and read it back."""
+    """Create the catalog table, then add columns it lacks, then append the feed and read it back."""
     name = f"feed_sink_{uuid.uuid4().hex[:10]}"
     loc = scratch_path(spark, name)
-    ok1 = S.preflight(spark, name, "message", location=loc)
-    ok2 = S.preflight(spark, name, "message", extra_columns={"feed_date": "STRING", "seq": "BIGINT", "source": "STRING"})
-    if not (ok1 and ok2):
-        raise RuntimeError("sink preflight failed")
+    first = S.preflight(spark, name, "message", location=loc)
+    more = {"channel": "STRING", "feed_date": "STRING", "seq": "BIGINT", "source": "STRING"}
+    second = S.preflight(spark, name, "message", extra_columns=more)
+    if not (first and second):
+        raise RuntimeError(f"sink preflight failed: {first.reason or second.reason}")
     S.append_table(S.with_ids(_plan(spark, sf_dir).feed), name)
-    return spark.table(name).select("id", "feed_date", "seq", "message", "source")
+    return _taken_out(spark, name).select("id", "channel", "feed_date", "seq", "message", "source")
+
+
+def _taken_out(spark, name):
+    """The table's rows by its files; the catalog entry goes, the files stay."""
+    schema = spark.table(name).schema
+    where = [r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {name}").collect() if r["col_name"] == "Location"][0]
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schema).parquet(where)
+
+
+@query("sink_reject")
+def q_sink_reject(spark, sf_dir):
+    """The feed with a null message at every 23rd number and text for a number at every 29th: refused rows are kept aside."""
+    name = f"feed_sink_{uuid.uuid4().hex[:10]}"
+    ok = S.preflight(spark, name, "message", scratch_path(spark, name), {"feed_date": "STRING", "seq": "BIGINT"})
+    if not ok:
+        raise RuntimeError(f"sink preflight failed: {ok.reason}")
+    aside = scratch_path(spark, "refused")
+    rows = S.with_ids(_plan(spark, sf_dir).feed).select(
+        "id", F.when(F.col("seq") % 23 != 0, F.col("message")).alias("message"), "feed_date",
+        F.when(F.col("seq") % 29 == 0, F.concat(F.lit("no "), F.col("seq").cast("string"))).otherwise(F.col("seq").cast("string")).alias("seq"))
+    S.append_checked(rows, name, aside)
+    written = _taken_out(spark, name).select("id", F.col("seq").cast("string").alias("seq"), F.lit("").alias("reason"))
+    return written.unionByName(spark.read.parquet(aside).select("id", "seq", "reason"))
 
 
 @query("audit_lines")
@@ -47,35 +99,89 @@ def q_audit_lines(spark, sf_dir):
     return A.audit_rows(p.parsed, L.loss_summary(p.packets), p.packets).select("ts", "level", "text", "line")
 
 
-def _stream_packets(spark, sf_dir):
+def _start_fold(spark, replies, fold, checkpoint):
+    from feedspark.streaming import keys as SK
+
+    return SK.start_fold(SK.read_replies_stream(spark, replies), fold, checkpoint)
+
+
+def _stream_gate(spark, sf_dir, rounds: int = 4):
+    """Packets and control replies landed in turn, packets first: each round's keys come after its packets.
+
+    The gate runs after every landing, so packets wait for their keys; after
+    the last round nothing new can come.  Returns the gate's folder.
+    """
     p = _plan(spark, sf_dir)
-    landed = G.land_wire(p.wire, scratch_path(spark, "wire_landed"))
-    sink = scratch_path(spark, "stream_packets")
-    q = G.start_gate(G.read_wire_stream(spark, landed), p.key_epochs, sink, scratch_path(spark, "ck_gate"))
-    q.awaitTermination()
-    return sink
+    wire_in, replies_in, fold, out = (scratch_path(spark, n) for n in ("wire_landed", "replies_landed", "stream_fold", "gate"))
+    ck = {n: scratch_path(spark, f"ck_{n}") for n in ("fold", "gate")}
+    spark.createDataFrame([], schemas.KEY_FOLD).write.parquet(fold)
+    part = F.least(F.floor((F.dayofmonth("arrival_ts") - 1) * rounds / 30), F.lit(rounds - 1))
+    wire, replies = materialize(p.wire, "wire"), materialize(p.control_replies, "replies")
+    for r in range(rounds):
+        G.land_wire(wire.where(part == r), wire_in, 2)
+        G.start_gate(G.read_wire_stream(spark, wire_in), fold, out, ck["gate"]).awaitTermination()
+        replies.where(part == r).coalesce(1).write.mode("append").parquet(replies_in)
+        _start_fold(spark, replies_in, fold, ck["fold"]).awaitTermination()
+    # once more without new packets: those held are judged under the last keys
+    G.gate_batch(spark, fold, out)(spark.createDataFrame([], schemas.WIRE), G.last_batch(spark, out) + 1)
+    return out
 
 
 @query("stream_gate")
 def q_stream_gate(spark, sf_dir):
-    """S1+S9: the packet files read as a stream (one file per micro-batch), decoded and parsed."""
-    sink = _stream_packets(spark, sf_dir)
-    return spark.read.schema(schemas.PACKETS).parquet(sink)
+    """S1+S9: all packet files as a stream under keys that are all known at the start."""
+    p = _plan(spark, sf_dir)
+    landed, fold, out = G.land_wire(p.wire, scratch_path(spark, "wire_landed")), scratch_path(spark, "fold"), scratch_path(spark, "gate")
+    p.key_fold.write.parquet(fold)
+    G.start_gate(G.read_wire_stream(spark, landed, 3), fold, out, scratch_path(spark, "ck_gate")).awaitTermination()
+    return G.read_packets(spark, out)
+
+
+@query("stream_rotation")
+def q_stream_rotation(spark, sf_dir):
+    """K2+K4 on streams: keys rotate while the gate runs and reach it after the packets under them."""
+    return G.read_packets(spark, _stream_gate(spark, sf_dir))
+
+
+@query("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    """S6 on a stream: rows that the gate rejected, and those that no key fits until the end."""
+    out = _stream_gate(spark, sf_dir)
+    q = G.read_rejected(spark, out).unionByName(G.read_waiting(spark, out))
+    return q.select("arrival_ts", "channel", "reason", F.length("wire").cast("int").alias("wire_len"))
+
+
+def _stream_packets(spark, sf_dir):
+    """Complete packets landed as files."""
+    sink = scratch_path(spark, "stream_packets")
+    _plan(spark, sf_dir).packets.repartition(4).write.parquet(sink)
+    return spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 2).parquet(sink)
 
 
 @query("stream_gaps")
 def q_stream_gaps(spark, sf_dir):
-    """L5+L6: stateful gap tracking over the decoded packet stream (numbers arrive out of order)."""
-    sink = _stream_packets(spark, sf_dir)
+    """L5+L6: stateful gap tracking over the packet stream (numbers arrive out of order)."""
     events_path = scratch_path(spark, "gap_events")
-    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(sink)
-    q = G.start_gaps(stream, events_path, scratch_path(spark, "ck_gaps"))
-    q.awaitTermination()
-    from feedspark.streaming.gaps import EVENTS
-
+    G.start_gaps(_stream_packets(spark, sf_dir), events_path, scratch_path(spark, "ck_gaps")).awaitTermination()
     return missing_from_events(spark.read.schema(EVENTS).parquet(events_path))
 
 
+RETENTION_S = 5 * 86400
+
+
+@query("stream_evicted")
+def q_stream_evicted(spark, sf_dir):
+    """L2 on a stream: dates that left tracking, five days (event time) after their last packet."""
+    landed = scratch_path(spark, "by_time")
+    packets = _plan(spark, sf_dir).packets
+    for part in range(4):                  # in order of time, so that the watermark moves on
+        packets.where(F.floor((F.dayofmonth("arrival_ts") - 1) / 8) == part).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(landed)
+    events_path = scratch_path(spark, "gap_events")
+    G.start_gaps(stream, events_path, scratch_path(spark, "ck_gaps"), retention_s=RETENTION_S).awaitTermination()
+    return spark.read.schema(EVENTS).parquet(events_path).where("kind = 'evicted'").select("channel", "feed_date").distinct()
+
+
 @query("stream_key_epochs")
 def q_stream_key_epochs(spark, sf_dir):
     """K2 on a stream: control replies landed in five successive files, folded with per-channel state."""
@@ -85,8 +191,7 @@ def q_stream_key_epochs(spark, sf_dir):
     p = _plan(spark, sf_dir)
     landed = SK.land_replies(p.control_replies, scratch_path(spark, "replies_landed"))
     out = scratch_path(spark, "stream_fold")
-    q = SK.start_fold(SK.read_replies_stream(spark, landed), out, scratch_path(spark, "ck_keys"))
-    q.awaitTermination()
+    _start_fold(spark, landed, out, scratch_path(spark, "ck_keys")).awaitTermination()
     return key_epochs(spark.read.schema(schemas.KEY_FOLD).parquet(out))
 
 
@@ -96,13 +201,11 @@ def q_stream_recovery(spark, sf_dir):
     from feedspark.streaming import recovery as SR
 
     p = _plan(spark, sf_dir)
-    sink = _stream_packets(spark, sf_dir)
     events_path = scratch_path(spark, "gap_events")
-    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(sink)
-    G.start_gaps(stream, events_path, scratch_path(spark, "ck_gaps")).awaitTermination()
-    rec_path = scratch_path(spark, "recovered")
-    SR.start_recovery(spark, events_path, p.archive, rec_path, scratch_path(spark, "ck_rec")).awaitTermination()
-    return SR.read_recovered(spark, rec_path).select("channel", "feed_date", "seq", "message", "source")
+    G.start_gaps(_stream_packets(spark, sf_dir), events_path, scratch_path(spark, "ck_gaps")).awaitTermination()
+    out = scratch_path(spark, "recovered")
+    SR.start_recovery(spark, events_path, p.archive, out, scratch_path(spark, "ck_rec")).awaitTermination()
+    return SR.read_recovered(spark, out).select("channel", "feed_date", "seq", "message", "source")
 
 
 @query("feed_frames")
@@ -112,19 +215,3 @@ def q_feed_frames(spark, sf_dir):
 
     f = feed_frames(_plan(spark, sf_dir).feed)
     return f.select("channel", "pos", F.hex("mtext").alias("mtext_hex"), "full_msg")
-
-
-@query("sink_jdbc")
-def q_sink_jdbc(spark, sf_dir):
-    """S3 over JDBC: the feed with serial ids appended to an embedded, in-process database, read back.
-
-    Derby in memory needs no server or port; any JDBC database takes the same
-    writer (batched prepared inserts, one transaction per partition).
-    """
-    name = f"feed_{uuid.uuid4().hex[:10]}"
-    url = f"jdbc:derby:memory:{name};create=true"
-    props = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    rows = S.with_ids(_plan(spark, sf_dir).feed).select("id", "feed_date", "seq", "message", "source")
-    S.append_jdbc(rows, url, "FEED", props)
-    back = spark.read.jdbc(url, "FEED", properties=props)
-    return back.select(*[F.col(c.upper()).alias(c) for c in ("id", "feed_date", "seq", "message", "source")])

@@ -1,4 +1,4 @@
-"""The end-to-end feed plan over the test tables, as lazily built DataFrames.
+"""The end-to-end feed plan over the test tables; stage tables are written when first asked for.
 
 events -> key schedule -> control replies -> rotation fold -> key epochs
 events -> wire (encoded, damaged) -> as-of keys -> gate/decode -> parse -> packets
@@ -16,25 +16,42 @@ from feedspark.operators import keys as K
 from feedspark.operators import loss as L
 from feedspark.operators import packets as P
 from feedspark.operators import recovery as R
+from feedspark import constants as C
 from feedspark.sources import writer as W
 from feedspark.session import materialize
 from feedspark.sources.tables import events_as_feed, read_table
 
 # ---- fixed values of the test fixture ----------------------------------------
-ARCHIVE_SKIPS_EVERY = 5      # the archive lacks numbers with seq % 5 = 0
-FAILED_BATCH_EVERY = 7       # the archive answers batch_no % 7 = 6 with an error
-FAILED_BATCH_RESIDUE = 6
+ARCHIVE_SKIPS_EVERY = 5      # the archive lacks numbers with seq % 5 = 0 in the first round,
+ARCHIVE_NEVER_HAS = 5        # and only those with seq % 10 = 5 from the second round on
+FAILS_FIRST, FAILS_TWICE = 7, 49   # it answers a request from lo with an error at lo % 7 = 6, and again at lo % 49 = 48
 # ------------------------------------------------------------------------------
 
 
+def archive_replies(requests: DataFrame, archive: DataFrame) -> DataFrame:
+    """The fixture's archive: one reply body per request, lines ``number^message`` in number order, or an error text.
+
+    A request fails at its first attempt if ``lo % 7 = 6``, and at its second
+    if ``lo % 49 = 48``.
+    """
+    key = ["channel", "feed_date", "lo", "hi"]
+    wanted = requests.select(*key, "attempts", F.explode("parts").alias("p")).select(
+        *key, "attempts", F.explode(F.sequence("p.lo", "p.hi")).alias("seq"))
+    found = wanted.join(archive.select("channel", "feed_date", "seq", "message"), ["channel", "feed_date", "seq"], "left")
+    line = F.when(F.col("message").isNotNull(), F.struct("seq", F.concat_ws("^", F.col("seq").cast("string"), "message").alias("t")))
+    g = found.groupBy(*key, "attempts").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    body = F.concat(F.lit(C.REPLY_HEADER + "\n"), F.array_join(F.transform("lines", lambda x: x["t"]), "\n"))
+    fails = ((F.col("attempts") == 1) & (F.pmod("lo", F.lit(FAILS_FIRST)) == FAILS_FIRST - 1)) | (
+        (F.col("attempts") == 2) & (F.pmod("lo", F.lit(FAILS_TWICE)) == FAILS_TWICE - 1))
+    return g.select(*key, F.when(fails, F.lit("Server busy")).otherwise(body).alias("body"))
+
+
 class FeedPlan:
     """All intermediate tables of the feed for one test directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, channel: str = "all", key_unit: str = "HOUR",
-                 cut_lineage: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, key_unit: str = "HOUR", cut_lineage: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.channel = channel
         self.key_unit = key_unit
         self.cut_lineage = cut_lineage
 
@@ -47,7 +64,7 @@ class FeedPlan:
     # --- sending side ------------------------------------------------------
     @cached_property
     def feed_source(self) -> DataFrame:
-        return events_as_feed(self.table("events"), self.channel)
+        return events_as_feed(self.table("events"))
 
     @cached_property
     def schedule(self) -> DataFrame:
@@ -90,24 +107,28 @@ class FeedPlan:
 
     @cached_property
     def gap_ranges(self) -> DataFrame:
-        return L.gap_ranges(self.packets)
+        return self._cut(L.gap_ranges(self.packets), "gap_ranges")
 
     @cached_property
     def missing(self) -> DataFrame:
         return self._cut(L.expand_ranges(self.gap_ranges), "missing")
 
     @cached_property
-    def assigned(self) -> DataFrame:
-        return self._cut(R.assign_batches(self.missing), "assigned")
+    def requests(self) -> DataFrame:
+        return R.request_batches(self.gap_ranges)
 
     @cached_property
-    def requests(self) -> DataFrame:
-        return R.request_batches(self.missing)
+    def rounds(self) -> list[R.Round]:
+        """Three rounds of requests; the archive knows more numbers from the second on."""
+        later = self.feed_source.where(F.col("seq") % 10 != ARCHIVE_NEVER_HAS).select("channel", "feed_date", "seq", "message")
+        out = [self.first_round]
+        for _ in range(2):
+            out.append(R.recovery_round(out[-1].left, out[-1].pending, lambda r: archive_replies(r, later)))
+        return out
 
     @cached_property
-    def recovery_replies(self) -> DataFrame:
-        fail = F.col("batch_no") % FAILED_BATCH_EVERY == FAILED_BATCH_RESIDUE
-        return self._cut(R.answer_requests(self.assigned, self.archive, fail_when=fail), "recovery_replies")
+    def first_round(self) -> R.Round:
+        return R.recovery_round(self.gap_ranges, None, lambda r: archive_replies(r, self.archive))
 
     @cached_property
     def backfilled(self) -> DataFrame:
@@ -115,10 +136,8 @@ class FeedPlan:
 
     @cached_property
     def recovered(self) -> DataFrame:
-        """Archive rows of the batches whose reply came back with a good header."""
-        good = self.recovery_replies.where(R.reply_ok(F.col("body"))).select("channel", "feed_date", "batch_no")
-        answered = self.assigned.join(good, ["channel", "feed_date", "batch_no"], "left_semi")
-        return R.recovered_rows(R.backfill(answered, self.archive))
+        """What the good replies of the first round brought."""
+        return self.first_round.recovered.drop("attempts")
 
     @cached_property
     def still_missing(self) -> DataFrame:
@@ -126,8 +145,10 @@ class FeedPlan:
 
     @cached_property
     def pending(self) -> DataFrame:
-        return R.pending_requests(self.requests, self.recovery_replies)
+        """Requests without an answer after two rounds."""
+        return self.rounds[1].pending
 
     @cached_property
     def feed(self) -> DataFrame:
-        return R.merge_feed(self.packets, self.recovered)
+        """Live and recovered rows, written once: sinks, frames and numbering all read it."""
+        return self._cut(R.merge_feed(self.packets, self.recovered), "feed")

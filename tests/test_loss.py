@@ -1,10 +1,8 @@
 import random
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from feedspark.operators import loss as L
-from feedspark.operators.numbering import positions
 
 
 def _nums(spark, pairs):
@@ -55,31 +53,26 @@ def test_live_dates(spark):
     assert got == {"A": False, "B": True, "C": True}
 
 
-def test_positions_equal_row_number(spark):
-    rnd = random.Random(11)
-    rows = [(rnd.choice("xy"), rnd.randint(0, 500), i) for i in range(600)]
-    df = spark.createDataFrame(rows, "g string, k bigint, id bigint")
-    p = positions(df, ["g"], "k", out="pos", bucket_width=7)
-    w = Window.partitionBy("g").orderBy("k")
-    ref = df.withColumn("rn", F.row_number().over(w) - 1)
-    a = sorted((r.g, r.k, r.pos) for r in p.collect())
-    b = sorted((r.g, r.k, r.rn) for r in ref.collect())
-    # positions may order ties differently; compare (group, key) -> set of positions
-    assert sorted(x[2] for x in a) == sorted(x[2] for x in b)
-    ka, kb = {}, {}
-    for g, k, v in a:
-        ka.setdefault((g, k), set()).add(v)
-    for g, k, v in b:
-        kb.setdefault((g, k), set()).add(v)
-    assert ka == kb
-
-
-def test_positions_with_lead_columns_equal_global_row_number(spark):
-    rnd = random.Random(12)
-    rows = [(f"d{rnd.randint(0, 4)}", rnd.randint(0, 300)) for _ in range(700)]
-    rows = list({r: None for r in rows})  # distinct keys: positions are then unique
-    df = spark.createDataFrame(rows, "d string, k bigint")
-    p = positions(df, [], "k", out="pos", bucket_width=5, bucket_cols=["d"])
-    got = {(r.d, r.k): r.pos for r in p.collect()}
-    want = {key: i for i, key in enumerate(sorted(rows))}
-    assert got == want
+def test_jumps_and_the_ends_of_bigint(spark):
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    r = L.gap_ranges(_nums(spark, [("A", lo), ("A", hi), ("B", 5), ("B", 5 + 10 ** 15)])).collect()
+    got = {x.feed_date: (x.lo, x.hi, int(x.n)) for x in r}
+    assert got == {"A": (lo + 1, hi - 1, (1 << 64) - 2), "B": (6, 4 + 10 ** 15, 10 ** 15 - 1)}
+    few = L.expand_ranges(L.gap_ranges(_nums(spark, [("A", hi - 5), ("A", hi)])))
+    assert sorted(x.seq for x in few.collect()) == [hi - 4, hi - 3, hi - 2, hi - 1]
+    s = L.loss_summary(_nums(spark, [("A", lo), ("A", hi)])).first()
+    assert int(s.lost) == (1 << 64) - 2
+
+
+def test_only_what_follows_an_opening_number_is_lost(spark):
+    rows = [("c", "A", 1, True), ("c", "A", 5, False), ("c", "A", 9, True), ("c", "A", 10, False), ("c", "A", 400, True), ("c", "A", 900, False)]
+    df = spark.createDataFrame(rows, "channel string, feed_date string, seq bigint, o boolean")
+    for width in (3, 100, 1 << 17):
+        assert sorted((x.lo, x.hi) for x in L.gap_ranges(df, width=width, opens="o").collect()) == [(2, 4), (401, 899)]
+
+
+def test_tracked_dates_only(spark):
+    rows = [("c", d, s, f"2024-01-0{i} 00:00:00") for i, d in ((1, "A"), (2, "B"), (3, "C")) for s in (1, 3)]
+    df = spark.createDataFrame(rows, "channel string, feed_date string, seq bigint, ts string").select(
+        "channel", "feed_date", "seq", F.to_timestamp_ntz("ts").alias("arrival_ts"))
+    assert sorted((x.feed_date, x.seq) for x in L.gaps(L.tracked(df)).collect()) == [("B", 2), ("C", 2)]
