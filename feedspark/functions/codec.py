@@ -94,76 +94,35 @@ def _row_chunks(offsets: np.ndarray):
         start = end
 
 
-# Largest tiled-key table (distinct keys x longest row) for the gather path.
-_TILE_BYTES = 16 << 20
-
-
-def _xor_tiled(values: pa.Array, keys: pa.Array, v_off: np.ndarray, out: np.ndarray) -> bool:
-    """Fast path: tile each distinct key of the batch to the longest row once, then one flat gather.
+def xor_kernel(values: pa.Array, keys: pa.Array) -> pa.Array:
+    """Byte-wise XOR of each value with its key repeated; an empty key is the identity.
 
-    A batch normally carries one or two ciphers (the epoch in force and the
-    previous one).  Returns False when the tile table would be too large.
+    One pass of flat gathers over chunks of rows, so the index arrays stay
+    within ``_CHUNK_BYTES`` of payload however large the batch is.  A batch's
+    bytes fit 32-bit offsets, as Spark's batches do.
     """
-    lens = v_off[1:] - v_off[:-1]
-    maxlen = int(lens.max()) if lens.size else 0
-    if maxlen == 0:
-        return True
-    enc = keys.cast(pa.binary()).dictionary_encode()
-    dic = enc.dictionary.to_pylist()
-    d = len(dic)
-    if (d + 1) * maxlen > _TILE_BYTES:
-        return False
-    tiles = np.zeros((d + 1, maxlen), dtype=np.uint8)  # last row: no key -> identity
-    for i, kb in enumerate(dic):
-        if kb:
-            tiles[i] = np.resize(np.frombuffer(kb, dtype=np.uint8), maxlen)
-    idx = enc.indices.fill_null(d).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat_tiles = tiles.ravel()
-    itype = np.int32 if (d + 1) * maxlen < (1 << 31) else np.int64
+    n = len(values)
+    v_off, v_data = _binary_parts(values)
+    k_off, k_data = _binary_parts(keys)
     base = v_off[0]
-    for r0, r1 in _row_chunks(v_off):  # index arrays stay within _CHUNK_BYTES of payload per pass
+    out = v_data[base:v_off[-1]].copy()
+    k_len = k_off[1:] - k_off[:-1]
+    for r0, r1 in _row_chunks(v_off):
         lens = v_off[r0 + 1:r1 + 1] - v_off[r0:r1]
         m = int(lens.sum())
-        if m == 0:
+        if m == 0 or not k_len[r0:r1].any():
             continue
         lo = int(v_off[r0] - base)
-        starts = (v_off[r0:r1] - v_off[r0]).astype(itype)
-        flat = np.arange(m, dtype=itype)
-        flat += np.repeat((idx[r0:r1] * maxlen).astype(itype) - starts, lens)
-        out[lo:lo + m] ^= flat_tiles[flat]
-    return True
-
-
-def xor_kernel(values: pa.Array, keys: pa.Array) -> pa.Array:
-    """Byte-wise XOR of each value with its key repeated; an empty key is the identity."""
-    n = len(values)
-    v_off, v_data = _binary_parts(values)
-    base = v_off[0]
-    total = int(v_off[-1] - base)
-    out = v_data[base:v_off[-1]].copy()
-    if total and not _xor_tiled(values, keys, v_off, out):
-        k_off, k_data = _binary_parts(keys)
-        k_len = k_off[1:] - k_off[:-1]
-        for r0, r1 in _row_chunks(v_off):
-            lens = v_off[r0 + 1:r1 + 1] - v_off[r0:r1]
-            m = int(lens.sum())
-            if m == 0:
-                continue
-            lo = int(v_off[r0] - base)
-            rows = np.repeat(np.arange(r0, r1), lens)
-            within = np.arange(m, dtype=np.int64) - np.repeat(v_off[r0:r1] - v_off[r0], lens)
-            klen = k_len[rows]
-            hit = klen > 0
-            if not hit.any():
-                continue
-            kidx = k_off[rows[hit]] + within[hit] % klen[hit]
+        within = np.arange(m, dtype=np.int64) - np.repeat(v_off[r0:r1] - v_off[r0], lens)
+        klen, kat = np.repeat(k_len[r0:r1], lens), np.repeat(k_off[r0:r1], lens)
+        hit = klen > 0
+        if hit.all():
+            out[lo:lo + m] ^= k_data[kat + within % klen]
+        else:
             seg = out[lo:lo + m]
-            seg[hit] ^= k_data[kidx]
-    rel = v_off - base
-    if total < (1 << 31) - 1:
-        res = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(rel.astype(np.int32)), pa.py_buffer(out)])
-    else:
-        res = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(rel), pa.py_buffer(out)])
+            seg[hit] ^= k_data[kat[hit] + within[hit] % klen[hit]]
+    rel = (v_off - base).astype(np.int32)
+    res = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(rel), pa.py_buffer(out)])
     valid = pc.and_(pc.is_valid(values), pc.is_valid(keys))
     if pc.any(pc.invert(valid)).as_py():
         res = pc.if_else(valid, res, pa.scalar(None, res.type))

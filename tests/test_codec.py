@@ -67,7 +67,7 @@ def test_xor_udf_matches_native_and_python(spark):
         assert r.s == sum(bytes(r.v))
 
 
-def test_xor_fast_and_fallback_paths_agree(monkeypatch):
+def test_xor_over_row_chunks(monkeypatch):
     import feedspark.functions.codec as codec
 
     rng = np.random.default_rng(4)
@@ -75,12 +75,11 @@ def test_xor_fast_and_fallback_paths_agree(monkeypatch):
     pool = [b"", b"a", b"k0cipher00", bytes(range(200, 256)), None]
     keys = [pool[int(i)] for i in rng.integers(0, len(pool), 400)]
     va, ka = pa.array(vals, pa.binary()).slice(5), pa.array(keys, pa.binary()).slice(5)
-    fast = codec.xor_kernel(va, ka)
-    monkeypatch.setattr(codec, "_TILE_BYTES", 0)
-    slow = codec.xor_kernel(va, ka)
-    assert fast.equals(slow)
+    whole = codec.xor_kernel(va, ka)
+    monkeypatch.setattr(codec, "_CHUNK_BYTES", 700)
+    assert codec.xor_kernel(va, ka).equals(whole)
     want = [None if k is None else _py_xor(v, k) for v, k in zip(vals[5:], keys[5:])]
-    assert fast.to_pylist() == want
+    assert whole.to_pylist() == want
 
 
 def test_auth_kernel_current_previous_and_failures():
