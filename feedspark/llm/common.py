@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark.session import materialize
 
@@ -40,6 +43,13 @@ def id_fold(doc_id: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
 
+@F.pandas_udf(T.BinaryType())
+def zipped(texts: pd.Series) -> pd.Series:
+    """Texts in UTF-8, each compressed by itself, for a shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pd.Series([pack(t.encode("utf-8")) for t in texts], dtype=object)
+
+
 def part_count(total: int | None, per_part: int, least: int = 1) -> int:
     """Number of parts of about ``per_part`` units for ``total`` units."""
     return max(least, -(-int(total or 0) // per_part))
@@ -47,5 +57,5 @@ def part_count(total: int | None, per_part: int, least: int = 1) -> int:
 
 __all__ = [
     "SPACE_RUN", "WORD_SPACE", "id_fold", "materialize", "part_count", "read_docs", "text_or_empty", "utf8_bytes",
-    "word_array", "word_count",
+    "word_array", "word_count", "zipped",
 ]

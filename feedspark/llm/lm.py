@@ -25,10 +25,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import part_count, text_or_empty
+from feedspark.llm.common import part_count, text_or_empty, zipped
 
 ORDER, PRIOR, SHARE = 2, 5.0, 4.0
 GROUP_BYTES = 12 << 20                     # text bytes of a document group
@@ -56,9 +57,9 @@ class Words:
         self.seen: dict[bytes, int] = {}
         self.most = most
 
-    def hashes(self, text: str) -> np.ndarray:
-        """Hashes of the tokens of a text: its words (A-Z lower-cased), then the end."""
-        words = text.encode("utf-8").lower().split()
+    def hashes(self, text: bytes) -> np.ndarray:
+        """Hashes of the tokens of a text in UTF-8: its words (A-Z lower-cased), then the end."""
+        words = text.lower().split()        # of bytes: ASCII case and ASCII white space only
         if len(self.seen) > self.most:
             self.seen.clear()
         seen = self.seen
@@ -70,14 +71,16 @@ class Words:
         return out
 
 
-def grams_of(tokens: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1..order: the hash of the n-gram that ends at each token (fewer words at the start: begin marks).
+def grams_of(tokens: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 1..order: the hash of the n-gram that ends at each token (behind a text's start: begin marks).
 
-    The lowest bit tells single tokens (1) from longer n-grams (0).
+    ``tokens`` are those of texts one after the other, ``first`` where each
+    text begins.  The lowest bit tells single tokens (1) from longer n-grams (0).
     """
     out = [_mix(np.zeros(1, np.uint64), tokens) | _ONE]
     for n in range(2, order + 1):          # a context's hash and the next word make the n-gram's hash
-        before = np.concatenate([_begin(n - 1), out[-1][:-1]])
+        before = np.roll(out[-1], 1)
+        before[first] = _begin(n - 1)
         out.append(_mix(before + np.uint64(n), tokens) & ~_ONE)
     return out
 
@@ -90,36 +93,50 @@ def _begin(n: int) -> np.ndarray:
     return h & ~_ONE
 
 
-def _tally(parts: list[np.ndarray], trained: list[np.ndarray], n_ranges: int, grp: int) -> pd.DataFrame:
-    """Packets of one document group: its distinct n-grams by range, with their training counts."""
-    grams, at = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.bincount(at, weights=np.concatenate(trained), minlength=len(grams)).astype("<u4")
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, most significant bytes of all of them together: those of sorted keys and of small counts repeat."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _spread(packed: bytes, kind: str) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _tally(texts: list[np.ndarray], train: list[bool], order: int, n_ranges: int, grp: int) -> pd.DataFrame:
+    """Packets of one document group: its distinct n-grams and contexts by range, with their training counts."""
+    lengths, train = np.array([len(t) for t in texts]), np.array(train, bool)
+    own = grams_of(np.concatenate(texts), np.cumsum(lengths) - lengths, order)
+    learnt = np.repeat(train, lengths)
+    begins = [np.repeat(_begin(n), int(train.sum())) for n in range(1, order)]
+    grams, counts = np.unique(np.concatenate([*(g[learnt] for g in own), *begins]), return_counts=True)
+    rest = np.unique(np.concatenate([*(g[~learnt] for g in own), *(_begin(n) for n in range(1, order))]))
+    rest = rest[~np.isin(rest, grams, assume_unique=True)]   # asked for, never counted
+    order_ = np.argsort(both := np.concatenate([grams, rest]))
+    grams, counts = both[order_].astype("<u8"), np.concatenate([counts, np.zeros(len(rest), np.int64)])[order_].astype("<u4")
     edge = np.searchsorted(grams, [np.uint64((r << 64) // n_ranges) for r in range(1, n_ranges)])
     return pd.DataFrame({
         "part": np.arange(n_ranges, dtype=np.int32), "grp": np.int32(grp),
-        "grams": [g.astype("<u8").tobytes() for g in np.split(grams, edge)],
-        "counts": [c.tobytes() for c in np.split(counts, edge)]})
-
-
-def _own_grams(tokens: np.ndarray, order: int) -> np.ndarray:
-    """Every n-gram and context whose count a text's score needs."""
-    return np.concatenate([*grams_of(tokens, order), *[_begin(n) for n in range(1, order)]])
+        "grams": [_squeeze(g) for g in np.split(grams, edge)],
+        "counts": [_squeeze(c) for c in np.split(counts, edge)]})
 
 
 def _count(batches: Iterator[pd.DataFrame], order: int, n_ranges: int) -> Iterator[pd.DataFrame]:
-    words, held = Words(), {}
-    n = 0
+    words, held, n = Words(), {}, 0
+    unpack = zstandard.ZstdDecompressor().decompress
     for pdf in batches:
         for grp, text, train in zip(pdf["grp"], pdf["text"], pdf["train"]):
-            own = _own_grams(words.hashes(text), order)
-            parts, trained = held.setdefault(grp, ([], []))
-            parts.append(own)
-            trained.append(np.full(len(own), float(train), np.float32))
-            n += len(own)
+            tokens = words.hashes(unpack(text))
+            texts, trained = held.setdefault(grp, ([], []))
+            texts.append(tokens)
+            trained.append(train)
+            n += len(tokens)
             if n >= FLUSH_TOKENS:
-                yield from (_tally(p, t, n_ranges, g) for g, (p, t) in held.items())
+                yield from (_tally(*h, order, n_ranges, g) for g, h in held.items())
                 held, n = {}, 0
-    yield from (_tally(p, t, n_ranges, g) for g, (p, t) in held.items())
+    yield from (_tally(*h, order, n_ranges, g) for g, h in held.items())
 
 
 def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,8 +145,8 @@ def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     ``known`` and ``tokens`` (distinct training tokens of the range, and how
     often they occur) go to each group once.
     """
-    grams = [np.frombuffer(b, "<u8") for b in pdf["grams"]]
-    counts = [np.frombuffer(b, "<u4") for b in pdf["counts"]]
+    grams = [_spread(b, "<u8") for b in pdf["grams"]]
+    counts = [_spread(b, "<u4") for b in pdf["counts"]]
     every, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype("<i8")
     single = total[(every & _ONE) == 1]
@@ -139,7 +156,7 @@ def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = at[a:a + len(own)]
         a += len(own)
         differs = total[mine] != had
-        out.append((pdf["part"].iat[0], grp, own[differs].tobytes(), total[mine[differs]].tobytes(),
+        out.append((pdf["part"].iat[0], grp, _squeeze(own[differs]), _squeeze(total[mine[differs]]),
                     0 if grp in told else known, 0 if grp in told else tokens))
         told.add(grp)
     return pd.DataFrame(out, columns=["part", "grp", "grams", "counts", "known", "tokens"])
@@ -165,23 +182,20 @@ def arc_weights(counts: list[np.ndarray], contexts: list[np.ndarray], known: int
 def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: float = PRIOR, share: float = SHARE) -> pd.DataFrame:
     if docs.empty:
         return pd.DataFrame(columns=[c.split()[0] for c in _SCORED.split(", ")])
-    words, by_n, lengths = Words(), [[] for _ in range(order)], []
-    for text in docs["text"]:
-        tokens = words.hashes(text)
-        lengths.append(len(tokens))
-        for n, g in enumerate(grams_of(tokens, order)):
-            by_n[n].append(g)
-    lengths = np.array(lengths)
-    total = int(lengths.sum())
-    first = np.cumsum(lengths) - lengths
+    words, unpack = Words(), zstandard.ZstdDecompressor().decompress
+    texts = [words.hashes(unpack(t)) for t in docs["text"]]
+    lengths = np.array([len(t) for t in texts])
+    total, first = int(lengths.sum()), np.cumsum(lengths) - lengths
+    by_n = grams_of(np.concatenate(texts), first, order)
+    del words, texts
     begins = [_begin(n) for n in range(1, order)]
-    grams, at = np.unique(np.concatenate([*(g for gs in by_n for g in gs), *begins]), return_inverse=True)
-    del by_n, words
+    grams, at = np.unique(np.concatenate([*by_n, *begins]), return_inverse=True)
+    del by_n
     train = docs["train"].to_numpy(np.float64)
     weight = np.repeat(train, lengths)
     own = np.bincount(at, weights=np.concatenate([np.tile(weight, order), np.full(order - 1, train.sum())]), minlength=len(grams))
     for g, c in zip(answers["grams"], answers["counts"]):
-        own[np.searchsorted(grams, np.frombuffer(g, "<u8"))] = np.frombuffer(c, "<i8")
+        own[np.searchsorted(grams, _spread(g, "<u8"))] = _spread(c, "<i8")
     known, tokens = int(answers["known"].sum()), int(answers["tokens"].sum())
     counts = [own[at[n * total:(n + 1) * total]] for n in range(order)]
     contexts = [np.empty(0)]
@@ -215,7 +229,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, prior
     # the partition of the row goes into the hash, so that equal rows do not meet in one group
     dealt = x.withColumns({"train": ~F.col("held_out"),
                            "grp": F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(groups)).cast("int")})
-    dealt = dealt.repartition(groups, "grp")
+    dealt = dealt.withColumn("text", zipped("text")).repartition(groups, "grp")
     packets = dealt.mapInPandas(partial(_count, order=order, n_ranges=ranges), _PACKET)
     answers = packets.groupBy("part").applyInPandas(_sum_range, _ANSWER)
     return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(
