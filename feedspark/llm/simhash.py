@@ -21,6 +21,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from feedspark.llm.common import materialize
 
 BITS, HALF, TOP = 64, 32, 16
-LEAF = 1 << 14                             # fingerprints that a leaf of the upper trie holds, where 16 bits can tell them apart
+LEAF = 1 << 12                             # fingerprints that a leaf of the upper trie holds, where 16 bits can tell them apart
 FRONTIER = 1 << 20                         # node pairs walked at once inside a cell
 BLOCK = 1 << 16                            # shingles hashed at once
+_CELL = "fp bigint, walk int, cell bigint, right boolean"
 
 
 # ---- fingerprints ---------------------------------------------------------------
@@ -116,6 +118,17 @@ class TopTrie:
         self.starts = start[leaves]        # first counter of each leaf, ascending
         self.pairs = self._walk(child, is_leaf, filled, width, name, budget)
 
+    def partners(self) -> tuple[np.ndarray, ...]:
+        """(starts, begin, cell, right): leaf l takes part in ``cell[begin[l]:begin[l + 1]]``, on the side ``right``."""
+        i, j = self.pairs.T
+        apart = i != j
+        leaf = np.concatenate([i, j[apart]])
+        cell = np.concatenate([i * len(self.starts) + j, (i * len(self.starts) + j)[apart]])
+        right = np.repeat([False, True], [len(i), int(apart.sum())])
+        order = np.argsort(leaf, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=len(self.starts)))])
+        return self.starts, begin, cell[order], right[order]
+
     @staticmethod
     def _walk(child, is_leaf, filled, width, name, budget) -> np.ndarray:
         a = b = np.zeros(1, np.int64)
@@ -141,6 +154,19 @@ class TopTrie:
         return np.unique(np.sort(pairs, axis=1), axis=0)
 
 
+def _to_cells(batches: Iterator[pd.DataFrame], plan, walk: int) -> Iterator[pd.DataFrame]:
+    """Every fingerprint once for each cell that its leaf takes part in."""
+    starts, begin, cell, right = plan.value
+    for pdf in batches:
+        for at in range(0, len(pdf), 1 << 14):
+            part = pdf.iloc[at:at + (1 << 14)]
+            leaf = np.searchsorted(starts, part["top"].to_numpy(), side="right") - 1
+            n = begin[leaf + 1] - begin[leaf]
+            row = np.repeat(np.arange(len(part)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + begin[leaf][row]
+            yield pd.DataFrame({"fp": part["fp"].to_numpy()[row], "walk": np.int32(walk), "cell": cell[k], "right": right[k]})
+
+
 def _expand(a, b, c, d) -> tuple[np.ndarray, np.ndarray]:
     """All index pairs of the ranges a..b and c..d, row by row."""
     na, nb = b - a, d - c
@@ -252,29 +278,16 @@ def links(distinct: DataFrame, k: int = 4, leaf: int = LEAF) -> DataFrame:
         counts = np.zeros(1 << TOP, np.int64)
         for r in distinct.groupBy(top.alias("top")).count().collect():   # 65,536 rows at most
             counts[r["top"]] = r["count"]
-        trie = TopTrie(counts, half, leaf)
-        partner: list[list[str]] = [[] for _ in trie.starts]
-        for i, j in trie.pairs.tolist():
-            partner[i].append(f"{i}.{j}.0")
-            if i != j:
-                partner[j].append(f"{i}.{j}.1")
-        n_leaf = np.diff([*trie.starts, 1 << TOP])
-        of_top = spark.createDataFrame(                                  # 65,536 rows at most
-            [(t, leaf_no) for leaf_no, (s, n) in enumerate(zip(trie.starts.tolist(), n_leaf.tolist()))
-             for t in range(s, s + n) if counts[t]], "top int, leaf int")
-        of_leaf = spark.createDataFrame([(i, p) for i, p in enumerate(partner) if p], "leaf int, cells array<string>")
-        to_cells = F.broadcast(of_top.join(F.broadcast(of_leaf), "leaf"))
-        x = distinct.select("fp", top.alias("top")).join(to_cells, "top").select("fp", F.explode("cells").alias("cell"))
-        parts = F.split("cell", "\\.")
-        x = x.select("fp", F.lit(walk).alias("walk"), parts[0].cast("int").alias("i"), parts[1].cast("int").alias("j"),
-                     (parts[2] == "1").alias("right"))
+        # at most 65,536 leaves with 137 partners each, in the first walk: 45 MB, whatever the corpus
+        plan = spark.sparkContext.broadcast(TopTrie(counts, half, leaf).partners())
+        x = distinct.select("fp", top.alias("top")).mapInPandas(partial(_to_cells, plan=plan, walk=walk), _CELL)
         cells = x if cells is None else cells.unionByName(x)
 
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         u, v = _cell_links(pdf["fp"].to_numpy(np.int64), pdf["right"].to_numpy(bool), int(pdf["walk"].iat[0]), k)
         return pd.DataFrame({"u": u, "v": v})
 
-    return cells.groupBy("walk", "i", "j").applyInPandas(cell, "u bigint, v bigint")
+    return cells.groupBy("walk", "cell").applyInPandas(cell, "u bigint, v bigint")
 
 
 # ---- components ---------------------------------------------------------------------
