@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark.llm.common import materialize, text_or_empty, word_count
 from feedspark.operators.numbering import number_rows
@@ -84,7 +85,7 @@ def permute(index: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def permuted(index: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
     return pd.Series(permute(index.to_numpy(), n.to_numpy(), seed.to_numpy()))
 
@@ -187,7 +188,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
     return materialize(x, "sizes")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _cut(texts: pd.Series, pieces: pd.Series) -> pd.Series:
     import re
 
