@@ -1,0 +1,110 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import empty, odd, odd_rows, SF001, table
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from feedspark.llm import packing as K
+from feedspark.llm.queries import vocabulary
+
+PATH = vocabulary("word_bpe_49k.json")
+TOK = Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return [*TOK.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+@given(st.lists(st.sampled_from(["a", "The", "'s", "é", "é", "́", "Σ", "ς", "ΑΣ", " ", "\n", "\x85", "\xa0", " ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "İ", "1", "!!", ",", "'", "x", "_", "…", "ŉ", "ǰ", "ﬁ", "漢", "😀", "\x1c"]), max_size=40).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_word_by_word_ids_equal_whole_ids(text):
+    assert np.frombuffer(CODE([text, "x " + text])[0], "<u4").tolist() == ids_of(text)
+
+
+CODE = K.WordIds(PATH, most=50)
+
+
+@given(st.lists(st.integers(1, 2047), max_size=120))
+@settings(max_examples=200, deadline=None)
+def test_pool_is_packed_whole(lengths):
+    windows, rest = K.pack_pool([K.Piece((i, b"", n, 0), 0, n) for i, n in enumerate(lengths)])
+    assert all(sum(p.length for p in w) == tier and tier in K.TIERS for tier, w in windows)
+    assert sum(p.length for p in rest) < K.TIERS[0]
+    runs = {}
+    for p in [p for _, w in windows for p in w] + rest:
+        assert p.length > 0
+        runs.setdefault(p.doc[0], []).append((p.start, p.length))
+    for i, n in enumerate(lengths):
+        at = 0
+        for s, k in sorted(runs[i]):
+            assert s == at
+            at += k
+        assert at == n
+
+
+def check(rows, texts):
+    """Every id in one piece, sequences gapless and of their tier's length; (padding, ids)."""
+    by_seq, cover = {}, Counter()
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append(r)
+        cover[r.doc_id, r.doc_tokens] += r.length
+        own = {tuple(ids_of(t)[r.start:r.start + r.length]) for d, t in texts if d == r.doc_id and len(ids_of(t)) == r.doc_tokens} if len(texts) < 50 else None
+        if own is not None:
+            assert r.ids_crc32 in {zlib.crc32(np.array(x, "<u4").tobytes()) for x in own}
+    pad = 0
+    for own in by_seq.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        pad += 0 if at & (at - 1) == 0 else 2048 - at
+    want = Counter()
+    for d, t in texts:
+        want[d, len(ids_of(t))] += len(ids_of(t))
+    assert cover == want
+    return pad, sum(cover.values())
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_whole_table(spark, parts):
+    docs = table(spark, SF001)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = K.pack(docs.repartition(parts), PATH, with_ids=True).collect()
+    pad, total = check(rows, texts)
+    assert pad < 2048 and pad < 0.02 * total
+    ids = {d: ids_of(t) for d, t in texts}
+    for r in rows:
+        own = np.frombuffer(bytes(r.ids), "<u4")
+        assert own.tolist() == ids[r.doc_id][r.start:r.start + r.length] and zlib.crc32(bytes(r.ids)) == r.ids_crc32
+
+
+def test_small_pools(spark, monkeypatch):
+    monkeypatch.setattr(K, "POOL_TOKENS", 3000)
+    docs = table(spark, SF001)
+    pad, total = check(K.pack(docs, PATH).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+    assert pad < 0.02 * total
+
+
+def test_odd_rows(spark):
+    rows = K.pack(odd(spark), PATH).collect()
+    check(rows, [r[:2] for r in odd_rows()])
+    assert K.pack(empty(spark), PATH).count() == 0
+
+
+def test_step_groups_are_balanced(spark):
+    rows = K.pack(table(spark, SF001), PATH).collect()
+    cost, tier = {}, {}
+    for r in rows:
+        cost[r.step_group, r.sequence_id] = cost.get((r.step_group, r.sequence_id), 0) + r.length ** 2
+        tier.setdefault(r.step_group, set()).add(r.tier)
+    assert all(len(t) == 1 for t in tier.values())
+    groups = {}
+    for (g, _), c in cost.items():
+        groups.setdefault(g, []).append(c)
+    inside = np.mean([max(v) - min(v) for v in groups.values()])
+    assert all(len(v) <= K.STEP for v in groups.values()) and inside < 0.5 * (max(cost.values()) - min(cost.values()))
