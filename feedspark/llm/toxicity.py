@@ -19,16 +19,18 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedspark.llm.common import id_fold, materialize, text_or_empty
+from feedspark.llm.common import id_fold, materialize, text_or_empty, zipped
 
 # ---- fixed values (the channel) ---------------------------------------------------
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -38,13 +40,16 @@ SEPARATORS = ".-_*~·'"
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 _CODE = {c: i + 2 for i, c in enumerate(ALPHABET)}     # 0: edge of a word, 1: any other letter
 BASE = len(ALPHABET) + 2
-SWAP, DROP, JOIN, FOLD = -1.5, -3.0, -0.5, -0.3        # log prices: letter for symbol, symbol lost, gap closed, repeat lost
+#: Log prices: a letter for a symbol; a symbol that stands for letters lost, another one lost; a separator lost; a word ends
+#: between spaced letters; one more repeat lost; a double letter made single.
+SWAP, LOST, DROP, JOIN, PART, FOLD, SINGLE = -1.5, -7.0, -3.0, -0.5, -5.0, -0.3, -2.0
 FEATURES = 1 << 20                                     # size of the hashed feature table
 PREFIXES = (3, 4, 5, 6)
 SHRINK = 5.0                                           # pseudo-documents that pull a rare feature's evidence to none
 TOP = 3
 FIT_ROWS = 20_000                                      # bound of the labelled sample that the logistic curve is fitted on
 
+_TRIM = "".join(chr(c) for c in range(0x21, 0xC0) if not chr(c).isalnum()) + "‘’“”„…–—•"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"(.)\1\1")
@@ -53,32 +58,42 @@ _DISGUISED = re.compile(r"[\w" + re.escape("".join(LEET) + SEPARATORS) + r"]{3,2
 
 
 # ---- the character model ------------------------------------------------------------
-def _trigrams(word: str) -> Iterator[int]:
-    a = b = 0
-    for c in word:
-        k = _CODE.get(c, 1)
-        yield (a * BASE + b) * BASE + k
-        a, b = b, k
-    yield (a * BASE + b) * BASE
+_TABLE = np.ones(0x100, np.int64)          # code of each character below 0x100; 0: edge of a word, 1: any other letter
+_TABLE[ord(" ")] = 0
+for _c, _k in _CODE.items():
+    _TABLE[ord(_c)] = _k
+
+
+def _add_trigrams(total: np.ndarray, words: dict[str, int]) -> None:
+    """Add the letter trigrams of words (two edges, the letters, an edge), each as often as the word was counted."""
+    plain: dict[str, int] = {}
+    for w, n in words.items():
+        w = w if w.isalpha() else w.strip(_TRIM)
+        if w.isalpha():
+            plain[w] = plain.get(w, 0) + n
+    if not plain:
+        return
+    text = np.frombuffer(("  " + "  ".join(plain) + "  ").encode("utf-32-le"), np.uint32)
+    code = np.where(text < 0x100, _TABLE[np.minimum(text, 0xFF)], 1)
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    own = (b > 0) | (c > 0)                # not the window that ends in the second edge behind a word
+    own[-1] = b[-1] > 0
+    word = np.cumsum((a == 0) & (b == 0)) - 1
+    weight = np.array([*plain.values()], np.float64)
+    keep = own & ((b > 0) | (a == 0))
+    total += np.bincount(((a * BASE + b) * BASE + c)[keep], weights=weight[word[keep]], minlength=BASE ** 3).astype(np.int64)
 
 
 def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(BASE ** 3, np.int64)
     words: Counter[str] = Counter()
-
-    def add() -> None:
-        for w, n in words.items():
-            if _PLAIN.fullmatch(w := _EDGE.sub("", w)):
-                for t in _trigrams(w):
-                    total[t] += n
-        words.clear()
-
     for pdf in batches:
         for text in pdf["text"]:
             words.update(text.lower().split())
-            if len(words) > 1 << 19:
-                add()
-    add()
+            if len(words) > 1 << 18:
+                _add_trigrams(total, words)
+                words.clear()
+    _add_trigrams(total, words)
     used = np.flatnonzero(total)
     yield pd.DataFrame({"gram": used, "n": total[used]})
 
@@ -110,15 +125,17 @@ class Channel:
             c, j = token[i], i + 1
             while j < len(token) and token[j] == c:
                 j += 1
-            n, folded = j - i, FOLD * (j - i - 1)
+            n = j - i
+            once = 0.0 if n == 1 else SINGLE if n == 2 else FOLD * (n - 1)
+            twice = FOLD * (n - 2)
             if c == " ":
-                options = [("", JOIN), (" ", 0.0)]
+                options = [("", 0.0), (" ", PART)]
             elif c.isalpha():
-                options = [(c, folded)] + ([(c * 2, folded - FOLD)] if n > 1 else [])
+                options = [(c, once)] + ([(c * 2, twice)] if n > 1 else [])
             else:
-                options = [("", (JOIN if c in SEPARATORS else DROP) + folded)]
+                options = [("", JOIN if c in SEPARATORS else LOST if c in LEET else DROP)]
                 for x in LEET.get(c, ""):
-                    options += [(x, SWAP + folded)] + ([(x * 2, 2 * SWAP + folded)] if n > 1 else [])
+                    options += [(x, SWAP + once)] + ([(x * 2, 2 * SWAP + twice)] if n > 1 else [])
             out.append(options)
             i = j
         return out
@@ -142,6 +159,8 @@ class Channel:
 
     def words(self, token: str) -> list[str]:
         """Restored words of one white-space token, lower case."""
+        if token.isalpha() and not _THRICE.search(token):
+            return [token]
         token = token[:-1] if token[-1:] in ".,;:?" else token
         bare = _EDGE.sub("", token)
         if _PLAIN.fullmatch(bare):
@@ -177,17 +196,20 @@ class Reader:
         self.seen: dict[str, object] = {}
 
     def __call__(self, text: str) -> list:
-        """``value`` of the words of every distinct token, and of the words between spaces."""
+        """``value``, where there is one, of the words of every distinct token, and of words set apart by spaces."""
         text = text.lower()
+        for mark in (", ", ". ", ".\n"):   # a stop behind a word says nothing; without it more tokens are equal
+            text = text.replace(mark, " ")
         tokens = set(text.split())
         if len(self.seen) > self.most:
             self.seen.clear()
-        for t in tokens.difference(self.seen):
-            self.seen[t] = self.value(self.channel.words(t))
-        out = [self.seen[t] for t in tokens]
-        if hidden := self.channel.spaced(text):
-            out.append(self.value(hidden))
-        return out
+        seen = self.seen
+        for t in tokens.difference(seen):
+            seen[t] = self.value(self.channel.words(t))
+        out = [v for t in tokens if (v := seen[t])]
+        # a word of spaced letters has at least three different ones
+        hidden = self.channel.spaced(text) if sum(len(t) == 1 for t in tokens) > 2 else ()
+        return out + [v for w in set(hidden) if (v := self.value([w]))]
 
 
 def evidence(with_label: np.ndarray, without: np.ndarray, prior: float) -> np.ndarray:
@@ -196,11 +218,9 @@ def evidence(with_label: np.ndarray, without: np.ndarray, prior: float) -> np.nd
     return np.maximum(np.log(p / prior), 0.0)
 
 
-def _strongest(values: np.ndarray) -> np.ndarray:
-    top = np.zeros(TOP)
-    best = np.sort(values)[::-1][:TOP]
-    top[:len(best)] = best
-    return top
+def _strongest(values) -> list[float]:
+    best = sorted(values, reverse=True)[:TOP]
+    return best + [0.0] * (TOP - len(best))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -229,10 +249,11 @@ class ToxicityModel:
 
         @F.pandas_udf("double")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            logp, table, w = shared.value
-            reader = Reader(logp, lambda words: max((float(table[features(x)].max()) for x in words), default=0.0))
+            logp, known, w = shared.value
+            table = array("f", known.tobytes())
+            reader = Reader(logp, lambda words: max((table[f] for x in words for f in features(x)), default=0.0))
             for texts in batches:
-                top = np.array([_strongest(np.array(reader(t))) for t in texts]).reshape(-1, TOP)
+                top = np.array([_strongest(reader(t)) for t in texts]).reshape(-1, TOP)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + top @ w[1:], -35, 35))))
 
         return of(text_or_empty(text))
@@ -250,14 +271,17 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
     shared = spark.sparkContext.broadcast(logp)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("y"))
-    known = docs.where(is_training).select(F.col("doc_id").alias("_id"), text_or_empty().alias("text")).join(marks, "_id")
+    # both sides are dealt out by id at every size; the texts travel compressed
+    known = docs.where(is_training).select(F.col("doc_id").alias("_id"), zipped(text_or_empty()).alias("text")).join(
+        marks.hint("merge"), "_id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value, lambda words: np.array(sorted({f for w in words for f in features(w)}), np.int32))
+        reader = Reader(shared.value, lambda words: [f for w in words for f in features(w)])
+        unpack = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
-                found = [np.unique(np.concatenate([np.zeros(0, np.int32), *reader(t)])) for t in part["text"]]
+                found = [np.array([*set().union(*reader(unpack(t).decode("utf-8")))], np.int32) for t in part["text"]]
                 yield pd.DataFrame({"y": part["y"].to_numpy(), "f": found})
 
     seen = materialize(known.select("y", "text").mapInPandas(featured, "y int, f array<int>"), "features")
