@@ -93,7 +93,7 @@ m AS (SELECT r, doc_id, len(words)::bigint AS n_words,
         len(list_filter(lines, lambda x: ends_with(rtrim(x), '...') OR ends_with(rtrim(x), '…'))) AS n_ellipsis,
         length(regexp_replace(text, '\\P{{Lu}}', '', 'g')) AS up, length(regexp_replace(text, '\\P{{Ll}}', '', 'g')) AS low FROM d),
 x AS (SELECT m.*, coalesce(cov.n, 0)::bigint AS n_repeat_words, word_chars::double / greatest(n_words, 1) AS mean_word_length,
-        n_symbols::double / greatest(n_words, 1) AS symbol_ratio, n_stop::double / greatest(n_words, 1) AS stop_word_ratio,
+        n_symbols::double / greatest(n_words, 1) AS symbol_ratio, CASE WHEN n_words < {quality.SHORT_TEXT} THEN 1.0::double ELSE n_stop::double / greatest(n_words, 1) END AS stop_word_ratio,
         n_dup_lines::double / greatest(n_lines, 1) AS dup_line_ratio, n_bullet::double / greatest(n_lines, 1) AS bullet_line_ratio,
         n_ellipsis::double / greatest(n_lines, 1) AS ellipsis_line_ratio, up::double / greatest(up + low, 1) AS upper_ratio
       FROM m LEFT JOIN cov USING (r))

@@ -25,6 +25,7 @@ STOP_WORDS = (
 ).split()
 WINDOW = 5                                 # words in a repetition window
 LEAST_WORDS = 10                           # base rule: fewer words fail
+SHORT_TEXT = 50                            # too few words to miss stop words in: the ratio counts as 1
 MOST_REPEATED_PCT = 20                     # base rule: more words in repeated windows fail
 # ------------------------------------------------------------------------------
 
@@ -135,7 +136,7 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     return x.withColumns({
         "mean_word_length": F.col("word_chars") / words,
         "symbol_ratio": F.col("n_symbols") / words,
-        "stop_word_ratio": F.col("n_stop_words") / words,
+        "stop_word_ratio": F.when(F.col("n_words") < SHORT_TEXT, 1.0).otherwise(F.col("n_stop_words") / words),
         "dup_line_ratio": F.col("n_dup_lines") / lines,
         "bullet_line_ratio": F.col("n_bullet_lines") / lines,
         "ellipsis_line_ratio": F.col("n_ellipsis_lines") / lines,
