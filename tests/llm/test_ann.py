@@ -54,11 +54,10 @@ def test_estimates_lie_within_their_bounds():
     for dim in (3, 64, 100):
         x = rng.standard_normal((2000, dim))
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        turned = unit @ ann.rotation(dim)
-        fit = np.abs(turned).sum(axis=1) / np.sqrt(dim)
-        blur = np.sqrt(1 - fit ** 2) / fit / np.sqrt(dim - 1)
-        codes = np.packbits(np.pad(turned > 0, ((0, 0), (0, -dim % 64))), axis=1, bitorder="little").view("<u8")
+        code, fit, blur = ann.encode(unit)
+        codes, turned = code.view("<u8"), unit @ ann.rotation(dim)
+        assert np.allclose(np.linalg.norm(turned, axis=1), 1)
         est, width = ann.estimate(turned[:40], codes, fit, blur)
         true = unit[:40] @ unit.T
-        assert (np.abs(est - true) <= width).mean() > 0.9995
-        assert dim < 10 or np.abs(est - true).mean() < 0.15
+        assert (np.abs(est - true) <= width).mean() > 0.995
+        assert np.abs(est - true).mean() < 3 / np.sqrt(dim * ann.BITS_PER_DIM)
