@@ -30,7 +30,7 @@ from feedspark.operators.numbering import number_rows
 BLOCK_WORDS, LEAST_BLOCKS = 64, 128        # block length; a small source has shorter blocks, so that it has so many
 SHARD_SLOTS = 1024
 WEIGHTS, MOST = (1.0, 2.0, 3.0), 3
-_WIDTH = 1024                              # positions per bucket of an interval join
+_WIDTH, _LEVEL = 1024, 1 << 16             # positions per bucket of an interval join, buckets made at once
 _U64 = np.uint64
 
 
@@ -93,8 +93,9 @@ def permuted(index: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
 def _interval_join(points: DataFrame, at: str, intervals: DataFrame, start: str, size: str) -> DataFrame:
     """``points`` whose ``at`` lies in [start, start + size), with the interval's columns: an equi-join on position buckets."""
     first, last = F.col(start), F.col(start) + F.col(size) - 1
-    cut = intervals.where(F.col(size) > 0).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(first / _WIDTH), F.floor(last / _WIDTH))))
+    cut = intervals.where(F.col(size) > 0).withColumns({"_b0": F.floor(first / _WIDTH), "_b1": F.floor(last / _WIDTH)})
+    cut = cut.withColumn("_b0", F.explode(F.sequence("_b0", "_b1", F.lit(_LEVEL))))       # in two levels: no long array
+    cut = cut.withColumn("_bucket", F.explode(F.sequence("_b0", F.least(F.col("_b0") + _LEVEL - 1, "_b1")))).drop("_b0", "_b1")
     joined = points.withColumn("_bucket", F.floor(F.col(at) / _WIDTH)).join(cut, "_bucket")
     return joined.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(size))).drop("_bucket")
 
