@@ -1,14 +1,16 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Index: every vector is scaled to length one and rotated by a random orthogonal
-matrix; the signs of its coordinates, packed into bytes, are its code.  With
-it go two correction scalars: ``fit``, the inner product of the vector and its
-code, and the error scale that follows from it.  Search: the rotated query is
-rounded to 8 bits per coordinate, one bit plane at a time is matched against
-the packed codes by AND and popcount, and code . query / fit estimates the
-cosine.  A candidate is computed exactly if its upper bound reaches the k-th
-largest lower bound of its query; the rest cannot be among the nearest (but
-for the chance that the error bound, ``EPSILON`` standard units wide, fails).
+Index: every vector is scaled to length one, padded with zeros to
+``BITS_PER_DIM`` times its length and rotated by a random orthogonal matrix; the
+signs of its coordinates, packed into bytes, are its code.  (Longer codes have
+narrower error bounds.)  With it go two correction scalars: ``fit``, the inner
+product of the vector and its code, and the error scale that follows from it.
+Search: the rotated query is rounded to a few bits per coordinate, one bit
+plane at a time is matched against the packed codes by AND and popcount, and
+code . query / fit estimates the cosine.  A candidate is computed exactly if
+its upper bound reaches the k-th largest lower bound of its query; the rest
+cannot be among the nearest (but for the chance that the error bound,
+``EPSILON`` standard units wide, fails).
 
 Queries and rows are dealt into blocks by hash; one task group compares one
 query block with one row block and returns at most k rows per query.
@@ -26,17 +28,28 @@ from pyspark.sql import Window
 
 from feedspark.llm.common import materialize, part_count
 
-EPSILON = 4.0                              # width of the error bound; the chance of a miss falls as exp(-EPSILON^2 / 2)
-PLANES = 8                                 # bits per rotated query coordinate
+EPSILON = 3.0                              # width of the error bound; the chance of a miss falls as exp(-EPSILON^2 / 2)
+PLANES = 4                                 # bits per rotated query coordinate
+BITS_PER_DIM = 8                           # bits of a code per coordinate of the vector
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 4096, 1024
 _INDEX = "vec_id bigint, dim int, vec array<double>, code binary, fit double, blur double"
 
 
 @lru_cache(maxsize=4)
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix, the same in every task."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """What a random rotation of the padded space does to the first ``dim`` coordinates (dim x code bits); the same in every task."""
+    bits = dim * BITS_PER_DIM + -dim * BITS_PER_DIM % 64     # whole 64-bit words
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((bits, dim)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r))).T)
+
+
+def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed codes (bytes), fit and blur of unit vectors."""
+    turned = unit @ rotation(unit.shape[1])
+    bits = turned.shape[1]
+    fit = np.abs(turned).sum(axis=1) / np.sqrt(bits)
+    blur = np.sqrt(np.maximum(0.0, 1 - fit * fit)) / fit / np.sqrt(bits - 1)
+    return np.packbits(turned > 0, axis=1, bitorder="little"), fit, blur
 
 
 def _usable(vec: Column) -> Column:
@@ -57,13 +70,7 @@ def _code(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for dim, part in pdf.groupby(pdf["vec"].map(len), sort=False):
         x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        turned = unit @ rotation(int(dim))
-        fit = np.abs(turned).sum(axis=1) / np.sqrt(dim)
-        blur = np.sqrt(np.maximum(0.0, 1 - fit * fit)) / fit / np.sqrt(max(dim - 1, 1))
-        pad = -dim % 64                    # whole 64-bit words
-        bits = np.pad(turned > 0, ((0, 0), (0, pad)))
-        code = np.packbits(bits, axis=1, bitorder="little")
+        code, fit, blur = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
         out.append(pd.DataFrame({"vec_id": part["vec_id"], "dim": np.int32(dim), "vec": part["vec"],
                                  "code": [c.tobytes() for c in code], "fit": fit, "blur": blur}))
     return pd.concat(out) if out else pd.DataFrame({"vec_id": [], "dim": [], "vec": [], "code": [], "fit": [], "blur": []})
@@ -77,35 +84,37 @@ def index(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
 def estimate(turned: np.ndarray, codes: np.ndarray, fit: np.ndarray, blur: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cosine estimates and error widths for rotated unit queries against packed codes (uint64 words).
 
-    The query is low + step * level with an 8-bit level per coordinate, so
+    The query is low + step * level with a ``PLANES``-bit level per coordinate, so
     signs . query = 2 * (low * popcount(code) + step * sum_p 2^p popcount(code & plane_p)) - sum(query).
     """
-    n, dim = turned.shape
+    n, bits = turned.shape
     low, high = turned.min(axis=1), turned.max(axis=1)
     step = np.maximum((high - low) / ((1 << PLANES) - 1), 1e-300)
     level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint32)
     rounded = low[:, None] + step[:, None] * level
-    weighted = np.zeros((n, len(codes)), np.int64)
-    for p in range(PLANES):
-        plane = np.pad((level >> p & 1).astype(bool), ((0, 0), (0, -dim % 64)))
-        plane = np.packbits(plane, axis=1, bitorder="little").view("<u8")
+    planes = [np.packbits((level >> p & 1).astype(bool), axis=1, bitorder="little").view("<u8") for p in range(PLANES)]
+    weighted = np.zeros((n, len(codes)), np.uint32)
+    for p, plane in enumerate(planes):
         for w in range(codes.shape[1]):
-            weighted += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int64) << p
+            weighted += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.uint32) << np.uint32(p)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
     signed = 2 * (low[:, None] * ones[None, :] + step[:, None] * weighted) - rounded.sum(axis=1)[:, None]
-    rounding = np.linalg.norm(rounded - turned, axis=1)
-    width = EPSILON * blur[None, :] + rounding[:, None] / fit[None, :] + 1e-12
-    return signed / np.sqrt(dim) / fit[None, :], width
+    rounding = np.linalg.norm(rounded - turned, axis=1) / np.sqrt(bits)
+    width = EPSILON * (blur[None, :] + rounding[:, None] / fit[None, :]) + 1e-12
+    return signed / np.sqrt(bits) / fit[None, :], width
+
+
+def _sum_by_coordinate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed coordinate by coordinate: equal rows give equal sums wherever they stand."""
+    a, b, out = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.zeros(len(a))
+    for x, y in zip(a, b):
+        out += x * y
+    return out
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of paired rows, summed coordinate by coordinate so that equal rows score equally wherever they stand."""
-    dot, na, nb = (np.zeros(len(a)) for _ in range(3))
-    for d in range(a.shape[1]):
-        dot += a[:, d] * b[:, d]
-        na += a[:, d] * a[:, d]
-        nb += b[:, d] * b[:, d]
-    return np.clip(dot / np.sqrt(na * nb), -1.0, 1.0)
+    """Cosine of paired rows in double precision."""
+    return np.clip(_sum_by_coordinate(a, b) / np.sqrt(_sum_by_coordinate(a, a) * _sum_by_coordinate(b, b)), -1.0, 1.0)
 
 
 def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -120,10 +129,11 @@ def _search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     low = np.where(own, -np.inf, est - width)
     floor = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
     qi, xi = np.nonzero((est + width >= floor[:, None]) & ~own)
-    score = np.empty(len(qi))
-    for at in range(0, len(qi), 1 << 17):  # rerank in pieces of bounded memory
-        s = slice(at, at + (1 << 17))
-        score[s] = cosine(q[qi[s]], x[xi[s]])
+    score, qq, xx = np.empty(len(qi)), _sum_by_coordinate(q, q), _sum_by_coordinate(x, x)
+    for at in range(0, len(qi), 1 << 15):  # rerank in pieces of bounded memory
+        s = slice(at, at + (1 << 15))
+        dot = _sum_by_coordinate(q[qi[s]], x[xi[s]])
+        score[s] = np.clip(dot / np.sqrt(qq[qi[s]] * xx[xi[s]]), -1.0, 1.0)
     order = np.lexsort((x_id[xi], -score, qi))
     qi, xi, score = qi[order], xi[order], score[order]
     first = np.searchsorted(qi, qi)
