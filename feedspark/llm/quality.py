@@ -96,16 +96,18 @@ def repeated_words(words: Column, n: int = WINDOW) -> Column:
     return let(_grams(words, n), of)
 
 
-def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus every base count and ratio of the text (null: empty)."""
-    text = text_or_empty()
+def measured(text: Column) -> Column:
+    """All base counts and ratios of a text (not null) as one struct, everything computed once."""
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
 
-    def per_text(b: Column) -> Column:
+    def has_word(line: Column) -> Column:
+        return F.length(F.translate(line, WORD_SPACE, "")) > 0
+
+    def counts(b: Column) -> Column:
         words, lines = b["words"], b["lines"]
-        n, n_lines = F.size(words).cast("bigint"), F.size(lines).cast("bigint")
+        n_lines = F.size(lines).cast("bigint")
         return F.struct(
-            n.alias("n_words"),
+            F.size(words).cast("bigint").alias("n_words"),
             n_lines.alias("n_lines"),
             (n_lines - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
@@ -116,45 +118,45 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
                 "n_ellipsis_lines"),
         )
 
-    def has_word(line: Column) -> Column:
-        return F.length(F.translate(line, WORD_SPACE, "")) > 0
+    def ratios(r: Column) -> Column:
+        c = r["c"]
+        words, lines = F.greatest(c["n_words"], F.lit(1)), F.greatest(c["n_lines"], F.lit(1))
+        return F.struct(
+            *[c[n].alias(n) for n in ("n_words", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
+                                      "n_bullet_lines", "n_ellipsis_lines")],
+            *[r[n].alias(n) for n in ("word_chars", "n_symbols")],
+            (r["word_chars"] / words).alias("mean_word_length"),
+            (r["n_symbols"] / words).alias("symbol_ratio"),
+            F.when(c["n_words"] < SHORT_TEXT, 1.0).otherwise(c["n_stop_words"] / words).alias("stop_word_ratio"),
+            (c["n_dup_lines"] / lines).alias("dup_line_ratio"),
+            (c["n_bullet_lines"] / lines).alias("bullet_line_ratio"),
+            (c["n_ellipsis_lines"] / lines).alias("ellipsis_line_ratio"),
+            (r["upper"] / F.greatest(r["upper"] + r["lower"], F.lit(1))).alias("upper_ratio"),
+        )
 
     bound = F.struct(word_array(text).alias("words"), F.filter(F.split(text, "\n"), has_word).alias("lines"))
-    chars = F.length(F.translate(text, WORD_SPACE, "")).cast("bigint")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    upper = F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))
-    lower = F.length(text) - F.length(F.regexp_replace(text, "\\p{Ll}", ""))
-    x = docs.select(
-        *[F.col(c) for c in keep],
-        let(bound, per_text).alias("_m"),
-        chars.alias("word_chars"),
-        symbols.cast("bigint").alias("n_symbols"),
-        (upper / F.greatest(upper + lower, F.lit(1))).alias("upper_ratio"),
+    raw = F.struct(
+        let(bound, counts).alias("c"),
+        F.length(F.translate(text, WORD_SPACE, "")).cast("bigint").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        (F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))).alias("upper"),
+        (F.length(text) - F.length(F.regexp_replace(text, "\\p{Ll}", ""))).alias("lower"),
     )
-    x = x.select("*", "_m.*").drop("_m")
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
-    return x.withColumns({
-        "mean_word_length": F.col("word_chars") / words,
-        "symbol_ratio": F.col("n_symbols") / words,
-        "stop_word_ratio": F.when(F.col("n_words") < SHORT_TEXT, 1.0).otherwise(F.col("n_stop_words") / words),
-        "dup_line_ratio": F.col("n_dup_lines") / lines,
-        "bullet_line_ratio": F.col("n_bullet_lines") / lines,
-        "ellipsis_line_ratio": F.col("n_ellipsis_lines") / lines,
-    })
-
-
-def failed_rules(rules: Sequence[Rule] = RULES) -> Column:
-    """Names of the rules that a row breaks, compiled from the table into one array expression."""
+    return let(raw, ratios)
+
+
+def failed_rules(measure: Callable[[str], Column], rules: Sequence[Rule] = RULES) -> Column:
+    """Names of the rules that are broken, compiled from the table into one array expression over ``measure(name)``."""
     def broken(r: Rule) -> Column:
-        low = F.col(r.measure) < r.low if r.low is not None else F.lit(False)
-        high = F.col(r.measure) > r.high if r.high is not None else F.lit(False)
+        low = measure(r.measure) < r.low if r.low is not None else F.lit(False)
+        high = measure(r.measure) > r.high if r.high is not None else F.lit(False)
         return F.when(low | high, F.lit(r.name))
 
     return F.array_compact(F.array(*[broken(r) for r in rules]))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PCT * F.col("n_words"))
+def base_failed(measure: Callable[[str], Column]) -> Column:
+    return (measure("n_words") < LEAST_WORDS) | (100 * measure("n_repeat_words") > MOST_REPEATED_PCT * measure("n_words"))
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -165,13 +167,18 @@ def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] =
     rows.  Only ``keep`` and ``text`` are read from ``docs``, so its other
     columns cannot clash; a column in ``keep`` must not bear a measure's name.
     """
-    x = measures(docs, keep)
-    x = x.withColumns({"base_failed": base_failed(), "failed": failed_rules(rules)})
+    x = docs.select(*keep, measured(text_or_empty()).alias("_m")).select(*keep, "_m.*")
+    x = x.withColumns({"base_failed": base_failed(F.col), "failed": failed_rules(F.col, rules)})
     return x.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they were."""
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("text"))
-    kept = judge(whole, rules, keep=("_row",)).where("kept")
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs`` that the rules keep, with their columns as they were.
+
+    The condition is one expression that measures a text once; a filter over
+    ``judge`` would be pushed below its projection and measure it for every rule.
+    """
+    def keeps(m: Column) -> Column:
+        return ~base_failed(m.getField) & (F.size(failed_rules(m.getField, rules)) == 0)
+
+    return docs.where(let(measured(text_or_empty()), keeps))
