@@ -19,36 +19,47 @@ ids, no join.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import partial
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm.common import materialize, text_or_empty
+from feedspark.llm.token_counts import batches
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 POOL_TOKENS = 1 << 21                      # ids that wait in a task's pool
+BATCH_CHARS = 1 << 22                      # characters whose words are told apart at once
 STEP = 8                                   # windows in a step group
 RESTS = 1024                               # tasks whose rests meet in one group of the second pass
 _PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
            "offset bigint, tier int, step_group bigint, open boolean, ids binary")
+_LETTER_MARK = re.compile(r"([a-z])(?=[!-&(-/:-@\[-`{-~])")
 _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes, word by word, with a bounded memory of words.
-
-    The vocabulary's pre-tokenizer drops white space and never joins characters
-    across it, and its normalizer is local, so the ids of a text are those of
-    its words in order.
+    """Ids of texts as little-endian 32-bit bytes, each distinct word coded once within a bounded memory.
+
+    The vocabulary's normalizer is local and lower-cases, its pre-tokenizer
+    drops white space and parts a letter from a punctuation mark behind it (but
+    for the apostrophe), and it never joins characters across either place.  So
+    the ids of a text are those of its lower-cased parts in order.  Texts that
+    may hold a special token's string are parted at white space only.  Parts of
+    plain letters are coded many at once: each ends with the one id that marks
+    a word's end.
     """
 
     def __init__(self, path: str, most: int = 1 << 19):
@@ -60,19 +71,73 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most, self.seen = most, {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()   # bytes: ASCII white space only
-        seen = self.seen
-        if len(seen) > self.most:
-            seen.clear()
-        new = list(set(words).difference(seen))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            coded = self.tok.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
-        return b"".join(map(seen.__getitem__, words)) + END_ID.to_bytes(4, "little")
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}   # of a word or part; its ids are flat[start[n]:start[n + 1]]
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def _add(self, words: list[str], ids: bytes, sizes: np.ndarray) -> None:
+        """Words with their ids one after the other, ``sizes`` ids each."""
+        self.number.update(zip(words, count(len(self.number))))
+        self.start.frombytes((self.start[-1] + np.cumsum(sizes, dtype=np.int64)).tobytes())
+        self.flat.frombytes(ids)
+
+    def _code(self, parts: list[str]) -> None:
+        coded = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        self._add(parts, b"".join(c.tobytes() for c in coded), np.array([len(c) for c in coded], np.int64))
+
+    def _code_letters(self, parts: list[str]) -> None:
+        runs = [parts[at:at + 256] for at in range(0, len(parts), 256)]
+        coded = self.tok.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)
+        for run, e in zip(runs, coded):
+            ids = np.array(e.ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(run):
+                self._add(run, ids.tobytes(), np.diff(last, prepend=0))
+            else:                          # a letter that falls into letter and mark when lower-cased
+                self._code(run)
+
+    def _learn(self, new: list[str]) -> None:
+        plain, mixed = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        marked = _LETTER_MARK.sub(r"\1 ", "\n".join(mixed)).split("\n")
+        split = [(w,) if "<|" in w else m.split(" ") for w, m in zip(mixed, marked)]
+        need = set(plain).union(*split).difference(self.number)
+        self._code_letters([p for p in need if p.isalpha()])
+        self._code([p for p in need if not p.isalpha()])
+        joint = [(w, own) for w, own in zip(mixed, split) if w not in self.number]
+        ids = [b"".join(self.flat[self.start[n]:self.start[n + 1]].tobytes() for n in map(self.number.__getitem__, own))
+               for _, own in joint]
+        self._add([w for w, _ in joint], b"".join(ids), np.array([len(i) // 4 for i in ids], np.int64))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the words of all of them are told apart at once."""
+        if len(self.number) > self.most:
+            self._forget()
+        column = pa.array(texts, pa.string())
+        lower = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        words = pc.ascii_split_whitespace(lower)   # ASCII case and ASCII white space only
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.number.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(unknown := np.flatnonzero(number < 0)):
+            new = [distinct[i] for i in unknown.tolist()]
+            self._learn(new)
+            number[unknown] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
+        number = number[coded.indices.to_numpy()]
+        start, flat = np.frombuffer(self.start, np.int64), np.frombuffer(self.flat, np.uint32)
+        at, n = start[number], start[number + 1] - start[number]
+        until = np.cumsum(n)
+        ids = flat[np.repeat(at - (until - n), n) + np.arange(until[-1] if len(until) else 0)].astype("<u4").tobytes()
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        cuts = (4 * np.concatenate([[0], until])[offsets]).tolist()
+        del start, flat                    # the arrays may grow again
+        end = END_ID.to_bytes(4, "little")
+        return [ids[a:b] + end for a, b in zip(cuts, cuts[1:])]
 
 
 class Piece:
@@ -162,25 +227,29 @@ def _rows(windows: list[tuple[int, list[Piece]]], rest: list[Piece], number, wit
     return df.astype({"doc_id": "Int64"})
 
 
+def _coded(pdf: pd.DataFrame, encode: WordIds) -> Iterator[tuple]:
+    texts = pdf["text"].tolist()
+    for a, b in batches(list(map(len, texts)), BATCH_CHARS):
+        yield from zip(pdf["doc_id"].iloc[a:b], encode(texts[a:b]))
+
+
 def _pack_task(batches: Iterator[pd.DataFrame], path: str, with_ids: bool) -> Iterator[pd.DataFrame]:
     encode, longest = WordIds(path), TIERS[-1]
     number = count(TaskContext.get().partitionId() << 40)
     full: list[tuple[int, list[Piece]]] = []
     pool: list[Piece] = []
     held = 0
-    for pdf in batches:
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            ids = encode(text)
-            n = len(ids) // 4
-            doc = (None if pd.isna(doc_id) else int(doc_id), ids, n, 0)
-            full += [(longest, [Piece(doc, s, longest)]) for s in range(0, n - longest + 1, longest)]
-            if tail := n % longest:
-                pool.append(Piece(doc, n - tail, tail))
-            held += n
-            if held >= POOL_TOKENS:
-                windows, pool = pack_pool(pool)
-                yield _rows(full + windows, [], number, with_ids, False)
-                full, held = [], sum(p.length for p in pool)
+    for doc_id, ids in (x for pdf in batches for x in _coded(pdf, encode)):
+        n = len(ids) // 4
+        doc = (None if pd.isna(doc_id) else int(doc_id), ids, n, 0)
+        full += [(longest, [Piece(doc, s, longest)]) for s in range(0, n - longest + 1, longest)]
+        if tail := n % longest:
+            pool.append(Piece(doc, n - tail, tail))
+        held += n
+        if held >= POOL_TOKENS:
+            windows, pool = pack_pool(pool)
+            yield _rows(full + windows, [], number, with_ids, False)
+            full, held = [], sum(p.length for p in pool)
     windows, pool = pack_pool(pool)
     yield _rows(full + windows, pool, number, with_ids, False)
 
