@@ -149,11 +149,13 @@ def open_ranges(ranges: DataFrame, recovered: DataFrame) -> DataFrame:
 
     The ends of the ranges and the recovered numbers are points on one line;
     numbers are missing behind the start of a range or a recovered number, not
-    behind the end of a range.
+    behind the end of a range.  Where one range ends right before the next one
+    starts, the two ends cancel out.
     """
-    ends = F.array(F.struct((F.col("lo") - 1).alias("seq"), F.lit(True).alias("opens")),
-                   F.struct((F.col("hi") + 1).alias("seq"), F.lit(False).alias("opens")))
-    points = ranges.select(*KEYS, F.explode(ends).alias("p")).select(*KEYS, "p.seq", "p.opens")
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("d")))
+    marks = ranges.select(*KEYS, F.explode(ends).alias("p")).groupBy(*KEYS, F.col("p.at").alias("at")).agg(F.sum("p.d").alias("d"))
+    opens = F.col("d") > 0
+    points = marks.where("d <> 0").select(*KEYS, F.when(opens, F.col("at") - 1).otherwise(F.col("at")).alias("seq"), opens.alias("opens"))
     points = points.unionByName(recovered.select(*KEYS, "seq", F.lit(True).alias("opens")))
     points = points.groupBy(*KEYS, "seq").agg(F.max("opens").alias("opens"))
     return gap_ranges(points, opens="opens")

@@ -47,6 +47,9 @@ def test_open_ranges(spark):
                                 "channel string, feed_date string, seq bigint")
     got = sorted((r.feed_date, r.lo, r.hi) for r in R.open_ranges(ranges, rec).collect())
     assert got == [("d", 1, 2), ("d", 4, 5), ("d", 300000, 300003), ("f", 11, 4999), ("f", 5001, 10 ** 12)]
+    touching = _ranges(spark, [("d", 1, 5), ("d", 6, 9), ("d", 11, 12)])
+    one = rec.where("seq = 3")
+    assert sorted((r.lo, r.hi) for r in R.open_ranges(touching, one).where("feed_date = 'd'").collect()) == [(1, 2), (4, 9), (11, 12)]
 
 
 def test_rounds_keep_attempts_and_retry_what_was_not_found(spark):
