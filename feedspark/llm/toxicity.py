@@ -20,17 +20,19 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedspark.llm.common import id_fold, materialize, text_or_empty, zipped
+from feedspark.llm.token_counts import batches as runs
 
 # ---- fixed values (the channel) ---------------------------------------------------
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -86,10 +88,14 @@ def _add_trigrams(total: np.ndarray, words: dict[str, int]) -> None:
 
 def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(BASE ** 3, np.int64)
-    words: Counter[str] = Counter()
+    words: dict[str, int] = {}
     for pdf in batches:
-        for text in pdf["text"]:
-            words.update(text.lower().split())
+        texts = pdf["text"].tolist()
+        for a, b in runs(list(map(len, texts)), 1 << 21):
+            column = pa.array(texts[a:b], pa.string())
+            seen = pc.utf8_split_whitespace(pc.utf8_lower(column)).flatten().value_counts()
+            for w, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
+                words[w] = words.get(w, 0) + n
             if len(words) > 1 << 18:
                 _add_trigrams(total, words)
                 words.clear()
@@ -306,7 +312,8 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
                 rows.append((int(y), *_strongest(evidence(a[f] - y, b[f] - (1 - y), prior))))
             yield pd.DataFrame(rows, columns=["y", "e0", "e1", "e2"])
 
-    top = seen.mapInPandas(judged, "y int, e0 double, e1 double, e2 double")
+    some = seen.where(F.pmod(F.xxhash64("f"), F.lit(n)) < FIT_ROWS)
+    top = some.mapInPandas(judged, "y int, e0 double, e1 double, e2 double")
     sample = top.orderBy(F.xxhash64("e0", "e1", "e2"), "y").limit(FIT_ROWS).toPandas()
     weights = _fit(sample[["e0", "e1", "e2"]].to_numpy(), sample["y"].to_numpy())
     return ToxicityModel(logp, evidence(with_label, without, prior).astype(np.float32), weights)
