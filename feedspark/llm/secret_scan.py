@@ -45,7 +45,7 @@ _MAGIC = ((b"\x1f\x8b", lambda b: zlib.decompress(b, 31)), (b"BZh", bz2.decompre
           (b"\x28\xb5\x2f\xfd", lambda b: _zstd(b)),
           (b"\x78\x01", zlib.decompress), (b"\x78\x5e", zlib.decompress), (b"\x78\x9c", zlib.decompress), (b"\x78\xda", zlib.decompress))
 # ------------------------------------------------------------------------------
-_LINE_BREAKS = str.maketrans("", "", "\t\n\r")
+_LEFT_OVER = {0xDC00 + b: b for b in range(0x80, 0x100)}     # bytes that aren't UTF-8, as Python escapes them
 
 
 class Span(NamedTuple):
@@ -81,15 +81,16 @@ class Layer(NamedTuple):
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
 
-def _utf8_chars(raw: bytes) -> tuple[str, np.ndarray] | None:
-    """The text of UTF-8 bytes and the first byte of each character; None if it isn't text."""
+def _chars(raw: bytes) -> tuple[str, np.ndarray, bool]:
+    """The text of bytes, the first byte of each character, and whether all of it is UTF-8; bytes left over are Latin-1."""
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8"), np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), True
     except UnicodeDecodeError:
-        return None
-    if not text or not text.translate(_LINE_BREAKS).isprintable():
-        return None
-    return text, np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+        text = raw.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    size[code >> 8 == 0xDC] = 1
+    return text.translate(_LEFT_OVER), np.cumsum(size) - size, False
 
 
 def _url(piece: str):
@@ -141,12 +142,13 @@ def _b64(piece: str):
     except (binascii.Error, ValueError):
         return None
     plain, packed = unpack(raw)
-    if (got := _utf8_chars(plain)) is None:
-        return None
-    if packed:
-        return got[0], None, None
-    first, last = got[1], np.append(got[1][1:], len(raw))
-    return got[0], first * 4 // 3, np.minimum(-(-last * 4 // 3), len(piece))
+    text, first, clean = _chars(plain)
+    if packed:                             # its magic and its checksum say that it is one, whatever it holds
+        return text, None, None
+    if not clean and not any(base_spans(layer.text) for layer in layers(text)):
+        return None                        # a word that looks like base64: nothing in it, nor in any layer under it
+    last = np.append(first[1:], len(raw))
+    return text, first * 4 // 3, np.minimum(-(-last * 4 // 3), len(piece))
 
 
 #: name -> (what it finds, how a piece is read, a cheap test whether a text can hold such a piece)

@@ -129,3 +129,19 @@ def test_long_text_is_scanned_in_time():
     began = time.time()
     S.scan(text)
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("odd", ["\xa0", "\u202f", "\u3000", "\u200b", "\xad", "\ufeff", "\f", "\x1b[0m", "\0"])
+@pytest.mark.parametrize("name", ["base64", *packed("")])
+def test_layers_with_unprintable_characters(name, odd):
+    body = WRAP[name](f"prix{odd}: 5 {SECRET} ok")
+    assert any(s.kind == "assign" for s in S.scan(f"see {body} ok")[1])
+    assert S.scan(S.redact(body, S.scan(body)[1]))[1] == []
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, zstandard.compress])
+def test_layers_that_are_not_utf8(pack):
+    raw = "déjà vu, password=hunter2secret".encode("latin-1")
+    assert any(s.kind == "assign" for s in S.scan("see " + base64.b64encode(pack(raw)).decode())[1])
+    inner = "déjà ".encode("latin-1") + WRAP["url"](SECRET).encode()
+    assert any(s.kind == "assign" for s in S.scan("see " + base64.b64encode(pack(inner)).decode())[1])
