@@ -1,9 +1,11 @@
 """Secret scan with a recursive decoding worklist.
 
 The text is layer 0.  Every layer is scanned by the base patterns.  Each of
-the decoders (URL escapes, Unicode escapes, base64 with any compression under
-it) that finds something to unwrap makes one child layer: the layer's text with
-its encoded pieces replaced in place.  Children go on the worklist until no
+the decoders (URL escapes, Unicode escapes, base64, wrapped or not, with any
+compression under it) that finds something to unwrap makes one child layer: the
+layer's text with its encoded pieces replaced in place.  Base64 glued to other
+characters of its alphabet makes one more, with every reading of those runs.
+Children go on the worklist until no
 decoder changes anything; a layer whose text was seen before in this document
 is not taken again, so loops end and decoders that commute meet.  Each
 character of a layer knows the span of the original text that it came from, so
@@ -20,6 +22,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -41,10 +44,16 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|(?:\\x[0-9A-Fa-f]{2})+|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAGIC = ((b"\x1f\x8b", lambda b: zlib.decompress(b, 31)), (b"BZh", bz2.decompress), (b"\xfd7zXZ", lzma.decompress),
-          (b"\x28\xb5\x2f\xfd", lambda b: _zstd(b)),
-          (b"\x78\x01", zlib.decompress), (b"\x78\x5e", zlib.decompress), (b"\x78\x9c", zlib.decompress), (b"\x78\xda", zlib.decompress))
+_BREAK = r"[ \t]*(?:\r\n?|\n)[ \t]*"
+_JOINED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{16,}}+|[A-Za-z0-9+/_-]++(?={_BREAK}[A-Za-z0-9+/_-]))"
+                    rf"(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+_LEAST_BASE64 = 16
+_MAGIC = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor),
+          (b"\x28\xb5\x2f\xfd", lambda: _zstd()),
+          (b"\x78\x01", zlib.decompressobj), (b"\x78\x5e", zlib.decompressobj), (b"\x78\x9c", zlib.decompressobj), (b"\x78\xda", zlib.decompressobj))
 # ------------------------------------------------------------------------------
+_MAGICS = re.compile(b"|".join(re.escape(magic) for magic, _ in _MAGIC))
+_GAPS = re.compile(r"\s+")
 _LEFT_OVER = {0xDC00 + b: b for b in range(0x80, 0x100)}     # bytes that aren't UTF-8, as Python escapes them
 
 
@@ -54,10 +63,10 @@ class Span(NamedTuple):
     end: int
 
 
-def _zstd(packed: bytes) -> bytes:
+def _zstd():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompressobj().decompress(packed)
+    return zstandard.ZstdDecompressor().decompressobj()
 
 
 def base_spans(text: str) -> list[Span]:
@@ -118,19 +127,26 @@ def _unicode(piece: str):
     return (chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�"), None, None
 
 
+def _stream(raw: bytes) -> tuple[bytes, bytes] | None:
+    """The content of the compressed stream that the bytes begin with, and what follows it."""
+    for magic, make in _MAGIC:
+        if raw.startswith(magic):
+            undo = make()
+            try:
+                plain = undo.decompress(raw)
+            except Exception:              # not such a stream after all: each library raises its own kind
+                continue
+            if undo.eof:
+                return plain, undo.unused_data
+    return None
+
+
 def unpack(raw: bytes) -> tuple[bytes, bool]:
     """Compressed layers taken off one by one, and whether there was one."""
     packed = False
-    while True:
-        for magic, undo in _MAGIC:
-            if raw.startswith(magic):
-                try:
-                    raw, packed = undo(raw), True
-                    break
-                except Exception:          # not such a stream after all: each library raises its own kind
-                    continue
-        else:
-            return raw, packed
+    while (got := _stream(raw)) is not None:
+        raw, packed = got[0], True
+    return raw, packed
 
 
 def _b64(piece: str):
@@ -145,28 +161,94 @@ def _b64(piece: str):
     text, first, clean = _chars(plain)
     if packed:                             # its magic and its checksum say that it is one, whatever it holds
         return text, None, None
-    if not clean and not any(base_spans(layer.text) for layer in layers(text)):
-        return None                        # a word that looks like base64: nothing in it, nor in any layer under it
+    if not clean:                          # a word that looks like base64, or one that is glued to some: see _glued
+        return None
     last = np.append(first[1:], len(raw))
     return text, first * 4 // 3, np.minimum(-(-last * 4 // 3), len(piece))
 
 
-#: name -> (what it finds, how a piece is read, a cheap test whether a text can hold such a piece)
+def _joined(piece: str):
+    """Base64 that may go over several lines, read as one."""
+    body = _GAPS.sub("", piece)
+    if len(body.rstrip("=")) < _LEAST_BASE64:
+        return None
+    if (got := _b64(body)) is None or got[1] is None or len(body) == len(piece):
+        return got
+    at = np.flatnonzero([not c.isspace() for c in piece])
+    return got[0], at[got[1]], at[got[2] - 1] + 1
+
+
+def _base64_pieces(text: str) -> Iterator[tuple]:
+    for m in _JOINED.finditer(text):
+        if (got := _joined(m[0])) is not None:
+            yield *m.span(), got
+        else:                              # lines that don't belong together
+            yield from _pieces(_BASE64, _b64, text, *m.span())
+
+
+def _glued(layer: Layer) -> Layer | None:
+    """Base64 that does not begin with its run of characters, or does not end with it.
+
+    Wherever base64 begins in a run, it is read right from one of the run's
+    first four characters, with noise around it.  The layer holds all four
+    readings of all runs (the first one only where the run as a whole is no
+    base64), parted by NUL bytes; compressed data is unpacked where it begins.
+    Bytes stand for Latin-1 characters, since all patterns are ASCII.
+    """
+    bodies, places = ([], [], [], []), ([], [], [], [])
+    for m in _JOINED.finditer(layer.text):
+        piece = m[0].rstrip("=")
+        at = np.arange(m.start(), m.start() + len(piece))
+        body = _GAPS.sub("", piece)
+        if len(body) < _LEAST_BASE64:
+            continue
+        if len(body) < len(piece):
+            at = at[[not c.isspace() for c in piece]]
+        for k in range(0 if _joined(m[0]) is None else 1, 4):
+            fill = 4 + -(len(body) - k) % 4
+            bodies[k].append(body[k:] + "A" * fill)
+            places[k].append(at[k:])
+            places[k].append(np.full(fill, at[-1]))
+    if not bodies[3]:
+        return None
+    place = np.concatenate([x for own in places for x in own])
+    raw = base64.b64decode("".join(x for own in bodies for x in own).replace("-", "+").replace("_", "/"))
+    byte = np.arange(len(raw))
+    first = byte // 3 * 4 + byte % 3
+    start, end = place[first], place[first + 1] + 1
+    if layer.start is not None:
+        start, end = layer.start[start], layer.end[end - 1]
+    texts, starts, ends, until = [raw.decode("latin-1")], [start], [end], 0
+    for m in _MAGICS.finditer(raw):
+        if m.start() < until or (got := _stream(raw[m.start():])) is None:
+            continue
+        until = len(raw) - len(got[1])
+        text = "\0" + _chars(unpack(got[0])[0])[0]
+        texts.append(text)
+        starts.append(np.full(len(text), start[m.start():until].min()))
+        ends.append(np.full(len(text), end[m.start():until].max()))
+    return Layer("".join(texts), np.concatenate(starts), np.concatenate(ends))
+
+
+def _pieces(pattern: re.Pattern, read, text: str, *within: int) -> Iterator[tuple]:
+    """(begin, end, what was read) of every piece that ``read`` can decode."""
+    for m in pattern.finditer(text, *within):
+        if (got := read(m[0])) is not None:
+            yield *m.span(), got
+
+
+#: (the pieces of a text with what is read there, a cheap test whether a text can hold such a piece)
 DECODERS = (
-    (_URL, _url, lambda t: "%" in t),
-    (_UNICODE, _unicode, lambda t: "\\" in t or "&#" in t),
-    (_BASE64, _b64, lambda t: True),
+    (partial(_pieces, _URL, _url), lambda t: "%" in t),
+    (partial(_pieces, _UNICODE, _unicode), lambda t: "\\" in t or "&#" in t),
+    (_base64_pieces, lambda t: True),
 )
 
 
-def _child(layer: Layer, pattern: re.Pattern, read) -> Layer | None:
-    """The layer with every piece that ``read`` can decode replaced in place; None if there is none."""
+def _child(layer: Layer, pieces) -> Layer | None:
+    """The layer with every piece that can be decoded replaced in place; None if there is none."""
     texts, starts, ends, at = [], [], [], 0
-    for m in pattern.finditer(layer.text):
-        if (got := read(m[0])) is None:
-            continue
-        text, first, last = got
-        a, b = m.span()
+    for a, b, (text, first, last) in pieces(layer.text):
         texts.append(layer.text[at:a])     # what stands between the pieces keeps its origin
         starts.append(np.arange(at, a) if layer.start is None else layer.start[at:a])
         ends.append(np.arange(at + 1, a + 1) if layer.start is None else layer.end[at:a])
@@ -197,8 +279,9 @@ def layers(text: str) -> Iterator[Layer]:
     while todo:
         layer = todo.pop()
         yield layer
-        for pattern, read, may in DECODERS:
-            if may(layer.text) and (child := _child(layer, pattern, read)) is not None:
+        children = [_child(layer, pieces) for pieces, may in DECODERS if may(layer.text)]
+        for child in [*children, _glued(layer)]:
+            if child is not None:
                 seen = seen or {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
                 mark = hashlib.blake2b(child.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if mark not in seen:

@@ -145,3 +145,43 @@ def test_layers_that_are_not_utf8(pack):
     assert any(s.kind == "assign" for s in S.scan("see " + base64.b64encode(pack(raw)).decode())[1])
     inner = "déjà ".encode("latin-1") + WRAP["url"](SECRET).encode()
     assert any(s.kind == "assign" for s in S.scan("see " + base64.b64encode(pack(inner)).decode())[1])
+
+
+PLAIN = base64.b64encode(b"password=hunter2secret").decode()
+
+
+@pytest.mark.parametrize("before", ["https://example.com/get/", "key-", "sess_", "x", "ab", "abc", "data/a-b_c/"])
+@pytest.mark.parametrize("after", ["", "-x", "/more_of_it", "\nnext"])
+def test_base64_glued_to_other_characters(before, after):
+    for body in (PLAIN, base64.b64encode(b"\xe9 password=hunter2secret").decode()):
+        own = [s for s in S.scan(f"see {before}{body}{after} ok")[1] if s.kind == "assign"]
+        a = 4 + len(before)
+        assert own and all(a <= s.start < s.end <= a + len(body) + len(after) for s in own)
+
+
+@pytest.mark.parametrize("name", packed(""))
+@pytest.mark.parametrize("before", ["", "key-", "a/b_"])
+@pytest.mark.parametrize("after", ["", "-tail"])
+def test_compressed_base64_glued_to_other_characters(name, before, after):
+    body = WRAP[name](f"see {SECRET} ok").rstrip("=")
+    own = [s for s in S.scan(f"<{before}{body}{after}>")[1] if s.kind == "assign"]
+    assert own and all(1 + len(before) <= s.start < s.end <= 1 + len(before) + len(body) + len(after) for s in own)
+
+
+@pytest.mark.parametrize("gap", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [76, 64, 10])
+@pytest.mark.parametrize("name", ["base64", "urlsafe", *packed("")])
+def test_base64_over_several_lines(name, width, gap):
+    for n in range(40, 46):
+        body = WRAP[name]("".join(map(chr, range(60, 60 + n // 2))) + "." * n + SECRET + " and some more text behind it")
+        lines = gap.join(body[i:i + width] for i in range(0, len(body), width))
+        for before in ("see: ", "attached\n"):
+            own = [s for s in S.scan(f"{before}{lines} ok")[1] if s.kind == "assign"]
+            assert own and all(len(before) <= s.start < s.end <= len(before) + len(lines) for s in own)
+
+
+def test_span_of_wrapped_base64_skips_the_break():
+    body = base64.b64encode(b"abc password=hunter2 xyz").decode()
+    (whole,) = S.scan(f"<{body}>")[1]
+    (got,) = S.scan(f"<{body[:12]}\r\n{body[12:]}>")[1]
+    assert (got.start, got.end) == (whole.start, whole.end + 2)
