@@ -103,8 +103,11 @@ def _chars(raw: bytes) -> tuple[str, np.ndarray, bool]:
 
 
 def _url(piece: str):
-    """URL escapes: three characters a byte; bytes that aren't UTF-8 stand for Latin-1 characters."""
+    """URL escapes: three characters a byte; bytes that aren't UTF-8 stand for Latin-1 characters, unless they are compressed."""
     raw = bytes.fromhex(piece.replace("%", ""))
+    plain, packed = unpack(raw)
+    if packed:
+        return _chars(plain)[0], None, None
     try:
         text = raw.decode("utf-8")
         first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
@@ -145,7 +148,11 @@ def unpack(raw: bytes) -> tuple[bytes, bool]:
     """Compressed layers taken off one by one, and whether there was one."""
     packed = False
     while (got := _stream(raw)) is not None:
-        raw, packed = got[0], True
+        parts, rest = [got[0]], got[1]
+        while (got := _stream(rest.lstrip(b"\0"))) is not None:    # further members or frames, padded with zeros or not
+            parts.append(got[0])
+            rest = got[1]
+        raw, packed = b"".join([*parts, rest]), True
     return raw, packed
 
 

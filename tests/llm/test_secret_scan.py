@@ -185,3 +185,19 @@ def test_span_of_wrapped_base64_skips_the_break():
     (whole,) = S.scan(f"<{body}>")[1]
     (got,) = S.scan(f"<{body[:12]}\r\n{body[12:]}>")[1]
     assert (got.start, got.end) == (whole.start, whole.end + 2)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_every_member_of_a_compressed_layer(pack):
+    raw = pack(b"first ") + pack(b"second ") + pack(f"third {SECRET} ok".encode())
+    assert S.unpack(raw) == (f"first second third {SECRET} ok".encode(), True)
+    assert S.unpack(pack(b"first ") + SECRET.encode()) == (f"first {SECRET}".encode(), True)
+    for body in (base64.b64encode(raw).decode(), "key-" + base64.b64encode(raw).decode()):
+        assert any(s.kind == "assign" for s in S.scan(f"see {body} ok")[1])
+
+
+@pytest.mark.parametrize("escape", ["%{:02x}", "\\x{:02x}"])
+@pytest.mark.parametrize("name", packed(""))
+def test_compressed_bytes_as_escapes(name, escape):
+    body = "".join(escape.format(b) for b in packed(f"see {SECRET} ok")[name])
+    assert [s for s in S.scan(f"x {body} y")[1] if s.kind == "assign"] == [("assign", 2, 2 + len(body))]
