@@ -5,7 +5,7 @@ letters, letters repeated, or a run of single letters set apart by spaces)
 becomes a lattice: every position offers letters, and nothing, at a price.
 Viterbi over the lattice, with the last two letters as state and a character
 trigram model of all words as prior, gives the most likely plain spelling.
-Tokens of plain letters are lattices with one path and need no search.
+Tokens of plain letters without a double are lattices with one path and need no search.
 
 Score.  Restored words have features (the word and its prefixes) in a hashed
 table of fixed size.  The table counts labelled training documents with and
@@ -53,10 +53,11 @@ FIT_ROWS = 20_000                                      # bound of the labelled s
 
 _TRIM = "".join(chr(c) for c in range(0x21, 0xC0) if not chr(c).isalnum()) + "‘’“”„…–—•"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_PLAIN = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-_DISGUISED = re.compile(r"[\w" + re.escape("".join(LEET) + SEPARATORS) + r"]{3,24}")
+_SYMBOLS = frozenset(c for c in LEET if not c.isdigit())
 
 
 # ---- the character model ------------------------------------------------------------
@@ -148,9 +149,9 @@ class Channel:
 
     def restore(self, token: str) -> str:
         """The most likely plain spelling of a token (or of letters set apart by spaces: of all of them)."""
-        best = {(0, 0): (0.0, "")}
+        best = {(0, 0): (0.0, None)}       # per state the score, and the letters as (what went before, last ones)
         for options in self.lattice(token):
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, done) in best.items():
                 for letters, price in options:
                     s, x, y = score + price, a, b
@@ -159,25 +160,31 @@ class Channel:
                         s += float(self.logp[x, y, k])
                         x, y = (0, 0) if c == " " else (y, k)
                     if (x, y) not in nxt or nxt[x, y][0] < s:
-                        nxt[x, y] = s, done + letters
+                        nxt[x, y] = s, (done, letters) if letters else done
             best = nxt
-        return max((s + float(self.logp[a, b, 0]), w) for (a, b), (s, w) in best.items())[1]
+        done = max(((s + float(self.logp[a, b, 0]), w) for (a, b), (s, w) in best.items()), key=lambda x: x[0])[1]
+        letters = []
+        while done:
+            done, last = done
+            letters.append(last)
+        return "".join(reversed(letters))
 
     def words(self, token: str) -> list[str]:
         """Restored words of one white-space token, lower case."""
-        if token.isalpha() and not _THRICE.search(token):
+        if token.isalpha() and not _TWICE.search(token):
             return [token]
         token = token[:-1] if token[-1:] in ".,;:?" else token
         bare = _EDGE.sub("", token)
-        if _PLAIN.fullmatch(bare):
-            plain = bare if not _THRICE.search(bare) else self.restore(bare)
+        if not bare.isalpha():
+            found = [bare]
+        elif _THRICE.search(bare):
+            found = [self.restore(bare)]
+        else:
+            found = [bare, self.restore(bare)] if _TWICE.search(bare) else [bare]
+        if _LETTER.search(token) or len(_SYMBOLS.intersection(token)) > 1:
             inner = token.rstrip(".,;:?!")              # symbols at the edge may be letters too
-            if inner != bare and len(inner) < 2 * len(bare) and not _THRICE.search(inner) and _DISGUISED.fullmatch(inner):
-                return [plain, self.restore(inner)]
-            return [plain]
-        if _DISGUISED.fullmatch(token) and 2 * sum(c.isalpha() for c in token) >= len(token.strip(SEPARATORS)) - token.count(".") - 1:
-            return [w for w in (bare, self.restore(token)) if w]
-        return [bare] if bare else []
+            found += [self.restore(t) for t in {inner, token} if t != bare or not bare.isalpha()]
+        return [w for w in dict.fromkeys(found) if w]
 
     def spaced(self, text: str) -> list[str]:
         """Words hidden in runs of single characters set apart by spaces."""

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -92,3 +93,17 @@ def test_score_depends_on_the_text_alone(spark):
     twice = docs.unionByName(docs.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "lang": F.lit("zz"), "source": F.lit(None).cast("string")}))
     got = {r.doc_id: r.score for r in X.score_documents(twice, labels).collect()}
     assert all(got[d] == got[d + 1_000_000] for d in got if d < 1_000_000)
+
+
+@pytest.mark.parametrize("token,word", [
+    ("1d1075", "idiots"), ("5tup1d", "stupid"), ("10$3r", "loser"), ("i__d__i__o__t", "idiot"), ("i--d--i--o--t", "idiot"), ("iidiiott", "idiot"),
+    ("l0ooooooosssssssssseeeeeeerrrr", "loser"), ("p-a-t-h-e-t-i-c-p-a-t-h-e-t-i-c", "patheticpathetic"), ("i/d/i/o/t", "idiot"),
+    ("i,d,i,o,t", "idiot"), ("st#upid", "stupid"), ("$$$tupid", "stupid"), ("m00n", "moon"), ("letter", "letter")])
+def test_restores_disguises_of_any_shape(channel, token, word):
+    assert word in channel.words(token)
+
+
+def test_long_tokens_are_decoded_in_time(channel):
+    began = time.time()
+    assert len(channel.words("1d10t/" * 20000)[-1]) >= 100000
+    assert time.time() - began < 30
