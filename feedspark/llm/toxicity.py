@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +57,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+_GAP = re.compile(r"\s+")
 _SYMBOLS = frozenset(c for c in LEET if not c.isdigit())
 
 
@@ -187,11 +189,19 @@ class Channel:
         return [w for w in dict.fromkeys(found) if w]
 
     def spaced(self, text: str) -> list[str]:
-        """Words hidden in runs of single characters set apart by spaces."""
+        """Words hidden in runs of single characters set apart by white space of any kind.
+
+        Where most gaps of a run are alike, the others may part words: each part is read by itself too.
+        """
         out = []
         for m in _SPACED.finditer(text):
-            if len(set(m[0])) > 3:
-                out += self.restore(m[0]).split()
+            gaps, letters = _GAP.findall(m[0]), m[0].split()
+            usual = Counter(gaps).most_common(1)[0][0]
+            cuts = [0, *(i + 1 for i, gap in enumerate(gaps) if gap != usual), len(letters)]
+            parts = {" ".join(letters[a:b]) for a, b in zip(cuts, cuts[1:]) if b - a > 2} | {" ".join(letters)}
+            for run in sorted(parts):
+                if len(set(run)) > 2:      # the blank and two letters: one character repeated is no word
+                    out += self.restore(run).split()
         return out
 
 
@@ -213,15 +223,17 @@ class Reader:
         text = text.lower()
         for mark in (", ", ". ", ".\n"):   # a stop behind a word says nothing; without it more tokens are equal
             text = text.replace(mark, " ")
-        tokens = set(text.split())
+        pieces = text.split()
+        tokens = set(pieces)
         if len(self.seen) > self.most:
             self.seen.clear()
         seen = self.seen
         for t in tokens.difference(seen):
             seen[t] = self.value(self.channel.words(t))
         out = [v for t in tokens if (v := seen[t])]
-        # a word of spaced letters has at least three different ones
-        hidden = self.channel.spaced(text) if sum(len(t) == 1 for t in tokens) > 2 else ()
+        # a word of spaced letters has three letters, two of them different
+        single = {t for t in tokens if len(t) == 1}
+        hidden = self.channel.spaced(text) if len(single) > 1 and sum(t in single for t in pieces) > 2 else ()
         return out + [v for w in set(hidden) if (v := self.value([w]))]
 
 

@@ -107,3 +107,23 @@ def test_long_tokens_are_decoded_in_time(channel):
     began = time.time()
     assert len(channel.words("1d10t/" * 20000)[-1]) >= 100000
     assert time.time() - began < 30
+
+
+@pytest.fixture(scope="module")
+def short(spark):
+    words = "ass tit boob poop idiot loser the and then river house book summer letter moon good ball".split()
+    docs = spark.createDataFrame([(" ".join(words * 30),)], "text string")
+    return X.Channel(X.character_model(docs))
+
+
+@pytest.mark.parametrize("text,words", [
+    ("you a s s there", ["ass"]), ("t i t", ["tit"]), ("b o o b", ["boob"]), ("p o o p", ["poop"]), ("a  s  s", ["ass"]), ("t\ti\tt", ["tit"]),
+    ("the\np\no\no\np\nthe", ["poop"]), ("i  d  i  o  t", ["idiot"]), ("i d\ti\no   t", ["idiot"]), ("s s s s", []), ("a s", [])])
+def test_restores_spaced_words_of_few_letters(short, text, words):
+    assert short.spaced(text) == words
+    assert [w for (w,) in X.Reader(short.logp, lambda x: x if len(x[0]) > 2 and x[0] in words else None)(text)] == words
+
+
+@pytest.mark.parametrize("gap", ["  ", "\n", "\t"])
+def test_wide_gaps_part_spaced_words(short, gap):
+    assert {"idiot", "loser"} <= set(short.spaced(f"i d i o t{gap}l o s e r"))
