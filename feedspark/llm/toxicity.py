@@ -307,9 +307,10 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
                 found = [np.array([*set().union(*reader(unpack(t).decode("utf-8")))], np.int32) for t in part["text"]]
-                yield pd.DataFrame({"y": part["y"].to_numpy(), "f": found})
+                yield pd.DataFrame({"draw": part["draw"].to_numpy(), "y": part["y"].to_numpy(), "f": found})
 
-    seen = materialize(known.select("y", "text").mapInPandas(featured, "y int, f array<int>"), "features")
+    lots = known.select(F.xxhash64("_id").alias("draw"), "y", "text")      # by id: equal texts are drawn one by one
+    seen = materialize(lots.mapInPandas(featured, "draw bigint, y int, f array<int>"), "features")
     n, n_toxic = seen.agg(F.count(F.lit(1)), F.sum("y")).first()
     with_label, without = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
     if not n or n_toxic in (0, n):
@@ -326,14 +327,14 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
         a, b = both.value
         for pdf in batches:
             rows = []
-            for y, f in zip(pdf["y"], pdf["f"]):       # as if this document had no label
+            for draw, y, f in zip(pdf["draw"], pdf["y"], pdf["f"]):        # as if this document had no label
                 f = f[a[f] > y]
-                rows.append((int(y), *_strongest(evidence(a[f] - y, b[f] - (1 - y), prior))))
-            yield pd.DataFrame(rows, columns=["y", "e0", "e1", "e2"])
+                rows.append((draw, int(y), *_strongest(evidence(a[f] - y, b[f] - (1 - y), prior))))
+            yield pd.DataFrame(rows, columns=["draw", "y", "e0", "e1", "e2"])
 
-    some = seen.where(F.pmod(F.xxhash64("f"), F.lit(n)) < FIT_ROWS)
-    top = some.mapInPandas(judged, "y int, e0 double, e1 double, e2 double")
-    sample = top.orderBy(F.xxhash64("e0", "e1", "e2"), "y").limit(FIT_ROWS).toPandas()
+    some = seen.where(F.pmod("draw", F.lit(n)) < FIT_ROWS)
+    top = some.mapInPandas(judged, "draw bigint, y int, e0 double, e1 double, e2 double")
+    sample = top.orderBy("draw", "y", "e0", "e1", "e2").limit(FIT_ROWS).toPandas()
     weights = _fit(sample[["e0", "e1", "e2"]].to_numpy(), sample["y"].to_numpy())
     return ToxicityModel(logp, evidence(with_label, without, prior).astype(np.float32), weights)
 

@@ -127,3 +127,15 @@ def test_restores_spaced_words_of_few_letters(short, text, words):
 @pytest.mark.parametrize("gap", ["  ", "\n", "\t"])
 def test_wide_gaps_part_spaced_words(short, gap):
     assert {"idiot", "loser"} <= set(short.spaced(f"i d i o t{gap}l o s e r"))
+
+
+def test_logistic_sample_takes_copies_one_by_one(spark, monkeypatch):
+    """A third of the labelled rows are copies of one text, the only toxic one."""
+    rows = [(i, "some copied idiot words" if i % 3 == 0 else f"clean words number {i} and w{i * i}", int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    drawn = []
+    fit = X._fit
+    monkeypatch.setattr(X, "FIT_ROWS", 60)
+    monkeypatch.setattr(X, "_fit", lambda x, y: drawn.append(y) or fit(x, y))
+    X.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert 40 <= len(drawn[0]) <= 60 and 0.15 < drawn[0].mean() < 0.55
