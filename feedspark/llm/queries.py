@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import ann, lm, mixing, packing, quality, secret_scan, sharding, simhash, token_counts, toxicity
+from feedspark.llm import ann, lm, mixing, packing, pii, quality, secret_scan, sharding, simhash, token_counts, toxicity
 from feedspark.llm.common import id_fold, read_docs
 
 
@@ -18,6 +18,19 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _span_digest(found: DataFrame, col: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Counts of the base spans by kind, their list's hash, and the list of all spans."""
+    def listed(spans: str):
+        one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+        return F.array_join(F.transform(spans, one), ",")
+
+    def n(kind: str):
+        return F.size(F.filter(f"{col}.base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[n(k) for k in kinds], F.sha2(listed(f"{col}.base").cast("binary"), 256).alias("base_sha256"),
+                        listed(f"{col}.spans").alias("spans"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     eight = dict.fromkeys(range(8), 1.0)
     return sharding.shard_documents(read_docs(spark, sf_dir), eight, {**eight, 8: 1.0})
@@ -40,16 +53,7 @@ def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = secret_scan.scan_documents(read_docs(spark, sf_dir).select("doc_id", "text"))
-
-    def listed(spans: str):
-        one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
-        return F.array_join(F.transform(spans, one), ",")
-
-    def n(kind: str):
-        return F.size(F.filter("secrets.base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-
-    return x.select("doc_id", *[n(k) for k in secret_scan.KINDS],
-                    F.sha2(listed("secrets.base").cast("binary"), 256).alias("base_sha256"), listed("secrets.spans").alias("spans"))
+    return _span_digest(x, "secrets", secret_scan.KINDS)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = pii.find_documents(read_docs(spark, sf_dir).select("doc_id", "text"))
+    return _span_digest(x, "pii", pii.KINDS)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +90,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_sharding, op2_simhash, op3_nearest, op4_lm_scores, op5_secrets, op6_token_counts, op7_mixing, op8_toxicity,
-           op9_quality, op10_packing, pipeline)
+           op9_quality, op10_packing, op11_pii, pipeline)
     return {f.__name__: f for f in ops}

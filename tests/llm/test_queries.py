@@ -11,7 +11,7 @@ from feedspark.llm.queries import llm_queries
 
 def test_all_are_registered():
     assert set(llm_queries()) <= set(E.queries()) and set(LLM_ORACLES) <= set(E.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")) == list(range(1, 12))
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
