@@ -47,6 +47,7 @@ DIGIT_WORDS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9}
 REPEATS = {"double": 2, "triple": 3}
+LEAST_SPELLED = 3                          # spelled digits of a run, unless "dot" or "plus" is in it
 _AT, _DOT = "at|ät|arroba|arobase", "dot|punkt|punto|point"
 #: Names that end a domain, wanted where only words say that something is an address.
 TOP_DOMAINS = frozenset(
@@ -151,12 +152,15 @@ def spelled_digits(text: str) -> list[Edit]:
     edits: list[Edit] = []
     for m in _SPELLED.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, *m.span()))
-        n = sum(REPEATS.get((p["times"] or "").lower(), 1) if p["word"] else len(p["digits"] or "") for p in parts)
+        times = [REPEATS.get((p["times"] or "").lower(), 1) if p["word"] else 0 for p in parts]
+        n = sum(times) + sum(len(p["digits"] or "") for p in parts)
+        if sum(times) < LEAST_SPELLED and not any(p["dot"] or p["plus"] for p in parts):
+            continue                       # a number word that happens to follow a number
         for i, p in enumerate(parts):
             if p["plus"] and n >= 10:
                 edits.append((*p.span(), "+"))
             elif p["word"]:
-                edits.append((*p.span(), str(DIGIT_WORDS[p["word"].lower()]) * REPEATS.get((p["times"] or "").lower(), 1)))
+                edits.append((*p.span(), str(DIGIT_WORDS[p["word"].lower()]) * times[i]))
             elif p["dot"]:
                 edits.append((*p.span(), "."))
             elif p["gap"] and "." not in p["gap"] and (parts[i - 1]["word"] or parts[i + 1]["word"]):

@@ -79,7 +79,8 @@ def test_disguises(text, piece, kind, value):
 
 @pytest.mark.parametrize("text", [
     "We look at the house. Dot com was a word.", "meet us at noon (at home) [dot]", "un deux trois, soleil", "one of two, three of four",
-    "the point of it at last point", "look at example.com", "1990–2000 and 1.5 × 10²", "Сообщение в 12 часов", "<at> <dot>", "1 point 5"])
+    "the point of it at last point", "look at example.com", "1990–2000 and 1.5 × 10²", "Сообщение в 12 часов", "<at> <dot>", "1 point 5",
+    "555-1595 Un deux"])
 def test_plain_prose_is_left_alone(text):
     assert pii.find(text) == ([], [])
 
@@ -106,7 +107,7 @@ def test_edits_map_back():
 
 
 def test_linear_in_long_runs():
-    long = 300_000
+    long = 100_000
     t0 = time.perf_counter()
     for text in ("a" * long, "1" * long, "1." * long, "@" * long, "a@" * long, "+1" + "(" * long, " " * long, "[ " * long, "one " * long, "1 " * long,
                  "a dot " * long, " at a dot" * long, "é" + "​" * long, "a at " * long, "double " * long, "@a." * long, "+1 " * long, "plus " * long):
