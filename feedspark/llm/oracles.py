@@ -1,6 +1,6 @@
 """DuckDB statements of the expected results, where SQL can state them.
 
-Shards, neighbours, language-model scores and quality measures are stated from
+Shards, neighbours, language-model scores, quality measures and prefix tries are stated from
 the tables alone.  Fingerprints (XXH64), decoded layers, tokenizers, random
 draws, a trained classifier and the pipeline built on them are beyond SQL; the
 tests hold them against brute force.
@@ -102,4 +102,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED_PCT} * n_words) AND {_verdict()} AS kept
 FROM x"""
 
-LLM_ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_nearest": _OP3, "op4_lm_scores": _OP4, "op9_quality": _OP9}
+_ROLE, _TEXT = "coalesce(role, '')", "coalesce(text, '')"
+_OP12 = f"""
+WITH t AS (SELECT conv_id::bigint AS c, length({_TEXT})::bigint AS size, turn, sha256(length({_ROLE}) || ':' || {_ROLE} || {_TEXT}) AS g
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, g, size, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) - 1 AS pos FROM t),
+s AS (SELECT c, n, c - c % 100 AS b, {_crc32('x')} % 6 AS h FROM (SELECT c, count(*) AS n, any_value(hex(encode(c::varchar))) AS x FROM o GROUP BY c)),
+v AS (SELECT s.c, s.n, s.b, s.h, least(s.h, coalesce(z.n, 0)) AS l FROM s LEFT JOIN s z ON z.c = s.b),
+r AS (SELECT v.c, o.pos - v.h + v.l + 1 AS depth, g, size FROM o JOIN v ON v.c = o.c AND o.pos >= v.h
+      UNION ALL SELECT v.c, o.pos + 1, g, size FROM v JOIN o ON o.c = v.b AND o.pos < v.l),
+p AS (SELECT c, depth, size, string_agg(g, '') OVER (PARTITION BY c ORDER BY depth) AS k FROM r UNION ALL SELECT c, 0, 0, '' FROM v),
+nodes AS (SELECT depth, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS gain FROM p GROUP BY depth, k),
+kids AS (SELECT left(k, 64 * (depth - 1)) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+x AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+up AS (SELECT left(k, 64 * i) AS k, n_children, gain FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM x)),
+sub AS (SELECT k, count(*) FILTER (n_children = 0) AS n_leaves, sum(gain)::bigint AS saved_tokens FROM up GROUP BY k),
+e AS (SELECT k, string_agg(c::varchar, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, depth) AS k FROM p GROUP BY c) GROUP BY k)
+SELECT x.conv_id, x.depth, up1.conv_id AS parent_conv_id, x.n_convs, x.n_children, sub.n_leaves, sub.saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM x JOIN sub USING (k) LEFT JOIN nodes up1 ON x.depth > 0 AND up1.k = left(x.k, 64 * (x.depth - 1)) LEFT JOIN e ON e.k = x.k"""
+
+LLM_ORACLES: dict[str, str] = {"op1_sharding": _OP1, "op3_nearest": _OP3, "op4_lm_scores": _OP4, "op9_quality": _OP9, "op12_prefix_trie": _OP12}

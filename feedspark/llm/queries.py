@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedspark.llm import ann, lm, mixing, packing, pii, quality, secret_scan, sharding, simhash, token_counts, toxicity, whitening
+from feedspark.llm import (
+    ann, lm, mixing, packing, pii, prefix_trie, quality, secret_scan, sharding, simhash, token_counts, toxicity, whitening,
+)
 from feedspark.llm.common import id_fold, read_docs
 
 
@@ -82,6 +84,10 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(x, "pii", pii.KINDS)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(read_docs(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = whitening.whiten(read_docs(spark, sf_dir, "embeddings"))
     return x.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -95,5 +101,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_sharding, op2_simhash, op3_nearest, op4_lm_scores, op5_secrets, op6_token_counts, op7_mixing, op8_toxicity,
-           op9_quality, op10_packing, op11_pii, op13_whitening, pipeline)
+           op9_quality, op10_packing, op11_pii, op12_prefix_trie, op13_whitening, pipeline)
     return {f.__name__: f for f in ops}

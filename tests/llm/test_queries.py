@@ -11,13 +11,13 @@ from feedspark.llm.queries import llm_queries
 
 def test_all_are_registered():
     assert set(llm_queries()) <= set(E.queries()) and set(LLM_ORACLES) <= set(E.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")) == list(range(1, 12))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries() if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     want = con.execute(LLM_ORACLES[name])
     cols = [c[0] for c in want.description]
