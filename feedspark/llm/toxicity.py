@@ -21,7 +21,8 @@ import math
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,7 @@ _TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _GAP = re.compile(r"\s+")
-_SYMBOLS = frozenset(c for c in LEET if not c.isdigit())
+_LEET = frozenset(LEET)
 
 
 # ---- the character model ------------------------------------------------------------
@@ -69,40 +70,44 @@ for _c, _k in _CODE.items():
     _TABLE[ord(_c)] = _k
 
 
-def _add_trigrams(total: np.ndarray, words: dict[str, int]) -> None:
-    """Add the letter trigrams of words (two edges, the letters, an edge), each as often as the word was counted."""
-    plain: dict[str, int] = {}
-    for w, n in words.items():
-        w = w if w.isalpha() else w.strip(_TRIM)
-        if w.isalpha():
-            plain[w] = plain.get(w, 0) + n
-    if not plain:
-        return
-    text = np.frombuffer(("  " + "  ".join(plain) + "  ").encode("utf-32-le"), np.uint32)
-    code = np.where(text < 0x100, _TABLE[np.minimum(text, 0xFF)], 1)
-    a, b, c = code[:-2], code[1:-1], code[2:]
-    own = (b > 0) | (c > 0)                # not the window that ends in the second edge behind a word
-    own[-1] = b[-1] > 0
-    word = np.cumsum((a == 0) & (b == 0)) - 1
-    weight = np.array([*plain.values()], np.float64)
-    keep = own & ((b > 0) | (a == 0))
-    total += np.bincount(((a * BASE + b) * BASE + c)[keep], weights=weight[word[keep]], minlength=BASE ** 3).astype(np.int64)
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Per code point: 0 white space, 1 letter, 2 what is stripped from a word, 3 anything else."""
+    kinds = np.full(0x110000, 3, np.uint8)
+    for c in map(chr, range(0x110000)):
+        if c.isalpha():
+            kinds[ord(c)] = 1
+        elif c.isspace():
+            kinds[ord(c)] = 0
+    kinds[[ord(c) for c in _TRIM]] = 2
+    return kinds
+
+
+def add_trigrams(total: np.ndarray, text: str) -> None:
+    """Add the letter trigrams (two edges, the letters, an edge) of all words that are letters with marks around them at most."""
+    points = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    letter = kind == 1
+    inside = kind != 0
+    token = np.cumsum(inside[1:] & ~inside[:-1])       # of the character behind; 0 stands before the first one
+    token = np.concatenate([[0], token])
+    runs_in = np.bincount(token[1:][letter[1:] & ~letter[:-1]], minlength=token[-1] + 1)
+    others = np.bincount(token[kind == 3], minlength=token[-1] + 1)
+    at = np.flatnonzero(letter & ((runs_in == 1) & (others == 0))[token])
+    code = np.where(points < 0x100, _TABLE[np.minimum(points, 0xFF)], 1) * letter
+    c, b = code[at], code[at - 1]
+    a = code[np.maximum(at - 2, 0)] * (b > 0)
+    total += np.bincount((a * BASE + b) * BASE + c, minlength=BASE ** 3)
+    last = ~letter[at + 1]
+    total += np.bincount((b[last] * BASE + c[last]) * BASE, minlength=BASE ** 3)
 
 
 def _count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(BASE ** 3, np.int64)
-    words: dict[str, int] = {}
     for pdf in batches:
         texts = pdf["text"].tolist()
         for a, b in runs(list(map(len, texts)), 1 << 21):
-            column = pa.array(texts[a:b], pa.string())
-            seen = pc.utf8_split_whitespace(pc.utf8_lower(column)).flatten().value_counts()
-            for w, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist()):
-                words[w] = words.get(w, 0) + n
-            if len(words) > 1 << 18:
-                _add_trigrams(total, words)
-                words.clear()
-    _add_trigrams(total, words)
+            add_trigrams(total, "\n".join(texts[a:b]))
     used = np.flatnonzero(total)
     yield pd.DataFrame({"gram": used, "n": total[used]})
 
@@ -121,6 +126,28 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def _readings(token: str) -> list[tuple[str, bool]]:
+    """What a token may be read as: (part of it, whether that is to be restored)."""
+    token = token[:-1] if token[-1:] in ".,;:?" else token
+    bare = _EDGE.sub("", token)
+    if not bare.isalpha():
+        found = [(bare, False)]
+    elif _THRICE.search(bare):
+        found = [(bare, True)]
+    else:
+        found = [(bare, False), (bare, True)] if _TWICE.search(bare) else [(bare, False)]
+    if _LETTER.search(token) or not _LEET.isdisjoint(token):
+        inner = token.rstrip(".,;:?!")                  # symbols at the edge may be letters too
+        found += [(t, True) for t in dict.fromkeys((inner, token)) if t != bare or not bare.isalpha()]
+    return found
+
+
+_IS_LEET = np.array([chr(c) in _LEET for c in range(0x100)])
+_MARKS = "".join(c for c in map(chr, range(1, 0x100)) if not c.isalpha() and c not in LEET and c != " ")
+_MARK_PRICE = np.array([0.0 if chr(c) in LEET else JOIN if chr(c) in SEPARATORS else DROP for c in range(0x100)])
+_IS_COMMON = re.compile(f"[{ALPHABET}{re.escape(_MARKS)}]*+(?:([{re.escape(''.join(c for c in LEET if c < chr(0x100)))}])\\1*)?").fullmatch
+
+
 class Channel:
     """Restores disguised tokens under a character model."""
 
@@ -171,22 +198,87 @@ class Channel:
             letters.append(last)
         return "".join(reversed(letters))
 
+    def restore_common(self, tokens: list[str]) -> list[str]:
+        """``restore`` of tokens of letters and marks, the last run of which may be a leetspeak symbol, all at once.
+
+        After a run of letters the state is one of two: the run was made
+        single, or double; marks are dropped and leave the state.  Scores are
+        added up in the order in which ``restore`` adds them, and of equal ones
+        the first is kept, so both give the same spelling.
+        """
+        text = np.frombuffer("\0".join(tokens).encode("latin-1") + b"\0", np.uint8)
+        start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        char, n = text[start].copy(), np.diff(np.append(start, len(text)))
+        size = np.diff(np.concatenate([[-1], np.flatnonzero(char == 0)])) - 1
+        first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+        times = np.ones(len(char), np.int64)
+        flat = self.logp.ravel()
+        p = lambda a, b, c: flat[(a * BASE + b) * BASE + c].astype(np.float64)
+        for k in np.unique(size):
+            at = first[size == k][:, None] + np.arange(k)
+            rows = len(at)
+            code, price, count = _TABLE[char[at]], _MARK_PRICE[char[at]], n[at]
+            single = np.where(count == 1, 0.0, np.where(count == 2, SINGLE, FOLD * (count - 1)))
+            double = np.where(count == 1, -np.inf, FOLD * (count - 2))
+            one, two = np.zeros(rows), np.full(rows, -np.inf)
+            a, b = np.zeros(rows, np.int64), np.zeros(rows, np.int64)      # the letters before: (a, b) or, in state two, (b, b)
+            came = np.zeros((2, k, rows), bool)        # per state: whether the state before was two
+            for r in range(k):
+                c, mark = code[:, r], code[:, r] < 2
+                from_one, from_two, again = p(a, b, c), p(b, b, c), p(b, c, c)
+                s1, s2 = one + single[:, r] + from_one, two + single[:, r] + from_two
+                d1, d2 = one + double[:, r] + from_one + again, two + double[:, r] + from_two + again
+                came[0, r], came[1, r] = ~mark & (s2 > s1), mark | (d2 > d1)
+                one = np.where(mark, one + price[:, r], np.where(came[0, r], s2, s1))
+                two = np.where(mark, two + price[:, r], np.where(came[1, r], d2, d1))
+                a, b = np.where(mark, a, b), np.where(mark, b, c)
+                times[at[:, r]] = ~mark
+            best, state, letter, often = np.full(rows, -np.inf), np.zeros(rows, bool), np.zeros(rows, np.uint8), np.zeros(rows, np.int64)
+
+            def offer(score, which, own, x="\0", repeats=0):
+                better = score > best[own]
+                for kept, new in ((best, score), (state, which), (letter, ord(x)), (often, repeats)):
+                    kept[own] = np.where(better, new, kept[own])
+
+            symbol = char[at[:, -1]] if k else np.zeros(rows, np.uint8)
+            symbol = np.where(_IS_LEET[symbol], symbol, 0)
+            for ch in np.unique(symbol):
+                own = np.flatnonzero(symbol == ch)
+                lost = LOST if ch else 0.0
+                for which, score, x in ((False, one[own], a[own]), (True, two[own], b[own])):
+                    y = b[own]
+                    offer(score + lost + p(x, y, 0), which, own)
+                    for to in LEET[chr(ch)] if ch else "":
+                        z = _CODE[to]
+                        offer(score + (SWAP + single[own, -1]) + p(x, y, z) + p(y, z, 0), which, own, to, 1)
+                        offer(score + (2 * SWAP + double[own, -1]) + p(x, y, z) + p(y, z, z) + p(z, z, 0), which, own, to, 2)
+            for r in range(k - 1, -1, -1):
+                times[at[:, r]] += state & (code[:, r] >= 2)
+                state = np.where(state, came[1, r], came[0, r])
+            if k:
+                end = np.flatnonzero(symbol)
+                char[at[end, -1]], times[at[end, -1]] = letter[end], often[end]
+        return np.repeat(char, times).tobytes().decode("latin-1").split("\0")[:-1]
+
+    def restore_all(self, tokens: Iterable[str]) -> dict[str, str]:
+        """``restore`` of every token; those of the common kind go through the lattice together."""
+        tokens = list(dict.fromkeys(tokens))
+        plain = [t for t in tokens if t and _IS_COMMON(t)]
+        out = dict(zip(plain, self.restore_common(plain))) if plain else {}
+        out.update((t, self.restore(t)) for t in tokens if t not in out)
+        return out
+
+    def words_of(self, tokens: list[str]) -> list[list[str]]:
+        """Restored words of every white-space token, lower case."""
+        out = [[t] for t in tokens]
+        odd = [(i, _readings(t)) for i, t in enumerate(tokens) if not t.isalpha() or _TWICE.search(t)]
+        restored = self.restore_all(t for _, plan in odd for t, disguised in plan if disguised)
+        for i, plan in odd:
+            out[i] = [w for w in dict.fromkeys([restored[t] if disguised else t for t, disguised in plan]) if w]
+        return out
+
     def words(self, token: str) -> list[str]:
-        """Restored words of one white-space token, lower case."""
-        if token.isalpha() and not _TWICE.search(token):
-            return [token]
-        token = token[:-1] if token[-1:] in ".,;:?" else token
-        bare = _EDGE.sub("", token)
-        if not bare.isalpha():
-            found = [bare]
-        elif _THRICE.search(bare):
-            found = [self.restore(bare)]
-        else:
-            found = [bare, self.restore(bare)] if _TWICE.search(bare) else [bare]
-        if _LETTER.search(token) or len(_SYMBOLS.intersection(token)) > 1:
-            inner = token.rstrip(".,;:?!")              # symbols at the edge may be letters too
-            found += [self.restore(t) for t in {inner, token} if t != bare or not bare.isalpha()]
-        return [w for w in dict.fromkeys(found) if w]
+        return self.words_of([token])[0]
 
     def spaced(self, text: str) -> list[str]:
         """Words hidden in runs of single characters set apart by white space of any kind.
@@ -206,9 +298,17 @@ class Channel:
 
 
 # ---- evidence -----------------------------------------------------------------------
+@lru_cache(maxsize=1 << 16)
+def _prefix_features(head: str) -> tuple[int, ...]:
+    return tuple(xxhash.xxh64_intdigest(f"^{head[:k]}") & (FEATURES - 1) for k in PREFIXES if len(head) >= k)
+
+
+def _word_feature(word: str) -> int:
+    return xxhash.xxh64_intdigest("=" + word) & (FEATURES - 1)
+
+
 def features(word: str) -> list[int]:
-    own = ["=" + word] + [f"^{word[:k]}" for k in PREFIXES if len(word) >= k]
-    return [xxhash.xxh64_intdigest(f) & (FEATURES - 1) for f in own]
+    return [_word_feature(word), *_prefix_features(word[:PREFIXES[-1]])]
 
 
 class Reader:
@@ -219,22 +319,37 @@ class Reader:
         self.seen: dict[str, object] = {}
 
     def __call__(self, text: str) -> list:
-        """``value``, where there is one, of the words of every distinct token, and of words set apart by spaces."""
-        text = text.lower()
+        return self.read([text])[0]
+
+    def read(self, texts: list[str]) -> list[list]:
+        """Per text ``value``, where there is one, of the words of every distinct token, and of words set apart by spaces."""
+        return [values for a, b in runs(list(map(len, texts)), 1 << 22) for values in self._read(texts[a:b])]
+
+    def _read(self, texts: list[str]) -> list[list]:
+        lower = pc.utf8_lower(pa.array(texts, pa.large_string()))
         for mark in (", ", ". ", ".\n"):   # a stop behind a word says nothing; without it more tokens are equal
-            text = text.replace(mark, " ")
-        pieces = text.split()
-        tokens = set(pieces)
-        if len(self.seen) > self.most:
+            lower = pc.replace_substring(lower, mark, " ")
+        pieces = pc.utf8_split_whitespace(lower)
+        coded = pieces.flatten().dictionary_encode()
+        tokens, code, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), pieces.offsets.to_numpy()
+        new = [t for t in tokens if t not in self.seen]
+        if len(self.seen) + len(new) > self.most:
             self.seen.clear()
-        seen = self.seen
-        for t in tokens.difference(seen):
-            seen[t] = self.value(self.channel.words(t))
-        out = [v for t in tokens if (v := seen[t])]
-        # a word of spaced letters has three letters, two of them different
-        single = {t for t in tokens if len(t) == 1}
-        hidden = self.channel.spaced(text) if len(single) > 1 and sum(t in single for t in pieces) > 2 else ()
-        return out + [v for w in set(hidden) if (v := self.value([w]))]
+            new = tokens
+        self.seen.update(zip(new, map(self.value, self.channel.words_of(new))))
+        values = [self.seen[t] for t in tokens]
+        telling = np.array([bool(v) for v in values], bool)
+        alone = np.array([len(t) == 1 for t in tokens], bool)
+        out = []
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            own = code[a:b]
+            found = [values[k] for k in np.unique(own[telling[own]])]
+            single = own[alone[own]]       # a word of spaced letters has three letters, two of them different
+            if len(single) > 2 and len(np.unique(single)) > 1:
+                hidden = set(self.channel.spaced(lower[i].as_py()))
+                found += [v for w in hidden if (v := self.value([w]))]
+            out.append(found)
+        return out
 
 
 def evidence(with_label: np.ndarray, without: np.ndarray, prior: float) -> np.ndarray:
@@ -276,9 +391,17 @@ class ToxicityModel:
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             logp, known, w = shared.value
             table = array("f", known.tobytes())
-            reader = Reader(logp, lambda words: max((table[f] for x in words for f in features(x)), default=0.0))
+            of_prefixes = lru_cache(maxsize=1 << 17)(lambda head: max((table[f] for f in _prefix_features(head)), default=0.0))
+
+            def strength(words: list[str]) -> float:
+                best = 0.0
+                for x in words:
+                    best = max(best, table[_word_feature(x)], of_prefixes(x[:PREFIXES[-1]]))
+                return best
+
+            reader = Reader(logp, strength)
             for texts in batches:
-                top = np.array([_strongest(reader(t)) for t in texts]).reshape(-1, TOP)
+                top = np.array([_strongest(v) for v in reader.read(texts.tolist())]).reshape(-1, TOP)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + top @ w[1:], -35, 35))))
 
         return of(text_or_empty(text))
@@ -306,7 +429,8 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at:at + 256]
-                found = [np.array([*set().union(*reader(unpack(t).decode("utf-8")))], np.int32) for t in part["text"]]
+                read = reader.read([unpack(t).decode("utf-8") for t in part["text"]])
+                found = [np.array([*set().union(*v)], np.int32) for v in read]
                 yield pd.DataFrame({"draw": part["draw"].to_numpy(), "y": part["y"].to_numpy(), "f": found})
 
     lots = known.select(F.xxhash64("_id").alias("draw"), "y", "text")      # by id: equal texts are drawn one by one

@@ -139,3 +139,41 @@ def test_logistic_sample_takes_copies_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(X, "_fit", lambda x, y: drawn.append(y) or fit(x, y))
     X.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
     assert 40 <= len(drawn[0]) <= 60 and 0.15 < drawn[0].mean() < 0.55
+
+
+ALPHABET_PARTS = ["a", "aa", "aaa", "l", "ss", "é", "o", "t", ".", "--", "_", "#", "%%%", "'", "i", "d"]
+
+
+def test_joint_viterbi_equals_restore(channel):
+    import random
+
+    rng = random.Random(9)
+    tokens = ["".join(rng.choice(ALPHABET_PARTS) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", "!", "!!", "$$$", "1", "00", "(", "@"])
+              for _ in range(3000)]
+    tokens += ["idiot", "summer", "ß", "...", "漢字", "l0l", "ª", "1", "!!!"]
+    got = channel.restore_all(tokens)
+    assert {t: channel.restore(t) for t in tokens} == got
+    assert channel.words_of(tokens) == [channel.words(t) for t in tokens]
+
+
+@pytest.mark.parametrize("token,word", [("4$$", "ass"), ("$417", "salt"), ("80085", "boobs")])
+def test_digits_and_symbols_alone_are_decoded(spark, token, word):
+    words = "ass salt boobs bass sat boss alt the and".split()
+    model = X.Channel(X.character_model(spark.createDataFrame([(" ".join(words * 30),)], "text string")))
+    assert word in model.words(token)
+
+
+def test_trigrams_are_those_of_the_words(spark):
+    text = "The cat's cat, wor1d DON'T don «Été» x_y _ab_ 漢字 (cat)!! a　b \x85c ªb ÿ .x. é"
+    words = [w.strip(X._TRIM) for w in text.lower().split()]
+    want = {}
+    for w in filter(str.isalpha, words):
+        code = [0, 0, *[X._CODE.get(c, 1) for c in w], 0]
+        for k in range(len(w) + 1):
+            g = (code[k] * X.BASE + code[k + 1]) * X.BASE + code[k + 2]
+            want[g] = want.get(g, 0) + 1
+    total = np.zeros(X.BASE ** 3, np.int64)
+    X.add_trigrams(total, text)
+    assert {int(g): int(total[g]) for g in np.flatnonzero(total)} == want
+    X.add_trigrams(total, "")
+    assert int(total.sum()) == sum(want.values())
