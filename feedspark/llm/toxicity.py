@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -28,7 +27,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,15 +196,16 @@ class Channel:
             letters.append(last)
         return "".join(reversed(letters))
 
-    def restore_common(self, tokens: list[str]) -> list[str]:
+    def restore_common(self, text: np.ndarray) -> np.ndarray:
         """``restore`` of tokens of letters and marks, the last run of which may be a leetspeak symbol, all at once.
 
+        Tokens and spellings are Latin-1 characters with a NUL behind each; no token is empty.
+
         After a run of letters the state is one of two: the run was made
         single, or double; marks are dropped and leave the state.  Scores are
         added up in the order in which ``restore`` adds them, and of equal ones
         the first is kept, so both give the same spelling.
         """
-        text = np.frombuffer("\0".join(tokens).encode("latin-1") + b"\0", np.uint8)
         start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         char, n = text[start].copy(), np.diff(np.append(start, len(text)))
         size = np.diff(np.concatenate([[-1], np.flatnonzero(char == 0)])) - 1
@@ -258,13 +257,14 @@ class Channel:
             if k:
                 end = np.flatnonzero(symbol)
                 char[at[end, -1]], times[at[end, -1]] = letter[end], often[end]
-        return np.repeat(char, times).tobytes().decode("latin-1").split("\0")[:-1]
+        return np.repeat(char, times)
 
     def restore_all(self, tokens: Iterable[str]) -> dict[str, str]:
         """``restore`` of every token; those of the common kind go through the lattice together."""
         tokens = list(dict.fromkeys(tokens))
         plain = [t for t in tokens if t and _IS_COMMON(t)]
-        out = dict(zip(plain, self.restore_common(plain))) if plain else {}
+        text = np.frombuffer("".join(t + "\0" for t in plain).encode("latin-1"), np.uint8)
+        out = dict(zip(plain, self.restore_common(text).tobytes().decode("latin-1").split("\0"))) if plain else {}
         out.update((t, self.restore(t)) for t in tokens if t not in out)
         return out
 
@@ -298,58 +298,138 @@ class Channel:
 
 
 # ---- evidence -----------------------------------------------------------------------
-@lru_cache(maxsize=1 << 16)
-def _prefix_features(head: str) -> tuple[int, ...]:
-    return tuple(xxhash.xxh64_intdigest(f"^{head[:k]}") & (FEATURES - 1) for k in PREFIXES if len(head) >= k)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (by sorting: for millions of integers that is several times faster than a hash set)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[:len(x)]]
+
+
+class Strings:
+    """Strings as code points end to end, and where each one starts (and the last one ends)."""
+
+    def __init__(self, points: np.ndarray, at: np.ndarray):
+        self.points, self.at = points, at
+
+    @classmethod
+    def of(cls, strings: list[str]) -> Strings:
+        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return cls(points, np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))]))
+
+    @classmethod
+    def of_arrow(cls, strings: pa.LargeStringArray) -> Strings:
+        _, offsets, data = strings.buffers()
+        at = np.frombuffer(offsets, np.int64)[strings.offset:strings.offset + len(strings) + 1]
+        raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if len(strings) and data else np.zeros(0, np.uint8)
+        first = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        return cls(np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), first[at - at[0]])
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.at)
+
+    def count(self, marks: np.ndarray) -> np.ndarray:
+        """How many of a string's characters are marked."""
+        total = np.concatenate([[0], np.cumsum(marks)])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+    def take(self, which: np.ndarray) -> Strings:
+        size = self.sizes()[which]
+        at = np.concatenate([[0], np.cumsum(size)])
+        return Strings(self.points[np.arange(at[-1]) + np.repeat(self.at[which] - at[:-1], size)], at)
 
+    def list(self) -> list[str]:
+        text = self.points.tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[a:b] for a, b in zip(self.at.tolist(), self.at[1:].tolist())]
 
-def _word_feature(word: str) -> int:
-    return xxhash.xxh64_intdigest("=" + word) & (FEATURES - 1)
+    def __add__(self, other: Strings) -> Strings:
+        return Strings(np.concatenate([self.points, other.points]), np.concatenate([self.at, other.at[1:] + self.at[-1]]))
 
 
-def features(word: str) -> list[int]:
-    return [_word_feature(word), *_prefix_features(word[:PREFIXES[-1]])]
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def features(words: Strings) -> np.ndarray:
+    """Per word its place in the hashed table and those of its prefixes (-1: it is shorter)."""
+    size = words.sizes()
+    longest = int(size.max(initial=0))
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(longest + 1, _STEP, np.uint64))
+        place = np.arange(len(words.points)) - np.repeat(words.at[:-1], size)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((words.points.astype(np.uint64) + np.uint64(1)) * power[place])])
+        out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int64)
+        for column, k in enumerate((None, *PREFIXES)):
+            own = np.flatnonzero(size >= (k or 0))
+            a = words.at[own]
+            h = total[a + k if k else words.at[own + 1]] - total[a] + np.uint64(k or 0)
+            h = (h ^ (h >> np.uint64(31))) * _MIX
+            h = (h ^ (h >> np.uint64(29))) * _STEP
+            out[own, column] = (h >> np.uint64(44)).astype(np.int64) & (FEATURES - 1)
+    return out
 
 
 class Reader:
-    """Distinct restored words of texts, with a bounded memory of tokens."""
+    """Restored words of texts, each distinct token of a batch decoded once."""
 
-    def __init__(self, logp: np.ndarray, value, most: int = 1 << 18):
-        self.channel, self.value, self.most = Channel(logp), value, most
-        self.seen: dict[str, object] = {}
+    def __init__(self, logp: np.ndarray):
+        self.channel = Channel(logp)
 
-    def __call__(self, text: str) -> list:
-        return self.read([text])[0]
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, Strings, np.ndarray]]:
+        """For parts of the texts: (text, unit) pairs as two arrays, words, and each word's unit.
 
-    def read(self, texts: list[str]) -> list[list]:
-        """Per text ``value``, where there is one, of the words of every distinct token, and of words set apart by spaces."""
-        return [values for a, b in runs(list(map(len, texts)), 1 << 22) for values in self._read(texts[a:b])]
+        A unit is a distinct token of a text, or a word that it hides in letters set apart by spaces.
+        """
+        begin = 0
+        for a, b in runs(list(map(len, texts)), 1 << 24):
+            text, unit, words, owner = self._read(texts[a:b])
+            yield text + begin, unit, words, owner
+            begin += b - a
 
-    def _read(self, texts: list[str]) -> list[list]:
+    def _read(self, texts: list[str]):
         lower = pc.utf8_lower(pa.array(texts, pa.large_string()))
         for mark in (", ", ". ", ".\n"):   # a stop behind a word says nothing; without it more tokens are equal
             lower = pc.replace_substring(lower, mark, " ")
         pieces = pc.utf8_split_whitespace(lower)
         coded = pieces.flatten().dictionary_encode()
-        tokens, code, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), pieces.offsets.to_numpy()
-        new = [t for t in tokens if t not in self.seen]
-        if len(self.seen) + len(new) > self.most:
-            self.seen.clear()
-            new = tokens
-        self.seen.update(zip(new, map(self.value, self.channel.words_of(new))))
-        values = [self.seen[t] for t in tokens]
-        telling = np.array([bool(v) for v in values], bool)
-        alone = np.array([len(t) == 1 for t in tokens], bool)
-        out = []
-        for i, (a, b) in enumerate(zip(ends, ends[1:])):
-            own = code[a:b]
-            found = [values[k] for k in np.unique(own[telling[own]])]
-            single = own[alone[own]]       # a word of spaced letters has three letters, two of them different
-            if len(single) > 2 and len(np.unique(single)) > 1:
-                hidden = set(self.channel.spaced(lower[i].as_py()))
-                found += [v for w in hidden if (v := self.value([w]))]
-            out.append(found)
-        return out
+        code, ends = coded.indices.to_numpy().astype(np.int64), pieces.offsets.to_numpy().astype(np.int64)
+        tokens = Strings.of_arrow(coded.dictionary.cast(pa.large_string()))
+        words, owner = self._words(tokens)
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        alone = (tokens.sizes() == 1)[code]
+        # a word of spaced letters has three letters, two of them different
+        n = np.bincount(text[alone], minlength=len(texts))
+        low, high = np.full(len(texts), len(tokens)), np.full(len(texts), -1)
+        np.minimum.at(low, text[alone], code[alone])
+        np.maximum.at(high, text[alone], code[alone])
+        hidden = [(i, w) for i in np.flatnonzero((n > 2) & (low < high)).tolist() for w in dict.fromkeys(self.channel.spaced(lower[i].as_py())) if w]
+        pair = _distinct(text * max(len(tokens), 1) + code)
+        text, unit = pair // max(len(tokens), 1), pair % max(len(tokens), 1)
+        more = np.arange(len(hidden)) + len(tokens)
+        return (np.concatenate([text, np.array([i for i, _ in hidden], np.int64)]), np.concatenate([unit, more]),
+                words + Strings.of([w for _, w in hidden]), np.concatenate([owner, more]))
+
+    def _words(self, tokens: Strings) -> tuple[Strings, np.ndarray]:
+        """Restored words of tokens, and which token each belongs to."""
+        points, size = tokens.points, tokens.sizes()
+        known = np.where(points < 0x100, _TABLE[np.minimum(points, 0xFF)], 0) >= 2
+        letters = (tokens.count(known) == size) & (size > 0)
+        last = np.zeros(len(points), bool)
+        last[tokens.at[1:][size > 0] - 1] = True
+        twice = np.concatenate([points[1:] == points[:-1], [False]])[:len(points)] & ~last
+        thrice = twice & np.concatenate([twice[1:], [False]])[:len(points)]
+        doubled, tripled = letters & (tokens.count(twice) > 0), letters & (tokens.count(thrice) > 0)
+        bare, odd = np.flatnonzero(letters & ~tripled), np.flatnonzero(~letters)
+        restored = np.flatnonzero(doubled)
+        own = tokens.take(restored)
+        text = np.zeros(len(own.points) + len(own), np.uint8)
+        text[np.arange(len(own.points)) + np.repeat(np.arange(len(own)), own.sizes())] = own.points
+        spelt = self.channel.restore_common(text) if len(text) else text
+        ends = np.flatnonzero(spelt == 0)
+        spelt = Strings(spelt[spelt > 0].astype(np.uint32), np.concatenate([[0], ends - np.arange(len(ends))]))
+        found = [(t, w) for t, words in zip(odd.tolist(), self.channel.words_of(tokens.take(odd).list())) for w in words]
+        words = tokens.take(bare) + spelt + Strings.of([w for _, w in found])
+        return words, np.concatenate([bare, restored, np.array([t for t, _ in found], np.int64)])
 
 
 def evidence(with_label: np.ndarray, without: np.ndarray, prior: float) -> np.ndarray:
@@ -363,6 +443,39 @@ def _strongest(values) -> list[float]:
     return best + [0.0] * (TOP - len(best))
 
 
+def strengths(reader: Reader, table: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Evidence of the ``TOP`` strongest units of every text."""
+    out = np.zeros((len(texts), TOP))
+    table = np.append(table, np.float32(0))            # -1: no such feature
+    for text, unit, words, owner in reader(texts):
+        value = np.zeros(max(int(unit.max(initial=0)), int(owner.max(initial=0))) + 1)
+        np.maximum.at(value, owner, table[features(words)].max(axis=1, initial=0.0))
+        some = np.flatnonzero(value[unit] > 0)
+        some = some[np.lexsort((-value[unit[some]], text[some]))]
+        text, value = text[some], value[unit[some]]
+        place = np.arange(len(text)) - np.searchsorted(text, text)
+        top = place < TOP
+        out[text[top], place[top]] = value[top]
+    return out
+
+
+def feature_sets(reader: Reader, texts: list[str]) -> list[np.ndarray]:
+    """The distinct features of every text."""
+    out = [np.zeros(0, np.int32)] * len(texts)
+    for text, unit, words, owner in reader(texts):
+        order = np.argsort(owner, kind="stable")
+        owner, found = owner[order], features(words)[order]
+        a, b = np.searchsorted(owner, unit), np.searchsorted(owner, unit, "right")
+        n = b - a
+        word = np.arange(n.sum()) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else a, n)
+        pair = (np.repeat(text, n)[:, None] * FEATURES + found[word])[found[word] >= 0]
+        pair = _distinct(pair)
+        text, first = np.unique(pair // FEATURES, return_index=True)
+        for i, own in zip(text.tolist(), np.split((pair % FEATURES).astype(np.int32), first[1:])):
+            out[i] = own
+    return out
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -390,18 +503,9 @@ class ToxicityModel:
         @F.pandas_udf("double")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             logp, known, w = shared.value
-            table = array("f", known.tobytes())
-            of_prefixes = lru_cache(maxsize=1 << 17)(lambda head: max((table[f] for f in _prefix_features(head)), default=0.0))
-
-            def strength(words: list[str]) -> float:
-                best = 0.0
-                for x in words:
-                    best = max(best, table[_word_feature(x)], of_prefixes(x[:PREFIXES[-1]]))
-                return best
-
-            reader = Reader(logp, strength)
+            reader = Reader(logp)
             for texts in batches:
-                top = np.array([_strongest(v) for v in reader.read(texts.tolist())]).reshape(-1, TOP)
+                top = strengths(reader, known, texts.tolist())
                 yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + top @ w[1:], -35, 35))))
 
         return of(text_or_empty(text))
@@ -424,13 +528,12 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> ToxicityMo
         marks.hint("merge"), "_id")
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value, lambda words: [f for w in words for f in features(w)])
+        reader = Reader(shared.value)
         unpack = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at:at + 256]
-                read = reader.read([unpack(t).decode("utf-8") for t in part["text"]])
-                found = [np.array([*set().union(*v)], np.int32) for v in read]
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at:at + 4096]
+                found = feature_sets(reader, [unpack(t).decode("utf-8") for t in part["text"]])
                 yield pd.DataFrame({"draw": part["draw"].to_numpy(), "y": part["y"].to_numpy(), "f": found})
 
     lots = known.select(F.xxhash64("_id").alias("draw"), "y", "text")      # by id: equal texts are drawn one by one

@@ -121,7 +121,38 @@ def short(spark):
     ("the\np\no\no\np\nthe", ["poop"]), ("i  d  i  o  t", ["idiot"]), ("i d\ti\no   t", ["idiot"]), ("s s s s", []), ("a s", [])])
 def test_restores_spaced_words_of_few_letters(short, text, words):
     assert short.spaced(text) == words
-    assert [w for (w,) in X.Reader(short.logp, lambda x: x if len(x[0]) > 2 and x[0] in words else None)(text)] == words
+    assert [w for w in sum((found.list() for _, _, found, _ in X.Reader(short.logp)([text])), []) if len(w) > 2 and w in words] == words
+
+
+def test_reader_gives_the_words_of_every_distinct_token(short):
+    texts = ["Summer, summer. idiooot!! b00b a s s you", "", "漢字 ＡＢ x#y 4$$ ß ÿÿ éé\u00a0z \x85q", "the the", " \n\t ", "b  o  o  b"]
+    rows = {}
+    for text, unit, words, owner in X.Reader(short.logp)(texts):
+        by = {}
+        for w, o in zip(words.list(), owner.tolist()):
+            by.setdefault(o, set()).add(w)
+        for t, u in zip(text.tolist(), unit.tolist()):
+            rows.setdefault(t, []).append(frozenset(by.get(u, ())))
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for mark in (", ", ". ", ".\n"):
+            low = low.replace(mark, " ")
+        want = [frozenset(short.words(t)) for t in set(low.split())] + [frozenset([w]) for w in dict.fromkeys(short.spaced(low))]
+        assert sorted(map(sorted, filter(None, rows.get(i, [])))) == sorted(map(sorted, filter(None, want)))
+
+
+def test_strengths_and_feature_sets(short):
+    texts = ["summer loser", "", "loser loser idiot ass ball moon", "x"]
+    reader = X.Reader(short.logp)
+    sets = X.feature_sets(reader, texts)
+    assert [len(f) == len(set(f.tolist())) for f in sets] == [True] * 4 and len(sets[1]) == 0
+    table = np.zeros(X.FEATURES, np.float32)
+    place = lambda w: X.features(X.Strings.of([w]))[0]
+    for w, v in (("loser", 3.0), ("idiot", 2.0), ("ass", 1.0), ("ball", 0.5)):
+        table[place(w)[0]] = v
+        assert set(place(w)[place(w) >= 0].tolist()) <= set(sets[2].tolist())
+    assert X.strengths(reader, table, texts).tolist() == [[3, 0, 0], [0, 0, 0], [3, 2, 1], [0, 0, 0]]
+    assert (place("loser")[1:] == place("losers")[1:]).sum() == 3 and place("ab")[1:].tolist() == [-1] * 4
 
 
 @pytest.mark.parametrize("gap", ["  ", "\n", "\t"])
