@@ -6,12 +6,13 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
 from feedspark import schemas
 from feedspark.functions.codec import b64_decode_lenient
+from feedspark.operators.scan import scan
 from feedspark.sources.writer import BOOTSTRAP_KEY
 
 _ATOI = re.compile(rb"^\s*([+-]?\d+)")
@@ -124,42 +125,21 @@ def key_health(epochs: DataFrame) -> DataFrame:
 KEY_COLS = ["epoch", "cipher", "secret", "prev_cipher", "prev_secret"]
 
 
-def epoch_intervals(epochs: DataFrame, until, ts_type: str = "timestamp_ntz", unit: str = "HOUR") -> DataFrame:
-    """The lookup side of the as-of key join: every epoch's validity, one row per ``unit`` bucket that it overlaps.
-
-    An epoch holds from ``effective_from`` to the next one of its channel; of
-    epochs that start at the same instant the last one holds.  The open last
-    epoch ends behind ``until`` (a timestamp literal or column expression, the
-    last instant that will be looked up).  Epochs that begin after ``until``
-    and empty intervals have no row.  The size follows the key schedule and the
-    time span of the packets, not their number.
-    """
-    w = Window.partitionBy("channel").orderBy("effective_from", "epoch")
-    bound = F.lit(until).cast(ts_type) + F.expr("INTERVAL 1 MICROSECOND")
-    e = epochs.select(
-        F.col("channel").alias("_ch"),
-        *[F.col(c).alias(f"_k_{c}") for c in KEY_COLS],
-        F.col("effective_from").cast(ts_type).alias("_from"),
-        F.lead(F.col("effective_from").cast(ts_type)).over(w).alias("_next"),
-    )
-    e = e.withColumn("_to", F.least(F.coalesce(F.col("_next"), bound), bound)).where(F.col("_to") > F.col("_from"))
-    last = F.col("_to") - F.expr("INTERVAL 1 MICROSECOND")
-    buckets = F.sequence(F.date_trunc(unit, "_from"), F.date_trunc(unit, last), F.expr(f"INTERVAL 1 {unit}"))
-    return e.withColumn("_kbkt", F.explode(buckets)).drop("_next")
-
-
-def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts", unit: str = "HOUR") -> DataFrame:
+def asof_keys(packets: DataFrame, epochs: DataFrame, ts: str = "arrival_ts") -> DataFrame:
     """K4: attach the key pair in force at ``ts`` (as-of join, exact).
 
-    One equi-join on (channel, ``unit`` bucket) with the interval predicate: a
-    packet meets only the epochs of its own bucket.  Choose ``unit`` about as
-    long as a rotation.  Spark broadcasts the lookup side when its measured
-    size allows, and sorts and merges with skew splitting beyond.  Packets
-    before any epoch keep null key columns.
+    Packets and epochs are put on one line per channel and the last epoch is
+    carried along it (``scan``): one pass, in which no row is copied, whatever
+    times packets and replies claim.  An epoch holds from its
+    ``effective_from`` to the next one of its channel; of epochs that start at
+    the same instant the last one holds.  Packets before any epoch, or
+    without a time, keep null key columns.
     """
-    until = packets.agg(F.max(ts)).first()[0]
-    side = epoch_intervals(epochs, until, dict(packets.dtypes)[ts], unit)
-    j = packets.withColumn("_bkt", F.date_trunc(unit, ts)).join(
-        side, (F.col("channel") == F.col("_ch")) & (F.col("_bkt") == F.col("_kbkt"))
-        & (F.col(ts) >= F.col("_from")) & (F.col(ts) < F.col("_to")), "left")
-    return j.select(*packets.columns, *[F.col(f"_k_{c}").alias(c) for c in KEY_COLS])
+    kind = dict(packets.dtypes)[ts]
+    key = F.struct(*KEY_COLS)
+    p = packets.select(F.col("channel").alias("_ch"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(-1).alias("_n"),
+                       F.struct(*packets.columns).alias("_row"))
+    e = epochs.select(F.col("channel").alias("_ch"), F.col("effective_from").cast(kind).alias("_at"), F.lit(0).alias("_kind"),
+                      F.col("epoch").alias("_n"), key.alias("_key"))
+    line = scan(p.unionByName(e, allowMissingColumns=True), ["_ch"], ["_at", "_kind", "_n"], carry=F.col("_key"))
+    return line.where("_kind = 1").select("_row.*", "carried.*")

@@ -3,7 +3,7 @@
 Gaps are found with ``lead`` over numbers sorted within (channel, feed_date,
 bucket) where bucket = seq div width -- never over a whole date, so one hot
 date spreads across many tasks.  The gaps that straddle buckets come from a
-second, tiny window over per-bucket (min, max).  Duplicates give a difference
+scan over per-bucket (min, max).  Duplicates give a difference
 of 0 and add nothing, so no separate DISTINCT shuffle is needed.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedspark import constants as C
+from feedspark.operators.scan import scan
 
 KEYS = ("channel", "feed_date")
 
@@ -45,9 +46,9 @@ def gap_ranges(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq",
 
     Loss before the first or after the last received number of a group cannot
     be seen (same as the original receiver).  With the boolean column
-    ``opens`` only what follows a number that has it set can be lost.  Sparse
-    numbers make many buckets; the second window then runs over the buckets'
-    edges, as long as the group has buckets.
+    ``opens`` only what follows a number that has it set can be lost.  Gaps
+    between buckets come from a scan over the buckets' edges, so sparse numbers,
+    whose buckets are as many as they are, make no window over a whole group.
     """
     keys = list(keys)
     x = _bucketed(numbers, keys, seq, width, opens)
@@ -55,10 +56,9 @@ def gap_ranges(numbers: DataFrame, keys: Sequence[str] = KEYS, seq: str = "seq",
         *keys, (F.col("seq") + 1).alias("lo"), (F.col("_next") - 1).alias("hi")
     )
     edges = x.groupBy(*keys, "_b").agg(F.min("seq").alias("_mn"), F.max(F.struct("seq", "_opens")).alias("_last"))
-    wb = Window.partitionBy(*keys).orderBy("_b")
     cross = (
-        edges.select(*keys, F.col("_last.seq").alias("_mx"), F.col("_last._opens").alias("_opens"),
-                     F.lead("_mn").over(wb).alias("_nmn"))
+        scan(edges, keys, ["_b"], follow=F.col("_mn"))
+        .select(*keys, F.col("_last.seq").alias("_mx"), F.col("_last._opens").alias("_opens"), F.col("following").alias("_nmn"))
         .where(F.col("_opens") & _apart("_mx", "_nmn"))
         .select(*keys, (F.col("_mx") + 1).alias("lo"), (F.col("_nmn") - 1).alias("hi"))
     )
@@ -125,6 +125,32 @@ def live_dates(packets: DataFrame, keep: int = 2) -> DataFrame:
     return d.withColumn("arrival_rank", F.row_number().over(w)).withColumn("tracked", F.col("arrival_rank") <= keep)
 
 
+def date_status(packets: DataFrame) -> DataFrame:
+    """Every packet with the standing of its date when it came: ``date_status``, and ``dates_seen`` of its channel by then.
+
+    Packets come in the order of (arrival_ts, seq, feed_date).  The first one
+    of a date makes the date known ("new"); later ones are "next" if their date
+    is the last that became known, "current" if it is the one before (or the
+    only one), and "late" if two dates became known after it: its date is no
+    longer tracked.  Rows that are equal in all three columns came at once.  A
+    packet without a time came first.
+    """
+    came = F.struct("arrival_ts", "seq", "feed_date")
+    dates = packets.groupBy("channel", "feed_date").agg(F.min(came).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("channel").orderBy("_first"))        # a row per (channel, date)
+    dates = dates.withColumn("_rank", rank)
+    known = dates.select("channel", F.col("_first").alias("_came"), F.lit(0).alias("_kind"), F.col("_rank").alias("_seen"))
+    own = dates.select(F.col("channel").alias("_c"), F.col("feed_date").alias("_d"), "_first", "_rank")
+    rows = packets.withColumn("_came", came).join(
+        own, F.col("channel").eqNullSafe(F.col("_c")) & F.col("feed_date").eqNullSafe(F.col("_d")))
+    rows = rows.select("channel", "_came", F.lit(1).alias("_kind"), F.struct(*packets.columns).alias("_row"), "_first", "_rank")
+    line = scan(rows.unionByName(known, allowMissingColumns=True), ["channel"], ["_came", "_kind"], carry=F.col("_seen")).where("_kind = 1")
+    newest = F.col("carried")
+    status = (F.when(F.col("_came").eqNullSafe(F.col("_first")), "new").when((F.col("_rank") == newest) & (newest > 1), "next")
+              .when(F.col("_rank") >= newest - 1, "current").otherwise("late"))
+    return line.select("_row.*", newest.cast("int").alias("dates_seen"), status.alias("date_status"))
+
+
 def tracked(packets: DataFrame, keep: int = 2) -> DataFrame:
     """The packets of the tracked dates: what loss is looked for in when the live-date rule applies."""
     live = live_dates(packets, keep).where("tracked").select("channel", "feed_date")

@@ -26,9 +26,11 @@ def number_rows(
     (task, group) is then counted to find where each run starts.  Rows equal in
     every order column get distinct positions; a tie column spreads them over
     tasks.  Groups may be null.  With ``weight_col`` a row takes that many
-    positions and gets the first one (nulls count 0).
+    positions and gets the first one (nulls count 0); decimal weights give
+    decimal(38,0) positions.
     """
     spark = df.sparkSession
+    exact = "decimal(38,0)" if weight_col and dict(df.dtypes)[weight_col].startswith("decimal") else "bigint"
     group_cols, order_cols = list(group_cols), list(order_cols)
     tie = F.xxhash64(F.monotonically_increasing_id())
     rows = df.withColumn("_n_tie", tie)
@@ -38,7 +40,7 @@ def number_rows(
     runs = materialize(runs.withColumn("_n_at", F.monotonically_increasing_id()), "numbered", spark)
     runs = runs.withColumn("_n_run", F.shiftright("_n_at", 33))
     size = F.sum(F.coalesce(F.col(weight_col), F.lit(0))) if weight_col else F.count(F.lit(1))
-    starts = runs.groupBy("_n_run", *group_cols).agg(F.min("_n_at").alias("_n_first"), size.cast("bigint").alias("_n_size"))
+    starts = runs.groupBy("_n_run", *group_cols).agg(F.min("_n_at").alias("_n_first"), size.cast(exact).alias("_n_size"))
     if group_cols:
         before = Window.partitionBy(*group_cols).orderBy("_n_run").rowsBetween(Window.unboundedPreceding, -1)
         starts = starts.withColumn("_n_from", F.coalesce(F.sum("_n_size").over(before), F.lit(0)))
@@ -46,7 +48,7 @@ def number_rows(
         sizes = sorted((r["_n_run"], r["_n_first"], r["_n_size"]) for r in starts.collect())
         froms = accumulate((s for _, _, s in sizes), initial=0)
         starts = spark.createDataFrame(
-            [(*r, at) for r, at in zip(sizes, froms)], "_n_run bigint, _n_first bigint, _n_size bigint, _n_from bigint")
+            [(*r, at) for r, at in zip(sizes, froms)], f"_n_run bigint, _n_first bigint, _n_size {exact}, _n_from {exact}")
     starts = starts.select(*[F.col(c).alias(f"_n_g{i}") for i, c in enumerate(group_cols)],
                            F.col("_n_run").alias("_n_r"), "_n_first", "_n_from")
     same = F.col("_n_run") == F.col("_n_r")
@@ -58,5 +60,5 @@ def number_rows(
         within = F.coalesce(F.sum(F.coalesce(F.col(weight_col), F.lit(0))).over(earlier), F.lit(0))
     else:
         within = F.col("_n_at") - F.col("_n_first")
-    return placed.withColumn(out, (F.col("_n_from") + within).cast("bigint")).drop(
+    return placed.withColumn(out, (F.col("_n_from") + within).cast(exact)).drop(
         "_n_at", "_n_run", "_n_r", "_n_first", "_n_from", *[f"_n_g{i}" for i in range(len(group_cols))])

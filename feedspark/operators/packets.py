@@ -45,9 +45,9 @@ def authenticate(keyed: DataFrame, wire: str = "wire") -> DataFrame:
     return x.withColumn("status", status).withColumn("body", F.col("_a.body")).drop("_b64", "_dec", "_a")
 
 
-def decode_packets(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
+def decode_packets(wire: DataFrame, epochs: DataFrame) -> DataFrame:
     """Gate + decode: wire rows -> ``arrival_ts, channel, wire, epoch, status, body``."""
-    a = authenticate(asof_keys(wire, epochs, "arrival_ts", unit))
+    a = authenticate(asof_keys(wire, epochs))
     return a.select("arrival_ts", "channel", "wire", "epoch", "status", "body")
 
 
@@ -90,9 +90,9 @@ def complete_packets(parsed: DataFrame) -> DataFrame:
     )
 
 
-def packets_from_wire(wire: DataFrame, epochs: DataFrame, unit: str = "HOUR") -> DataFrame:
+def packets_from_wire(wire: DataFrame, epochs: DataFrame) -> DataFrame:
     """wire -> gate -> decode -> parse -> complete packets."""
-    return complete_packets(parse_fields(decode_packets(wire, epochs, unit)))
+    return complete_packets(parse_fields(decode_packets(wire, epochs)))
 
 
 def gate_counts(parsed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from feedspark import constants as C
 from feedspark.functions.codec import b64_encode
+from feedspark.operators.intervals import in_ranges
 from feedspark.operators.loss import gap_ranges
 from feedspark.operators.numbering import number_rows
 from feedspark.session import materialize
@@ -25,19 +26,20 @@ def assign_ranges(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFram
     sums of their sizes, so no number is written out.  A batch has at most
     ``batch_size`` parts, and a huge range is cut in levels of bounded width.
     """
-    r = ranges.select(*KEYS, "lo", "hi", F.col("n").cast("bigint").alias("n"))
-    p = number_rows(r, KEYS, ["lo"], out="at", weight_col="n")
-    first, last = F.expr(f"at div {batch_size}"), F.expr(f"(at + n - 1) div {batch_size}")
-    p = p.withColumns({"b0": first, "b1": last})
+    r = ranges.select(*KEYS, "lo", "hi", F.col("n").cast("decimal(20,0)").alias("n"))
+    p = number_rows(r, KEYS, ["lo"], out="at", weight_col="n")             # decimal positions: a range may be longer than a bigint
+    p = p.withColumns({"b0": F.expr(f"at div {batch_size}"), "b1": F.expr(f"(at + n - 1) div {batch_size}")})
     wide = C.EXPAND_CHUNK
     p = p.withColumn("b0", F.explode(F.sequence(F.col("b0"), F.col("b1"), F.lit(wide * wide).cast("bigint"))))
     p = p.withColumn("b1", F.least("b1", F.col("b0") + wide * wide - 1))
     p = p.withColumn("b0", F.explode(F.sequence(F.col("b0"), F.col("b1"), F.lit(wide).cast("bigint"))))
     p = p.withColumn("b1", F.least("b1", F.col("b0") + wide - 1))
     p = p.withColumn("batch_no", F.explode(F.sequence("b0", "b1")))
-    start = F.greatest(F.col("batch_no") * batch_size - F.col("at"), F.lit(0))
-    end = F.least((F.col("batch_no") + 1) * batch_size - F.col("at") - 1, F.col("n") - 1)
-    return p.select(*KEYS, "batch_no", (F.col("lo") + start).alias("lo"), (F.col("lo") + end).alias("hi"))
+    size, low = F.lit(batch_size).cast("decimal(20,0)"), F.col("lo").cast("decimal(20,0)")
+    offset = (F.col("batch_no").cast("decimal(18,0)") * size - F.col("at")).cast("decimal(38,0)")    # of the batch in the range
+    start = low + F.greatest(offset, F.lit(0).cast("decimal(38,0)"))
+    end = low + F.least(offset + size - 1, F.col("n").cast("decimal(38,0)") - 1)
+    return p.select(*KEYS, "batch_no", start.cast("bigint").alias("lo"), end.cast("bigint").alias("hi"))
 
 
 def assign_batches(ranges: DataFrame, batch_size: int = C.BATCH_SIZE) -> DataFrame:
@@ -81,18 +83,6 @@ def request_body(requests: DataFrame) -> DataFrame:
     )
 
 
-def lookup(wanted: DataFrame, archive: DataFrame) -> DataFrame:
-    """Archive rows for the wanted (channel, feed_date, seq) keys.
-
-    An inner join with the (small) wanted side, so Spark can broadcast it or
-    push a runtime bloom filter into the archive scan instead of shuffling the
-    whole archive; a left join from the wanted side could only broadcast the
-    archive.
-    """
-    a = archive.select(*KEYS, "seq", "message")
-    return a.join(wanted.select(*KEYS, "seq"), KEYS + ["seq"], "inner")
-
-
 def reply_ok(body: Column) -> Column:
     """At least 15 characters and they equal the header."""
     return F.coalesce((F.length(body) >= len(C.REPLY_HEADER)) & body.startswith(C.REPLY_HEADER), F.lit(False))
@@ -135,6 +125,14 @@ def number_lines(parsed: DataFrame) -> DataFrame:
                                     F.lit("recovered").alias("source"), *more).where("seq is not null")
 
 
+def backfill_ranges(ranges: DataFrame, archive: DataFrame) -> DataFrame:
+    """B3 on ranges: the archive's rows for lost ``ranges`` (disjoint, per date), with no number written out.
+
+    What the archive lacks stays a range: ``open_ranges(ranges, found)``.
+    """
+    return in_ranges(archive.select(*KEYS, "seq", "message"), ranges, KEYS)
+
+
 def recovered_rows(backfilled: DataFrame) -> DataFrame:
     return backfilled.where(F.col("message").isNotNull()).select(*KEYS, "seq", "message", F.lit("recovered").alias("source"))
 

@@ -168,6 +168,18 @@ def q_asof_keys(spark, sf_dir):
     return K.asof_keys(f, p.key_epochs).select("channel", "seq", "arrival_ts", "epoch", "cipher")
 
 
+@query("asof_bad_clock")
+def q_asof_bad_clock(spark, sf_dir):
+    """K4 with packets whose clock says year 9999, and one key reply from year 1: no lookup side grows with the span of the times."""
+    p = _plan(spark, sf_dir)
+    e = p.key_epochs
+    far = F.expr("timestamp_ntz'9999-12-31 23:59:59'").cast(dict(e.dtypes)["effective_from"])
+    f = p.feed_source.select("channel", "seq", F.when(F.col("seq") % 1000 == 7, far).otherwise(F.col("arrival_ts")).alias("arrival_ts"))
+    early = e.where("epoch = 0").withColumns({"epoch": F.lit(-1), "cipher": F.lit("early"),
+                                              "effective_from": F.expr("timestamp_ntz'0001-01-01 00:00:00'").cast(dict(e.dtypes)["effective_from"])})
+    return K.asof_keys(f, e.unionByName(early)).select("channel", "seq", "epoch", "cipher")
+
+
 @query("asof_ties")
 def q_asof_ties(spark, sf_dir):
     """K4 with every second epoch replaced at the instant it begins: the later of two replies holds."""
@@ -256,6 +268,15 @@ def q_live_dates(spark, sf_dir):
     return L.live_dates(_plan(spark, sf_dir).packets)
 
 
+@query("date_status")
+def q_date_status(spark, sf_dir):
+    """The standing of every packet's date when it came; every fifth packet came three days late."""
+    pk = _plan(spark, sf_dir).packets
+    late = F.expr("arrival_ts + INTERVAL 3 DAYS")
+    pk = pk.withColumn("arrival_ts", F.when(F.col("seq") % 5 == 2, late).otherwise(F.col("arrival_ts")))
+    return L.date_status(pk).select("channel", "feed_date", "seq", "arrival_ts", "dates_seen", "date_status")
+
+
 @query("live_dates_gaps")
 def q_live_dates_gaps(spark, sf_dir):
     """L2: lost numbers of the two tracked dates of each channel."""
@@ -277,6 +298,29 @@ def q_backfill_join(spark, sf_dir):
     return _plan(spark, sf_dir).backfilled
 
 
+def _jump(spark, sf_dir):
+    """(lost ranges, archive) of a feed with one corrupt number, 1e15 too high, per date; the archive knows some numbers on the way."""
+    p = _plan(spark, sf_dir)
+    seen = p.packets.select("channel", "feed_date", "seq")
+    jump = seen.groupBy("channel", "feed_date").agg((F.max("seq") + F.lit(10 ** 15)).alias("seq"))
+    beyond = p.archive.where("seq % 3 = 0").withColumn("seq", F.col("seq") + F.lit(10 ** 14))
+    ranges = materialize(L.gap_ranges(seen.unionByName(jump)), "jump_ranges")
+    return ranges, p.archive.unionByName(beyond)
+
+
+@query("backfill_ranges")
+def q_backfill_ranges(spark, sf_dir):
+    """B3 on ranges: what the archive has for them, whatever their length."""
+    return R.backfill_ranges(*_jump(spark, sf_dir))
+
+
+@query("still_missing_ranges")
+def q_still_missing_ranges(spark, sf_dir):
+    """B7 on ranges: what stays open."""
+    ranges, archive = _jump(spark, sf_dir)
+    return R.open_ranges(ranges, R.backfill_ranges(ranges, archive))
+
+
 @query("still_missing")
 def q_still_missing(spark, sf_dir):
     return _plan(spark, sf_dir).still_missing

@@ -49,10 +49,9 @@ def archive_replies(requests: DataFrame, archive: DataFrame) -> DataFrame:
 class FeedPlan:
     """All intermediate tables of the feed for one test directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, key_unit: str = "HOUR", cut_lineage: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, cut_lineage: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.key_unit = key_unit
         self.cut_lineage = cut_lineage
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
@@ -95,7 +94,7 @@ class FeedPlan:
 
     @cached_property
     def decoded(self) -> DataFrame:
-        return P.decode_packets(self.wire, self.key_epochs, self.key_unit)
+        return P.decode_packets(self.wire, self.key_epochs)
 
     @cached_property
     def parsed(self) -> DataFrame:

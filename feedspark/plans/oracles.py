@@ -136,6 +136,14 @@ _DAYS = """
 d AS (SELECT DISTINCT channel, ord, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM ev)"""
 
 
+# A feed with one number per date that is 1e15 too high, and an archive that knows some numbers on the way.
+_JUMP = """
+num AS (SELECT channel, feed_date, seq FROM pr UNION SELECT channel, feed_date, max(seq) + 1000000000000000 FROM pr GROUP BY channel, feed_date),
+known AS (SELECT channel, feed_date, seq, message FROM arch
+          UNION ALL SELECT channel, feed_date, seq + 100000000000000, message FROM arch WHERE seq % 3 = 0),
+lost AS (SELECT channel, feed_date, seq + 1 AS lo, nxt - 1 AS hi FROM (
+         SELECT *, lead(seq) OVER (PARTITION BY channel, feed_date ORDER BY seq) AS nxt FROM num) WHERE nxt - seq > 1)"""
+
 ORACLES: dict[str, str] = {
     "wire_encode": _with(_EV, _KEYS, """
 p AS (SELECT channel, ts, secret || '^' || feed_date || '^' || CAST(seq AS VARCHAR) || '^' || props AS plain, cipher AS xkey FROM k)""") + _XOR,
@@ -182,6 +190,11 @@ FROM d""",
     "asof_keys": _with(_EV, _DAYS) + f"""
 SELECT e.channel, e.seq, e.ts AS arrival_ts, d.ord AS epoch, {_cipher('d.ord')} AS cipher
 FROM ev e ASOF JOIN d ON e.channel = d.channel AND e.ts >= d.day""",
+    "asof_bad_clock": _with(_EV, _DAYS) + f"""
+, last AS (SELECT channel, max(ord) AS ord FROM d GROUP BY channel)
+SELECT e.channel, e.seq, CASE WHEN e.seq % 1000 = 7 THEN l.ord ELSE coalesce(d.ord, -1) END AS epoch,
+       CASE WHEN e.seq % 1000 = 7 THEN {_cipher('l.ord')} WHEN d.ord IS NULL THEN 'early' ELSE {_cipher('d.ord')} END AS cipher
+FROM ev e JOIN last l ON l.channel = e.channel ASOF LEFT JOIN d ON e.channel = d.channel AND e.ts >= d.day""",
     "asof_ties": _with(_EV, _DAYS) + f"""
 SELECT e.channel, e.seq, 2 * d.ord + 1 AS epoch, {_cipher('d.ord')} AS cipher
 FROM ev e ASOF JOIN d ON e.channel = d.channel AND e.ts >= d.day""",
@@ -216,6 +229,16 @@ SELECT channel, feed_date, count(*) AS received, count(DISTINCT seq) AS distinct
 FROM pr GROUP BY channel, feed_date""",
     "live_dates": _with(_EV, _PASSED, _LIVE) + """
 SELECT * FROM live""",
+    "date_status": _with(_EV, _PASSED) + """
+, x AS (SELECT channel, feed_date, seq, CASE WHEN seq % 5 = 2 THEN arrival_ts + INTERVAL 3 DAY ELSE arrival_ts END AS arrival_ts FROM pr),
+f AS (SELECT channel, feed_date, min(row(arrival_ts, seq)) AS first FROM x GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY first) AS rk FROM f),
+s AS (SELECT x.*, own.rk, own.first = row(x.arrival_ts, x.seq) AS opens,
+             (SELECT max(o.rk) FROM r o WHERE o.channel = x.channel AND o.first <= row(x.arrival_ts, x.seq)) AS seen
+      FROM x JOIN r own ON own.channel = x.channel AND own.feed_date = x.feed_date)
+SELECT channel, feed_date, seq, arrival_ts, CAST(seen AS INTEGER) AS dates_seen,
+       CASE WHEN opens THEN 'new' WHEN rk = seen AND seen > 1 THEN 'next' WHEN rk >= seen - 1 THEN 'current' ELSE 'late' END AS date_status
+FROM s""",
     "live_dates_gaps": _with(_EV, _PASSED, _MISSING.strip(), _LIVE) + """
 SELECT channel, feed_date, seq FROM miss JOIN live USING (channel, feed_date) WHERE tracked""",
     "recovery_requests": _with(_EV, _PASSED, _MISSING.strip(), _REQUESTS, """
@@ -226,6 +249,14 @@ SELECT *, 'date=' || date_b64 || '&missed=' || missed_b64 AS post_body FROM r"""
     "backfill_join": _with(_EV, _PASSED, _MISSING.strip(), _ARCHIVE) + """
 SELECT m.channel, m.feed_date, m.seq, a.message FROM miss m
 LEFT JOIN arch a ON a.channel = m.channel AND a.feed_date = m.feed_date AND a.seq = m.seq""",
+    "backfill_ranges": _with(_EV, _PASSED, _ARCHIVE, _JUMP) + """
+SELECT a.channel, a.feed_date, a.seq, a.message FROM known a JOIN lost l
+ON l.channel = a.channel AND l.feed_date = a.feed_date AND a.seq BETWEEN l.lo AND l.hi""",
+    "still_missing_ranges": _with(_EV, _PASSED, _ARCHIVE, _JUMP) + """
+, points AS (SELECT channel, feed_date, seq FROM num UNION SELECT a.channel, a.feed_date, a.seq FROM known a JOIN lost l
+             ON l.channel = a.channel AND l.feed_date = a.feed_date AND a.seq BETWEEN l.lo AND l.hi),
+nx AS (SELECT *, lead(seq) OVER (PARTITION BY channel, feed_date ORDER BY seq) AS nxt FROM points)
+SELECT channel, feed_date, seq + 1 AS lo, nxt - 1 AS hi, CAST(nxt - seq - 1 AS DECIMAL(20, 0)) AS n FROM nx WHERE nxt - seq > 1""",
     "still_missing": _with(_EV, _PASSED, _MISSING.strip(), _BATCHES) + """
 SELECT channel, feed_date, seq FROM miss m
 WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.channel = m.channel AND r.feed_date = m.feed_date AND r.seq = m.seq)""",

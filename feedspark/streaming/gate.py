@@ -51,7 +51,7 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path)
 
 
-def gate_batch(spark: SparkSession, fold_path: str, out: str, unit: str = "HOUR"):
+def gate_batch(spark: SparkSession, fold_path: str, out: str):
     """The ``foreachBatch`` body: judge new and held packets under the epochs known now.
 
     Writes ``out/packets``, ``out/rejected`` and ``out/held``, one folder per
@@ -68,7 +68,7 @@ def gate_batch(spark: SparkSession, fold_path: str, out: str, unit: str = "HOUR"
         due = wire.join(last, F.col("channel") == F.col("_c"), "left")
         news = F.col("tried").isNull() | (F.coalesce("_last", F.lit(-1)) > F.col("tried"))
         wait = due.where(~news).select(*_HELD.fieldNames())
-        judged = P.parse_fields(P.decode_packets(due.where(news).select(*schemas.WIRE.fieldNames()), epochs, unit))
+        judged = P.parse_fields(P.decode_packets(due.where(news).select(*schemas.WIRE.fieldNames()), epochs))
         judged = materialize(judged.join(last, F.col("channel") == F.col("_c"), "left"), "judged", spark)
         newest = F.col("epoch").isNull() | (F.col("epoch") >= F.col("_last"))
         unsure = F.col("status").isin(P.BAD_SECRET, P.NO_KEY) & newest
@@ -83,7 +83,7 @@ def gate_batch(spark: SparkSession, fold_path: str, out: str, unit: str = "HOUR"
 
 
 def start_gate(stream: DataFrame, fold_path: str, out: str, checkpoint: str, available_now: bool = True,
-               period: str = C.SCAN_PERIOD, unit: str = "HOUR"):
+               period: str = C.SCAN_PERIOD):
     """S9 start: the gate over a wire stream under the keys of a growing fold table.
 
     Started again with the same checkpoint it goes on where it stopped.
@@ -95,7 +95,7 @@ def start_gate(stream: DataFrame, fold_path: str, out: str, checkpoint: str, ava
         spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{out}/{name}/batch_id=-1")
     spark.createDataFrame([(-1,)], "n long").write.mode("ignore").parquet(f"{out}/batches/id=-1")
     return (
-        stream.writeStream.foreachBatch(gate_batch(spark, fold_path, out, unit))
+        stream.writeStream.foreachBatch(gate_batch(spark, fold_path, out))
         .option("checkpointLocation", checkpoint).trigger(**trigger_options(available_now, period)).start()
     )
 

@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedspark import constants as C
-from feedspark.operators.loss import expand_ranges
-from feedspark.operators.recovery import lookup, open_ranges
+from feedspark.operators.recovery import backfill_ranges, open_ranges
 from feedspark.session import materialize
 from feedspark.streaming.gaps import EVENTS, fold_gap_events
 
@@ -52,7 +51,7 @@ def recover(spark: SparkSession, events_path: str, archive: DataFrame, out: str,
     fresh = open_ranges(fold_gap_events(events), done.join(touched, keys, "left_semi")).select(*keys, "lo", "hi")
     before = _stored(spark, f"{out}/open", _OPEN).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
     now = materialize(fresh.unionByName(before.join(touched, keys, "left_anti")), "open", spark)
-    found = lookup(expand_ranges(now), archive).select(*keys, "seq", "message", F.lit("recovered").alias("source"))
+    found = backfill_ranges(now, archive).withColumn("source", F.lit("recovered"))
     found.write.mode("overwrite").parquet(f"{out}/recovered/batch_id={batch_id}")
     got = _stored(spark, f"{out}/recovered", RECOVERED).where(F.col("batch_id") == batch_id)
     open_ranges(now, got).select(*keys, "lo", "hi").write.mode("overwrite").parquet(f"{out}/open/batch_id={batch_id}")

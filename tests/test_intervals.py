@@ -1,0 +1,73 @@
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedspark.operators import recovery as R
+from feedspark.operators.intervals import in_ranges, range_blocks
+
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
+def test_blocks_cover_each_range_exactly(spark):
+    rng = random.Random(3)
+    rows = [(i, a, a + rng.randrange(0, 70)) for i, a in enumerate(rng.randrange(-200, 200) for _ in range(300))]
+    rows += [(1000, LOW, HIGH), (1001, HIGH, HIGH), (1002, LOW, LOW), (1003, 5, 4), (1004, -1, 0), (1005, LOW, -1), (1006, 7, 10**15)]
+    got = {}
+    for r in range_blocks(spark.createDataFrame(rows, "k int, lo long, hi long"), ["k"]).collect():
+        got.setdefault(r.k, []).append((r.block << r.level, ((r.block + 1) << r.level) - 1, r.level))
+    for k, lo, hi in rows:
+        parts = sorted(got.get(k, []))
+        levels = [p[2] for p in parts]
+        assert all(levels.count(x) <= 2 for x in levels)
+        at = lo
+        for a, b, _ in parts:
+            assert a == at
+            at = b + 1
+        assert at == max(hi + 1, lo)
+
+
+def test_join_against_brute_force(spark):
+    rng = random.Random(4)
+    ranges = []
+    for k in ("a", "b", None):
+        at = -500
+        while at < 500:
+            lo = at + rng.randrange(2, 40)
+            hi = lo + rng.choice([0, 1, 2, 30, 200])
+            ranges.append((k, lo, hi))
+            at = hi
+    ranges += [("huge", -(10**15), 10**15), ("all", LOW, HIGH)]
+    rows = [(rng.choice(["a", "b", "hot", None, "huge", "all"]), rng.choice([None, rng.randrange(-600, 600), rng.choice([LOW, HIGH, 10**15, -(10**15) - 1])]), i)
+            for i in range(2000)]
+    df = spark.createDataFrame(rows + rows[:50], "k string, n long, id long").withColumn("_own", F.lit("x"))
+    got = in_ranges(df, spark.createDataFrame(ranges, "k string, lo long, hi long"), ["k"], "n")
+    want = [r[2] for r in rows + rows[:50] if r[0] is not None and r[1] is not None and any(r[0] == k and a <= r[1] <= b for k, a, b in ranges)]
+    assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_no_ranges_or_no_rows(spark):
+    rows = spark.createDataFrame([("a", 1)], "k string, seq long")
+    ranges = spark.createDataFrame([], "k string, lo long, hi long")
+    assert in_ranges(rows, ranges, ["k"]).count() == 0
+    assert in_ranges(rows.where("false"), spark.createDataFrame([("a", 0, 9)], ranges.schema), ["k"]).count() == 0
+
+
+def test_backfill_of_a_huge_range_leaves_ranges(spark):
+    ranges = spark.createDataFrame([("c", "d", 5, 10**15, Decimal(10**15 - 4)), ("c", "e", 1, 3, Decimal(3))], "channel string, feed_date string, lo long, hi long, n decimal(20,0)")
+    archive = spark.createDataFrame([("c", "d", s, f"m{s}") for s in (4, 5, 77, 10**15, 10**15 + 1)] + [("c", "e", 2, "x"), ("z", "d", 6, "no")],
+                                    "channel string, feed_date string, seq long, message string")
+    found = R.backfill_ranges(ranges, archive)
+    assert sorted((r.feed_date, r.seq) for r in found.collect()) == [("d", 5), ("d", 77), ("d", 10**15), ("e", 2)]
+    left = R.open_ranges(ranges, found).collect()
+    assert sorted((r.feed_date, r.lo, r.hi) for r in left) == [("d", 6, 76), ("d", 78, 10**15 - 1), ("e", 1, 1), ("e", 3, 3)]
+
+
+@pytest.mark.parametrize("batch", [1 << 61, 3 << 60])
+def test_requests_of_a_range_longer_than_a_bigint(spark, batch):
+    n = HIGH - LOW - 1
+    ranges = spark.createDataFrame([("c", "d", LOW + 1, HIGH - 1, Decimal(n - 0)), ("c", "d", HIGH, HIGH, Decimal(1))][:1], "channel string, feed_date string, lo long, hi long, n decimal(20,0)")
+    got = sorted((r.batch_no, r.lo, r.hi) for r in R.assign_ranges(ranges, batch).collect())
+    assert got[0][1] == LOW + 1 and got[-1][2] == HIGH - 1 and len(got) == -(-n // batch)
+    assert all(b[1] == a[2] + 1 and a[2] - a[1] + 1 == batch for a, b in zip(got, got[1:]))

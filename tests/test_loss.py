@@ -76,3 +76,32 @@ def test_tracked_dates_only(spark):
     df = spark.createDataFrame(rows, "channel string, feed_date string, seq bigint, ts string").select(
         "channel", "feed_date", "seq", F.to_timestamp_ntz("ts").alias("arrival_ts"))
     assert sorted((x.feed_date, x.seq) for x in L.gaps(L.tracked(df)).collect()) == [("B", 2), ("C", 2)]
+
+
+def test_date_status_against_brute_force(spark):
+    import datetime as dt
+    import random
+
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rng.choice("ab"), f"d{rng.randrange(5)}", i // 2, rng.choice([None] + [t0 + dt.timedelta(minutes=rng.randrange(60))] * 9)) for i in range(300)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "channel string, feed_date string, seq long, arrival_ts timestamp_ntz").repartition(4)
+    out = L.date_status(df)
+    want = []
+    for ch in "ab":
+        known = []
+        own = sorted((r for r in rows if r[0] == ch), key=lambda r: (r[3] is not None, r[3] or t0, r[2], r[1]))
+        for k, r in enumerate(own):
+            if r[1] not in known:
+                known.append(r[1])
+                status = "new"
+            elif own[k - 1] == r and want[-1][0] == r and want[-1][2] == "new":
+                status = "new"                                        # an equal row came at once
+            else:
+                at = len(known) - known.index(r[1])
+                status = "next" if at == 1 and len(known) > 1 else "current" if at <= 2 else "late"
+            want.append((r, len(known), status))
+    got = [((r.channel, r.feed_date, r.seq, r.arrival_ts), r.dates_seen, r.date_status) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert L.date_status(df.where("false")).count() == 0
