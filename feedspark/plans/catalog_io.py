@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from feedspark import schemas
 from feedspark.operators import loss as L
 from feedspark.operators.numbering import number_rows
-from feedspark.plans.catalog import _plan, query
+from feedspark.plans.catalog import _open_tail, _plan, query
 from feedspark.session import materialize, scratch_path
 from feedspark.sinks import audit as A
 from feedspark.sinks import deliver as D
 from feedspark.sinks import tables as S
+from feedspark.sources.delivered import read_on
+from feedspark.streaming import frames as FR
 from feedspark.streaming import gate as G
 from feedspark.streaming.gaps import EVENTS, missing_from_events
 
@@ -54,6 +56,21 @@ def q_stream_deliver(spark, sf_dir):
     return ids
 
 
+@query("consumer_resume")
+def q_consumer_resume(spark, sf_dir):
+    """S7+S9: a consumer that is stopped twice while the feed is delivered in three parts: every row once, by position."""
+    feed = _plan(spark, sf_dir).feed
+    path, got, ck = (scratch_path(spark, n) for n in ("delivered", "consumed", "ck_consumer"))
+
+    def take(batch, batch_id):
+        batch.withColumn("got_by", F.lit(batch_id)).write.mode("overwrite").parquet(f"{got}/run={batch_id}")
+
+    for part in range(3):
+        D.deliver_batch(feed.where(F.col("seq") % 3 == part), path, part)
+        D.start_consumer(read_on(spark, path), take, ck).awaitTermination()
+    return spark.read.schema("id long, channel string, feed_date string, seq long, message string, source string, got_by long").parquet(got)
+
+
 @query("sink_preflight")
 def q_sink_preflight(spark, sf_dir):
     """Create the catalog table, then add columns it lacks, then append the feed and read it back."""
@@ -215,3 +232,27 @@ def q_feed_frames(spark, sf_dir):
 
     f = feed_frames(_plan(spark, sf_dir).feed)
     return f.select("channel", "pos", F.hex("mtext").alias("mtext_hex"), "full_msg")
+
+
+def _reassembled(spark, sf_dir):
+    """(sink, checkpoint) of a reassembly over frames whose files come in any order, each channel's last frame not at all."""
+    landed, sink, ck = (scratch_path(spark, n) for n in ("frames_landed", "messages", "ck_frames"))
+    _open_tail(spark, sf_dir).select(*FR.FRAMES.fieldNames()).repartition(6).write.parquet(landed)
+    stream = spark.readStream.schema(FR.FRAMES).option("maxFilesPerTrigger", 2).parquet(landed)
+    FR.start_reassembly(stream, sink, ck).awaitTermination()
+    return sink, ck
+
+
+@query("stream_frames")
+def q_stream_frames(spark, sf_dir):
+    """M2 on a stream: messages put together over micro-batches."""
+    sink, _ = _reassembled(spark, sf_dir)
+    m = spark.read.schema(FR.MESSAGES).parquet(sink)
+    return m.select("channel", "msg_id", "first_pos", "n_frames", F.md5(F.encode("message", "UTF-8")).alias("md5"), "n_bytes")
+
+
+@query("stream_frames_held")
+def q_stream_frames_held(spark, sf_dir):
+    """M3 on a stream: the frames that the state holds back."""
+    _, ck = _reassembled(spark, sf_dir)
+    return FR.held_frames(spark, ck).select("channel", "pos", F.hex("mtext").alias("mtext_hex"))

@@ -298,6 +298,16 @@ SELECT lang AS channel, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_i
 FROM documents""",
     "frame_pending": _TAIL + """
 SELECT channel, complete_msgs, nf - 1 AS pending_frames, 1024 * (nf - 1) AS pending_bytes FROM l""",
+    "stream_frames": """
+WITH d AS (SELECT lang AS channel, doc_id, md5(text) AS md5, octet_length(encode(text)) AS nb FROM documents),
+f AS (SELECT *, greatest(CAST(ceil(nb / 1024.0) AS BIGINT), 1) AS n_frames FROM d),
+m AS (SELECT *, row_number() OVER w - 1 AS msg_id, lead(doc_id) OVER w AS nxt,
+             CAST(coalesce(sum(n_frames) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_pos
+      FROM f WINDOW w AS (PARTITION BY channel ORDER BY doc_id))
+SELECT channel, CAST(msg_id AS BIGINT) AS msg_id, first_pos, n_frames, md5, CAST(nb AS INTEGER) AS n_bytes FROM m WHERE nxt IS NOT NULL""",
+    "stream_frames_held": _TAIL + """
+SELECT channel, CAST(total - nf + i AS BIGINT) AS pos, substr(b, CAST(i * 2048 + 1 AS BIGINT), 2048) AS mtext_hex
+FROM l, range(0, nf - 1) t(i)""",
     "frame_tail": _TAIL + """
 SELECT channel, CAST(total - nf + i AS BIGINT) AS pos, substr(b, CAST(i * 2048 + 1 AS BIGINT), 2048) AS mtext_hex
 FROM l, range(0, nf - 1) t(i)""",
@@ -334,6 +344,8 @@ ORACLES["sink_rows"] = ORACLES["sink_preflight"] = _FEED + """
 SELECT id, channel, feed_date, seq, message, source FROM o"""
 ORACLES["sink_rows_twice"] = _FEED + """
 SELECT row_number() OVER (ORDER BY seq % 2, channel, feed_date, seq) AS id, channel, feed_date, seq, message, source FROM f"""
+ORACLES["consumer_resume"] = _FEED + """
+SELECT row_number() OVER (ORDER BY seq % 3, channel, feed_date, seq) AS id, channel, feed_date, seq, message, source, seq % 3 AS got_by FROM f"""
 ORACLES["stream_deliver"] = _FEED + """
 SELECT channel, feed_date, seq, message, source, true AS dense FROM f"""
 ORACLES["sink_reject"] = _FEED + """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,8 +12,9 @@ from feedspark import schemas
 from feedspark.operators.framing import split_frames
 from feedspark.session import materialize
 from feedspark.sinks import tables as S
+from feedspark.sources.delivered import ROWS, ids_path
 
-ROWS = T.StructType([T.StructField("id", T.LongType()), *schemas.FEED.fields])
+_RECORD = "n long, first long, last long"
 _STORED = T.StructType([*ROWS.fields, T.StructField("batch_id", T.LongType())])
 
 
@@ -26,13 +27,27 @@ def deliver_batch(feed: DataFrame, path: str, batch_id: int) -> None:
     """S5+S11: one batch of the feed into a path table, ids going on from the batches before it.
 
     The batch has its own folder, so a replay overwrites its own rows and gets
-    the same ids: they start behind the largest id of the earlier batches.
+    the same ids: they start behind the last id of the earlier batches, which
+    a record per batch keeps (no row delivered earlier is read).  The record is
+    written last: a consumer sees a batch once it is complete.
     """
     spark = feed.sparkSession
+    _prepare(spark, path)
+    start = (_records(spark, path).where(F.col("n") < batch_id).agg(F.max("last")).first()[0] or 0) + 1
+    batch = materialize(feed.select(*schemas.FEED.fieldNames()), "batch", spark)
+    S.with_ids(batch, start=start).select(*ROWS.fieldNames()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    record = [(batch_id, start, start + batch.count() - 1)]
+    spark.createDataFrame(record, _RECORD).coalesce(1).write.mode("overwrite").parquet(f"{ids_path(path)}/batch={batch_id}")
+
+
+def _prepare(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{path}/batch_id=-1")
-    earlier = spark.read.schema(_STORED).parquet(path).where(F.col("batch_id") < batch_id)
-    rows = S.with_ids(materialize(feed.select(*schemas.FEED.fieldNames()), "batch", spark), start=S.next_id(earlier))
-    rows.select(*ROWS.fieldNames()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    spark.createDataFrame([(-1, 1, 0)], _RECORD).write.mode("ignore").parquet(f"{ids_path(path)}/batch=-1")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """One row per delivered batch: its id and the first and last row id (last < first: it had no rows)."""
+    return spark.read.schema(_RECORD).parquet(ids_path(path))
 
 
 def read_delivered(spark, path: str) -> DataFrame:
@@ -50,9 +65,8 @@ def deliver(feed: DataFrame, mode: str = "table", *, path: str | None = None, ta
     spark = feed.sparkSession
     if mode == "table":
         if path:
-            spark.createDataFrame([], ROWS).write.mode("ignore").parquet(f"{path}/batch_id=-1")
-            last = spark.read.schema(_STORED).parquet(path).agg(F.max("batch_id")).first()[0]
-            deliver_batch(feed, path, 0 if last is None else last + 1)
+            _prepare(spark, path)
+            deliver_batch(feed, path, _records(spark, path).agg(F.max("n")).first()[0] + 1)
         elif table:
             S.append_table(S.with_ids(feed, start=S.next_id(spark.table(table))), table)
         elif jdbc_url:

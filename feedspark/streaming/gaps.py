@@ -16,13 +16,14 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from feedspark import constants as C
 from feedspark.operators.loss import _apart, expand_ranges, range_size
+from feedspark.operators.scan import scan
 
 EVENTS = T.StructType([
     T.StructField("channel", T.StringType()),
@@ -158,9 +159,8 @@ def fold_gap_events(events: DataFrame) -> DataFrame:
     b = events.where(F.col("kind") == "bounds").groupBy(*keys, "bucket").agg(
         F.min("lo").alias("_mn"), F.max("hi").alias("_mx")
     )
-    w = Window.partitionBy(*keys).orderBy("bucket")
     cross = (
-        b.withColumn("_nmn", F.lead("_mn").over(w))
+        scan(b, keys, ["bucket"], follow=F.col("_mn")).withColumnRenamed("following", "_nmn")
         .where(_apart("_mx", "_nmn"))
         .select(*keys, (F.col("_mx") + 1).alias("lo"), (F.col("_nmn") - 1).alias("hi"))
     )
