@@ -209,12 +209,11 @@ def mix_documents(docs: DataFrame, seed: int = 1, block_words: int = 1024, weigh
     ``n_chars``, if there, is its length; the other columns are the
     document's.  Rows whose text has no word are not drawn.
     """
-    whole = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    rows = materialize(whole.select(F.col("_row").alias("row"), "doc_id", F.col("source").cast("string").alias("source"),
-                                    word_count(text_or_empty()).alias("size")), "sizes")
+    whole = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "documents")
+    rows = materialize(whole.select("row", "doc.doc_id", F.col("doc.source").cast("string").alias("source"),
+                                    word_count(text_or_empty("doc.text")).alias("size")), "sizes")
     wanted = mix(rows, seed, block_words, weights, most).taken.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("at", "words", "draw"))).alias("_pieces"))  # bounded by the document itself
-    x = whole.join(wanted, F.col("_row") == F.col("row")).withColumn("text", F.explode(_cut("text", "_pieces")))
-    if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return x.select(*docs.columns)
+        F.sort_array(F.collect_list(F.struct("at", "words", "draw"))).alias("pieces"))  # bounded by the document itself
+    x = whole.join(wanted, "row").select("doc", F.explode(_cut("doc.text", "pieces")).alias("piece"))
+    new = {"text": F.col("piece"), "n_chars": F.length("piece")}
+    return x.select(*[(new[c].cast(t) if c in new else F.col("doc")[c]).alias(c) for c, t in docs.dtypes])

@@ -145,9 +145,13 @@ def _stream(raw: bytes) -> tuple[bytes, bytes] | None:
 
 
 def unpack(raw: bytes) -> tuple[bytes, bool]:
-    """Compressed layers taken off one by one, and whether there was one."""
-    packed = False
+    """Compressed layers taken off one by one, and whether there was one; a stream that holds itself ends the chain."""
+    packed, seen = False, set()
     while (got := _stream(raw)) is not None:
+        mark = hashlib.blake2b(raw, digest_size=16).digest()
+        if mark in seen:
+            break
+        seen.add(mark)
         parts, rest = [got[0]], got[1]
         while (got := _stream(rest.lstrip(b"\0"))) is not None:    # further members or frames, padded with zeros or not
             parts.append(got[0])

@@ -62,8 +62,13 @@ def test_run_equals_the_stages(spark):
 def test_stages_take_empty_and_odd_tables(spark):
     from helpers import empty, odd
 
-    for docs in (empty(spark), odd(spark, clash=False)):
+    from pyspark.sql import functions as F
+
+    clashing = odd(spark).withColumns({c: F.lit("own") for c in ("_row", "row", "doc", "piece", "pieces", "_pieces", "at", "fp", "component_id", "ids")})
+    for docs in (empty(spark), odd(spark, clash=False), clashing):
         now = docs
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF001)
+            if stage is not corpus_pipeline.pack_sequences:
+                assert now.columns == docs.columns
         now.count()

@@ -201,3 +201,11 @@ def test_every_member_of_a_compressed_layer(pack):
 def test_compressed_bytes_as_escapes(name, escape):
     body = "".join(escape.format(b) for b in packed(f"see {SECRET} ok")[name])
     assert [s for s in S.scan(f"x {body} y")[1] if s.kind == "assign"] == [("assign", 2, 2 + len(body))]
+
+
+def test_a_stream_that_holds_itself_ends(monkeypatch):
+    monkeypatch.setattr(S, "_stream", lambda raw: (raw, b"") if raw.startswith(b"itself") else None)
+    assert S.unpack(b"itself and more") == (b"itself and more", True)
+    there, back = b"itself A", b"itself B"
+    monkeypatch.setattr(S, "_stream", lambda raw: (back if raw == there else there, b"") if raw else None)
+    assert S.unpack(there)[1]
