@@ -21,10 +21,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest id (of rows that share that id, one)."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = simhash.near_duplicates(rows.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), width=4, k=4)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    groups = simhash.near_duplicates(rows.select(F.struct("doc.doc_id", "row").alias("doc_id"), "doc.text"), width=4, k=4)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

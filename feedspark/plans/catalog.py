@@ -335,7 +335,8 @@ def q_recovery_pending(spark, sf_dir):
 @query("recovery_rounds")
 def q_recovery_rounds(spark, sf_dir):
     """B1-B4, B6 over three rounds: what each round's replies brought, at which attempt of their request."""
-    rounds = _plan(spark, sf_dir).rounds
+    p = _plan(spark, sf_dir)
+    rounds = [p.round(k) for k in range(3)]
     parts = [r.recovered.select("channel", "feed_date", "seq", "message", "attempts", F.lit(i + 1).alias("round"))
              for i, r in enumerate(rounds)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -53,6 +53,7 @@ class FeedPlan:
         self.spark = spark
         self.sf_dir = sf_dir
         self.cut_lineage = cut_lineage
+        self._rounds: list[R.Round] = []
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name, self.spark) if self.cut_lineage else df
@@ -116,14 +117,13 @@ class FeedPlan:
     def requests(self) -> DataFrame:
         return R.request_batches(self.gap_ranges)
 
-    @cached_property
-    def rounds(self) -> list[R.Round]:
-        """Three rounds of requests; the archive knows more numbers from the second on."""
-        later = self.feed_source.where(F.col("seq") % 10 != ARCHIVE_NEVER_HAS).select("channel", "feed_date", "seq", "message")
-        out = [self.first_round]
-        for _ in range(2):
-            out.append(R.recovery_round(out[-1].left, out[-1].pending, lambda r: archive_replies(r, later)))
-        return out
+    def round(self, k: int) -> R.Round:
+        """The ``k``-th round of requests (from 0), run when first asked for; the archive knows more numbers from the second on."""
+        while len(self._rounds) <= k:
+            later = self.feed_source.where(F.col("seq") % 10 != ARCHIVE_NEVER_HAS).select("channel", "feed_date", "seq", "message")
+            last = self._rounds[-1] if self._rounds else None
+            self._rounds.append(R.recovery_round(last.left, last.pending, lambda r: archive_replies(r, later)) if last else self.first_round)
+        return self._rounds[k]
 
     @cached_property
     def first_round(self) -> R.Round:
@@ -145,7 +145,7 @@ class FeedPlan:
     @cached_property
     def pending(self) -> DataFrame:
         """Requests without an answer after two rounds."""
-        return self.rounds[1].pending
+        return self.round(1).pending
 
     @cached_property
     def feed(self) -> DataFrame:

@@ -127,14 +127,19 @@ def read_replies_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start_fold(replies_stream: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True,
-               period: str = "30 seconds", partitions: int | None = None):
-    """K2 as a running query: appends one fold row per reply; state partitions fixed explicitly."""
+               period: str = "30 seconds", partitions: int | None = None, bootstrap_key: str = BOOTSTRAP_KEY, first_ord: int = 0,
+               wait_s: int = WAIT_S):
+    """K2 as a running query: appends one fold row per reply; state partitions fixed explicitly.
+
+    ``wait_s`` (by arrival times) is how long a lost reply stops its channel: a
+    few refresh periods of the feed.
+    """
     from feedspark.session import conf_override, state_partitions
 
     spark = replies_stream.sparkSession
     trig = {"availableNow": True} if available_now else {"processingTime": period}
     with conf_override(spark, spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
         return (
-            fold_stream(replies_stream).writeStream.format("parquet").option("path", sink_path)
+            fold_stream(replies_stream, bootstrap_key, first_ord, wait_s).writeStream.format("parquet").option("path", sink_path)
             .option("checkpointLocation", checkpoint).trigger(**trig).start()
         )
