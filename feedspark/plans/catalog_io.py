@@ -68,7 +68,8 @@ def q_consumer_resume(spark, sf_dir):
     for part in range(3):
         D.deliver_batch(feed.where(F.col("seq") % 3 == part), path, part)
         D.start_consumer(read_on(spark, path), take, ck).awaitTermination()
-    return spark.read.schema("id long, channel string, feed_date string, seq long, message string, source string, got_by long").parquet(got)
+    rows = spark.read.schema("id long, channel string, feed_date string, seq long, message string, source string, got_by long").parquet(got)
+    return rows.drop("run")
 
 
 @query("sink_preflight")
