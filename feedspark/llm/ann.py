@@ -53,17 +53,26 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _usable(vec: Column) -> Column:
-    """No null or non-finite component and a squared length that is a positive, finite double."""
+    """No null or non-finite component, and one that is not zero."""
     inf = float("inf")
     sound = F.forall(vec, lambda x: F.coalesce((x > -inf) & (x < inf), F.lit(False)))
+    return F.coalesce(sound & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
+def _scaled(vec: Column) -> Column:
+    """The vector, divided by a power of two if its squared length is near the ends of the double range; cosines stay as they are."""
     length = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x)
-    return F.coalesce(sound & (length > 0) & (length < inf), F.lit(False))
+    power = F.floor(F.log2(F.array_max(F.transform(vec, F.abs)))).cast("double")
+    half = F.floor(power / 2).cast("double")           # in two steps, each of which is a finite double
+    smaller = F.transform(vec, lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power))
+    return F.when((length > 1e-200) & (length < 1e200), vec).otherwise(smaller)
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Usable (vec_id, vec) rows; equal rows count once, rows without an id take no part."""
     v = table.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return v.where(F.col("vec_id").isNotNull() & _usable(F.col("vec"))).distinct()
+    v = v.where(F.col("vec_id").isNotNull() & _usable(F.col("vec"))).distinct()
+    return v.withColumn("vec", _scaled(F.col("vec")))
 
 
 def _code(pdf: pd.DataFrame) -> pd.DataFrame:

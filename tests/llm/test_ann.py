@@ -61,3 +61,17 @@ def test_estimates_lie_within_their_bounds():
         true = unit[:40] @ unit.T
         assert (np.abs(est - true) <= width).mean() > 0.995
         assert np.abs(est - true).mean() < 3 / np.sqrt(dim * ann.BITS_PER_DIM)
+
+
+def test_vectors_of_extreme_lengths_take_part(spark):
+    """Squares that over- or underflow: the cosine is that of the direction."""
+    base = [[3.0, 4.0], [4.0, 3.0], [-3.0, 4.0], [5.0, 0.1]]
+    scales = [1.0, 1e200, 1e-200, 1e307, 1e-320]
+    rows = [(i * len(base) + j, [c * s for c in v]) for i, s in enumerate(scales) for j, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") == 0, k=len(rows)).collect()
+    assert len(got) == len(rows) - 1
+    for r in got:
+        v = base[r.vec_id % len(base)]
+        want = (3 * v[0] + 4 * v[1]) / 5 / (v[0] ** 2 + v[1] ** 2) ** 0.5
+        assert abs(r.score - want) < (1e-3 if r.vec_id >= 16 else 1e-12)     # the last scale is subnormal: few digits are left
