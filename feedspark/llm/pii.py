@@ -40,7 +40,7 @@ HOMOGLYPHS = dict(zip(
     "АВСЕНІЈКМОРЅТХҮԚԜасеԁһіјкӏмоорԛѕтѵԝхуү" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχϲϳ" "ıȷɑɡɩօսհց",
     "ABCEHIJKMOPSTXYQWacedhijklmoopqstvwxyy" "ABEZHIKMNOPTYXaikvopuxcj" "ijagiouhg"))
 _DOTS = "。｡·∙‧․٫"
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁩︀-️﻿]+")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe00-\ufe0f\ufeff]+")
 DIGIT_WORDS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
     "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
