@@ -17,6 +17,7 @@ from feedspark.sinks import tables as S
 from feedspark.sources.delivered import read_on
 from feedspark.streaming import frames as FR
 from feedspark.streaming import gate as G
+from feedspark.streaming import rotation as RG
 from feedspark.streaming.gaps import EVENTS, missing_from_events
 
 
@@ -123,11 +124,12 @@ def _start_fold(spark, replies, fold, checkpoint):
     return SK.start_fold(SK.read_replies_stream(spark, replies), fold, checkpoint)
 
 
-def _stream_gate(spark, sf_dir, rounds: int = 4):
+def _rotating_gate(spark, sf_dir, rounds: int = 4):
     """Packets and control replies landed in turn, packets first: each round's keys come after its packets.
 
-    The gate runs after every landing, so packets wait for their keys; after
-    the last round nothing new can come.  Returns the gate's folder.
+    The gate runs after every landing of packets, which then wait for their
+    keys, and goes on when the last keys are there.  Returns the gate's folder
+    and its checkpoint.
     """
     p = _plan(spark, sf_dir)
     wire_in, replies_in, fold, out = (scratch_path(spark, n) for n in ("wire_landed", "replies_landed", "stream_fold", "gate"))
@@ -135,14 +137,17 @@ def _stream_gate(spark, sf_dir, rounds: int = 4):
     spark.createDataFrame([], schemas.KEY_FOLD).write.parquet(fold)
     part = F.least(F.floor((F.dayofmonth("arrival_ts") - 1) * rounds / 30), F.lit(rounds - 1))
     wire, replies = materialize(p.wire, "wire"), materialize(p.control_replies, "replies")
+
+    def go_on():
+        RG.start_gate(G.read_wire_stream(spark, wire_in), fold, out, ck["gate"], lanes=2).awaitTermination()
+
     for r in range(rounds):
         G.land_wire(wire.where(part == r), wire_in, 2)
-        G.start_gate(G.read_wire_stream(spark, wire_in), fold, out, ck["gate"]).awaitTermination()
+        go_on()
         replies.where(part == r).coalesce(1).write.mode("append").parquet(replies_in)
         _start_fold(spark, replies_in, fold, ck["fold"]).awaitTermination()
-    # once more without new packets: those held are judged under the last keys
-    G.gate_batch(spark, fold, out)(spark.createDataFrame([], schemas.WIRE), G.last_batch(spark, out) + 1)
-    return out
+    go_on()
+    return out, ck["gate"]
 
 
 @query("stream_gate")
@@ -157,15 +162,15 @@ def q_stream_gate(spark, sf_dir):
 
 @query("stream_rotation")
 def q_stream_rotation(spark, sf_dir):
-    """K2+K4 on streams: keys rotate while the gate runs and reach it after the packets under them."""
-    return G.read_packets(spark, _stream_gate(spark, sf_dir))
+    """K2+K4 on streams: keys rotate while the gate runs and wake the packets that wait for them."""
+    return RG.read_packets(spark, _rotating_gate(spark, sf_dir)[0])
 
 
 @query("stream_quarantine")
 def q_stream_quarantine(spark, sf_dir):
     """S6 on a stream: rows that the gate rejected, and those that no key fits until the end."""
-    out = _stream_gate(spark, sf_dir)
-    q = G.read_rejected(spark, out).unionByName(G.read_waiting(spark, out))
+    out, ck = _rotating_gate(spark, sf_dir)
+    q = RG.read_rejected(spark, out).unionByName(RG.waiting(spark, ck))
     return q.select("arrival_ts", "channel", "reason", F.length("wire").cast("int").alias("wire_len"))
 
 

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: State store that streams with map, list or timer state need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "feedspark") -> SparkSession:
     """Local session with the settings the tests and bench rely on.

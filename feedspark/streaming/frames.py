@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from feedspark import constants as C
-from feedspark.session import conf_override, state_partitions
+from feedspark.session import ROCKSDB, conf_override, state_partitions
 
 FRAMES = T.StructType([
     T.StructField("channel", T.StringType()),
@@ -33,7 +33,6 @@ MESSAGES = T.StructType([
     T.StructField("message", T.StringType()),
     T.StructField("n_bytes", T.IntegerType()),
 ])
-_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Reassembly(StatefulProcessor):
@@ -97,7 +96,7 @@ def start_reassembly(frames: DataFrame, sink_path: str, checkpoint: str, availab
     """The running query: whole messages are appended to a path table."""
     spark = frames.sparkSession
     trig = {"availableNow": True} if available_now else {"processingTime": period}
-    with conf_override(spark, spark__sql__streaming__stateStore__providerClass=_STORE,
+    with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
                        spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
         return (messages(frames).writeStream.format("parquet").option("path", sink_path)
                 .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trig).start())
@@ -105,6 +104,6 @@ def start_reassembly(frames: DataFrame, sink_path: str, checkpoint: str, availab
 
 def held_frames(spark: SparkSession, checkpoint: str) -> DataFrame:
     """M3: the frames that wait in the state of a reassembly, read from its checkpoint: ``channel, pos, mtext, full_msg``."""
-    with conf_override(spark, spark__sql__streaming__stateStore__providerClass=_STORE):
+    with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
         return state.select("key.channel", "user_map_key.pos", "user_map_value.mtext", "user_map_value.full_msg")
