@@ -3,6 +3,10 @@
 State is kept per (channel, feed_date, bucket) where bucket = seq div width,
 so a hot date spreads over many state keys and tasks.  Each key holds the
 lowest and highest number seen and its open gap ranges (ranges, not numbers).
+The ranges are a map with one entry per block of ``BLOCK`` numbers that a range starts in,
+with a bitmap of the blocks in use beside it: a late number
+reads and writes the entries of its own block and of the last block in use
+before it, however many ranges are open.
 A new number above the maximum opens the run between; a number inside an
 open range closes it and re-opens what is left on either side.  The query
 emits ``opened`` / ``closed`` range rows, ``bounds`` rows, and ``evicted`` rows
@@ -12,18 +16,21 @@ buckets rebuilt from the bounds exactly as the batch operator does.
 
 from __future__ import annotations
 
-from typing import Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from feedspark import constants as C
 from feedspark.operators.loss import _apart, expand_ranges, range_size
 from feedspark.operators.scan import scan
+from feedspark.session import ROCKSDB
+
+BLOCK = 256                                # numbers per map entry: it holds at most half as many ranges
 
 EVENTS = T.StructType([
     T.StructField("channel", T.StringType()),
@@ -34,14 +41,6 @@ EVENTS = T.StructType([
     T.StructField("hi", T.LongType()),
 ])
 
-STATE = T.StructType([
-    T.StructField("mn", T.LongType()),
-    T.StructField("mx", T.LongType()),
-    T.StructField("los", T.ArrayType(T.LongType())),
-    T.StructField("his", T.ArrayType(T.LongType())),
-])
-
-
 def absorb(mn, mx, los: np.ndarray, his: np.ndarray, nums: np.ndarray):
     """Fold new numbers into (min, max, open ranges).  Pure numpy; returns the new state and events.
 
@@ -85,49 +84,107 @@ def absorb(mn, mx, los: np.ndarray, his: np.ndarray, nums: np.ndarray):
     return new_mn, new_mx, new_los[o], new_his[o], op_lo, op_hi, cl_lo, cl_hi
 
 
-def _processor(retention_ms: int | None):
-    def run(key, pdfs: Iterator[pd.DataFrame], state):
-        channel, feed_date, bucket = key
-        if state.hasTimedOut:
-            # the date left tracking (no arrivals for the retention period): its ranges stay as logged, and the log says so
-            if state.exists:
-                mn, mx, _, _ = state.get
-                yield pd.DataFrame({"channel": [channel], "feed_date": [feed_date], "bucket": [int(bucket)], "kind": ["evicted"],
-                                    "lo": [int(mn)], "hi": [int(mx)]})
-            state.remove()
+class RangeMap:
+    """The open ranges of one state key, read and written by blocks; ``used`` is the bitmap of blocks that a range starts in."""
+
+    def __init__(self, state, first: int, used: bytes):
+        self.state, self.first = state, first
+        self.used = int.from_bytes(used, "little")
+        self.had: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def load(self, block: int) -> None:
+        if block not in self.had:
+            v = self.state.getValue((block,)) if self.used >> block & 1 else None
+            self.had[block] = tuple(np.asarray(x, np.int64) for x in (v or ([], [])))
+
+    def near(self, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ranges that may hold one of the numbers: those of its block and of the last block in use before it."""
+        for block in np.unique((nums - self.first) // BLOCK).tolist():
+            self.load(block)
+            before = (self.used & ((1 << block) - 1)).bit_length() - 1
+            if before >= 0:
+                self.load(before)
+        return self.loaded()
+
+    def loaded(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.had[b] for b in sorted(self.had)]
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+
+    def store(self, los: np.ndarray, his: np.ndarray) -> bytes:
+        """Put ``los, his`` in the place of the ranges that are loaded, writing blocks that change; the new bitmap."""
+        at = (los - self.first) // BLOCK
+        for block in sorted({*self.had, *np.unique(at).tolist()}):
+            mine = at == block
+            new = (los[mine], his[mine])
+            if block not in self.had:      # starts came into a block that no number lies in: what it has stays
+                self.load(block)
+                both = [np.concatenate(p) for p in zip(self.had[block], new)]
+                order = np.argsort(both[0], kind="stable")
+                new = tuple(p[order] for p in both)
+            if not all(np.array_equal(o, n) for o, n in zip(self.had[block], new)):
+                if len(new[0]):
+                    self.state.updateValue((block,), tuple(p.tolist() for p in new))
+                    self.used |= 1 << block
+                else:
+                    self.state.removeKey((block,))
+                    self.used &= ~(1 << block)
+        return self.used.to_bytes((self.used.bit_length() + 7) // 8, "little")
+
+
+class GapTracker(StatefulProcessor):
+    """Keeps bounds and open ranges of a (channel, feed_date, bucket) and emits what changes."""
+
+    def __init__(self, width: int, retention_ms: int | None):
+        self.width, self.retention_ms = width, retention_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "mn bigint, mx bigint, used binary, latest bigint")
+        self.open = handle.getMapState("open", "block bigint", "los array<bigint>, his array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mn, mx, used, latest = self.at.get() or (None, None, b"", None)
+        old, was = (mn, mx, bytes(used)), latest
+        used, out = bytes(used), []
+        for pdf in rows:
+            nums = np.unique(pdf["seq"].to_numpy(np.int64))
+            ranges = RangeMap(self.open, int(key[2]) * self.width, used)
+            los, his = ranges.near(nums)
+            mn, mx, los, his, olo, ohi, clo, chi = absorb(mn, mx, los, his, nums)
+            used = ranges.store(los, his)
+            out += [("opened", olo, ohi), ("closed", clo, chi)]
+            if self.retention_ms is not None:
+                newest = int(pd.to_datetime(pdf["ev"]).max().value // 1_000_000)
+                latest = newest if latest is None else max(latest, newest)
+        if (mn, mx) != old[:2]:
+            out.append(("bounds", np.array([mn]), np.array([mx])))
+        if (mn, mx, used) != old or latest != was:
+            self.at.update((int(mn), int(mx), used, latest))
+        if latest != was:
+            if was is not None:
+                self.handle.deleteTimer(was + self.retention_ms)
+            self.handle.registerTimer(latest + self.retention_ms)
+        yield self._events(key, out)
+
+    def _events(self, key, parts) -> pd.DataFrame:
+        n = [len(lo) for _, lo, _ in parts]
+        kinds = np.repeat(np.array([k for k, _, _ in parts], object), n)
+        both = [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2)]
+        return pd.DataFrame({"channel": pd.Series([key[0]] * sum(n), dtype=object), "feed_date": pd.Series([key[1]] * sum(n), dtype=object),
+                             "bucket": np.full(sum(n), int(key[2])), "kind": pd.Series(kinds, dtype=object),
+                             "lo": both[0], "hi": both[1]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the date left tracking (no arrivals for the retention period): its ranges stay as logged, and the log says so
+        if not self.at.exists():
             return
-        if state.exists:
-            mn, mx, los, his = state.get
-            los, his = np.asarray(los or [], np.int64), np.asarray(his or [], np.int64)
-        else:
-            mn = mx = None
-            los = his = np.zeros(0, np.int64)
-        old = (mn, mx)
-        out = []
-        latest = None
-        for pdf in pdfs:
-            mn, mx, los, his, olo, ohi, clo, chi = absorb(mn, mx, los, his, pdf["seq"].to_numpy())
-            if len(olo):
-                out.append(pd.DataFrame({"kind": "opened", "lo": olo, "hi": ohi}))
-            if len(clo):
-                out.append(pd.DataFrame({"kind": "closed", "lo": clo, "hi": chi}))
-            if retention_ms is not None and len(pdf):
-                t = pd.to_datetime(pdf["_ev"]).max()
-                latest = t if latest is None or t > latest else latest
-        if mn is not None:
-            state.update((int(mn), int(mx), [int(v) for v in los], [int(v) for v in his]))
-            if retention_ms is not None and latest is not None:
-                state.setTimeoutTimestamp(int(latest.value // 1_000_000) + retention_ms)
-            if (mn, mx) != old:
-                out.append(pd.DataFrame({"kind": ["bounds"], "lo": [mn], "hi": [mx]}))
-        if out:
-            res = pd.concat(out, ignore_index=True)
-            res.insert(0, "bucket", int(bucket))
-            res.insert(0, "feed_date", feed_date)
-            res.insert(0, "channel", channel)
-            yield res[["channel", "feed_date", "bucket", "kind", "lo", "hi"]].astype({"lo": "int64", "hi": "int64"})
-
-    return run
+        mn, mx, _, _ = self.at.get()
+        self.at.clear()
+        self.open.clear()
+        yield self._events(key, [("evicted", np.array([mn]), np.array([mx]))])
+
+    def close(self) -> None:
+        pass
 
 
 def gap_events(packets: DataFrame, width: int = C.SEQ_BUCKET, retention_s: int | None = None) -> DataFrame:
@@ -137,16 +194,18 @@ def gap_events(packets: DataFrame, width: int = C.SEQ_BUCKET, retention_s: int |
     arrived for that long in event time (watermark on ``arrival_ts``): its
     state is dropped and later packets of it no longer change its gaps -- the
     stream form of keeping only the live dates.  The feed itself keeps them.
+
+    The state needs the RocksDB store, which this sets for the session.
     """
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     cols = ["channel", "feed_date", "seq", F.floor(F.col("seq") / F.lit(width)).cast("bigint").alias("bucket")]
     if retention_s is None:
-        x, timeout = packets.select(*cols), GroupStateTimeout.NoTimeout
+        x, mode = packets.select(*cols), "None"
     else:
-        x = packets.select(*cols, F.col("arrival_ts").cast("timestamp").alias("_ev"))
-        x, timeout = x.withWatermark("_ev", f"{int(retention_s)} seconds"), GroupStateTimeout.EventTimeTimeout
-    return x.groupBy("channel", "feed_date", "bucket").applyInPandasWithState(
-        _processor(None if retention_s is None else int(retention_s) * 1000), EVENTS, STATE, "append", timeout
-    )
+        x = packets.select(*cols, F.col("arrival_ts").cast("timestamp").alias("ev"))
+        x, mode = x.withWatermark("ev", f"{int(retention_s)} seconds"), "EventTime"
+    tracker = GapTracker(width, None if retention_s is None else int(retention_s) * 1000)
+    return x.groupBy("channel", "feed_date", "bucket").transformWithStateInPandas(tracker, EVENTS, "Append", mode)
 
 
 def fold_gap_events(events: DataFrame) -> DataFrame:

@@ -229,3 +229,50 @@ def test_key_fold_stream_out_of_order_files(spark):
     q.awaitTermination()
     got = sorted(tuple(r) for r in spark.read.schema(schemas.KEY_FOLD).parquet(out).collect())
     assert got == sorted(tuple(r) for r in fold_replies(df).collect())
+
+
+def test_a_late_number_writes_little_state(spark):
+    import time
+
+    src, out = scratch_path(spark, "pk"), scratch_path(spark, "ev")
+
+    def land(nums):
+        rows = [("c", "D", n, "m", None, 0) for n in nums]
+        spark.createDataFrame(rows, schemas.PACKETS).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)
+
+    land(range(0, 60_000, 2))                                # 30,000 open ranges
+    land([301])
+    land([70_001, 60_000, 40_001])
+    stream = spark.readStream.schema(schemas.PACKETS).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (SG.gap_events(stream).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    written = [sum(s.numRowsUpdated for s in p.stateOperators) for p in q.recentProgress if p.numInputRows]
+    assert len(written) == 3 and written[0] < 300 and max(written[1:]) <= 6
+    got = SG.fold_gap_events(spark.read.schema(SG.EVENTS).parquet(out))
+    want = [(n, n) for n in range(1, 59_998, 2) if n not in (301, 40_001)] + [(59_999, 59_999), (60_001, 70_000)]
+    assert sorted((r.lo, r.hi) for r in got.collect()) == want
+
+
+def test_range_map_random():
+    rnd = random.Random(3)
+
+    class State(dict):
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__
+        getValue = dict.get
+
+    for _ in range(60):
+        first, width, state, used, mn, mx = rnd.choice([0, -4096, 8192]), 4096, State(), b"", None, None
+        seen = set()
+        for _ in range(rnd.randint(1, 12)):
+            nums = np.unique([first + rnd.randint(0, width - 1) for _ in range(rnd.choice([1, 2, 40, 900]))])
+            ranges = SG.RangeMap(state, first, used)
+            los, his = ranges.near(nums)
+            mn, mx, los, his, *_ = SG.absorb(mn, mx, los, his, nums)
+            used = ranges.store(los, his)
+            seen |= set(nums.tolist())
+            pairs = sorted(p for v in state.values() for p in zip(*v))
+            got = [x for lo, hi in pairs for x in range(lo, hi + 1)]
+            assert got == [x for x in range(min(seen), max(seen) + 1) if x not in seen]
+            assert all(hi + 1 in seen and lo - 1 in seen for lo, hi in pairs)
