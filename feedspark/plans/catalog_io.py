@@ -5,16 +5,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedspark import schemas
 from feedspark.operators import loss as L
+from feedspark.operators import packets as P
 from feedspark.operators.numbering import number_rows
 from feedspark.plans.catalog import _open_tail, _plan, query
 from feedspark.session import materialize, scratch_path
 from feedspark.sinks import audit as A
+from feedspark.sinks import commits as CM
 from feedspark.sinks import deliver as D
 from feedspark.sinks import tables as S
 from feedspark.sources.delivered import read_on
+from feedspark.streaming import counters as CT
 from feedspark.streaming import frames as FR
 from feedspark.streaming import gate as G
 from feedspark.streaming import rotation as RG
@@ -95,6 +99,13 @@ def _taken_out(spark, name):
     return spark.read.schema(schema).parquet(where)
 
 
+def _faulty(feed):
+    """The feed with ids, a null message at every 23rd number and text for a number at every 29th."""
+    return S.with_ids(feed).select(
+        "id", F.when(F.col("seq") % 23 != 0, F.col("message")).alias("message"), "feed_date",
+        F.when(F.col("seq") % 29 == 0, F.concat(F.lit("no "), F.col("seq").cast("string"))).otherwise(F.col("seq").cast("string")).alias("seq"))
+
+
 @query("sink_reject")
 def q_sink_reject(spark, sf_dir):
     """The feed with a null message at every 23rd number and text for a number at every 29th: refused rows are kept aside."""
@@ -103,14 +114,35 @@ def q_sink_reject(spark, sf_dir):
     if not ok:
         raise RuntimeError(f"sink preflight failed: {ok.reason}")
     aside = scratch_path(spark, "refused")
-    rows = S.with_ids(_plan(spark, sf_dir).feed).select(
-        "id", F.when(F.col("seq") % 23 != 0, F.col("message")).alias("message"), "feed_date",
-        F.when(F.col("seq") % 29 == 0, F.concat(F.lit("no "), F.col("seq").cast("string"))).otherwise(F.col("seq").cast("string")).alias("seq"))
+    rows = _faulty(_plan(spark, sf_dir).feed)
     S.append_checked(rows, name, aside)
     written = _taken_out(spark, name).select("id", F.col("seq").cast("string").alias("seq"), F.lit("").alias("reason"))
     return written.unionByName(spark.read.parquet(aside).select("id", "seq", "reason"))
 
 
+@query("sink_reject_twice")
+def q_sink_reject_twice(spark, sf_dir):
+    """S3+S6: the rows of ``sink_reject`` in two batches, the first one failing before its commit, then tried twice."""
+    root = scratch_path(spark, "once")
+    schema = T.StructType.fromDDL("id BIGINT, message STRING, feed_date STRING, seq BIGINT")
+    CM.create(spark, root)
+    rows = materialize(_faulty(_plan(spark, sf_dir).feed), "faulty", spark)
+    part = [rows.where(F.col("id") % 2 == k) for k in (0, 1)]
+
+    def stop():
+        raise ConnectionError("between the rows and their record")
+
+    try:
+        CM.append_once(part[0], root, 0, schema, {"id", "message"}, stop)
+    except ConnectionError:
+        pass
+    for batch_id in (0, 0, 1, 0):
+        CM.append_once(part[batch_id], root, batch_id, schema, {"id", "message"})
+    written = CM.read_written(spark, root, schema).select("id", F.col("seq").cast("string").alias("seq"), F.lit("").alias("reason"))
+    return written.unionByName(CM.read_refused(spark, root, schema).select(
+        F.col("id").cast("bigint").alias("id"), "seq", F.col("_reason").alias("reason")))
+
+
 @query("audit_lines")
 def q_audit_lines(spark, sf_dir):
     """Audit rows for gate failures and per-date loss, in the log line format."""
@@ -174,6 +206,29 @@ def q_stream_quarantine(spark, sf_dir):
     return q.select("arrival_ts", "channel", "reason", F.length("wire").cast("int").alias("wire_len"))
 
 
+@query("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    """L8 on a stream: counts that the gate observed, batch by batch, and the packets that still wait."""
+    p = _plan(spark, sf_dir)
+    wire, fold, out, ck, counts = (scratch_path(spark, n) for n in ("wire_landed", "fold", "gate", "ck_gate", "counters"))
+    G.land_wire(p.wire, wire)
+    p.key_fold.write.parquet(fold)
+    channels = [r.channel for r in p.key_epochs.select("channel").distinct().collect()]
+    spark.createDataFrame([], CT.COUNTS).write.parquet(f"{counts}/batch=-1")
+    listener = CT.BatchCounters(spark, channels, counts)
+    spark.streams.addListener(listener)
+    try:
+        RG.start_gate(G.read_wire_stream(spark, wire, 3), fold, out, ck, lanes=2, watch=CT.watch(channels)).awaitTermination()
+        if not listener.ended.wait(120):
+            raise RuntimeError("the gate's last progress did not come")
+    finally:
+        spark.streams.removeListener(listener)
+    w = RG.waiting(spark, ck).groupBy("channel", F.col("reason").alias("status")).agg(
+        F.count(F.lit(1)).alias("packets"), F.count_if(P.oversize(F.col("wire"))).alias("oversize"))
+    return CT.read_counters(spark, counts).unionByName(w).groupBy("channel", "status").agg(
+        F.sum("packets").alias("packets"), F.sum("oversize").alias("oversize"))
+
+
 def _stream_packets(spark, sf_dir):
     """Complete packets landed as files."""
     sink = scratch_path(spark, "stream_packets")

@@ -377,3 +377,5 @@ SELECT channel, ord AS epoch, octet_length(encode({_secret('ord')})) = 10 AS sec
        regexp_full_match({_cipher('ord')}, '[A-Za-z0-9-]*') AS cipher_charset_ok,
        day + to_seconds(CASE WHEN ord % 10 = 3 THEN 30 ELSE 86400 END) AS next_refresh_due
 FROM d"""
+ORACLES["sink_reject_twice"] = ORACLES["sink_reject"]
+ORACLES["stream_counters"] = ORACLES["gate_status"]

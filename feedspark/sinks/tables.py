@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedspark.operators.numbering import number_rows
 from feedspark.session import materialize
+from feedspark.sinks.commits import faults
 
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -96,16 +97,12 @@ def append_checked(df: DataFrame, table: str, quarantine: str) -> tuple[int, int
 
     A row is refused for a null in a required column or for a value that does
     not convert to the column's type.  Returns (rows written, rows refused).
+    Not safe against a retry; ``sinks/commits.py: append_once`` is.
     """
     spark = df.sparkSession
     kinds = {f.name.lower(): f.dataType for f in spark.table(table).schema.fields}
     required = {c.lower() for c in required_columns(spark, table)}
-    faults = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c in df.columns if c.lower() in required]
-    faults += [F.when(F.col(c).isNotNull() & F.col(c).try_cast(kinds[c.lower()]).isNull(),
-                      F.lit(f"{c} is not {kinds[c.lower()].simpleString()}"))
-               for c in df.columns if c.lower() in kinds and df.schema[c].dataType != kinds[c.lower()]]
-    judged = materialize(df.withColumn("reason", F.array_join(F.array_compact(F.array(*faults)), "; ") if faults else F.lit("")),
-                         "judged", spark)
+    judged = materialize(df.withColumn("reason", faults(df, kinds, required)), "judged", spark)
     good = judged.where("reason = ''").drop("reason")
     append_table(good.select(*[F.col(c).cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(c) for c in good.columns]), table)
     refused = judged.where("reason <> ''")

@@ -32,7 +32,9 @@ from feedspark import constants as C
 from feedspark import schemas
 from feedspark.functions.codec import auth_kernel, b64_decode_prefix, b64_prefix
 from feedspark.operators import packets as P
+from feedspark.operators.packets import BAD_SECRET, NO_KEY, PASSED_CURRENT, PASSED_PREVIOUS    # by name: the operator is sent to tasks
 from feedspark.session import ROCKSDB, conf_override, state_partitions
+from feedspark.streaming import counters
 
 LANES = 16                                 # tasks that a channel's packets spread over
 _WAKE_ROWS = 2000                          # waiting packets judged at a time
@@ -73,14 +75,14 @@ class KeyBook:
         i[at == _NO_TIME] = -1
         has = i >= 0
         epoch, final = np.full(n, -1), np.full(n, self.begun) | (at == _NO_TIME)
-        status, body = [P.NO_KEY] * n, [None] * n
+        status, body = [NO_KEY] * n, [None] * n
         if has.any():
             epoch[has], final[has] = self.epoch[i[has]], self.followed[i[has]]
             rows = np.nonzero(has)[0]
             take = pa.array(i[rows])
             auth = auth_kernel(pa.array([decoded[r] for r in rows], pa.binary()), *[pc.take(k, take) for k in self.keys])
             for r, code, text in zip(rows, auth.field("code").to_pylist(), auth.field("body").to_pylist()):
-                status[r] = (P.BAD_SECRET, P.PASSED_CURRENT, P.PASSED_PREVIOUS)[code]
+                status[r] = (BAD_SECRET, PASSED_CURRENT, PASSED_PREVIOUS)[code]
                 body[r] = text
                 final[r] |= code > 0
         return epoch, status, body, final
@@ -185,7 +187,8 @@ def _time(at: Column) -> Column:
     return F.when(at != _NO_TIME, F.timestamp_add("MICROSECOND", at, F.lit("1970-01-01").cast("timestamp_ntz")))
 
 
-def judge_stream(wire: DataFrame, fold: DataFrame, lanes: int = LANES, hold_s: int | None = None) -> DataFrame:
+def judge_stream(wire: DataFrame, fold: DataFrame, lanes: int = LANES, hold_s: int | None = None,
+                 watch: list[Column] | None = None) -> DataFrame:
     """Streams of packets and of fold rows -> judged packets, parsed (``OUT``).
 
     Repeated packets are judged each; a repeated epoch is ignored.  A packet
@@ -193,7 +196,8 @@ def judge_stream(wire: DataFrame, fold: DataFrame, lanes: int = LANES, hold_s: i
     as ``no_key``; a null wire never passes.  With ``hold_s`` a packet that has
     waited that long (processing time, also on a quiet feed) is rejected under
     the last epoch known; without it packets wait as long as no newer epoch is
-    known.
+    known.  ``watch`` are aggregates over the judged rows that every batch
+    observes (``streaming/counters.py``).
     """
     text = wire.select("channel", _micros(F.col("arrival_ts")).alias("at"), "wire", b64_prefix(F.col("wire")).alias("_b64"))
     packets = text.select("channel", F.pmod(F.xxhash64("wire", "at"), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("kind"), "at",
@@ -208,12 +212,15 @@ def judge_stream(wire: DataFrame, fold: DataFrame, lanes: int = LANES, hold_s: i
         gate, JUDGED, "Append", "None" if hold_s is None else "ProcessingTime")
     parsed = P.parse_fields(judged.select(_time(F.col("at")).alias("arrival_ts"), "channel", "wire",
                                           F.when(F.col("epoch") >= 0, F.col("epoch")).alias("epoch"), "status", "body"))
+    if watch:
+        parsed = parsed.observe(counters.NAME, *watch)
     passed = F.col("status").isin(P.PASSED_CURRENT, P.PASSED_PREVIOUS)
     return parsed.withColumn("wire", F.when(~passed, F.col("wire"))).select(*OUT.fieldNames())
 
 
 def start_gate(wire: DataFrame, fold_path: str, out: str, checkpoint: str, available_now: bool = True, period: str = C.SCAN_PERIOD,
-               lanes: int = LANES, hold_s: int | None = None, partitions: int | None = None):
+               lanes: int = LANES, hold_s: int | None = None, partitions: int | None = None,
+               watch: list[Column] | None = None):
     """The running gate: judged rows are appended to a path table by status, exactly once.
 
     ``lanes`` and ``partitions`` are fixed at the first start.  A run that ends
@@ -226,7 +233,7 @@ def start_gate(wire: DataFrame, fold_path: str, out: str, checkpoint: str, avail
     fold = spark.readStream.schema(schemas.KEY_FOLD).parquet(fold_path)
     with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
                        spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
-        return (judge_stream(wire, fold, lanes, hold_s).writeStream.format("parquet").partitionBy("status").option("path", out)
+        return (judge_stream(wire, fold, lanes, hold_s, watch).writeStream.format("parquet").partitionBy("status").option("path", out)
                 .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trig).start())
 
 

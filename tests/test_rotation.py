@@ -104,3 +104,22 @@ def test_the_timer_ends_a_wait():
     assert timers == [1100] and len(held) == 3
     out = pd.concat(gate.handleExpiredTimer(("c", 0), at(1150), at(1100)))
     assert out["status"].tolist() == ["no_key"] * 2 and len(held) == 1 and timers == [1100, 1600]
+
+
+def test_counters_of_a_running_gate(spark):
+    from feedspark.streaming import counters as CT
+
+    fold, wire, out, ck, counts = (scratch_path(spark, n) for n in ("fold", "wire", "gate", "ck", "counters"))
+    spark.createDataFrame([_fold(0), _fold(1)], schemas.KEY_FOLD).write.parquet(fold)
+    rows = [_packet(0, 1), _packet(0, 2), _packet(1, 3), (T0, "c", "x"), (T0, "d", "x")]
+    land_wire(spark.createDataFrame(rows, schemas.WIRE), wire, 1)
+    listener = CT.BatchCounters(spark, ["c"], counts)
+    spark.streams.addListener(listener)
+    try:
+        RG.start_gate(read_wire_stream(spark, wire), fold, out, ck, lanes=3, partitions=2, watch=CT.watch(["c"])).awaitTermination()
+        assert listener.ended.wait(60)
+    finally:
+        spark.streams.removeListener(listener)
+    assert {(r.channel, r.status): (r.packets, r.oversize) for r in CT.read_counters(spark, counts).collect()} == {
+        ("c", "passed_current"): (3, 0), ("c", "bad_secret"): (1, 0)}
+    assert RG.waiting(spark, ck).select("channel").collect()[0].channel == "d"
