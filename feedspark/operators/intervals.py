@@ -14,6 +14,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedspark.operators.scan import scan
+
 
 def range_blocks(ranges: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
     """``keys, level, block``: the dyadic blocks that make up lo..hi (inclusive; any bigints; none if hi < lo).
@@ -45,3 +47,25 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], seq: str
     offered = offered.withColumn("_block", F.expr(f"shiftright(`{seq}`, _level)"))
     wanted = blocks.withColumnsRenamed({"level": "_level", "block": "_block"})
     return offered.join(wanted, [*keys, "_level", "_block"], "left_semi").select(*rows.columns)
+
+
+def minus_ranges(ranges: DataFrame, taken: DataFrame, keys: Sequence[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``keys, lo, hi``: what of ``ranges`` no range of ``taken`` covers (each disjoint per keys; null ends are none).
+
+    Where a range starts and ends are points on one line; two scans carry along
+    it whether a point lies in a range and in a taken one.  A range is cut at
+    the ends of the others, so neighbours in the result may touch.
+    """
+    big = "decimal(20,0)"
+
+    def ends(df: DataFrame, flag: str) -> DataFrame:
+        first, behind = F.col(lo).cast(big), (F.col(hi).cast(big) + 1).cast(big)
+        both = F.array(F.struct(first.alias("at"), F.lit(1).alias("on")), F.struct(behind.alias("at"), F.lit(0).alias("on")))
+        return df.where(F.col(lo) <= F.col(hi)).select(*keys, F.explode(both).alias("_e")).select(*keys, "_e.at", F.col("_e.on").alias(flag))
+
+    points = ends(ranges, "_in").unionByName(ends(taken, "_taken"), allowMissingColumns=True)
+    points = points.groupBy(*keys, "at").agg(F.max("_in").alias("_in"), F.max("_taken").alias("_taken"))
+    x = scan(points, keys, ["at"], carry=F.col("_in"), follow=F.col("at")).withColumnsRenamed({"carried": "_own", "following": "_until"})
+    x = scan(x, keys, ["at"], carry=F.col("_taken"))
+    left = x.where((F.col("_own") == 1) & (F.coalesce("carried", F.lit(0)) == 0))
+    return left.select(*keys, F.col("at").cast("bigint").alias(lo), (F.col("_until") - 1).cast("bigint").alias(hi))

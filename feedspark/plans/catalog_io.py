@@ -286,6 +286,22 @@ def q_stream_recovery(spark, sf_dir):
     return SR.read_recovered(spark, out).select("channel", "feed_date", "seq", "message", "source")
 
 
+@query("stream_recovery_rounds")
+def q_stream_recovery_rounds(spark, sf_dir):
+    """B6+B8: three ticks of the clock on a feed that has fallen quiet: what each brought, at which attempt of its request."""
+    from feedspark.plans.feed import archive_replies
+    from feedspark.streaming import retries as RT
+
+    p = _plan(spark, sf_dir)
+    events_path = scratch_path(spark, "gap_events")
+    G.start_gaps(_stream_packets(spark, sf_dir), events_path, scratch_path(spark, "ck_gaps")).awaitTermination()
+    out, checkpoint = scratch_path(spark, "retries"), scratch_path(spark, "ck_retries")
+    for _ in range(3):                     # the gap events come with the first tick, nothing with the others
+        RT.start_retries(spark, events_path, lambda sent, tick: archive_replies(sent, p.archive_at(tick)), out, checkpoint).awaitTermination()
+    return RT.read_answered(spark, out).select(
+        "channel", "feed_date", "seq", "message", "attempts", (F.col("batch_id") + 1).cast("int").alias("round"))
+
+
 @query("feed_frames")
 def q_feed_frames(spark, sf_dir):
     """S11 frames mode: the merged feed as a frame stream per channel, in (date, number) order."""

@@ -84,6 +84,12 @@ class FeedPlan:
         f = self.feed_source
         return f.where(F.col("seq") % ARCHIVE_SKIPS_EVERY != 0).select("channel", "feed_date", "seq", "message")
 
+    def archive_at(self, k: int) -> DataFrame:
+        """The archive in the ``k``-th round (from 0): it knows more numbers from the second on."""
+        if k == 0:
+            return self.archive
+        return self.feed_source.where(F.col("seq") % 10 != ARCHIVE_NEVER_HAS).select("channel", "feed_date", "seq", "message")
+
     # --- receiving side ----------------------------------------------------
     @cached_property
     def key_fold(self) -> DataFrame:
@@ -120,8 +126,7 @@ class FeedPlan:
     def round(self, k: int) -> R.Round:
         """The ``k``-th round of requests (from 0), run when first asked for; the archive knows more numbers from the second on."""
         while len(self._rounds) <= k:
-            later = self.feed_source.where(F.col("seq") % 10 != ARCHIVE_NEVER_HAS).select("channel", "feed_date", "seq", "message")
-            last = self._rounds[-1] if self._rounds else None
+            later, last = self.archive_at(k), self._rounds[-1] if self._rounds else None
             self._rounds.append(R.recovery_round(last.left, last.pending, lambda r: archive_replies(r, later)) if last else self.first_round)
         return self._rounds[k]
 

@@ -379,3 +379,4 @@ SELECT channel, ord AS epoch, octet_length(encode({_secret('ord')})) = 10 AS sec
 FROM d"""
 ORACLES["sink_reject_twice"] = ORACLES["sink_reject"]
 ORACLES["stream_counters"] = ORACLES["gate_status"]
+ORACLES["stream_recovery_rounds"] = ORACLES["recovery_rounds"]

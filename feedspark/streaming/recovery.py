@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedspark import constants as C
+from feedspark.operators.intervals import in_ranges
 from feedspark.operators.recovery import backfill_ranges, open_ranges
 from feedspark.session import materialize
 from feedspark.streaming.gaps import EVENTS, fold_gap_events
@@ -48,7 +49,9 @@ def recover(spark: SparkSession, events_path: str, archive: DataFrame, out: str,
     touched = materialize(touched.select(*keys).distinct(), "touched", spark)
     events = spark.read.schema(EVENTS).parquet(events_path).join(touched, keys, "left_semi")
     done = _stored(spark, f"{out}/recovered", RECOVERED).where(F.col("batch_id") < batch_id).select(*keys, "seq")
-    fresh = open_ranges(fold_gap_events(events), done.join(touched, keys, "left_semi")).select(*keys, "lo", "hi")
+    folded = materialize(fold_gap_events(events).select(*keys, "lo", "hi"), "folded", spark)
+    # a number may come late, after the archive gave it: it is in no range any more
+    fresh = open_ranges(folded, in_ranges(done.join(touched, keys, "left_semi"), folded, keys)).select(*keys, "lo", "hi")
     before = _stored(spark, f"{out}/open", _OPEN).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
     now = materialize(fresh.unionByName(before.join(touched, keys, "left_anti")), "open", spark)
     found = backfill_ranges(now, archive).withColumn("source", F.lit("recovered"))
