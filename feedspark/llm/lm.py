@@ -13,8 +13,11 @@ arcs are its seen continuations, weight (c(h w) + K P(w | h')) / (c(h) + K);
 its failure arc leads to the shorter context h' with weight K / (c(h) + K),
 where K = PRIOR + SHARE * c(h): SHARE bounds what rare luck in a frequent context
 can cost a new text, PRIOR what a rare context may claim.  The root has the additive unigram weights, so every state's weights sum to one
-over the vocabulary and the unknown word.  A text is read once, left to right:
-the state after a token is the longest seen context, and the logarithms add up.
+over the vocabulary and the unknown word.  Every group builds the tables of the
+automaton for its own texts (``Automaton``): arcs with weight and target, failure
+arcs with weight and target.  A text is read once, left to right, and the state is
+carried: from it, failure arcs are followed until a state has an arc for the
+token, the logarithms of all arcs add up, and the token's arc leads to the next state.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ ORDER, PRIOR, SHARE = 2, 5.0, 4.0
 GROUP_BYTES = 12 << 20                     # text bytes of a document group
 RANGE_GRAMS = 2 << 20                      # n-grams that one range owner sums up, about
 FLUSH_TOKENS = 1 << 22                     # tokens counted before packets leave
+STRETCH = 512                              # tokens of a long text that are read in one go
 END, BEGIN = np.uint64(1), np.uint64(2)    # the end token, and the context in front of the first token
 _MIX, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _PACKET = "part int, grp int, grams binary, counts binary"
@@ -162,21 +166,101 @@ def _sum_range(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["part", "grp", "grams", "counts", "known", "tokens"])
 
 
-def arc_weights(counts: list[np.ndarray], contexts: list[np.ndarray], known: int, tokens: int,
-                prior: float = PRIOR, share: float = SHARE) -> np.ndarray:
-    """Probability of every token, read left to right through the automaton.
+class Automaton:
+    """The weighted backoff automaton over the n-grams that the texts of one document group use.
 
-    ``counts[n]`` has the count of the (n+1)-gram that ends at the token,
-    ``contexts[n]`` that of the state it leaves.  Starting from the root's
-    weight, each longer seen context is one state further up from its failure
-    arc: weight * K / (c(h) + K) along the failure arc, plus c(h w) / (c(h) + K)
-    along the token's own arc.
+    An arc is a training n-gram (or any single token, from the root), known by
+    its place in the sorted ``keys``; a state is the n-gram that was read last,
+    -1 the root.  Tables by arc: ``weight`` (log10), the state it leads to
+    (``goto``); by state: the failure arc's target (``fail``) and weight
+    (``backoff``, log10), and its number of words (``size``).
     """
-    p = (counts[0] + 0.5) / (tokens + 0.5 * (known + 1))
-    for c, ch in zip(counts[1:], contexts[1:]):
-        k = prior + share * ch
-        p = np.where(ch > 0, (c + k * p) / (ch + k), p)
-    return p
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, size: np.ndarray, fail: np.ndarray, source: np.ndarray,
+                 known: int, tokens: int, order: int, prior: float = PRIOR, share: float = SHARE):
+        """``fail`` and ``source`` give, by n-gram, the place of the n-gram without its first and without its last word (-1: none)."""
+        kept = (counts > 0) | ((grams & _ONE) == 1)
+        place = np.append(np.cumsum(kept) - 1, -1)           # the last one: -1 stays -1
+        self.keys, c, self.size = grams[kept], counts[kept], size[kept]
+        self.fail, source = place[fail[kept]], place[source[kept]]
+        k = prior + share * c
+        with np.errstate(divide="ignore"):
+            self.backoff = np.log10(k / (c + k))
+        p = (c + 0.5) / (tokens + 0.5 * (known + 1))
+        for n in range(2, order + 1):                        # an arc's weight from that of its shorter n-gram
+            at = np.flatnonzero((self.size == n) & (source >= 0))
+            h = source[at]
+            p[at] = (c[at] + k[h] * p[self.fail[at]]) / (c[h] + k[h])
+        self.weight = np.log10(p)
+        self.goto = np.where(self.size == order, self.fail, np.where(c > 0, np.arange(len(c)), -1))
+
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Arcs or states of hashes; -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, at, -1)
+
+    def step(self, state: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token each: from ``state`` along failure arcs to the first state with an arc for the token; (log10, next state)."""
+        state, p, arc = state.copy(), np.zeros(len(state)), np.full(len(state), -1)
+        todo = np.arange(len(state))
+        while len(todo):
+            s, w = state[todo], words[todo]
+            longer = _mix(self.keys[s] + (self.size[s] + 1).astype(np.uint64), w) & ~_ONE
+            arc[todo] = self.place(np.where(s < 0, _mix(np.zeros(1, np.uint64), w) | _ONE, longer))
+            todo = todo[arc[todo] < 0]                       # the root has an arc for every token
+            s = state[todo]
+            p[todo] += self.backoff[s]
+            state[todo] = self.fail[s]
+        return p + self.weight[arc], self.goto[arc]
+
+    def read(self, tokens: np.ndarray, lengths: np.ndarray, start: int, order: int) -> np.ndarray:
+        """log10 probability of every token, each text read once from left to right, the state carried from token to token.
+
+        Texts are read side by side, one token of each in a step, and long ones
+        in stretches of ``STRETCH`` tokens.  A stretch inside a text first reads
+        the order-1 tokens in front of it from the root, which leads to the same
+        state as reading from the text's start: the longest seen context.
+        """
+        first, out = np.cumsum(lengths) - lengths, np.empty(len(tokens))
+        pieces = -(-lengths // STRETCH)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(first, pieces) + nth * STRETCH
+        end = np.minimum(begin + STRETCH, np.repeat(first + lengths, pieces))
+        warm = np.where(nth > 0, order - 1, 0)
+        state = np.where(nth > 0, -1, start)
+        by_length = np.argsort(-(end - begin + warm), kind="stable")
+        at, warm, state = (begin - warm)[by_length], warm[by_length], state[by_length]
+        steps = (end - begin)[by_length] + warm
+        for t in range(int(steps[0])):
+            n = int(np.searchsorted(-steps, -t, side="left"))          # stretches with more than t tokens
+            p, state[:n] = self.step(state[:n], tokens[at[:n] + t])
+            counted = warm[:n] <= t
+            out[at[:n][counted] + t] = p[counted]
+        return out
+
+
+def automaton_of(by_n: list[np.ndarray], first: np.ndarray, begins: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """``grams`` (sorted hashes), their ``size``, ``fail`` and ``source`` places, and the places of all n-grams and begin contexts.
+
+    ``by_n[n - 1]`` has the n-gram that ends at each token.  Its last n-1 words
+    are the (n-1)-gram that ends there, its first n-1 the one that ends a token
+    before, or a context of begin marks.
+    """
+    total, order = len(by_n[0]), len(by_n)
+    grams, at = np.unique(np.concatenate([*by_n, *begins]), return_inverse=True)
+    size, fail, source = np.zeros(len(grams), np.int64), np.full(len(grams), -1), np.full(len(grams), -1)
+    begun = at[order * total:]
+    size[begun] = np.arange(1, order)
+    fail[begun[1:]] = begun[:-1]
+    ends = at[:order * total].reshape(order, total)
+    for n in range(1, order + 1):
+        size[ends[n - 1]] = n
+        if n > 1:
+            fail[ends[n - 1]] = ends[n - 2]
+            before = np.roll(ends[n - 2], 1)
+            before[first] = begun[n - 2]
+            source[ends[n - 1]] = before
+    return grams, size, fail, source, ends, begun
 
 
 def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: float = PRIOR, share: float = SHARE) -> pd.DataFrame:
@@ -185,30 +269,30 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, prior: float =
     words, unpack = Words(), zstandard.ZstdDecompressor().decompress
     texts = [words.hashes(unpack(t)) for t in docs["text"]]
     lengths = np.array([len(t) for t in texts])
-    total, first = int(lengths.sum()), np.cumsum(lengths) - lengths
-    by_n = grams_of(np.concatenate(texts), first, order)
+    first, tokens = np.cumsum(lengths) - lengths, np.concatenate(texts)
     del words, texts
     begins = [_begin(n) for n in range(1, order)]
-    grams, at = np.unique(np.concatenate([*by_n, *begins]), return_inverse=True)
-    del by_n
+    grams, size, fail, source, ends, begun = automaton_of(grams_of(tokens, first, order), first, begins)
     train = docs["train"].to_numpy(np.float64)
     weight = np.repeat(train, lengths)
-    own = np.bincount(at, weights=np.concatenate([np.tile(weight, order), np.full(order - 1, train.sum())]), minlength=len(grams))
+    counts = np.zeros(len(grams))
+    for e in ends:
+        counts += np.bincount(e, weights=weight, minlength=len(grams))
+    counts[begun] += train.sum()
     for g, c in zip(answers["grams"], answers["counts"]):
-        own[np.searchsorted(grams, _spread(g, "<u8"))] = _spread(c, "<i8")
-    known, tokens = int(answers["known"].sum()), int(answers["tokens"].sum())
-    counts = [own[at[n * total:(n + 1) * total]] for n in range(order)]
-    contexts = [np.empty(0)]
-    for n in range(1, order):              # the state before a token is the n-gram that ended just before it
-        ch = np.concatenate([[0.0], counts[n - 1][:-1]])
-        ch[first] = own[at[order * total + n - 1]]
-        contexts.append(ch)
-    p = arc_weights(counts, contexts, known, tokens, prior, share)
-    base = (counts[0] + 0.5) / (tokens + 0.5 * (known + 1))
+        counts[np.searchsorted(grams, _spread(g, "<u8"))] = _spread(c, "<i8")
+    known, learnt = int(answers["known"].sum()), int(answers["tokens"].sum())
+    single = counts[ends[0]]
+    del ends, weight
+    net = Automaton(grams, counts, size, fail, source, known, learnt, order, prior, share)
+    del grams, counts, size, fail, source
+    start = int(net.place(begins[-1])[0]) if order > 1 else -1         # -1 too if nothing was learnt
+    p = net.read(tokens, lengths, start, order)
+    base = (single + 0.5) / (learnt + 0.5 * (known + 1))
     return pd.DataFrame({
         "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": lengths,
-        "n_known": np.add.reduceat((counts[0] > 0).astype(np.int64), first), "train_tokens": tokens,
-        "base_score": np.add.reduceat(np.log10(base), first), "score": np.add.reduceat(np.log10(p), first)})
+        "n_known": np.add.reduceat((single > 0).astype(np.int64), first), "train_tokens": learnt,
+        "base_score": np.add.reduceat(np.log10(base), first), "score": np.add.reduceat(p, first)})
 
 
 def score_documents(docs: DataFrame, held_out: Column, order: int = ORDER, prior: float = PRIOR,

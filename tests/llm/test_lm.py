@@ -79,20 +79,55 @@ def test_nothing_to_learn_from_and_empty(spark):
     assert lm.score_documents(empty(spark), F.lit(False)).count() == 0
 
 
-def test_state_weights_sum_to_one():
+def net_of(texts, order):
+    """The automaton of training texts, as one document group builds it, and the word hashes it was built from."""
     words = lm.Words()
-    texts = ["a b a c", "a b b", "c a b a"]
-    vocab = ["a", "b", "c", "unseen"]
-    uni, pair = Counter(), Counter()
-    for t in texts:
-        seq = t.split() + ["</s>"]
-        uni.update(seq)
-        pair.update(zip(seq, seq[1:]))
+    read = [words.hashes(t.encode()) for t in texts]
+    lengths = np.array([len(r) for r in read])
+    first = np.cumsum(lengths) - lengths
+    grams, size, fail, source, ends, begun = lm.automaton_of(
+        lm.grams_of(np.concatenate(read), first, order), first, [lm._begin(n) for n in range(1, order)])
+    counts = np.bincount(ends.ravel(), minlength=len(grams)).astype(float)
+    counts[begun] = len(texts)
+    known, learnt = len(np.unique(ends[0])), int(lengths.sum())
+    return lm.Automaton(grams, counts, size, fail, source, known, learnt, order), words
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_state_weights_sum_to_one(order):
+    net, words = net_of(["a b a c", "a b b", "c a b a"], order)
     assert words.hashes(b"A\tb")[:2].tolist() == words.hashes(b"a B")[:2].tolist()
-    n, v = sum(uni.values()), len(uni)
-    all_ = [*vocab, "</s>"]
-    for h in ("a", "b", "c"):
-        c1 = np.array([float(uni[w]) for w in all_])
-        c2 = np.array([float(pair[h, w]) for w in all_])
-        p = lm.arc_weights([c1, c2], [np.empty(0), np.full(len(all_), float(uni[h]))], v, n)
-        assert abs(p.sum() - 1) < 1e-12
+    vocab = np.append(words.hashes(b"a b c")[:-1], lm.END)
+    states = {-1, int(net.place(lm._begin(order - 1))[0])} if order > 1 else {-1}
+    for t in ("a b a c", "a b b", "c a b a"):                # all states in front of a token; none is left after the end
+        s = np.array([max(states)])
+        for w in words.hashes(t.encode())[:-1]:
+            s = net.step(s, np.array([w]))[1]
+            states.add(int(s[0]))
+    assert order == 1 or len(states) > 4
+    unknown = 0.5 / (14 + 0.5 * 5)                           # of the root; its share elsewhere goes along the failure arcs
+    for s in states:
+        p, _ = net.step(np.full(4, s), vocab)
+        left, at = unknown, s
+        while at >= 0:
+            left, at = left * 10 ** net.backoff[at], net.fail[at]
+        assert abs((10 ** p).sum() + left - 1) < 1e-12
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_stretches_carry_the_same_state(order, monkeypatch):
+    rnd = np.random.default_rng(order)
+    texts = [" ".join(rnd.choice(list("abcd"), n)) for n in (0, 1, 2, 3, 7, 200, 61)]
+    net, words = net_of(texts, order)
+    read = [words.hashes(t.encode()) for t in texts]
+    lengths, tokens = np.array([len(r) for r in read]), np.concatenate(read)
+    start = int(net.place(lm._begin(order - 1))[0])
+    want = []
+    for r in read:                                           # one text, one token after the other
+        state = np.array([start])
+        for w in r:
+            p, state = net.step(state, np.array([w]))
+            want.append(p[0])
+    for stretch in (order, 5, 64, 512):
+        monkeypatch.setattr(lm, "STRETCH", stretch)
+        assert np.allclose(net.read(tokens, lengths, start, order), want, rtol=1e-12, atol=0)
