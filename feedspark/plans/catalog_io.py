@@ -171,7 +171,7 @@ def _rotating_gate(spark, sf_dir, rounds: int = 4):
     wire, replies = materialize(p.wire, "wire"), materialize(p.control_replies, "replies")
 
     def go_on():
-        RG.start_gate(G.read_wire_stream(spark, wire_in), fold, out, ck["gate"], lanes=2).awaitTermination()
+        RG.start_gate(G.read_wire_stream(spark, wire_in), fold, out, ck["gate"]).awaitTermination()
 
     for r in range(rounds):
         G.land_wire(wire.where(part == r), wire_in, 2)
@@ -218,7 +218,7 @@ def q_stream_counters(spark, sf_dir):
     listener = CT.BatchCounters(spark, channels, counts)
     spark.streams.addListener(listener)
     try:
-        RG.start_gate(G.read_wire_stream(spark, wire, 3), fold, out, ck, lanes=2, watch=CT.watch(channels)).awaitTermination()
+        RG.start_gate(G.read_wire_stream(spark, wire, 3), fold, out, ck, watch=CT.watch(channels)).awaitTermination()
         if not listener.ended.wait(120):
             raise RuntimeError("the gate's last progress did not come")
     finally:

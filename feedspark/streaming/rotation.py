@@ -2,7 +2,7 @@
 
 Two streams meet: wire packets, and the rows of the rotation fold
 (``streaming/keys.py``).  State is kept per (channel, lane): the epochs known
-so far and the packets that wait, one map entry each.  A lane is a hash of the
+so far and the packets that wait.  A lane is a hash of the
 packet, so a hot channel spreads over ``lanes`` tasks; each lane gets every
 epoch of its channel, control-plane rows of which there is one per refresh.
 
@@ -10,14 +10,15 @@ A packet is judged when it comes, under the epoch in force at its arrival
 time among those known.  It waits if it fails there and the next epoch is not
 known yet; a new epoch judges the waiting packets of its channel again, in the
 micro-batch that brings the epoch.  A batch writes state only for packets that
-begin or end their wait.  Nothing is dropped: a packet leaves with the status
+begin or end their wait.  Packets that begin it together share map entries of
+bounded size, so a state call moves many of them; a few are kept one each, so
+that one that leaves rewrites no other.  Nothing is dropped: a packet leaves with the status
 of the batch gate, or is still to be read in the state (``waiting``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,9 @@ from feedspark.session import ROCKSDB, conf_override, state_partitions
 from feedspark.streaming import counters
 
 LANES = 16                                 # tasks that a channel's packets spread over
-_WAKE_ROWS = 2000                          # waiting packets judged at a time
+_FEW = 16                                  # so many packets that begin their wait at once are kept one each
+_ENTRY_ROWS, _ENTRY_BYTES = 512, 1 << 18   # of more, an entry holds so many packets, or so many bytes of them and one packet
+_ENTRIES = 64                              # entries that a walk over the state gets at a time
 _NO_TIME = -(1 << 63)                      # arrival of a packet without a time
 
 JUDGED = T.StructType([
@@ -53,7 +56,7 @@ OUT = T.StructType([*schemas.PACKETS.fields, T.StructField("wire", T.StringType(
                     T.StructField("status", T.StringType())])
 _KEYS = ["cipher", "secret", "prev_cipher", "prev_secret"]
 _EPOCH_STATE = "epoch int, at bigint, cipher string, secret string, prev_cipher string, prev_secret string"
-_HELD_STATE = "at bigint, wire string, decoded binary, tried int, since bigint"
+_HELD_STATE = "at array<bigint>, wire array<string>, decoded array<binary>, tried array<int>, since bigint"
 
 
 class KeyBook:
@@ -88,6 +91,20 @@ class KeyBook:
         return epoch, status, body, final
 
 
+def _entries(wait: np.ndarray, wire: list) -> Iterator[np.ndarray]:
+    """The packets ``wait`` that share an entry of the state."""
+    if len(wait) <= _FEW:
+        yield from (wait[i:i + 1] for i in range(len(wait)))
+        return
+    begin, size = 0, 0
+    for i, packet in enumerate(wait):
+        if i - begin == _ENTRY_ROWS or size > _ENTRY_BYTES:
+            yield wait[begin:i]
+            begin, size = i, 0
+        size += 2 * len(wire[packet] or "")
+    yield wait[begin:]
+
+
 def _opt(b):
     return None if b is None else bytes(b)
 
@@ -130,9 +147,11 @@ class RotatingGate(StatefulProcessor):
             wire = [None if pd.isna(w) else w for w in part["wire"]]
             decoded = [_opt(d) for d in part["decoded"]]
             judged = book.judge(at, decoded)
-            for i in np.nonzero(~judged[3])[0]:
-                self.held.updateValue((nxt,), (int(at[i]), wire[i], decoded[i], int(judged[0][i]), now))
-                nxt, n_held = nxt + 1, n_held + 1
+            wait = np.nonzero(~judged[3])[0]
+            for own in _entries(wait, wire):
+                self.held.updateValue((nxt,), self._entry(own, at, wire, decoded, judged[0], now))
+                nxt += 1
+            n_held += len(wait)
             yield self._rows(key[0], at, wire, judged, np.nonzero(judged[3])[0])
         fresh = [e for e in fresh if e[0] not in {k[0] for k in known}]      # a replayed epoch is no news
         if fresh:
@@ -145,24 +164,27 @@ class RotatingGate(StatefulProcessor):
         if self.hold_ms is not None and n_held and not begin[1]:
             self.handle.registerTimer(now + self.hold_ms)
 
+    @staticmethod
+    def _entry(own, at, wire, decoded, epoch, since) -> tuple:
+        return ([int(at[i]) for i in own], [wire[i] for i in own], [decoded[i] for i in own], [int(epoch[i]) for i in own], since)
+
     def _wake(self, channel, book: KeyBook, n_held: int, since: int | None = None):
         """Judge the waiting packets again; with ``since`` those that wait since then or longer leave whatever the outcome."""
-        entries, gone, tried = (self.held.iterator() if n_held else iter(())), [], []
-        while chunk := list(islice(entries, _WAKE_ROWS)):
-            at = np.array([v[0] for _, v in chunk], np.int64)
-            wire, decoded = [v[1] for _, v in chunk], [_opt(v[2]) for _, v in chunk]
+        empty = []
+        for no, v in self.held.iterator() if n_held else ():
+            at, wire, decoded = np.array(v[0], np.int64), list(v[1]), [_opt(d) for d in v[2]]
             judged = book.judge(at, decoded)
-            if since is not None:
-                judged[3][:] |= np.array([v[4] <= since for _, v in chunk])
-            pick = np.nonzero(judged[3])[0]
-            gone += [int(chunk[i][0][0]) for i in pick]
-            tried += [((int(chunk[i][0][0]),), (*chunk[i][1][:3], int(judged[0][i]), chunk[i][1][4]))
-                      for i in np.nonzero(~judged[3])[0] if judged[0][i] != chunk[i][1][3]]
-            yield self._rows(channel, at, wire, judged, pick), len(pick)
-        for no in gone:                    # after the walk, so that it sees one state
+            if since is not None and v[4] <= since:
+                judged[3][:] = True
+            stay = np.nonzero(~judged[3])[0]
+            if not len(stay):
+                empty.append(int(no[0]))
+            elif len(stay) < len(at) or any((judged[0] < 0) != (np.array(v[3]) < 0)):
+                self.held.updateValue((int(no[0]),), self._entry(stay, at, wire, decoded, judged[0], v[4]))
+            if len(stay) < len(at):
+                yield self._rows(channel, at, wire, judged, np.nonzero(judged[3])[0]), len(at) - len(stay)
+        for no in empty:                   # after the walk; an entry that shrinks keeps its place in it
             self.held.removeKey((no,))
-        for no, value in tried:
-            self.held.updateValue(no, value)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         nxt, n_held = self.count.get() or (0, 0)
@@ -232,6 +254,7 @@ def start_gate(wire: DataFrame, fold_path: str, out: str, checkpoint: str, avail
     trig = {"availableNow": True} if available_now else {"processingTime": period}
     fold = spark.readStream.schema(schemas.KEY_FOLD).parquet(fold_path)
     with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+                       spark__sql__execution__arrow__transformWithStateInPySpark__maxStateRecordsPerBatch=_ENTRIES,
                        spark__sql__shuffle__partitions=state_partitions(spark, partitions)):
         return (judge_stream(wire, fold, lanes, hold_s, watch).writeStream.format("parquet").partitionBy("status").option("path", out)
                 .option("checkpointLocation", checkpoint).outputMode("append").trigger(**trig).start())
@@ -256,6 +279,7 @@ def waiting(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Packets that wait in the state of a gate, with the reason that holds if no key comes."""
     with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
-        v = state.select("key.channel", "user_map_value.*")
+        v = state.select("key.channel", F.explode(F.arrays_zip("user_map_value.at", "user_map_value.wire", "user_map_value.tried")).alias("p"))
+        v = v.select("channel", "p.*")
         return v.select(_time(F.col("at")).alias("arrival_ts"), "channel", "wire",
                         F.when(F.col("tried") < 0, P.NO_KEY).otherwise(P.BAD_SECRET).alias("reason"))

@@ -123,3 +123,31 @@ def test_counters_of_a_running_gate(spark):
     assert {(r.channel, r.status): (r.packets, r.oversize) for r in CT.read_counters(spark, counts).collect()} == {
         ("c", "passed_current"): (3, 0), ("c", "bad_secret"): (1, 0)}
     assert RG.waiting(spark, ck).select("channel").collect()[0].channel == "d"
+
+
+def test_packets_that_wait_together_share_entries_of_the_state():
+    import pandas as pd
+
+    held, calls = _Map(), []
+    state = {"epochs": _List(), "count": _Value()}
+    handle = SimpleNamespace(getListState=lambda n, *a: state[n], getMapState=lambda *a: held, getValueState=lambda n, *a: state[n])
+    held.updateValue = lambda k, v: (calls.append(k), held.__setitem__(k, v))
+    gate = RG.RotatingGate()
+    gate.init(handle)
+    now = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+    names = ("cipher", "secret", "prev_cipher", "prev_secret")
+    wires = [base64.b64decode(_packet(e, 1)[2]) for e in (0, 1)]
+    n = 3000
+    packets = pd.DataFrame({"kind": [1] * n, "epoch": [-1] * n, "at": [5, 25] * (n // 2), "wire": ["w"] * n, "decoded": wires * (n // 2),
+                            **{k: [None] * n for k in names}})
+
+    def epoch(e):
+        return pd.DataFrame({"kind": [0], "epoch": [e], "at": [20 * e], "wire": [None], "decoded": [None], "cipher": [CIPHERS[e]],
+                             "secret": [f"secret{e:04d}"], "prev_cipher": [None], "prev_secret": [None]})
+
+    assert sum(map(len, gate.handleInputRows(("c", 0), iter([packets]), now))) == 0
+    assert len(calls) <= n // RG._ENTRY_ROWS + 1 and sum(len(v[0]) for v in held.values()) == n
+    out = pd.concat(gate.handleInputRows(("c", 0), iter([epoch(0)]), now))   # half of every entry leaves
+    assert out["status"].tolist() == ["passed_current"] * (n // 2) and state["count"].get()[1] == n // 2
+    out = pd.concat(gate.handleInputRows(("c", 0), iter([epoch(1)]), now))
+    assert out["status"].tolist() == ["passed_current"] * (n // 2) and not held and state["count"].get()[1] == 0
