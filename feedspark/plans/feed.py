@@ -16,6 +16,7 @@ from feedspark.operators import keys as K
 from feedspark.operators import loss as L
 from feedspark.operators import packets as P
 from feedspark.operators import recovery as R
+from feedspark.operators.scan import scan
 from feedspark import constants as C
 from feedspark.sources import writer as W
 from feedspark.session import materialize
@@ -32,12 +33,19 @@ def archive_replies(requests: DataFrame, archive: DataFrame) -> DataFrame:
     """The fixture's archive: one reply body per request, lines ``number^message`` in number order, or an error text.
 
     A request fails at its first attempt if ``lo % 7 = 6``, and at its second
-    if ``lo % 49 = 48``.
+    if ``lo % 49 = 48``.  The parts of all requests are disjoint per date; a row
+    of the archive belongs to the last part that starts at or before its number,
+    if that reaches it, so no lost number is written out to be looked up.
     """
-    key = ["channel", "feed_date", "lo", "hi"]
-    wanted = requests.select(*key, "attempts", F.explode("parts").alias("p")).select(
-        *key, "attempts", F.explode(F.sequence("p.lo", "p.hi")).alias("seq"))
-    found = wanted.join(archive.select("channel", "feed_date", "seq", "message"), ["channel", "feed_date", "seq"], "left")
+    date, key = ["channel", "feed_date"], ["channel", "feed_date", "lo", "hi"]
+    asked = F.struct("lo", "hi", "attempts", F.col("p.hi").alias("until"))
+    starts = requests.select("*", F.explode("parts").alias("p")).select(
+        *date, F.col("p.lo").alias("at"), F.lit(0).alias("kind"), asked.alias("asked"))
+    stock = archive.where("channel is not null and feed_date is not null and seq is not null and message is not null")
+    stock = stock.select(*date, F.col("seq").alias("at"), F.lit(1).alias("kind"), "message")
+    found = scan(starts.unionByName(stock, allowMissingColumns=True), date, ["at", "kind"], carry=F.col("asked"))
+    found = found.where((F.col("kind") == 0) | (F.col("at") <= F.col("carried.until"))).select(
+        *date, "carried.lo", "carried.hi", "carried.attempts", F.col("at").alias("seq"), "message")
     line = F.when(F.col("message").isNotNull(), F.struct("seq", F.concat_ws("^", F.col("seq").cast("string"), "message").alias("t")))
     g = found.groupBy(*key, "attempts").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     body = F.concat(F.lit(C.REPLY_HEADER + "\n"), F.array_join(F.transform("lines", lambda x: x["t"]), "\n"))

@@ -108,3 +108,18 @@ def test_merge_keeps_every_live_row_and_adds_recovered(spark):
     # a duplicate live packet is delivered twice (at-least-once), every date is kept
     assert got == [("c", "D", 1, "a", "live"), ("c", "D", 1, "a", "live"), ("c", "D", 2, "b", "recovered"),
                    ("c", "E", 5, "x", "live")]
+
+
+def test_the_archive_answers_long_requests_by_their_ranges(spark):
+    """No lost number of a request is written out to be looked up; an empty answer is one, too."""
+    from feedspark.plans.feed import archive_replies
+
+    parts = "array<struct<lo:bigint,hi:bigint>>"
+    far = 10 ** 15
+    sent = spark.createDataFrame([("c", "d", 0, far, [(0, 8), (20, far)], 1), ("c", "d", far + 2, far + 3, [(far + 2, far + 3)], 1),
+                                  ("c", "e", 6, 9, [(6, 9)], 1)], f"channel string, feed_date string, lo bigint, hi bigint, parts {parts}, attempts int")
+    archive = spark.createDataFrame([("c", "d", n, m) for n, m in [(3, "a"), (3, "b"), (9, "no"), (15, "no"), (far - 1, "z"), (far + 1, "no"), (4, None)]]
+                                    + [("c", "e", 7, "x"), ("c", None, 3, "no"), (None, "d", 3, "no")],
+                                    "channel string, feed_date string, seq bigint, message string")
+    got = {(r.feed_date, r.lo): r.body for r in archive_replies(sent, archive).collect()}
+    assert got == {("d", 0): f"Missed Packets:\n3^a\n3^b\n{far - 1}^z", ("d", far + 2): "Missed Packets:\n", ("e", 6): "Server busy"}
