@@ -1,9 +1,12 @@
 """Reassembly on a stream (M2, M3): frames wait in keyed state until their message is whole.
 
 State of a channel: where its open message starts, up to where its frames are
-known without a hole, and the frames that wait, one map entry each.  A
-micro-batch only touches the entries of frames that it adds or sends off:
-a message that comes whole in one batch never enters the state.
+known without a hole, and the frames that wait.  These lie in map entries by
+block of positions; what a micro-batch adds to a block is an entry of its own,
+so that none is rewritten, and a state call moves many frames.  At most
+``_HOLD_BYTES`` of new frames, the block that is read and the message that is put
+together are in memory; a message that comes whole in a small batch never
+enters the state.
 """
 
 from __future__ import annotations
@@ -35,46 +38,86 @@ MESSAGES = T.StructType([
 ])
 
 
+_BLOCK = 1024                              # positions of an entry's block
+_HOLD_BYTES = 32 << 20                     # new frames kept in memory before they go to the state
+
+
 class Reassembly(StatefulProcessor):
     """Emits every message of a channel once all frames up to its closing one are there, in the order of their positions."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.at = handle.getValueState("at", "start bigint, reach bigint, msg_id bigint")
-        self.waiting = handle.getMapState("waiting", "pos bigint", "mtext binary, full_msg int")
+        self.waiting = handle.getMapState("waiting", "block bigint, run int", "pos array<bigint>, mtext array<binary>, full_msg array<int>")
+
+    def _put(self, block: int, run: int, frames: dict[int, tuple[bytes, int]]) -> None:
+        at = sorted(frames)
+        self.waiting.updateValue((block, run), (at, [frames[p][0] for p in at], [frames[p][1] for p in at]))
+
+    def _stored(self, block: int) -> dict[int, tuple[bytes, int]]:
+        """The frames of a block in the state."""
+        frames, run = {}, 0
+        while (entry := self.waiting.getValue((block, run))) is not None:
+            frames.update((int(p), (bytes(t), int(f))) for p, t, f in zip(*entry))
+            run += 1
+        return frames
+
+    def _add(self, new: dict[int, dict[int, tuple[bytes, int]]]) -> None:
+        for block in sorted(new):
+            run = 0
+            while self.waiting.containsKey((block, run)):
+                run += 1
+            self._put(block, run, new[block])
+        new.clear()
+
+    def _drop(self, block: int) -> None:
+        run = 0
+        while self.waiting.containsKey((block, run)):
+            self.waiting.removeKey((block, run))
+            run += 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, reach, msg_id = self.at.get() or (0, 0, 0)
-        begin = reach
-        new: dict[int, tuple[bytes, int]] = {}
+        start, reach, msg_id = begin = self.at.get() or (0, 0, 0)
+        known, held = reach, 0
+        new: dict[int, dict[int, tuple[bytes, int]]] = {}
         for pdf in rows:
-            new.update((int(p), (bytes(t), int(f))) for p, t, f in zip(pdf["pos"], pdf["mtext"], pdf["full_msg"]) if p >= begin)
-        done = []
-        while True:
-            frame = new.get(reach)
-            if frame is None:
-                stored = self.waiting.getValue((reach,))
-                frame = None if stored is None else (bytes(stored[0]), int(stored[1]))
-                if frame is None:
+            for p, t, f in zip(pdf["pos"], pdf["mtext"], pdf["full_msg"]):
+                if p >= known:
+                    new.setdefault(int(p) // _BLOCK, {})[int(p)] = (bytes(t), int(f))
+                    held += len(t)
+            if held > _HOLD_BYTES:
+                self._add(new)
+                held = 0
+        block = known // _BLOCK
+        frames = {**self._stored(block), **new.get(block, {})}
+        if reach in frames:                # else the hole is still there and nothing moves
+            reach, gone, parts = start, start // _BLOCK, []      # entries of blocks before ``gone`` are dropped
+            while True:
+                block, done = reach // _BLOCK, []
+                frames = {**self._stored(block), **new.get(block, {})}
+                while reach // _BLOCK == block and (frame := frames.get(reach)) is not None:
+                    parts.append(frame[0])
+                    reach += 1
+                    if frame[1] == 1:
+                        body = b"".join(parts)
+                        done.append((key[0], msg_id, start, reach - start, body.decode("utf-8", errors="replace"), len(body)))
+                        parts, start, msg_id = [], reach, msg_id + 1
+                if done:
+                    yield pd.DataFrame(done, columns=MESSAGES.fieldNames())
+                while gone < start // _BLOCK:
+                    self._drop(gone)
+                    gone += 1
+                if reach // _BLOCK == block:
                     break
-                new[reach] = frame         # known already; written again below if it must wait on
-            reach += 1
-            if frame[1] == 1:
-                parts = []
-                for pos in range(start, reach):
-                    own = new.pop(pos, None)
-                    if own is None:
-                        own = self.waiting.getValue((pos,))
-                    parts.append(bytes(own[0]))
-                    if self.waiting.containsKey((pos,)):
-                        self.waiting.removeKey((pos,))
-                body = b"".join(parts)
-                done.append((key[0], msg_id, start, reach - start, body.decode("utf-8", errors="replace"), len(body)))
-                start, msg_id = reach, msg_id + 1
-        for pos, frame in new.items():
-            if pos >= start:
-                self.waiting.updateValue((pos,), frame)
-        self.at.update((start, reach, msg_id))
-        yield pd.DataFrame(done, columns=MESSAGES.fieldNames())
+            stored = self._stored(gone)
+            if left := {p: f for p, f in stored.items() if p >= start}:
+                if len(left) < len(stored):
+                    self._drop(gone)
+                    self._put(gone, 0, left)
+            else:
+                self._drop(gone)
+        self._add({b: left for b, own in new.items() if (left := {p: f for p, f in own.items() if p >= start})})
+        if (start, reach, msg_id) != begin or not self.at.exists():
+            self.at.update((start, reach, msg_id))
 
     def close(self) -> None:
         pass
@@ -85,8 +128,8 @@ def messages(frames: DataFrame) -> DataFrame:
 
     Positions of a channel start at 0.  Frames may come in any order and more
     than once; one that lies before the open message is a replay and is
-    ignored.  A channel is one key, since its order is one line; its frames
-    are read a batch at a time and its messages bound what is held.
+    ignored.  A channel is one key, since its order is one line, and so one
+    task's time; ``_HOLD_BYTES`` and its longest message bound what that holds.
     """
     return frames.groupBy("channel").transformWithStateInPandas(Reassembly(), MESSAGES, "Append", "None")
 
@@ -106,4 +149,8 @@ def held_frames(spark: SparkSession, checkpoint: str) -> DataFrame:
     """M3: the frames that wait in the state of a reassembly, read from its checkpoint: ``channel, pos, mtext, full_msg``."""
     with conf_override(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "waiting").load()
-        return state.select("key.channel", "user_map_key.pos", "user_map_value.mtext", "user_map_value.full_msg")
+        f = state.select("key.channel", "user_map_key.run", F.explode(F.arrays_zip(
+            *[f"user_map_value.{c}" for c in ("pos", "mtext", "full_msg")])).alias("f")).select("channel", "run", "f.*")
+        # a frame that came again waits twice; the last one counts
+        last = f.groupBy("channel", "pos").agg(F.max_by(F.struct("mtext", "full_msg"), "run").alias("f"))
+        return last.select("channel", "pos", "f.mtext", "f.full_msg")
