@@ -19,7 +19,7 @@ from feedspark import constants as C
 
 # Work on at most this many payload bytes per numpy pass (bounds the index
 # arrays built for a batch of large rows).
-_CHUNK_BYTES = 8 << 20
+_CHUNK_BYTES = 1 << 20
 
 
 def _col(c) -> Column:
@@ -132,10 +132,11 @@ def xor_kernel(values: pa.Array, keys: pa.Array) -> pa.Array:
 def byte_sum_kernel(values: pa.Array) -> pa.Array:
     """Sum of the unsigned byte values of each row (null stays null)."""
     v_off, v_data = _binary_parts(values)
-    seg = v_data[v_off[0]:v_off[-1]].astype(np.int64)
-    cs = np.concatenate([[0], np.cumsum(seg)])
-    rel = v_off - v_off[0]
-    sums = cs[rel[1:]] - cs[rel[:-1]]
+    sums = np.zeros(len(values), np.int64)
+    for r0, r1 in _row_chunks(v_off):      # the bytes are widened a chunk at a time
+        rows = r0 + np.nonzero(v_off[r0 + 1:r1 + 1] > v_off[r0:r1])[0]             # an empty row has no byte to begin a sum at
+        if rows.size:
+            sums[rows] = np.add.reduceat(v_data[v_off[r0]:v_off[r1]], v_off[rows] - v_off[r0], dtype=np.int64)
     return pa.array(sums, type=pa.int64(), mask=~np.asarray(pc.is_valid(values).to_numpy(zero_copy_only=False)))
 
 

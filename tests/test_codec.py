@@ -93,3 +93,19 @@ def test_auth_kernel_current_previous_and_failures():
                     pa.array([old] * (n - 1) + [None]), pa.array([osec] * n)).to_pylist()
     assert [x["code"] for x in r] == [1, 2, 0, 0, 0, 1, 0]
     assert [x["body"] for x in r] == [b"a^1^m", b"b^2^m", None, None, None, b"", None]
+
+
+def test_kernels_need_little_more_than_their_batch():
+    import tracemalloc
+
+    from feedspark.functions.codec import byte_sum_kernel, xor_kernel
+
+    texts = pa.array([b"\xff" * 50_000, None, b"", b"\x01\x02"] * 600 + [b""], pa.binary())
+    keys = pa.array([b"ab"] * len(texts), pa.binary())
+    size = 50_002 * 600
+    for run, most in ((lambda: byte_sum_kernel(texts), size), (lambda: xor_kernel(texts, keys), 3 * size)):
+        tracemalloc.start()
+        got = run()
+        assert tracemalloc.get_traced_memory()[1] < most
+        tracemalloc.stop()
+    assert byte_sum_kernel(texts).to_pylist() == [255 * 50_000, None, 0, 3] * 600 + [0] and len(got) == len(texts)
