@@ -164,9 +164,10 @@ def _tail(arr: pa.Array, skip: int, mask: np.ndarray) -> pa.Array:
     lens = np.where(mask, off[1:] - start, 0)
     new_off = np.zeros(n + 1, dtype=np.int64)
     np.cumsum(lens, out=new_off[1:])
-    total = int(new_off[-1])
-    idx = np.arange(total, dtype=np.int64) + np.repeat(start - new_off[:-1], lens)
-    out = data[idx] if total else np.zeros(0, np.uint8)
+    out = np.empty(int(new_off[-1]), np.uint8)
+    for r0, r1 in _row_chunks(new_off):    # the index takes eight bytes a byte
+        at = np.arange(new_off[r0], new_off[r1]) + np.repeat(start[r0:r1] - new_off[r0:r1], lens[r0:r1])
+        out[new_off[r0]:new_off[r1]] = data[at]
     valid = pa.array(mask).buffers()[1]
     return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(new_off.astype(np.int32)), pa.py_buffer(out)],
                                  null_count=int(n - mask.sum()))

@@ -109,3 +109,25 @@ def test_kernels_need_little_more_than_their_batch():
         assert tracemalloc.get_traced_memory()[1] < most
         tracemalloc.stop()
     assert byte_sum_kernel(texts).to_pylist() == [255 * 50_000, None, 0, 3] * 600 + [0] and len(got) == len(texts)
+
+
+def test_auth_kernel_needs_little_more_than_its_batch(monkeypatch):
+    import tracemalloc
+
+    import feedspark.functions.codec as codec
+
+    cur, sec, old, osec = b"curcipher0", b"cursecret0", b"Zq9-older7", b"prevsecret"
+    rng = np.random.default_rng(5)
+    bodies = [rng.bytes(int(n)) for n in rng.integers(0, 10_000, 3000)]
+    plain = [{0: osec, 1: b"nosecret00"}.get(i % 7, sec) + b"^" + b for i, b in enumerate(bodies)]
+    n = len(plain)
+    dec = codec.xor_kernel(pa.array(plain, pa.binary()), pa.array([old if i % 7 == 0 else cur for i in range(n)], pa.binary()))
+    args = [dec, *(pa.array([x] * n, pa.binary()) for x in (cur, sec, old, osec))]
+    tracemalloc.start()
+    got = codec.auth_kernel(*args)
+    assert tracemalloc.get_traced_memory()[1] < 6 * dec.nbytes
+    tracemalloc.stop()
+    assert got.field("code").to_pylist() == [{0: 2, 1: 0}.get(i % 7, 1) for i in range(n)]
+    assert got.field("body").to_pylist() == [None if i % 7 == 1 else b for i, b in enumerate(bodies)]
+    monkeypatch.setattr(codec, "_CHUNK_BYTES", 700)
+    assert codec.auth_kernel(*args).equals(got)
