@@ -401,13 +401,16 @@ def q_frame_split_small(spark, sf_dir):
     return j.select("channel", "msg_id", F.md5(F.encode("message", "UTF-8")).alias("md5"), F.col("n_frames").cast("bigint"))
 
 
-def _open_tail(spark, sf_dir) -> DataFrame:
+def _but_last(f: DataFrame) -> DataFrame:
     """Frames without the last one of each channel: its message is still open."""
-    f = materialize(_frames(spark, sf_dir), "frames")
     last = f.groupBy(F.col("channel").alias("_c")).agg(F.max("pos").alias("_last"))
     return f.join(last, (F.col("channel") == F.col("_c")) & (F.col("pos") == F.col("_last")), "left_anti")
 
 
+def _open_tail(spark, sf_dir) -> DataFrame:
+    return _but_last(materialize(_frames(spark, sf_dir), "frames"))
+
+
 @query("frame_pending")
 def q_frame_pending(spark, sf_dir):
     """M3: complete messages, frames and bytes held back, per channel."""

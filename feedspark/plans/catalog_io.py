@@ -11,7 +11,7 @@ from feedspark import schemas
 from feedspark.operators import loss as L
 from feedspark.operators import packets as P
 from feedspark.operators.numbering import number_rows
-from feedspark.plans.catalog import _open_tail, _plan, query
+from feedspark.plans.catalog import _but_last, _frames, _plan, query
 from feedspark.session import materialize, scratch_path
 from feedspark.sinks import audit as A
 from feedspark.sinks import commits as CM
@@ -314,7 +314,8 @@ def q_feed_frames(spark, sf_dir):
 def _reassembled(spark, sf_dir):
     """(sink, checkpoint) of a reassembly over frames whose files come in any order, each channel's last frame not at all."""
     landed, sink, ck = (scratch_path(spark, n) for n in ("frames_landed", "messages", "ck_frames"))
-    _open_tail(spark, sf_dir).select(*FR.FRAMES.fieldNames()).repartition(6).write.parquet(landed)
+    # texts and positions are written by the split, so the last positions come from narrow rows and the frames are written once
+    _but_last(_frames(spark, sf_dir)).select(*FR.FRAMES.fieldNames()).repartition(6).write.parquet(landed)
     stream = spark.readStream.schema(FR.FRAMES).option("maxFilesPerTrigger", 2).parquet(landed)
     FR.start_reassembly(stream, sink, ck).awaitTermination()
     return sink, ck
