@@ -222,7 +222,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         codes = batch.column("channel").dictionary_encode(null_encoding="encode")
         of, pos, flags = (np.asarray(c) for c in (codes.indices, batch.column("pos"), batch.column("full_msg")))
-        at = [of == i for i in range(len(codes.dictionary))]
+        at = np.argsort(of, kind="stable")
+        at = np.split(at, np.searchsorted(of[at], np.arange(1, len(codes.dictionary))))[:len(codes.dictionary)]
         yield pa.RecordBatch.from_arrays([
             codes.dictionary,
             pa.array([pos[a].astype(np.int64).tobytes() for a in at], pa.binary()),
